@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.llm.mixing import mix
 from marginalia.llm.order_minhash import fingerprints
+from marginalia.llm.packing import pack
+from marginalia.llm.toxicity import toxicity
 from marginalia.llm.url_cascade import Rule, judge_urls
 from marginalia.llm.weak_quality import quality
 
@@ -17,10 +20,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"))
+
+
 def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
 
+def op6_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -29,8 +40,15 @@ def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_weak_quality": op4_weak_quality,
+    "op6_entropy_balancing": op6_entropy_balancing,
     "op8_order_minhash": op8_order_minhash,
     "op9_url_cascade": op9_url_cascade,
+    "op10_toxicity": op10_toxicity,
 }
