@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.llm.hmm_lm import score_texts
 from marginalia.llm.mixing import mix
 from marginalia.llm.order_minhash import fingerprints
 from marginalia.llm.packing import pack
+from marginalia.llm.template_html import extract
 from marginalia.llm.toxicity import toxicity
 from marginalia.llm.url_cascade import Rule, judge_urls
 from marginalia.llm.weak_quality import quality
@@ -20,6 +22,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
@@ -28,6 +34,10 @@ def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
 
+def op5_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op6_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -45,8 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_templates": op1_site_templates,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_weak_quality": op4_weak_quality,
+    "op5_hidden_markov": op5_hidden_markov,
     "op6_entropy_balancing": op6_entropy_balancing,
     "op8_order_minhash": op8_order_minhash,
     "op9_url_cascade": op9_url_cascade,
