@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm.hmm_lm import score_texts
 from marginalia.llm.mixing import mix
+from marginalia.llm.ngram_join import join_components
 from marginalia.llm.order_minhash import fingerprints
 from marginalia.llm.packing import pack
 from marginalia.llm.template_html import extract
@@ -42,6 +43,10 @@ def op6_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_components(_read(spark, sf_dir, "documents"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_weak_quality": op4_weak_quality,
     "op5_hidden_markov": op5_hidden_markov,
     "op6_entropy_balancing": op6_entropy_balancing,
+    "op7_ngram_join": op7_ngram_join,
     "op8_order_minhash": op8_order_minhash,
     "op9_url_cascade": op9_url_cascade,
     "op10_toxicity": op10_toxicity,
