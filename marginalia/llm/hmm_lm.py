@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import blobs
 from marginalia.llm.common import LOWER, UPPER, WORD_PATTERN, remainder_of, shuffle_width, stored, text_batches
+from marginalia.llm.postings import deal
 
 STATES, CLASSES, ITERATIONS, PIECE = 6, 1024, 5, 256
 #: Characters of one chunk of documents, tokens of one batch of sequences.
@@ -53,9 +54,9 @@ def classes_of(hashes: np.ndarray) -> np.ndarray:
 
 
 _END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
-ENCODED = "kind int, key long, doc_id long, train boolean, bucket int, data binary, docs binary, flags binary, postings binary, times binary"
+ENCODED = "kind int, key long, doc_id long, train boolean, bucket int, data binary, docs binary, postings binary, times binary"
 _NAMES = [x.split()[0] for x in ENCODED.split(", ")]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -76,13 +77,11 @@ def _encode_chunk(docs: list[tuple[int | None, str, bool]], key: int, buckets: i
     rank[order] = np.arange(len(order))
     classes = classes_of(hashes)[ids]
     ends = np.cumsum(lengths)
-    rows: list[tuple] = [(1, key, d, t, i, classes[e - n : e].astype("<u2").tobytes(), None, None, None, None) for i, ((d, _, t), e, n) in enumerate(zip(docs, ends.tolist(), lengths.tolist(), strict=True))]
+    rows: list[tuple] = [(1, key, d, t, i, classes[e - n : e].astype("<u2").tobytes(), None, None, None) for i, ((d, _, t), e, n) in enumerate(zip(docs, ends.tolist(), lengths.tolist(), strict=True))]
     pairs, times = np.unique(rank[ids] * len(docs) + np.repeat(np.arange(len(docs)), lengths), return_counts=True)
     token, doc = np.divmod(pairs, len(docs))
     sorted_hashes = hashes[order]
     bucket = (sorted_hashes % np.uint64(buckets)).astype(np.int64)
-    own = np.array([-1 if d is None else d for d, _, _ in docs], np.int64)
-    flags = np.array([t for *_, t in docs], np.uint8)
     by_bucket = np.argsort(bucket[token], kind="stable")
     cuts = np.searchsorted(bucket[token][by_bucket], np.arange(buckets + 1))
     for b in range(buckets):
@@ -93,7 +92,7 @@ def _encode_chunk(docs: list[tuple[int | None, str, bool]], key: int, buckets: i
             per_token = np.diff(np.r_[np.flatnonzero(first), len(t)]).astype(np.uint32)
             step = np.diff(doc[some], prepend=0)
             step[first] = doc[some][first]
-            rows.append((0, key, None, None, b, blobs.pack_sorted(sorted_hashes[t[first]]), blobs.pack(own), blobs.pack(flags), _join_postings(per_token, step), blobs.pack(times[some].astype(np.uint32))))
+            rows.append((0, key, None, docs[0][2], b, blobs.pack_sorted(sorted_hashes[t[first]]), len(docs).to_bytes(8, "little"), _join_postings(per_token, step), blobs.pack(times[some].astype(np.uint32))))
     return rows
 
 
@@ -102,16 +101,21 @@ def encode(documents: DataFrame, buckets: int) -> DataFrame:
     text_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, chunk, size, n = TaskContext.get().partitionId(), [], 0, 0
+        part, n = TaskContext.get().partitionId(), 0
+        chunks: dict[bool, list] = {True: [], False: []}  # of training documents and others, so that a chunk is one or the other
+        sizes = {True: 0, False: 0}
         for batch in batches:
             for doc in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                chunk.append(doc)
-                size += len(doc[1])
-                if size >= CHUNK_CHARS:
-                    yield _rows(_encode_chunk(chunk, (part << 32) + n, buckets))
-                    chunk, size, n = [], 0, n + 1
-        if chunk:
-            yield _rows(_encode_chunk(chunk, (part << 32) + n, buckets))
+                kind = doc[2]
+                chunks[kind].append(doc)
+                sizes[kind] += len(doc[1])
+                if sizes[kind] >= CHUNK_CHARS:
+                    yield _rows(_encode_chunk(chunks[kind], (part << 32) + n, buckets))
+                    chunks[kind], sizes[kind], n = [], 0, n + 1
+        for chunk in chunks.values():
+            if chunk:
+                yield _rows(_encode_chunk(chunk, (part << 32) + n, buckets))
+                n += 1
 
     train = remainder_of(F.col("doc_id")) != 1
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train")).mapInArrow(run, ENCODED)
@@ -144,29 +148,30 @@ def _count_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             total = np.cumsum(steps.astype(np.int64))
             starts = np.r_[0, np.cumsum(per_token)[:-1]].astype(np.int64)
             doc = total - np.repeat(total[starts] - steps[starts], per_token)
-            read.append((token, doc, blobs.unpack(r["times"], np.uint32).astype(np.float64), blobs.unpack(r["flags"], np.uint8)))
+            read.append((token, doc, blobs.unpack(r["times"], np.uint32).astype(np.float64), r["train"]))
         known, place = np.unique(np.concatenate(hashes), return_inverse=True)
         counts, at = np.zeros(len(known)), 0
-        for h, (token, doc, times, flags) in zip(hashes, read, strict=True):
-            counts += np.bincount(place[at : at + len(h)][token], times * flags[doc], minlength=len(known))
+        for h, (token, _, times, train_chunk) in zip(hashes, read, strict=True):
+            counts += np.bincount(place[at : at + len(h)][token], times * train_chunk, minlength=len(known))
             at += len(h)
         classes = classes_of(known)
         in_class = np.bincount(classes, counts, minlength=CLASSES)
         distinct = np.bincount(classes, counts > 0, minlength=CLASSES).astype(np.float64)
-        out.append((-1, bucket, None, in_class.tobytes() + distinct.tobytes(), None))
+        out.append((-1, bucket, in_class.tobytes() + distinct.tobytes(), None))
         at = 0
         logs = np.log10(counts + 0.5)
-        for h, r, (token, doc, times, flags) in zip(hashes, some, read, strict=True):
+        for h, r, (token, doc, times, _) in zip(hashes, some, read, strict=True):
             mine = place[at : at + len(h)][token]
             at += len(h)
-            sums = np.bincount(doc, times * logs[mine], minlength=len(flags))
-            seen = np.bincount(doc, times * (counts[mine] > 0), minlength=len(flags))
-            out.append((r["key"], bucket, r["docs"], blobs.pack(sums), blobs.pack(seen.astype(np.uint32))))
-    columns = zip(*out, strict=True) if out else [[]] * 5
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["key", "bucket", "docs", "sums", "seen"])
+            n = int.from_bytes(r["docs"], "little")
+            sums = np.bincount(doc, times * logs[mine], minlength=n)
+            seen = np.bincount(doc, times * (counts[mine] > 0), minlength=n)
+            out.append((r["key"], bucket, blobs.pack(sums), blobs.pack(seen.astype(np.uint32))))
+    columns = zip(*out, strict=True) if out else [[]] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["key", "bucket", "sums", "seen"])
 
 
-COUNTED = "key long, bucket int, docs binary, sums binary, seen binary"
+COUNTED = "key long, bucket int, sums binary, seen binary"
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +181,10 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.setdefault(r["key"], []).append(r)
     for key in sorted(rows):
         some = sorted(rows[key], key=lambda r: r["bucket"])
-        docs = blobs.unpack(some[0]["docs"], np.int64)
         sums = sum(blobs.unpack(r["sums"], np.float64) for r in some)
         seen = sum(blobs.unpack(r["seen"], np.uint32).astype(np.int64) for r in some)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), key)), pa.array(np.arange(len(docs))), pa.array(np.asarray(sums)), pa.array(np.asarray(seen))], ["key", "place", "logs", "n_known"])
+        n = len(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.arange(n)), pa.array(np.asarray(sums)), pa.array(np.asarray(seen))], ["key", "place", "logs", "n_known"])
 
 
 @dataclass(frozen=True)
@@ -330,8 +335,8 @@ def score_texts(documents: DataFrame, states: int = STATES, iterations: int = IT
     spark = documents.sparkSession
     buckets = shuffle_width(spark)
     encoded = stored(encode(documents, buckets))
-    postings = encoded.filter("kind = 0").select("key", "bucket", "data", "docs", "flags", "postings", "times")
-    counted = stored(postings.repartition(buckets, "bucket").mapInArrow(_count_bucket, COUNTED))
+    postings = encoded.filter("kind = 0").select("key", "train", "bucket", "data", "docs", "postings", "times")
+    counted = stored(deal(postings, "bucket", buckets).mapInArrow(_count_bucket, COUNTED))
     totals = np.zeros((2, CLASSES))
     for row in counted.filter("key = -1").select("sums").toLocalIterator():  # one row of 2 * CLASSES numbers a bucket
         totals += np.frombuffer(row["sums"]).reshape(2, CLASSES)
@@ -347,7 +352,7 @@ def score_texts(documents: DataFrame, states: int = STATES, iterations: int = IT
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)), pa.array([len(s) for s in some], pa.int64()), pa.array(logs)], ["key", "doc_id", "place", "n_tokens", "logs"])
 
     scored = sequences.select("key", "doc_id", F.col("bucket").alias("place"), "data").mapInArrow(run, "key long, doc_id long, place int, n_tokens long, logs double")
-    chunks = counted.filter("key >= 0").repartition(buckets, "key").mapInArrow(_sum_chunks, "key long, place long, logs double, n_known long")
+    chunks = deal(counted.filter("key >= 0"), "key", buckets).mapInArrow(_sum_chunks, "key long, place long, logs double, n_known long")
     joined = scored.alias("s").join(chunks.alias("c"), (F.col("s.key") == F.col("c.key")) & (F.col("s.place") == F.col("c.place")))
     base = F.col("c.logs") - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))
     return joined.select("s.doc_id", (remainder_of(F.col("s.doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("s.logs") + F.col("c.logs")).alias("score"))

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import blobs
 from marginalia.llm.common import LOWER, UPPER, WORD_PATTERN, settle, shuffle_width, stored, text_batches
 from marginalia.llm.components import connected_components
+from marginalia.llm.postings import ANSWERED, NULL_ID, POSTED, deal, documents_of, frequencies, groups_of, merge_answers, post, posted_batch, shared_only
 
 WORDS, THRESHOLD = 5, 75
 GROUPS, LEAF, BLOCK, BROADCAST_ROWS = 64, 16, 256, 500_000
@@ -80,88 +81,22 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return 100 * both >= threshold * (len(a) + len(b) - both) and both > 0
 
 
-# --- postings of a chunk of documents, by bucket of hashes ---------------------------------------------------------------------
-
-POSTED = "key long, bucket int, docs binary, hashes binary, per_hash binary, steps binary"
-_POSTED = ["key", "bucket", "docs", "hashes", "per_hash", "steps"]
-
-
-def _post(key: int, docs: np.ndarray, sets: list[np.ndarray], buckets: int) -> list[tuple]:
-    """docs: rows x 3 integers that come back with the answers. One row a bucket, and at least one for the chunk."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    hashes = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    doc = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(hashes, kind="stable")
-    hashes, doc = hashes[order], doc[order]
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    by_bucket = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-    head, rows = blobs.pack(docs.reshape(-1)), []
-    for b in range(buckets):
-        some = by_bucket[cuts[b] : cuts[b + 1]]
-        if len(some) or b == key % buckets:
-            h, d = hashes[some], doc[some]
-            first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
-            step = np.diff(d, prepend=0)
-            step[first] = d[first]
-            rows.append((key, b, head, blobs.pack_sorted(h[first]), blobs.pack(np.diff(np.r_[np.flatnonzero(first), len(h)]).astype(np.uint32)), blobs.pack(step.astype(np.uint32))))
-    return rows
-
-
-def _read_postings(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes; for each posting the index of its hash and its document."""
-    h, per, steps = blobs.unpack_sorted(row["hashes"]), blobs.unpack(row["per_hash"], np.uint32), blobs.unpack(row["steps"], np.uint32)
-    token = np.repeat(np.arange(len(h)), per)
-    total = np.cumsum(steps.astype(np.int64))
-    starts = np.r_[0, np.cumsum(per)[:-1]].astype(np.int64) if len(per) else np.empty(0, np.int64)
-    return h, token, total - np.repeat(total[starts] - steps[starts], per)
-
-
-def _posted(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], _POSTED)
-
-
-def _frequencies(rows: list[dict]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
-    """For the rows of one bucket: row, hash and document of each posting, and in how many documents of all rows its hash is."""
-    read = [_read_postings(r) for r in rows]
-    known, place = np.unique(np.concatenate([h for h, *_ in read]), return_inverse=True)
-    counts, at = np.zeros(len(known), np.int64), 0
-    for h, token, _ in read:
-        counts += np.bincount(place[at : at + len(h)][token], minlength=len(known))
-        at += len(h)
-    at = 0
-    for r, (h, token, doc) in zip(rows, read, strict=True):
-        yield r, h[token], doc, counts[place[at : at + len(h)][token]]
-        at += len(h)
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]:
-    groups: dict[int, list[dict]] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            groups.setdefault(r[column], []).append(r)
-    for name in sorted(groups):
-        yield sorted(groups.pop(name), key=lambda r: (r["key"], r["bucket"]))
-
-
 def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_bucket(batches, "bucket"):
-        for r, _, doc, n in _frequencies(rows):
-            docs = blobs.unpack(r["docs"], np.int64).reshape(-1, 3)
-            shared = np.bincount(doc, n > 1, minlength=len(docs)).astype(np.uint32)
+    for rows in groups_of(batches, "bucket"):
+        for r, _, doc, n in frequencies(rows):
+            shared = np.bincount(doc, n > 1).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((r["key"], r["bucket"], r["docs"], blobs.pack(shared)), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["key", "bucket", "docs", "shared"])
 
 
 def _sum_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_bucket(batches, "key"):
-        docs = blobs.unpack(rows[0]["docs"], np.int64).reshape(-1, 3)
-        shared = sum(blobs.unpack(r["shared"], np.uint32).astype(np.int64) for r in rows)
-        null = docs[:, 0] == _NULL
-        yield pa.RecordBatch.from_arrays([pa.array(docs[:, 0], mask=null), pa.array(docs[:, 1]), pa.array(docs[:, 2]), pa.array(np.asarray(shared))], ["doc_id", "n", "sid", "shared"])
-
-
-_NULL = np.iinfo(np.int64).min
+    for rows in groups_of(batches, "key"):
+        docs = documents_of(rows)
+        shared = np.zeros(len(docs), np.int64)
+        for r in rows:
+            some = blobs.unpack(r["shared"], np.uint32)
+            shared[: len(some)] += some
+        null = docs[:, 0] == NULL_ID
+        yield pa.RecordBatch.from_arrays([pa.array(docs[:, 0], mask=null), pa.array(docs[:, 1]), pa.array(docs[:, 2]), pa.array(shared)], ["doc_id", "n", "sid", "shared"])
 
 
 def describe_sets(documents: DataFrame, words: int = WORDS) -> DataFrame:
@@ -175,8 +110,8 @@ def describe_sets(documents: DataFrame, words: int = WORDS) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             sets = shingle_sets(texts, words)
-            docs = np.array([(_NULL if d is None else d, len(s), set_id(s)) for d, s in zip(ids, sets, strict=True)], np.int64).reshape(-1, 3)
-            return _posted(_post((part << 32) + n, docs, sets, buckets))
+            docs = np.array([(NULL_ID if d is None else d, len(s), set_id(s)) for d, s in zip(ids, sets, strict=True)], np.int64).reshape(-1, 3)
+            return posted_batch(post((part << 32) + n, docs, sets, buckets))
 
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -190,8 +125,8 @@ def describe_sets(documents: DataFrame, words: int = WORDS) -> DataFrame:
             yield flush()
 
     posted = _rows_of(documents).mapInArrow(run, POSTED)
-    counted = posted.repartition(buckets, "bucket").mapInArrow(_shared_counts, "key long, bucket int, docs binary, shared binary")
-    return counted.repartition(buckets, "key").mapInArrow(_sum_shared, "doc_id long, n long, sid long, shared long")
+    counted = deal(posted, "bucket", buckets).mapInArrow(_shared_counts, "key long, bucket int, docs binary, shared binary")
+    return deal(counted, "key", buckets).mapInArrow(_sum_shared, "doc_id long, n long, sid long, shared long")
 
 
 def _rows_of(documents: DataFrame) -> DataFrame:
@@ -229,20 +164,11 @@ def prefixes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         for n, batch in enumerate(batches):
             own = [np.frombuffer(b, np.uint64) for b in batch.column(3).to_pylist()]
             docs = np.array(list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True)), np.int64).reshape(-1, 3)
-            yield _posted(_post((part << 32) + n, docs, own, buckets))
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches, "bucket"):
-            for r, h, doc, n in _frequencies(rows):
-                some = np.flatnonzero(n > 1)
-                packed = blobs.pack_sorted(h[some]), blobs.pack(doc[some].astype(np.uint32)), blobs.pack(n[some].astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((r["key"], r["bucket"], r["docs"], *packed), (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["key", "bucket", "docs", "hashes", "doc", "frequency"])
+            yield posted_batch(post((part << 32) + n, docs, own, buckets))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches, "key"):
-            docs = blobs.unpack(rows[0]["docs"], np.int64).reshape(-1, 3)
-            h = np.concatenate([blobs.unpack_sorted(r["hashes"]) for r in rows])
-            doc, n = (np.concatenate([blobs.unpack(r[c], np.uint32) for r in rows]).astype(np.int64) for c in ("doc", "frequency"))
+        for rows in groups_of(batches, "key"):
+            docs, h, doc, n = merge_answers(rows)
             order = np.lexsort((h, n, doc))
             h, doc = h[order], doc[order]
             have = np.bincount(doc, minlength=len(docs))
@@ -251,8 +177,8 @@ def prefixes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             some = np.flatnonzero(place < take[doc])
             yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), *(pa.array(docs[doc[some], i]) for i in range(3))], ["token", "sid", "doc_id", "n"])
 
-    posted = sets.mapInArrow(run, POSTED).repartition(buckets, "bucket").mapInArrow(shared, "key long, bucket int, docs binary, hashes binary, doc binary, frequency binary")
-    return posted.repartition(buckets, "key").mapInArrow(choose, "token long, sid long, doc_id long, n long")
+    posted = deal(sets.mapInArrow(run, POSTED), "bucket", buckets).mapInArrow(shared_only, ANSWERED)
+    return deal(posted, "key", buckets).mapInArrow(choose, "token long, sid long, doc_id long, n long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -11,6 +11,7 @@ from marginalia.llm.mixing import mix
 from marginalia.llm.ngram_join import join_components
 from marginalia.llm.order_minhash import fingerprints
 from marginalia.llm.packing import pack
+from marginalia.llm.suffix_dedup import dedup_digest
 from marginalia.llm.template_html import extract
 from marginalia.llm.toxicity import toxicity
 from marginalia.llm.url_cascade import Rule, judge_urls
@@ -31,6 +32,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digest(_read(spark, sf_dir, "documents"))
+
+
 def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_weak_quality": op4_weak_quality,
     "op5_hidden_markov": op5_hidden_markov,
     "op6_entropy_balancing": op6_entropy_balancing,
