@@ -57,7 +57,7 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
