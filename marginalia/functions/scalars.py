@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # --- text -------------------------------------------------------------------------------------------------------------------------
 
@@ -18,7 +19,7 @@ def ascii_slug(text: Column, longest: int = 60, default: str = "item") -> Column
     return F.coalesce(F.nullif(F.substring(dashed, 1, longest), F.lit("")), F.lit(default))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _ascii_fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 
