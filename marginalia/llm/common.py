@@ -70,17 +70,21 @@ def remainder_of(doc_id: Column, divisor: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, name: str = "rank") -> DataFrame:
+def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, name: str = "rank", extras: DataFrame | None = None) -> DataFrame:
     """Number the rows of each key from 0 without gathering a hot key in one task.
 
     Rows are numbered within (key, salt); a small table of counts per (key, salt) holds what comes before each salt.
     Every row has one place, and the numbering depends on the rows alone (order must be total up to equal rows).
+    extras: a row of further columns for each key; they reach the rows by that table, so without another join of the hot key.
     """
     from pyspark.sql import Window as W
 
     salted = df.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
     counts = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy(*keys).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)))
+    added = [c for c in extras.columns if c not in keys] if extras is not None else []
+    if extras is not None:
+        before = before.alias("b").join(extras.alias("x"), [F.col(f"b.{k}").eqNullSafe(F.col(f"x.{k}")) for k in keys], "left").select("b.*", *[F.col(f"x.{c}") for c in added])
     local = salted.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order)) - 1)
     joined = local.alias("l").join(before.alias("b"), [F.col(f"l.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_salt"]], "left")
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._local") + F.coalesce(F.col("b._before"), F.lit(0))).cast("long").alias(name))
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._local") + F.coalesce(F.col("b._before"), F.lit(0))).cast("long").alias(name), *[F.col(f"b.{c}") for c in added])

@@ -77,6 +77,9 @@ def tilts(counts: DataFrame, targets: DataFrame, most: int = MOST_COPIES) -> Dat
     return state.select("source", "unit", "tilt")
 
 
+ROUNDED = "source string, size long, source_size long, target double, rate double, base int, extra long"
+
+
 def _round(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("size", ascending=False)
     owed, extra = 0.0, []
@@ -85,7 +88,7 @@ def _round(group: pd.DataFrame) -> pd.DataFrame:
         k = min(n, max(0, round(owed / size))) if size and rate > int(rate) else 0
         owed -= k * size
         extra.append(k)
-    return pd.DataFrame({"source": group["source"], "size": group["size"], "base": group["rate"].astype(int), "extra": extra, "rate": group["rate"]})
+    return group.assign(base=group["rate"].astype(int), extra=extra)[ROUNDED.replace(",", "").split()[::2]]
 
 
 def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -97,9 +100,8 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     rated = counts.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).join(found.alias("f"), F.col("c.source").eqNullSafe(F.col("f.source")), "left")
     tilted = F.lit(float(most)) / (1.0 + F.exp(-F.col("f.tilt") * F.col("c.size") / F.col("f.unit")))
     rate = F.when(F.col("c.size") == 0, 0.0).when(F.col("f.tilt").isNotNull(), tilted).when(F.col("target") > 0, float(most)).otherwise(0.0)
-    rated = rated.select("c.source", "c.size", "n", rate.alias("rate"))
-    rounded = settle(rated.groupBy("source").applyInPandas(_round, "source string, size long, base int, extra long, rate double"))  # a row for each size of a source
-    ranked = salted_rank(rows, ["source", "size"], [F.xxhash64("doc_id"), F.col("doc_id")], F.xxhash64("doc_id", F.lit("salt")), SALTS)
-    joined = ranked.alias("d").join(rounded.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.size") == F.col("r.size"))).join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+    rated = rated.select("c.source", "c.size", "n", "source_size", "target", rate.alias("rate"))
+    rounded = settle(rated.groupBy("source").applyInPandas(_round, ROUNDED))  # a row for each size of a source
+    ranked = salted_rank(rows, ["source", "size"], [F.xxhash64("doc_id"), F.col("doc_id")], F.xxhash64("doc_id", F.lit("salt")), SALTS, extras=rounded)
     copies = F.col("base") + (F.col("rank") < F.col("extra")).cast("int")
-    return joined.select("d.doc_id", "d.source", "d.size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("d.size")).cast("long").alias("taken"))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
