@@ -171,8 +171,9 @@ def score(documents: DataFrame, model: ToxicityModel, name: str = "score") -> Da
             scores = []
             for text in batch.column(place).to_pylist():
                 words = words_in(text or "")
-                for w in words - known.keys():
-                    known[w] = tuple(f for f in features_of_word(w) if f in weights)
+                for w in words:
+                    if w not in known:
+                        known[w] = tuple(f for f in features_of_word(w) if f in weights)
                 hit = {f for w in words for f in known[w]}
                 scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, model.intercept + math.fsum(weights[f] for f in hit))))))
                 if len(known) > 300_000:
