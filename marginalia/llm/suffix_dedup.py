@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from marginalia.llm import blobs
 from marginalia.llm.common import shuffle_width, text_batches
-from marginalia.llm.postings import ANSWERED, POSTED, deal, documents_of, groups_of, merge_answers, post, posted_batch, shared_only
+from marginalia.llm.postings import ANSWERED, NULL_ID, POSTED, deal, documents_of, groups_of, merge_answers, post, posted_batch, shared_only
 
 LENGTH, NAMED = 50, 32
 EXTRA = LENGTH - NAMED
@@ -85,14 +86,14 @@ def _text_buffers(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in batch.column(column).to_pylist()]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, list[list]]]:
-    """Rows with their text as bytes, about CHUNK_BYTES at a time, each chunk with a number of its own."""
+def _chunks(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple[int, list[tuple]]]:
+    """(doc_id, h, text as bytes and more columns) of rows, about CHUNK_BYTES at a time, each chunk with a number of its own."""
     part, rows, size, n = TaskContext.get().partitionId(), [], 0, 0
     for batch in batches:
-        columns = [c.to_pylist() if i != text else _text_buffers(batch, i) for i, c in enumerate(batch.columns)]
+        columns = [batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), _text_buffers(batch, batch.schema.get_field_index("text")), *(batch.column(c).to_pylist() for c in more)]
         for row in zip(*columns, strict=True):
             rows.append(row)
-            size += len(row[text])
+            size += len(row[2])
             if size >= CHUNK_BYTES:
                 yield (part << 32) + n, rows
                 rows, size, n = [], 0, n + 1
@@ -108,7 +109,7 @@ def _lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _ask_ranks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for key, rows in _chunks(batches, 2):
+    for key, rows in _chunks(batches):
         data, ends, doc, _ = _lay_out([r[2] for r in rows])
         found: list[list[np.ndarray]] = [[] for _ in rows]
         for at, places, smallest, _ in string_ranks(data, ends):
@@ -145,7 +146,7 @@ def _emit(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _ask_strings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for key, rows in _chunks(batches, 2):
+    for key, rows in _chunks(batches, "ranks"):
         data, ends, doc, begins = _lay_out([r[2] for r in rows])
         padded = np.concatenate([np.zeros(EXTRA, np.uint8), data, np.zeros(LENGTH, np.uint8)])
         shared = [blobs.unpack_sorted(r[3]) for r in rows]
@@ -277,22 +278,24 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     text_batches(spark)
     buckets = shuffle_width(spark)
     others = [c for c in documents.columns if c not in ("doc_id", "text", "spans", "h", "h2")]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), *others)
-    firsts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("h2"))
-    firsts = firsts.filter(F.col("doc_id").isNotNull()).groupBy("h", "h2").agg(F.min("doc_id").alias("first"))
+    text, key = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    # the keys can't be null and every use has the same columns, so all joins read one and the same exchange
+    rows = documents.select(key.alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"), *others)
+    firsts = documents.filter(F.col("doc_id").isNotNull()).select(key.alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("h2"))
+    firsts = firsts.groupBy("h", "h2").agg(F.min("doc_id").alias("first"))
     keyed = firsts.select(F.col("first").alias("doc_id"), "h")
 
-    asked = rows.select("doc_id", "h", "text").join(keyed, ["doc_id", "h"], "left_semi").select("doc_id", "h", "text").mapInArrow(lambda b: _ask_ranks(b, buckets), POSTED)
-    answered = deal(deal(asked, "bucket", buckets).mapInArrow(shared_only, ANSWERED), "key", buckets).mapInArrow(_by_document, "doc_id long, h long, ranks binary")
-    left = rows.select("doc_id", "h", "text").join(answered, ["doc_id", "h"]).select("doc_id", "h", "text", "ranks").mapInArrow(lambda b: _ask_strings(b, buckets), STRINGS)
-    found = deal(deal(left, "bucket", buckets).mapInArrow(_first_documents, FOUND), "key", buckets).mapInArrow(_found_by_document, "doc_id long, h long, spans binary")
+    asked = rows.join(keyed, ["doc_id", "h"], "left_semi").mapInArrow(lambda b: _ask_ranks(b, buckets), POSTED)
+    answered = deal(deal(asked, "bucket", buckets).mapInArrow(shared_only, ANSWERED), "key", buckets).mapInArrow(_by_document, "doc_id long not null, h long not null, ranks binary")
+    left = rows.join(answered, ["doc_id", "h"]).mapInArrow(lambda b: _ask_strings(b, buckets), STRINGS)
+    found = deal(deal(left, "bucket", buckets).mapInArrow(_first_documents, FOUND), "key", buckets).mapInArrow(_found_by_document, "doc_id long not null, h long not null, spans binary")
     found = found.groupBy("doc_id", "h").agg(F.first("spans").alias("spans"))
     first = firsts.groupBy("h").agg(F.min("first").alias("first"))
-    copies = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h")).join(first, "h").filter("doc_id > first").select("doc_id", "h").distinct().withColumn("copy", F.lit(True))
+    copies = documents.select(key.alias("doc_id"), F.xxhash64(text).alias("h")).join(first, "h").filter("doc_id > first").select("doc_id", "h").distinct().withColumn("copy", F.lit(True))
     whole = rows.join(found, ["doc_id", "h"], "left").join(copies, ["doc_id", "h"], "left")
     size = F.octet_length("text")
-    return whole.select("doc_id", "text", *others, F.when(F.col("copy") & (size >= LENGTH), _whole(size)).otherwise(F.col("spans")).alias("spans"))
+    spans = F.when(F.col("copy") & (size >= LENGTH), _whole(size)).otherwise(F.col("spans"))
+    return whole.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", *others, spans.alias("spans"))
 
 
 def _whole(size: Column) -> Column:
@@ -326,16 +329,18 @@ def dedup_digest(documents: DataFrame) -> DataFrame:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """The columns of documents, with the removed bytes gone from text (halves of characters at the edges too) and n_chars anew, where it is there."""
     columns = documents.columns
-    marked = repeated_spans(documents.withColumn("_null", F.col("text").isNull()))
-    others = [c for c in columns if c != "text"]
-    marked = marked.select(*others, "_null", "text", "spans")
-    schema = marked.select(*others, "text").schema
+    others = [c for c in columns if c not in ("doc_id", "text")]
+    packed = documents.select("doc_id", "text", F.struct(F.col("text").isNull().alias("null"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("others"))
+    marked = repeated_spans(packed).select("doc_id", "others", "text", "spans")
+    schema = StructType([StructField(c, marked.schema[c].dataType) for c in ("doc_id", "others", "text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(others)
-            texts = [None if null else _kept(text, spans)[0].decode("utf-8", "ignore") for null, text, spans in zip(batch.column(n).to_pylist(), _text_buffers(batch, n + 1), batch.column(n + 2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], [*others, "text"])
-
-    out = marked.mapInArrow(run, schema)
-    return out.select(*[F.length("text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c).cast(documents.schema[c].dataType).alias(c) for c in columns])
+            nulls = batch.column(1).field("null").to_pylist()
+            texts = [None if null else _kept(text, spans)[0].decode("utf-8", "ignore") for null, text, spans in zip(nulls, _text_buffers(batch, 2), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "others", "text"])
+
+    cut = marked.mapInArrow(run, schema)
+    values = {c: F.col(f"others.c{i}") for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    values |= {"n_chars": F.length("text")} if "n_chars" in columns else {}
+    return cut.select(*[values[c].cast(documents.schema[c].dataType).alias(c) for c in columns])
