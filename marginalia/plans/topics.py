@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Limits that judgments must keep.
+#: Limits that judgments must keep; the wording of the errors below is fixed too.
 TOPICS_MIN, TOPICS_MAX, NOTES_MIN, NOTES_MAX = 1, 4, 0, 15
 
 
