@@ -3,7 +3,7 @@
 Candidates. (1) A text can only have a partner if that share of its own shingles also occurs in other texts, which one exchange of postings
 settles for every text; most texts end here. (2) Texts with equal sets are one set from now on. (3) In each remaining set the
 shingles that occur in no other set come first, then the rare ones; a partner must share one of the first n - ceil(share * n) + 1,
-so only those are posted. (4) Each posted shingle's sets first meet one hub, the earliest of them; pairs that pass are links.
+so only those are posted, and a pair counts at the first they share. (4) Each posted shingle's sets first meet one hub, the earliest of them; pairs that pass are links.
 
 Index. Shingles are hashed into GROUPS groups, and the counts of a set are its point. Where a shingle's sets are still in several
 components, their points go into an R-tree (bulk loaded, boxes with maxima): the overlap of a set with anything in a box is at
@@ -156,7 +156,7 @@ def candidate_sets(documents: DataFrame, alive: DataFrame, words: int = WORDS) -
 
 
 def prefixes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(token, sid, doc_id, n): the shingles of each set of which a partner must have one, without those no other set has."""
+    """(sid, doc_id, n, own, tokens): the shingles of each set of which a partner must have one, in order, but for the first `own`, which no other set has."""
     buckets = shuffle_width(sets.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +172,15 @@ def prefixes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             order = np.lexsort((h, n, doc))
             h, doc = h[order], doc[order]
             have = np.bincount(doc, minlength=len(docs))
-            take = docs[:, 2] - (-(-threshold * docs[:, 2] // 100)) + 1 - (docs[:, 2] - have)
+            own = docs[:, 2] - have
+            take = np.clip(docs[:, 2] - (-(-threshold * docs[:, 2] // 100)) + 1 - own, 0, have)
             place = np.arange(len(doc)) - (np.cumsum(have) - have)[doc]
-            some = np.flatnonzero(place < take[doc])
-            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), *(pa.array(docs[doc[some], i]) for i in range(3))], ["token", "sid", "doc_id", "n"])
+            tokens = np.split(h[place < take[doc]].view(np.int64), np.cumsum(take)[:-1])
+            some = np.flatnonzero(take)
+            yield pa.RecordBatch.from_arrays([*(pa.array(docs[some, i]) for i in range(3)), pa.array(own[some]), pa.array([tokens[i] for i in some], pa.list_(pa.int64()))], ["sid", "doc_id", "n", "own", "tokens"])
 
     posted = deal(sets.mapInArrow(run, POSTED), "bucket", buckets).mapInArrow(shared_only, ANSWERED)
-    return deal(posted, "key", buckets).mapInArrow(choose, "token long, sid long, doc_id long, n long")
+    return deal(posted, "key", buckets).mapInArrow(choose, "sid long, doc_id long, n long, own long, tokens array<bigint>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -226,51 +228,50 @@ class CountTree:
         return self.order[nodes[(bound >= least_overlap(n, size, threshold)) & (threshold * n <= 100 * size) & (100 * n >= threshold * size)]]
 
 
-def _group_pairs(sids: np.ndarray, parts: np.ndarray, sizes: np.ndarray, points: np.ndarray, blocks: np.ndarray, pair: tuple[int, int], threshold: int) -> set[tuple[int, int]]:
-    """Pairs of different components, one from each block (or both from one block where the blocks are the same)."""
-    out: set[tuple[int, int]] = set()
-    if len(set(parts.tolist())) < 2:
-        return out
-    side = np.flatnonzero(blocks == pair[1])
+def _group_pairs(rows: list[tuple], pair: tuple[int, int], threshold: int) -> Iterator[tuple[int, int]]:
+    """Pairs of different components, one from each block (or both from one block where the blocks are the same).
+
+    rows: block, sid, part, n, own, place, tokens, counts of the sets of one token. A pair comes at its first common token only, so once
+    in all, and only if what lies behind that token in both sets can still be overlap enough.
+    """
+    blocks, sids, parts, sizes, own, places, tokens, counts = zip(*rows, strict=True)
+    if len(set(parts)) < 2:
+        return
+    points = np.stack([np.frombuffer(c, np.uint32) for c in counts]).astype(np.int64)
+    n, behind = np.array(sizes), np.array(sizes) - np.array(own) - np.array(places)
+    before = [frozenset(t[:p]) for t, p in zip(tokens, places, strict=True)]
+    side = np.flatnonzero(np.array(blocks) == pair[1])
     if not len(side):
-        return out
-    tree = CountTree(points[side], sizes[side])
-    for i in np.flatnonzero(blocks == pair[0]).tolist():
-        for j in side[tree.search(points[i], int(sizes[i]), threshold)].tolist():
-            if parts[i] != parts[j]:
-                a, b = int(sids[i]), int(sids[j])
-                out.add((min(a, b), max(a, b)))
-    return out
+        return
+    tree = CountTree(points[side], n[side])
+    for i in np.flatnonzero(np.array(blocks) == pair[0]).tolist():
+        near = side[tree.search(points[i], sizes[i], threshold)]
+        near = near[np.minimum(behind[near], behind[i]) >= least_overlap(n[near], sizes[i], threshold)]
+        for j in near.tolist():
+            if parts[i] != parts[j] and (pair[0] != pair[1] or sids[i] < sids[j]) and before[i].isdisjoint(before[j]):
+                yield min(sids[i], sids[j]), max(sids[i], sids[j])
 
 
 def cross_pairs(posted: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """posted: (token, sid, part, n, counts, blocks). Pairs (a, b) of sets in different components that a shared token and the tree leave."""
+    """posted: (token, sid, part, n, own, place, tokens, counts, blocks). Pairs (a, b) of sets in different components that a shared token and the tree leave."""
     buckets = shuffle_width(posted.sparkSession)
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    dealt = posted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "part", "n", "counts")
+    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    dealt = posted.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "part", "n", "own", "place", "tokens", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, group = None, []
-        found: set[tuple[int, int]] = set()
-
-        def close() -> None:
-            if len(group) > 1:
-                own, sid, part, n, counts = zip(*group, strict=True)
-                points = np.stack([np.frombuffer(c, np.uint32) for c in counts]).astype(np.int64)
-                found.update(_group_pairs(np.array(sid), np.array(part), np.array(n), points, np.array(own), name[1:], threshold))
-            group.clear()
-
+        name, group, found = None, [], []
         for batch in batches:
             for token, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (token, i, j) != name:
-                    close()
-                    name = (token, i, j)
-                group.append(rest)
-            if len(found) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
-                found.clear()
-        close()
+                    if len(group) > 1:
+                        found.extend(_group_pairs(group, name[1:], threshold))
+                    name, group = (token, i, j), []
+                group.append(tuple(rest))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+            found = []
+        if len(group) > 1:
+            found.extend(_group_pairs(group, name[1:], threshold))
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
     return dealt.repartition(buckets, "token", "i", "j").sortWithinPartitions("token", "i", "j", "sid").mapInArrow(run, "a long, b long").distinct()
@@ -278,7 +279,8 @@ def cross_pairs(posted: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def set_links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): links between set ids that give the right components."""
-    posted = stored(prefixes(sets, threshold))
+    lists = stored(prefixes(sets, threshold))
+    posted = lists.select("sid", "doc_id", "n", F.posexplode("tokens").alias("place", "token"))
     hub = F.min(F.struct("doc_id", "sid", "n")).alias("hub")
     hubs = posted.groupBy("token").agg(hub, F.count(F.lit(1)).alias("m")).filter("m > 1")
     fits = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * threshold
@@ -291,7 +293,8 @@ def set_links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     placed = stored(placed)
     several = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high")
     several = several.select("token", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks"))
-    open_groups = placed.join(several, "token").join(sets.select("sid", "counts"), "sid").select("token", "sid", "part", "n", "counts", "blocks")
+    open_groups = placed.join(several, "token").join(sets.select("sid", "counts"), "sid").join(lists.select("sid", "own", "tokens"), "sid")
+    open_groups = open_groups.select("token", "sid", "part", "n", "own", "place", "tokens", "counts", "blocks")
     pairs = cross_pairs(open_groups, threshold).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = verify(pairs, sets, threshold).filter("ok").select("a", "b")
     return links.unionByName(stored(more))
