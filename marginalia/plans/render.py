@@ -74,7 +74,7 @@ def enrichment_prompt(items: DataFrame, vocab: list[str]) -> DataFrame:
 
 def topic_pages(posts: DataFrame, items: DataFrame, pages: DataFrame) -> DataFrame:
     """(slug, body): overview, notes, then posts by role and date (R6, O2). posts: slug, role, id."""
-    rows = posts.join(items.select("id", "created_at", S.summary_or_text(F.col("enriched.summary"), F.col("text")).alias("line")), "id")
+    rows = posts.select("slug", "role", "id").join(items.select("id", "created_at", S.summary_or_text(F.col("enriched.summary"), F.col("text")).alias("line")), "id")
     block = F.array_sort(F.collect_list(F.struct(F.when(F.col("role") == "primary", 0).otherwise(1).alias("r"), (-F.unix_micros("created_at")).alias("t"), "id", "line")))  # the posts of one page
     listed = rows.groupBy("slug").agg(F.array_join(F.transform(block, lambda p: F.concat(F.lit("- "), p["line"])), "\n").alias("listed"))
     joined = listed.join(pages.select("slug", "overview", "notes"), "slug", "left")
