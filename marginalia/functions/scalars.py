@@ -71,7 +71,7 @@ ACRONYMS = ("ai", "ml", "llm", "mcp", "api", "ux", "ui", "gpu", "seo", "vc", "3d
 
 
 def topic_label(topic: Column, acronyms: tuple[str, ...] = ACRONYMS) -> Column:
-    """`machine-learning-and-ai` as `Machine Learning & AI`."""
+    """`machine-learning-and-ai` as `Machine Learning & AI`."""
     words = F.split(topic, "-")
     word = lambda w: F.when(w.isin(*acronyms), F.upper(w)).when(w == "and", F.lit("&")).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000))))
     return F.array_join(F.transform(words, word), " ")
@@ -135,6 +135,15 @@ def video_key(url: Column) -> Column:
     return F.when(known != "", known).otherwise(F.concat(host(url), path))
 
 
+def with_query(url: Column, name: str, value: str) -> Column:
+    """The URL with one query parameter set, the others and their order kept."""
+    head, query, pair = F.substring_index(url, "?", 1), F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), f"{name}={value}"
+    parts = F.filter(F.split(query, "&"), lambda p: p != "")
+    has = F.exists(parts, lambda p: F.substring_index(p, "=", 1) == name)
+    changed = F.transform(parts, lambda p: F.when(F.substring_index(p, "=", 1) == name, pair).otherwise(p))
+    return F.concat(head, F.lit("?"), F.array_join(F.when(has, changed).otherwise(F.array_append(parts, F.lit(pair))), "&"))
+
+
 # --- media ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -262,5 +271,5 @@ def flatten_blocks(blocks: Column) -> Column:
 
 
 def distinct_domains(links: Column) -> Column:
-    """(A35) links: array of struct with domain."""
+    """(A35, X34) links: array of struct with domain."""
     return F.array_join(F.array_sort(F.array_distinct(F.transform(links, lambda x: x["domain"]))), ", ")

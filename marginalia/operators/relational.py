@@ -28,7 +28,7 @@ def known_and_new(batch: DataFrame, store: DataFrame, key: str) -> tuple[DataFra
 
 
 def newest(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
-    """The n first rows of each group (W2, O9). Spark keeps n rows a group and task before the shuffle."""
+    """The n first rows of each group (W2, O1, O2, O9). Spark keeps n rows a group and task before the shuffle."""
     place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
     return df.withColumn(rank, place).filter(F.col(rank) <= n)
 

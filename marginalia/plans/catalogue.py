@@ -304,7 +304,7 @@ def overview_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(r"""SELECT conv_id, string_agg(text, E'\n\n' ORDER BY turn, text) AS text FROM conversations WHERE role = 'user' GROUP BY 1""")
 def thread_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A16, J18"""
+    """A16, J18, O7"""
     rows = read(spark, sf_dir, "conversations").filter("role = 'user'")
     parts = F.array_sort(F.collect_list(F.struct("turn", "text")))  # one thread at a time
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"))

@@ -24,7 +24,7 @@ def narrow(items: DataFrame) -> DataFrame:
 
 
 def growth(items: DataFrame) -> DataFrame:
-    """By month, with running totals; months without posts are absent."""
+    """By month, with running totals; months without posts are absent."""
     counts = items.groupBy("month").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("source") == "bookmark").alias("bm"), F.count_if(F.col("source") == "own_tweet").alias("own"))
     return running_totals(counts, "month", ["total", "bm", "own"]).withColumnRenamed("total", "new_total").select("month", "new_total", "cum_total", "cum_bm", "cum_own")
 
@@ -43,7 +43,7 @@ def topic_section(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def author_section(items: DataFrame) -> DataFrame:
-    """Bookmarked authors, the display name from their newest post."""
+    """Bookmarked authors, the display name from their newest post."""
     marked = items.filter("source = 'bookmark'")
     first = F.struct((-F.unix_micros("created_at")).alias("t"), F.col("id"))
     top = marked.groupBy("handle").agg(F.count(F.lit(1)).alias("n"), F.min_by("name", first).alias("name")).orderBy(F.desc("n"), "handle").limit(TOP_AUTHORS)

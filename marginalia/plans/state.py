@@ -50,7 +50,7 @@ def fetch_urls(urls: DataFrame, fetch: Fetcher) -> DataFrame:
 
 
 def fetch_pending(items: DataFrame, fetch: Fetcher, as_of: Column, force: bool = False) -> DataFrame:
-    """Items with their external sources rebuilt where due (M2): the filter comes before the fetch, and a URL is fetched once."""
+    """Items with their external sources rebuilt where due (M2), as_of being the clock (E7): the filter comes before the fetch, and a URL is fetched once."""
     due = P.fetch_candidate(F.col("links")) & P.should_refetch(F.col("content"), force)
     links = items.filter(due).select("id", F.posexplode("links").alias("pos", "link")).filter(~is_network_url(F.col("link.url"))).select("id", "pos", F.col("link.url").alias("url"))
     found = links.join(fetch_urls(links, fetch), "url")

@@ -43,7 +43,7 @@ def _image(info: Any) -> str | None:
 
 
 def parse_article(body: str) -> tuple[str | None, list[dict], int, int] | None:
-    """(title, blocks, media entries seen, blocks dropped); null leads to the plain text instead."""
+    """(title, blocks, media entries seen, blocks dropped); null leads to the plain text instead."""
     try:
         found = _find(json.loads(body))
     except (TypeError, ValueError):

@@ -22,7 +22,7 @@ def require_tools(*names: str) -> None:
 
 
 def call_each(df: DataFrame, key: str, argument: str, function: Callable[[str], dict], fields: str) -> DataFrame:
-    """(key, fields, error) for each distinct key (E1-E6, S13-S20): function gets the argument and returns the fields."""
+    """(key, fields, error) for each distinct key (E1-E6, S13-S20, X19, B12, B16, B17): function gets the argument and returns the fields."""
     names = [f.strip().split()[0] for f in fields.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,7 +62,7 @@ def first_json_object(reply: str) -> dict | None:
 
 
 def digest_videos(items: DataFrame, transcribe: Callable[[str], dict]) -> DataFrame:
-    """One transcript for each video, fanned out to all items that show it (M5, A26, J3). items: id, video_key, url."""
+    """One transcript for each video, fanned out to all items that show it (C11, M5, A26, J3). items: id, video_key, url."""
     spoken = call_each(items, "video_key", "url", transcribe, "text string, language string, has_speech boolean")
     return items.select("id", "video_key").distinct().join(spoken, "video_key")
 

@@ -63,7 +63,7 @@ def write_version(df: DataFrame, root: str, label: str) -> str:
 
 
 def read_manifests(spark: SparkSession, paths: str) -> DataFrame:
-    """Newest first; what can't be read is kept with nulls, last."""
+    """Newest first; what can't be read is kept with nulls, last."""
     read = spark.read.schema("created_at TIMESTAMP, command STRING, item_count INT, topic_count INT, vocab_size INT").option("mode", "PERMISSIVE").json(paths)
     return read.orderBy(F.desc_nulls_last("created_at"))
 

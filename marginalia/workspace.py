@@ -42,6 +42,7 @@ class Settings:
 
     @staticmethod
     def parse(text: str) -> Settings:
+        """(S6, S5, V7)"""
         found = tomllib.loads(text)
         unknown = set(found) - {f.name for f in fields(Settings)}
         if unknown:
@@ -111,7 +112,7 @@ class Workspace:
         return sorted(json.loads(self._read_text("snapshots.json") or "[]"), key=lambda s: s["name"], reverse=True)
 
     def snapshot(self, command: str) -> str:
-        """Pointers and counts; if it fails, so does the verb that wanted it."""
+        """Pointers and counts; if it fails, so does the verb that wanted it."""
         name = f"{datetime.now(UTC).strftime('%Y%m%dT%H%M%S%f')[:-3]}-{command}"
         entry = {"name": name, "command": command, "pointers": self.pointers(), "counts": {t: self.table(t).count() for t in ("items", "vocab", "pages")}}
         self._write_text("snapshots.json", json.dumps([entry, *self.snapshots()]))
@@ -137,7 +138,7 @@ class Workspace:
     # --- capture (C2, C3, C6) --------------------------------------------------------------------------------------------------
 
     def extract(self, captured: DataFrame, source: str, as_of: Column, complete: bool = True) -> int:
-        """Insert-if-absent of captured items, and the cursor if there were any; a truncated capture saves nothing."""
+        """Insert-if-absent of captured items, and the cursor if there were any; a truncated capture saves nothing."""
         P.in_scope(F.lit(source), "all")
         if not complete:
             raise RuntimeError("the capture was cut short; nothing is saved")
@@ -163,7 +164,7 @@ class Workspace:
         return self.extract(rows.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape]), "own_tweet", as_of)
 
     def refresh_media(self, fresh: DataFrame, force: bool = False) -> dict[str, int]:
-        """Pending videos get their streams; nothing seen again on a store that isn't empty is an error (M13, J3, J5). fresh: id, media."""
+        """Pending videos get their streams; nothing seen again on a store that isn't empty is an error (C6, M13, J3, J5). fresh: id, media."""
         items = self.table("items")
         again = first_seen(fresh.withColumn("seq", F.monotonically_increasing_id()) if "seq" not in fresh.columns else fresh, ["id"], [F.col("seq")]).select("id", F.filter("media", lambda m: m["kind"] == "video_pending").alias("fresh"))
         seen, total = items.join(again, "id", "left_semi").count(), items.count()

@@ -40,6 +40,7 @@ def test_text_functions(spark):
 def test_url_and_media_functions(spark):
     assert value(spark, S.canonical_url_key(lit("http://Twitter.com/i/article/9/?a=1#x"))) == "x.com/i/article/9"
     assert value(spark, S.url_class(lit("https://x.com/i/article/1/status/2"))) == "article" and value(spark, S.status_id(lit("https://x.com/u/status/42"))) == "42"
+    assert value(spark, S.with_query(lit("http://a/b.jpg?x=1&name=small&y=2"), "name", "orig")) == "http://a/b.jpg?x=1&name=orig&y=2" and value(spark, S.with_query(lit("http://a/b"), "name", "orig")) == "http://a/b?name=orig"
     assert value(spark, S.video_key(lit("https://video.twimg.com/ext_tw_video/12/pu/v.mp4"))) == "ext_tw_video/12" and value(spark, S.video_key(lit("https://V.com/a/b"))) == "v.com/a/b"
     assert value(spark, S.video_class(lit("http://a/b.m3u8"), lit("p"))) == "hls" and value(spark, S.video_class(lit("p"), lit("p"))) == "poster"
     assert value(spark, S.estimated_bytes(lit(2_000_000), lit(3_600_000))) == 900_000_000 and value(spark, S.estimated_bytes(lit(0), lit(5))) is None
