@@ -21,7 +21,7 @@ from marginalia.functions import predicates as P
 from marginalia.functions import scalars as S
 from marginalia.operators.relational import first_seen, insert_if_absent, known_and_new
 from marginalia.plans import dashboard, diff, render, state, topics
-from marginalia.sources import tables
+from marginalia.sources import external, tables
 
 TABLES = {"items": schema.ITEM, "vocab": schema.VOCAB, "pages": schema.TOPIC_PAGE, "cursors": "source STRING, last_seen_id STRING, last_run TIMESTAMP"}
 #: Fixed value: what a topic's slug looks like.
@@ -205,6 +205,27 @@ class Workspace:
         self.publish(items=joined.drop("said"))
         return judgments.join(photos, ["item_id", "index"], "left_anti")
 
+    def download(self, get: Callable[[str], dict], as_of: Column, kind: str = "photo", force: bool = False, limit: int | None = None) -> DataFrame:
+        """Photos or videos that are due, by id and position up to a limit, each URL once (C5, C8, M7, M8, T8, T10). Returns the report.
+
+        get runs on the executors: url -> local_path, bytes_size, width, height, reason (null if all went well).
+        """
+        if kind not in ("photo", "video"):
+            raise ValueError("kind must be photo or video")
+        items = self.table("items")
+        eligible = P.photo_eligible if kind == "photo" else P.video_eligible
+        due = items.select("id", F.posexplode("media").alias("pos", "m")).filter(eligible(F.col("m"), force)).select("id", "pos", F.col("m.url").alias("url"))
+        due = due.orderBy("id", "pos").limit(limit) if limit is not None else due
+        got = external.call_each(due.withColumn("target", F.col("url")), "url", "target", get, "local_path string, bytes_size long, width int, height int, reason string")
+        got = got.withColumn("reason", F.when(F.col("error").isNotNull(), "unknown_error").otherwise(F.col("reason"))).withColumn("ok", F.col("reason").isNull())
+        outcome = F.struct("ok", "local_path", "bytes_size", "width", "height", "reason", F.col("error"))
+        done = due.join(got, "url").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", outcome))).alias("done"))
+        joined = items.join(done, "id", "left")
+        media = F.when(F.col("done").isNotNull(), F.transform("media", lambda m, i: state.media_outcome(m, F.try_element_at(F.col("done"), i), as_of))).otherwise(F.col("media"))
+        self.publish(items=joined.withColumn("media", media).drop("done"))
+        tried = self.table("items").select("id", F.posexplode("media").alias("pos", "m")).join(due.select("id", "pos"), ["id", "pos"])
+        return tried.groupBy(F.col("m.kind").alias("kind"), F.col("m.failure_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
     # --- judgments (C12, C13, C14) ------------------------------------------------------------------------------------------------
 
     def pending(self) -> DataFrame:

@@ -59,9 +59,19 @@ def test_descriptions_archives_and_settings(spark, tmp_path):
     ws.extract(store(spark, [item(1, media=[photo])]), "bookmark", at)
     lost = ws.describe(spark.createDataFrame([("1", 0, False, "a cat"), ("1", 5, False, "x"), ("1", 0, False, " ")], "item_id string, index int, is_decorative boolean, description string"), at)
     assert ws.table("items").first()["media"][0]["description"] == "a cat" and [r["index"] for r in lost.collect()] == [5]
+    ws.backfill(store(spark, [item(3, media=[{"kind": "photo_pending", "url": "good"}, {"kind": "photo_pending", "url": "bad"}]), item(4, media=[{"kind": "photo_pending", "url": "late"}])]))
+
+    def get(url):
+        if url == "bad":
+            raise OSError("gone")
+        return {"local_path": f"{url}.jpg", "bytes_size": 3, "width": 1, "height": 1}
+
+    assert {(r["kind"], r["reason"], r["n"]) for r in ws.download(get, at, limit=2).collect()} == {("photo_downloaded", None, 1), ("photo_failed", "unknown_error", 1)}
+    kinds = {(r["id"], m["url"]): (m["kind"], m["attempts"]) for r in ws.table("items").collect() for m in r["media"]}
+    assert kinds[("3", "bad")] == ("photo_failed", 1) and kinds[("4", "late")][0] == "photo_pending" and kinds[("1", "m")][0] == "photo_described"
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("data/tweets.js", 'x = [{"tweet": {"id_str": "5", "full_text": "old", "created_at": "Wed Oct 10 20:19:24 +0000 2018"}}]')
-    assert ws.import_archive(str(tmp_path / "a.zip"), "me", at) == 1 and ws.table("items").count() == 2
+    assert ws.import_archive(str(tmp_path / "a.zip"), "me", at) == 1 and ws.table("items").count() == 4
     assert Settings.parse('language = "es"').language == "es"
     for bad in ('language = "xx"', "nothing = 1"):
         with pytest.raises(ValueError):
