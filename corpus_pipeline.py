@@ -42,7 +42,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: never, once or twice."""
+    """Each document as often as the mix takes it: never, once or twice. Rows that share a doc_id go alike, as the one taken most."""
     taken = mix(docs).filter("copies > 0").select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     joined = docs.select(*COLUMNS).join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
