@@ -64,11 +64,11 @@ class Ids:
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [_PART.findall(t) for t in texts]
-        missing = set().union(*split) - self.known.keys()
+        missing = [w for w in set().union(*split) if w not in self.known]
         if missing:
             if len(self.known) + len(missing) > MOST_KNOWN:
                 self.known.clear()
-                missing = set().union(*split)
+                missing = list(set().union(*split))
             self.learn(sorted(missing))
         get = self.known.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
