@@ -37,7 +37,7 @@ from marginalia.llm.postings import ANSWERED, NULL_ID, POSTED, deal, documents_o
 
 WORDS, THRESHOLD = 5, 75
 GROUPS, LEAF, BLOCK, BROADCAST_ROWS = 64, 16, 256, 500_000
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 4_000_000
 _WORD = re.compile(WORD_PATTERN)
 _LOWER = str.maketrans(UPPER, LOWER)
 _MULTIPLIER, _FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

@@ -37,7 +37,7 @@ from marginalia.llm.postings import ANSWERED, NULL_ID, POSTED, deal, documents_o
 
 LENGTH, NAMED = 50, 32
 EXTRA = LENGTH - NAMED
-CHUNK_BYTES, SEGMENT = 3_000_000, 1 << 21
+CHUNK_BYTES, SEGMENT = 2_000_000, 1 << 20
 _ASKED_BITS = np.uint64(16)  # of a rank, the top 48 bits are asked about in the first step
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 _TOP = np.uint64(2**64 - 1)
