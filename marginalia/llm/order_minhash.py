@@ -5,7 +5,7 @@ each bin the PICKED smallest are selected, put back in text order, and the tuple
 stands for BINS independent permutations: same selection rule, one pass.) Two texts share a bin's value if they share its minimal
 k-mers in the same order, so moved passages count as changes, unlike in a plain MinHash.
 
-A k-mer is two words; texts of fewer than SHORT code points, or of hardly any spaces, use four code points.
+A k-mer is CHAR_K code points in every text, so that texts of any two sizes and scripts can be compared.
 
 Defined results: a null text is empty; an empty text has an empty fingerprint, and two of them have likeness 1. Positions from 2^24
 on count as 2^24 - 1 in the order of a tuple.
@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import let, settle, words_of
+from marginalia.llm.common import let, settle
 
-BINS_LOG2, PICKED, SHORT, CHARS_PER_WORD = 6, 2, 256, 64
-WORD_K, CHAR_K = 2, 4
+BINS_LOG2, PICKED, CHAR_K = 6, 2, 4
 PLACE_BITS = 24
 PLACE_MASK = (1 << PLACE_BITS) - 1
 VALUE_BITS = 24
@@ -28,12 +27,16 @@ VALUE_BITS = 24
 RANGE_ROWS, GROUP, BROADCAST_ROWS = 256, 4096, 500_000
 
 
-def _grams(units: Column, k: int) -> Column:
-    """Hashes of k units in a row; of all units where there are fewer."""
-    return let(
-        units,
-        lambda u: F.when(F.size(u) >= k, F.transform(F.sequence(F.lit(0), F.size(u) - k), lambda i: F.xxhash64(*[F.get(u, i + j) for j in range(k)]))).when(F.size(u) > 0, F.array(F.xxhash64(F.concat_ws("\x00", u)))).otherwise(F.array().cast("array<bigint>")),
-    )
+def _packed(text: Column) -> Column:
+    """(k-mer hash | place) of every CHAR_K code points in a row; of all of them where there are fewer."""
+
+    def of_bytes(b: Column) -> Column:  # four bytes a code point, so a k-mer is cut out without a search
+        n = F.floor(F.octet_length(b) / 4).cast("int")
+        kmer = lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * CHAR_K)))
+        all_of = F.transform(F.sequence(F.lit(0), n - CHAR_K), lambda i: kmer(i).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(F.least(i, F.lit(PLACE_MASK)).cast("long")))
+        return F.when(n >= CHAR_K, all_of).when(n > 0, F.array(F.xxhash64(b).bitwiseAND(F.lit(~PLACE_MASK)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.encode(text, "UTF-32"), of_bytes)
 
 
 def _bin(x: Column) -> Column:
@@ -45,10 +48,10 @@ def _numbered(packed: Column) -> Column:
 
     def with_starts(s: Column, starts: Column) -> Column:
         runs = F.flatten(F.transform(starts, lambda a, j: F.sequence(F.lit(0), F.coalesce(F.get(starts, j + 1), F.size(s)) - a - 1)))
-        return let(runs, lambda run: F.transform(s, lambda x, i: F.xxhash64(F.shiftright(x, PLACE_BITS), F.get(run, i)).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(x.bitwiseAND(F.lit(PLACE_MASK)))))
+        return let(runs, lambda run: F.zip_with(s, run, lambda x, r: F.xxhash64(F.shiftright(x, PLACE_BITS), r).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(x.bitwiseAND(F.lit(PLACE_MASK)))))
 
     def first_of_run(s: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.shiftright(F.get(s, i), PLACE_BITS) != F.shiftright(F.get(s, F.greatest(i - 1, F.lit(0))), PLACE_BITS)))
+        return F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.shiftrightunsigned(F.get(s, i).bitwiseXOR(F.get(s, i - 1)), PLACE_BITS) != 0))
 
     return let(packed, lambda s: let(first_of_run(s), lambda starts: with_starts(s, starts)))
 
@@ -71,18 +74,12 @@ def _tuples(picked: Column) -> Column:
 def sketch(text: Column) -> Column:
     """The bins' values as an array of int, in order of bins."""
 
-    def of_grams(g: Column) -> Column:
-        packed = F.sort_array(F.transform(g, lambda h, i: h.bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(F.least(i, F.lit(PLACE_MASK)).cast("long"))))
-        mixed = F.sort_array(_numbered(packed))
-        picked = let(mixed, lambda t: F.filter(t, lambda x, i: (i < PICKED) | (_bin(x) != _bin(F.get(t, F.greatest(i - PICKED, F.lit(0)))))))
+    def of_packed(g: Column) -> Column:
+        mixed = F.sort_array(_numbered(F.sort_array(g)))
+        picked = let(mixed, lambda t: F.filter(t, lambda x, i: F.coalesce(_bin(x.bitwiseXOR(F.get(t, i - PICKED))) != 0, F.lit(True))))
         return F.when(F.size(g) == 0, F.array().cast("array<int>")).otherwise(_tuples(picked))
 
-    def of_text(t: Column) -> Column:
-        by_word = lambda w: (F.length(t) >= SHORT) & (F.size(w) * CHARS_PER_WORD >= F.length(t))
-        grams = let(words_of(t), lambda w: F.when(by_word(w), _grams(w, WORD_K)).otherwise(_grams(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), CHAR_K)))
-        return let(grams, of_grams)
-
-    return let(F.coalesce(text, F.lit("")), of_text)
+    return let(_packed(F.coalesce(text, F.lit(""))), of_packed)
 
 
 def as_string(values: Column) -> Column:

@@ -234,6 +234,20 @@ def test_fingerprints_notice_order(spark):
     assert r[3]["near_next"] == 1 and r[1]["near_next"] < 0.9
 
 
+def test_fingerprints_compare_texts_on_both_sides_of_any_length(spark):
+    base = text(3, 60)
+    spaced, dense = "é" + base[:255], "".join(base[:330].split())
+    rows = [(1, base[:260], None), (2, base[:250], None), (3, spaced, None), (4, spaced[:255], None), (5, dense[:255], None), (6, dense[:240] + " " + dense[240:255] + " a b c d", None), (7, "日本語学" * 20, None), (8, "日本語学" * 20 + "x", None)]
+    r = {r["doc_id"]: r["near_next"] for r in fingerprints(documents(spark, rows)).collect()}
+    assert all(r[d] > 0.5 for d in (1, 3, 5, 7)), r
+
+
+def test_sketch_of_lone_and_few_code_points(spark):
+    rows = [(1, "a", None), (2, "a", None), (3, "abcd", None), (4, "abcd", None), (5, "\U0001f44dabc", None), (6, "\U0001f44dabc", None), (7, "aaaaaaaa", None), (8, "aaaaaaaa", None)]
+    r = {r["doc_id"]: r for r in fingerprints(documents(spark, rows)).collect()}
+    assert all(r[d]["near_next"] == 1 for d in (1, 3, 5, 7)) and all(r[d]["near_next"] == 0 for d in (2, 4, 6)) and len(r[1]["fingerprint"]) == 8
+
+
 def test_fingerprints_of_odd_tables(spark):
     assert fingerprints(documents(spark, [])).collect() == []
     assert len(fingerprints(documents(spark)).collect()) == len(corpus())
