@@ -67,8 +67,9 @@ def digest_videos(items: DataFrame, transcribe: Callable[[str], dict]) -> DataFr
     return items.select("id", "video_key").distinct().join(spoken, "video_key")
 
 
-def induce_vocabulary(items: DataFrame, propose: Callable[[list[str]], list[str]], consolidate: Callable[[list[str]], list[str]], chunk: int = 80) -> list[str]:
-    """Candidates from chunks of posts, then one consolidation (A32, E9). Distinct candidates are counted in Spark; the slugs are few."""
+def induce_vocabulary(items: DataFrame, propose: Callable[[list[str]], list[str]], consolidate: Callable[[list[str]], list[str]], chunk: int = 80, most: int = 1000) -> list[str]:
+    """Candidates from chunks of posts, then their consolidation (A32, E9). Distinct candidates are counted in Spark, and all are passed on,
+    the most frequent first. More than `most` are consolidated in parts of `most` first, in rounds, as long as that makes them fewer."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[str] = []
@@ -80,5 +81,11 @@ def induce_vocabulary(items: DataFrame, propose: Callable[[list[str]], list[str]
         if held:
             yield pd.DataFrame({"slug": propose(held)})
 
-    counted = items.select("text").mapInPandas(run, "slug string").groupBy("slug").count().orderBy(F.desc("count"), "slug").limit(1000)
-    return consolidate([r["slug"] for r in counted.collect()])
+    counted = items.select("text").mapInPandas(run, "slug string").groupBy("slug").count().orderBy(F.desc("count"), "slug")
+    slugs = [r["slug"] for r in counted.collect()]
+    while len(slugs) > most:
+        merged = list(dict.fromkeys(s for i in range(0, len(slugs), most) for s in consolidate(slugs[i : i + most])))
+        if len(merged) >= len(slugs):
+            break
+        slugs = merged
+    return consolidate(slugs)

@@ -38,3 +38,15 @@ def test_adapters(spark):
     assert external.first_json_object('say {not} then {"a": {"b": "}"}} end') == {"a": {"b": "}"}} and external.first_json_object("none [1]") is None
     texts = spark.createDataFrame([(f"t{i}",) for i in range(5)], "text string")
     assert external.induce_vocabulary(texts, lambda some: ["x", f"n{len(some)}"], sorted, chunk=2)[-1] == "x"
+
+
+def test_vocabulary_passes_on_more_candidates_than_one_call_takes(spark):
+    texts, sizes = spark.createDataFrame([(f"t{i}",) for i in range(1500)], "text string"), []
+
+    def consolidate(some):
+        sizes.append(len(some))
+        return [s for s in some if s.endswith("7")]
+
+    assert sorted(external.induce_vocabulary(texts, list, consolidate, chunk=80)) == sorted(f"t{i}" for i in range(1500) if i % 10 == 7)
+    assert max(sizes) <= 1000
+    assert len(external.induce_vocabulary(texts, list, list)) == 1500
