@@ -1,16 +1,17 @@
 """HTML extraction with site template removal.
 
 A page becomes a tree of elements. Every block subtree outside the article gets a hash of its tags, classes and text; Spark counts, for
-each host, on how many pages a hash occurs, and subtrees that recur across many pages of their host are deleted before the text is
-read. What a single page gives away is deleted too: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+each host, with how many different main texts a hash occurs, so that copies of a page count once, and subtrees that recur across many
+of them are deleted before the text is read. What a single page gives away is deleted too: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments, by element, role and class name. If an article (or main) element is left, its text is the text, else that of the body.
 
 Inside the article only containers may count as template, never paragraphs, headings or items, so that a sentence that many articles
-share stays; and a page whose whole text would go keeps it.
+share stays; a container that holds more than half of its article's text stays; and a page whose whole text would go keeps it.
 
-Templates of at most BROADCAST_HASHES hashes travel with the tasks; more meet the pages in a join by host and salt.
+Templates of at most BROADCAST_HASHES hashes travel with the tasks; more meet the pages in a join by
+host, hash and salt, and each page gets those that it has.
 
-Defined results: null html is empty and gives "", 0; a null url has host "". Repeated rows count as pages each. Broken markup is read
+Defined results: null html is empty and gives "", 0; a null url has host "". Repeated rows count once. Broken markup is read
 as browsers do in outline: unclosed elements end with their parent, stray end tags are ignored.
 """
 
@@ -29,8 +30,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from marginalia.llm.common import settle, text_batches
 from marginalia.llm.url_cascade import host_of
 
-#: A subtree is a template from this many pages of its host on, and from this share of them on.
-LEAST_PAGES, LEAST_SHARE = 3, 0.02
+#: A subtree is a template from this many main texts of its host on, and from this share of them or from ENOUGH_PAGES of them on.
+LEAST_PAGES, LEAST_SHARE, ENOUGH_PAGES = 3, 0.02, 20
 BROADCAST_HASHES, SALTS = 200_000, 64
 
 # Elements of HTML by what they mean here.
@@ -226,12 +227,21 @@ def _mains(root: Node, deleted: set[int]) -> list[Node]:
     return articles or mains
 
 
+def _holds_most(node: Node) -> bool:
+    """Whether an element inside an article has more than half of the text of the outermost one around it."""
+    around, at = node, node.parent
+    while at is not None:
+        around, at = (at if _is_main(at) else around), at.parent
+    whole, own = (sum(map(len, _blocks(n, set(), True))) for n in (around, node))
+    return 2 * own > whole
+
+
 def main_text(html: str, templates: set[int] | frozenset[int] = frozenset()) -> str:
     root = parse(html)
     deleted: set[int] = set()
     if templates:
         hashes = subtree_hashes(root)
-        deleted = {id(node) for node, _ in candidates(root) if hashes[id(node)] in templates}
+        deleted = {id(node) for node, in_main in candidates(root) if hashes[id(node)] in templates and not (in_main and _holds_most(node))}
 
     def read(gone: set[int]) -> list[str]:
         found = _mains(root, gone)
@@ -242,21 +252,44 @@ def main_text(html: str, templates: set[int] | frozenset[int] = frozenset()) ->
     return "\n".join(read(deleted) or (read(set()) if deleted else []))
 
 
-def find_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hash): subtrees on at least least_pages pages and least_share of the pages of their host, so at most an average page's subtrees / least_share for each host."""
+def find_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, enough_pages: int = ENOUGH_PAGES) -> DataFrame:
+    """(host, hash): subtrees with at least least_pages main texts of their host and least_share of them, of which enough_pages are always enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, found, texts = [], [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                some = template_hashes(html or "")
+                some = [None, *template_hashes(html or "")]  # None stands for the page itself
                 found.extend(some)
                 hosts.extend([host] * len(some))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "hash"])
+                texts.extend([xxhash.xxh3_64_intdigest(main_text(html or "")) - (1 << 63)] * len(some))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(texts, pa.int64())], ["host", "hash", "main"])
+
+    counts = settle(pages.select("host", "html").mapInArrow(run, "host string, hash long, main long").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.filter("hash is null").select("host", F.col("n").alias("pages"))
+    least = F.least(F.lit(least_share) * F.col("pages"), F.lit(enough_pages))
+    return counts.filter(F.col("hash").isNotNull() & (F.col("n") >= least_pages)).join(totals, "host").filter(F.col("n") >= least).select("host", "hash")
+
+
+def _own_templates(rows: DataFrame, templates: DataFrame) -> DataFrame:
+    """rows with templates: those of the host that occur on a page of this page_id and url."""
+    rows = rows.withColumn("_key", F.xxhash64("page_id", "url"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hosts, found = [], [], []
+            for page, host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                some = template_hashes(html or "")
+                ids.extend([page] * len(some))
+                hosts.extend([host] * len(some))
+                found.extend(some)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["_key", "host", "hash"])
 
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = pages.select("host", "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
-    return seen.join(totals, "host").filter(F.col("n") >= least_share * F.col("pages")).select("host", "hash")
+    seen = rows.select("_key", "host", "html").mapInArrow(run, "_key long, host string, hash long")
+    seen = seen.withColumn("salt", F.pmod("_key", F.lit(SALTS)).cast("int"))
+    salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = seen.join(salted, ["host", "hash", "salt"]).groupBy("_key", "host").agg(F.collect_set("hash").alias("templates"))
+    return rows.join(own, ["_key", "host"], "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -270,9 +303,7 @@ def extract(pages: DataFrame) -> DataFrame:
             known.setdefault(row["host"], set()).add(row["hash"])
         rows = rows.withColumn("templates", F.lit(None).cast("array<bigint>"))
     else:
-        by_host = templates.groupBy("host").agg(F.collect_list("hash").alias("templates"))
-        salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+        rows = _own_templates(rows, templates)
     rows = rows.select("page_id", "url", "host", "html", "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,6 +53,25 @@ def test_many_templates_meet_their_pages_in_a_join(spark, monkeypatch):
     assert {r["text"] for r in template_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {f"Own {i}" for i in range(5)}
 
 
+def test_copies_of_a_page_are_no_templates(spark):
+    page = lambda i, nav="": f"<body>{nav}<article><h1>Head {i}</h1><div>Body of article {i}.</div></article></body>"
+    rows = [(i, f"http://one.example/1?page={i}", page(1, f"<p>Print {i}</p>")) for i in range(4)] + [(10, "http://one.example/2", page(2))]
+    out = template_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == ("Head 2\nBody of article 2." if r["page_id"] == 10 else "Head 1\nBody of article 1.") for r in out)
+
+
+def test_twenty_pages_are_enough_on_a_host_of_any_size(spark):
+    box = "<div><p>Boxed words</p></div>"
+    rows = [(i, f"http://one.example/{i}", f"<body>{box if i < 25 else ''}<section><p>Own {i}</p></section></body>") for i in range(1500)]
+    out = template_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in out} == {f"Own {i}" for i in range(1500)}
+
+
+def test_a_container_with_most_of_the_article_stays():
+    html = "<article><h1>Head</h1><div><p>The whole long body.</p></div><ul><li>Box</li></ul></article>"
+    assert template_html.main_text(html, template_html.template_hashes(html)) == "Head\nThe whole long body."
+
+
 # --- op2 ----------------------------------------------------------------------------------------------------------------------------
 
 
