@@ -3,7 +3,8 @@
 A page becomes a tree of elements. Every block subtree outside the article gets a hash of its tags, classes and text; Spark counts, for
 each host, with how many different main texts a hash occurs, so that copies of a page count once, and subtrees that recur across many
 of them are deleted before the text is read. What a single page gives away is deleted too: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments, by element, role and class name. If an article (or main) element is left, its text is the text, else that of the body.
+comments, by element, role and class name. If article or main elements are left, their text in page order is the text, else that of the
+body.
 
 Inside the article only containers may count as template, never paragraphs, headings or items, so that a sentence that many articles
 share stays; a container that holds more than half of its article's text stays; and a page whose whole text would go keeps it.
@@ -212,19 +213,17 @@ def _blocks(node: Node, deleted: set[int], in_main: bool = False) -> list[str]:
 
 
 def _mains(root: Node, deleted: set[int]) -> list[Node]:
-    """Outermost articles, or main elements where no article is left."""
-    articles, mains, todo = [], [], [(root, False)]
+    """Outermost articles and main elements, in page order."""
+    found, todo = [], [(root, False)]
     while todo:
         node, main = todo.pop()
         if node is not root and (id(node) in deleted or is_noise(node, main)):
             continue
-        if node.tag == "article":
-            articles.append(node)
-            continue
         if _is_main(node):
-            mains.append(node)
-        todo.extend((c, main or _is_main(node)) for c in node.children if isinstance(c, Node))
-    return articles or mains
+            found.append(node)
+            continue
+        todo.extend((c, main) for c in reversed(node.children) if isinstance(c, Node))
+    return found
 
 
 def _holds_most(node: Node) -> bool:
@@ -247,7 +246,7 @@ def main_text(html: str, templates: set[int] | frozenset[int] = frozenset()) ->
         found = _mains(root, gone)
         if not found:
             return _blocks(root, gone)
-        return max((_blocks(m, gone, True) for m in found), key=lambda blocks: sum(map(len, blocks)))
+        return [block for m in found for block in _blocks(m, gone, True)]
 
     return "\n".join(read(deleted) or (read(set()) if deleted else []))
 

@@ -72,6 +72,11 @@ def test_a_container_with_most_of_the_article_stays():
     assert template_html.main_text(html, template_html.template_hashes(html)) == "Head\nThe whole long body."
 
 
+def test_all_articles_and_the_text_of_main_are_read():
+    html = "<body><p>Out</p><article><p>One.</p></article><article><p>The second one.</p></article><main><p>Lead.</p><article><p>Third.</p></article></main></body>"
+    assert template_html.main_text(html) == "One.\nThe second one.\nLead.\nThird."
+
+
 # --- op2 ----------------------------------------------------------------------------------------------------------------------------
 
 
