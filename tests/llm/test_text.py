@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -76,6 +77,47 @@ def test_all_articles_and_the_text_of_main_are_read():
     html = "<body><p>Out</p><article><p>One.</p></article><article><p>The second one.</p></article><main><p>Lead.</p><article><p>Third.</p></article></main></body>"
     assert template_html.main_text(html) == "One.\nThe second one.\nLead.\nThird."
 
+def test_scripts_class_names_and_depth_do_not_cost_text():
+    read = template_html.main_text
+    assert read('<script>var a = "<!--";</script><style>a{content:"<!--"}</style><article><p>one</p></article>') == "one"
+    assert read("<script>if(i<n){// don't}</script><p>It's the text</p><p title=don't>two</p>") == "It's the text\ntwo"
+    assert read('<article><div class="post-with-ad-free-promo"><p>body</p></div></article>') == "body"
+    assert read('<article class="entry search-friendly"><p>body</p></article>') == "body"
+    assert read("<h1>Site</h1><h1>Head</h1><article><p>body</p></article>") == "Head\nbody" and read("<h1>Site</h1><article><h1>Head</h1></article>") == "Head"
+    assert read("<main><p>hi</p></main><div class='comments-list'><article><p>c</p></article></div><div id=siteFooter>f</div>") == "hi"
+    assert read("<div class=widget><h1>Head</h1></div><form><article><p>x</p></article></form>") == "Head\nx"
+    for html in ("<div>" * 100_000 + "deep", "<b>" * 100_000 + "deep" + "</i>" * 100_000, "<td><div>" * 50_000 + "deep"):
+        assert read(html, {1}) == "deep" and (template_html.template_hashes(html) or "<b>" in html)
+
+
+def test_a_very_long_page_is_read_whole():
+    assert template_html.main_text("<div>" * 300 + "<p>para  graph</p>" * 200_000).count("para graph") == 200_000
+
+
+def test_recurrence_decides_where_elements_and_names_say_nothing(spark):
+    """Brute force: generated pages of plain div elements, whose own blocks are known; menus differ in their links from page to page."""
+    rng, rows, own = random.Random(5), [], {}
+    for i in range(240):
+        host = f"h{i % 3}.example"
+        links = "".join(f"<li><a href='/{rng.random()}'>{text(rng.randrange(10**6), 1)}</a></li>" for _ in range(rng.randrange(3, 9)))
+        blocks = [text(1000 * i + j, rng.randrange(3, 40)) for j in range(rng.randrange(1, 6))]
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        box = f"<div><b>{host}</b> box {rng.randrange(4)}</div>"
+        rows.append((i, f"http://{host}/{i}", f"<body><div>Welcome to {host}</div><div><ul>{links}</ul></div>{box}<div>{body}</div><div><p>Imprint of {host}</p></div></body>"))
+        own[i] = "\n".join(blocks)
+    out = {r["page_id"]: r["text"] for r in template_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == own
+    assert all(template_html.main_text(h) != own[i] for i, _, h in rows)
+
+
+def test_templates_change_the_driver_like_pages_without_article_and_names(spark):
+    def page(i):
+        return f"<body><div><ul><li><a href='/{i}'>w{i}</a></li><li><a href='/x'>v{i % 7}</a></li></ul></div><div><h1>Head {i}</h1><p>{text(i, 30)}</p></div><div>&copy; host</div></body>"
+
+    rows = [(i, f"http://one.example/{i}", page(i)) for i in range(40)]
+    out = template_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == {i: f"Head {i}\n{text(i, 30)}" for i in range(40)}
+
 
 # --- op2 ----------------------------------------------------------------------------------------------------------------------------
 
