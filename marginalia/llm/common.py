@@ -19,10 +19,13 @@ TEXT_BATCH = 256
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is set."""
+    """The shared folder of the cluster, spark.checkpoint.dir; where none is set, one of our own in local mode and an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marginalia-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marginalia-"))
     return context.getCheckpointDir()
 
 
@@ -47,6 +50,11 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH))
 
 
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for broadcast if it has at most `most` rows; df is counted, so it should be stored."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -14,7 +14,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """links: (a, b) of long. (node, part): part is the smallest node of the component.
 
     Alternates large-star (every node sends its larger neighbours to its smallest one) and small-star (the same for smaller neighbours)
-    until nothing changes; the number of rounds grows with the logarithm of the diameter, and no row ever holds a neighbourhood.
+    until nothing changes; the number of rounds grows with the logarithm of the diameter, and no row ever holds a neighbourhood. It is
+    an error if MOST_ROUNDS don't suffice.
     """
     edges = settle(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -29,5 +30,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components still change after {MOST_ROUNDS} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("part"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("part"))).groupBy("node").agg(F.min("part").alias("part"))

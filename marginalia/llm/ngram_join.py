@@ -3,19 +3,24 @@
 Candidates. (1) A text can only have a partner if that share of its own shingles also occurs in other texts, which one exchange of postings
 settles for every text; most texts end here. (2) Texts with equal sets are one set from now on. (3) In each remaining set the
 shingles that occur in no other set come first, then the rare ones; a partner must share one of the first n - ceil(share * n) + 1,
-so only those are posted, and a pair counts at the first they share. (4) Each posted shingle's sets first meet one hub, the earliest of them; pairs that pass are links.
+so only those are posted.
 
-Index. Shingles are hashed into GROUPS groups, and the counts of a set are its point. Where a shingle's sets are still in several
-components, their points go into an R-tree (bulk loaded, boxes with maxima): the overlap of a set with anything in a box is at
-most the sum of the smaller coordinates of point and upper corner, and must reach 3/7 of both sizes (for 75 %), so boxes and then points are
-skipped. Surviving pairs of different components are verified on the sets themselves.
+Index. Shingles are hashed into GROUPS groups, and the counts of a set are its point. The sets of a posted shingle go into an R-tree
+(bulk loaded, boxes with maxima): the overlap of a set with anything in a box is at most the sum of the smaller coordinates of point and
+upper corner, and must reach 3/7 of both sizes (for 75 %), so boxes and then points are skipped. All candidates come from these trees, in two searches: first
+each tree is asked for the partners of its earliest set, its hub; then, where a shingle's sets still belong to several components, for
+the partners of each set in other components. Surviving pairs are verified on the sets themselves. What is posted has a fixed size: of the posted
+shingles before it a set carries MINIMA minima, and a pair with an equal one was made before.
 
-No pairs inside one component are made after the hubs, and a shingle with many sets is cut into pairs of blocks of BLOCK, so a hot group stays
-small in every task. Shingles count as equal by 64-bit hash, sets by 64-bit hash of all their shingles.
+Links inside a component are counted, not written: its sets are cut into blocks, and pairs of blocks intersect their sets in a task that
+returns sums. Shingles and components with many sets are cut into size classes (partners are in the same or the next one) and these into blocks by hash,
+so no task holds a hot group.
+
+Shingles count as equal by 64-bit hash, sets by 64-bit hash of all their shingles.
 
 Defined results: a null, empty or wordless text has no shingles, links with nothing and is its own component. Rows with equal text
-are linked whatever their doc_id. Rows without a doc_id join the component of an equal set that has one, and else are on their own with
-a null component.
+are linked whatever their doc_id. Rows without a doc_id join the component of an equal set that has one, and else are linked with equal sets alone and
+have a null component. The smallest long as doc_id counts as none. Without rows there is no result. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,12 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import blobs
-from marginalia.llm.common import LOWER, UPPER, WORD_PATTERN, settle, shuffle_width, stored, text_batches
+from marginalia.llm.common import LOWER, UPPER, WORD_PATTERN, broadcast_if_small, settle, shuffle_width, stored, text_batches
 from marginalia.llm.components import connected_components
 from marginalia.llm.postings import ANSWERED, NULL_ID, POSTED, deal, documents_of, frequencies, groups_of, merge_answers, post, posted_batch, shared_only
 
 WORDS, THRESHOLD = 5, 75
-GROUPS, LEAF, BLOCK, BROADCAST_ROWS = 64, 16, 256, 500_000
+GROUPS, LEAF, BROADCAST_ROWS = 64, 16, 500_000
+#: Sets of one shingle in a block, shingles of all sets in a block of a component, pairs of one set in a task, running minima of a posting.
+BLOCK, BLOCK_SHINGLES, FAN, MINIMA = 4096, 1_000_000, 4096, 4
+SALTS = 16
 CHUNK_CHARS = 4_000_000
 _WORD = re.compile(WORD_PATTERN)
 _LOWER = str.maketrans(UPPER, LOWER)
@@ -150,13 +158,18 @@ def candidate_sets(documents: DataFrame, alive: DataFrame, words: int = WORDS) -
                 ["sid", "doc_id", "n", "shingles", "counts"],
             )
 
-    small = alive.count() <= BROADCAST_ROWS
-    ids = alive.select("doc_id")
-    return _rows_of(documents).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").mapInArrow(run, SETS)
+    ids = broadcast_if_small(alive.select("doc_id"), BROADCAST_ROWS)
+    return _rows_of(documents).join(ids, "doc_id", "left_semi").mapInArrow(run, SETS)
+
+
+POSTINGS = "token long, sid long, doc_id long, n long, behind long, minima binary"
 
 
-def prefixes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(sid, doc_id, n, own, tokens): the shingles of each set of which a partner must have one, in order, but for the first `own`, which no other set has."""
+def postings_of(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """A row for each shingle of a set of which a partner must have one, but for those that no other set has.
+
+    behind: how many shingles of the set come from this one on; minima: of the posted ones before it, the least by MINIMA hashes.
+    """
     buckets = shuffle_width(sets.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,24 +188,37 @@ def prefixes(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             own = docs[:, 2] - have
             take = np.clip(docs[:, 2] - (-(-threshold * docs[:, 2] // 100)) + 1 - own, 0, have)
             place = np.arange(len(doc)) - (np.cumsum(have) - have)[doc]
-            tokens = np.split(h[place < take[doc]].view(np.int64), np.cumsum(take)[:-1])
-            some = np.flatnonzero(take)
-            yield pa.RecordBatch.from_arrays([*(pa.array(docs[some, i]) for i in range(3)), pa.array(own[some]), pa.array([tokens[i] for i in some], pa.list_(pa.int64()))], ["sid", "doc_id", "n", "own", "tokens"])
+            some = place < take[doc]
+            h, doc, place = h[some], doc[some], place[some]
+            least = np.full((len(h), MINIMA), np.iinfo(np.uint64).max, np.uint64)
+            for d, at in zip(np.flatnonzero(take).tolist(), np.flatnonzero(place == 0).tolist(), strict=True):
+                for j in range(MINIMA if take[d] > 1 else 0):
+                    least[at + 1 : at + take[d], j] = np.minimum.accumulate(_finish(h[at : at + take[d] - 1] + np.uint64(j)))
+            columns = [pa.array(x) for x in (h.view(np.int64), *(docs[doc, i] for i in range(3)), docs[doc, 2] - own[doc] - place)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in least], pa.binary())], ["token", "sid", "doc_id", "n", "behind", "minima"])
 
     posted = deal(sets.mapInArrow(run, POSTED), "bucket", buckets).mapInArrow(shared_only, ANSWERED)
-    return deal(posted, "key", buckets).mapInArrow(choose, "sid long, doc_id long, n long, own long, tokens array<bigint>")
+    return deal(posted, "key", buckets).mapInArrow(choose, POSTINGS)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b, ok) for distinct pairs of set ids."""
+    """(a, b, ok) for distinct pairs of set ids. A set with many pairs meets them in several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    first, second = (sets.select(F.col("sid").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("a", "b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, ok boolean").groupBy("a", "b").agg(F.first("ok").alias("ok"))
+    for side in ("a", "b"):
+        hot = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias(f"fan_{side}")).filter(f"fan_{side} > 1")
+        hot = broadcast_if_small(settle(hot), BROADCAST_ROWS)  # at most pairs / FAN rows
+        other = "b" if side == "a" else "a"
+        fan = F.coalesce(F.col(f"fan_{side}"), F.lit(1))
+        pairs = pairs.join(hot, side, "left").withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), fan).cast("int")).drop(f"fan_{side}")
+        copies = sets.select(F.col("sid").alias(side), F.col("shingles").alias(f"set_{side}")).join(hot, side, "left")
+        copies = copies.withColumn(f"salt_{side}", F.explode(F.sequence(F.lit(0), fan - 1))).drop(f"fan_{side}")
+        pairs = pairs.join(copies, [side, f"salt_{side}"]).drop(f"salt_{side}")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, ok boolean")
 
 
 # --- the R-tree -----------------------------------------------------------------------------------------------------------------
@@ -228,86 +254,199 @@ class CountTree:
         return self.order[nodes[(bound >= least_overlap(n, size, threshold)) & (threshold * n <= 100 * size) & (100 * n >= threshold * size)]]
 
 
-def _group_pairs(rows: list[tuple], pair: tuple[int, int], threshold: int) -> Iterator[tuple[int, int]]:
-    """Pairs of different components, one from each block (or both from one block where the blocks are the same).
+def _points(rows: list[tuple], place: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[place] for r in rows), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal first columns, from batches that are sorted by them."""
+    name, group = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != name:
+                if group:
+                    yield name, group
+                name, group = row[:keys], []
+            group.append(row[keys:])
+    if group:
+        yield name, group
+
+
+def _pair_rows(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+
+
+def hub_pairs(posted: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """posted: (token, sid, doc_id, n, counts). Pairs of the earliest set of each shingle with those of its others that the trees leave."""
+    hub = F.min(F.struct("doc_id", "sid", "n", "counts")).alias("hub")
+    hubs = posted.groupBy("token").agg(hub, F.count(F.lit(1)).alias("m")).filter("m > 1")
+    hubs = hubs.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    hubs = hubs.select("token", "block", "blocks", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.counts").alias("hub_counts"))
+    hot = broadcast_if_small(settle(hubs.filter("blocks > 1 and block = 0").select("token", "blocks")), BROADCAST_ROWS)  # at most postings / BLOCK rows
+    dealt = posted.join(hot, "token", "left").withColumn("block", F.pmod(F.xxhash64("sid"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    rows = dealt.join(hubs.drop("blocks"), ["token", "block"]).select("token", "block", "sid", "n", "counts", "hub", "hub_n", "hub_counts")
 
-    rows: block, sid, part, n, own, place, tokens, counts of the sets of one token. A pair comes at its first common token only, so once
-    in all, and only if what lies behind that token in both sets can still be overlap enough.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for _, group in _groups(batches, 2):
+            sid, hub = group[0][0], group[0][3]
+            if len(group) == 1 and sid == hub:
+                continue
+            tree = CountTree(_points(group, 2), np.array([r[1] for r in group]))
+            near = tree.search(_points(group[:1], 5)[0], group[0][4], threshold)
+            found.update((min(group[i][0], hub), max(group[i][0], hub)) for i in near.tolist() if group[i][0] != hub)
+            if len(found) > 100_000:
+                yield _pair_rows(found)
+                found = set()
+        yield _pair_rows(found)
+
+    return rows.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(run, "a long, b long").distinct()
+
+
+def _dealt(rows: DataFrame, key: str, weight: str, most: int) -> DataFrame:
+    """rows with i and j, a pair of blocks of their key, for each pair that they belong to, and mine, their own block.
+
+    Keys of more than `most` weight are cut into classes of size n (partners are in the same or the next class), and these by hash into blocks; a
+    block is numbered class * 2^32 + hash. Other keys are one block.
     """
-    blocks, sids, parts, sizes, own, places, tokens, counts = zip(*rows, strict=True)
-    if len(set(parts)) < 2:
-        return
-    points = np.stack([np.frombuffer(c, np.uint32) for c in counts]).astype(np.int64)
-    n, behind = np.array(sizes), np.array(sizes) - np.array(own) - np.array(places)
-    before = [frozenset(t[:p]) for t, p in zip(tokens, places, strict=True)]
-    side = np.flatnonzero(np.array(blocks) == pair[1])
-    if not len(side):
-        return
-    tree = CountTree(points[side], n[side])
-    for i in np.flatnonzero(np.array(blocks) == pair[0]).tolist():
-        near = side[tree.search(points[i], sizes[i], threshold)]
-        near = near[np.minimum(behind[near], behind[i]) >= least_overlap(n[near], sizes[i], threshold)]
-        for j in near.tolist():
-            if parts[i] != parts[j] and (pair[0] != pair[1] or sids[i] < sids[j]) and before[i].isdisjoint(before[j]):
-                yield min(sids[i], sids[j]), max(sids[i], sids[j])
+    of_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / THRESHOLD)) * 0.999999).cast("long")
+    sized = rows.withColumn("class", of_class)
+    totals = sized.groupBy(key, "class").agg(F.sum(weight).alias("w"))
+    cut = totals.groupBy(key).agg(F.sum("w").alias("w"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("w") / most).cast("long").alias("k")))).alias("k"))  # a class for each third of size
+    cut = broadcast_if_small(settle(cut.filter(F.col("w") > most).select(key, "k")), BROADCAST_ROWS // 8)
+    joined = sized.join(cut, key, "left")
+    k = lambda c: F.coalesce(F.try_element_at("k", c), F.lit(0).cast("long"))
+    number = lambda c, i: F.shiftleft(c, 32) + i
+    c = F.col("class")
+    mine = F.when(F.col("k").isNull(), F.lit(0).cast("long")).otherwise(number(c, F.pmod(F.xxhash64("sid"), F.greatest(k(c), F.lit(1).cast("long")))))
+    near = lambda at: F.transform(F.filter(F.sequence(F.lit(0).cast("long"), k(at)), lambda i: i < k(at)), lambda i: number(at, i))
+    others = F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.concat(near(c - 1), near(c), near(c + 1)))
+    out = joined.withColumn("mine", mine).withColumn("other", F.explode(others))
+    return out.select(*rows.columns, "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
 
 def cross_pairs(posted: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """posted: (token, sid, part, n, own, place, tokens, counts, blocks). Pairs (a, b) of sets in different components that a shared token and the tree leave."""
-    buckets = shuffle_width(posted.sparkSession)
-    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    dealt = posted.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "part", "n", "own", "place", "tokens", "counts")
+    """posted: (token, sid, part, n, behind, minima, counts). Pairs (a, b) of sets in different components that a shared shingle and the tree leave."""
+
+    def pairs_of(pair: tuple[int, int], group: list[tuple]) -> Iterator[tuple[int, int]]:
+        blocks, sids, parts, sizes, behind, minima, _ = zip(*group, strict=True)
+        blocks, parts, n, behind = np.array(blocks), np.array(parts), np.array(sizes), np.array(behind)
+        side, points = np.flatnonzero(blocks == pair[1]), _points(group, 6)
+        if not len(side) or len(np.unique(parts)) < 2:
+            return
+        least = np.frombuffer(b"".join(minima), np.uint64).reshape(-1, MINIMA)
+        top, tree = np.iinfo(np.uint64).max, CountTree(points[side], n[side])
+        for i in np.flatnonzero(blocks == pair[0]).tolist():
+            near = side[tree.search(points[i], sizes[i], threshold)]
+            near = near[(parts[near] != parts[i]) & (np.minimum(behind[near], behind[i]) >= least_overlap(n[near], sizes[i], threshold))]
+            near = near[~((least[near] == least[i]) & (least[i] != top)).any(1)]
+            for j in near.tolist():
+                if pair[0] != pair[1] or sids[i] < sids[j]:
+                    yield min(sids[i], sids[j]), max(sids[i], sids[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, group, found = None, [], []
-        for batch in batches:
-            for token, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (token, i, j) != name:
-                    if len(group) > 1:
-                        found.extend(_group_pairs(group, name[1:], threshold))
-                    name, group = (token, i, j), []
-                group.append(tuple(rest))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
-            found = []
-        if len(group) > 1:
-            found.extend(_group_pairs(group, name[1:], threshold))
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+        found: set[tuple[int, int]] = set()
+        for (_, i, j), group in _groups(batches, 3):
+            for p in pairs_of((i, j), group):
+                found.add(p)
+                if len(found) > 100_000:
+                    yield _pair_rows(found)
+                    found = set()
+        yield _pair_rows(found)
 
-    return dealt.repartition(buckets, "token", "i", "j").sortWithinPartitions("token", "i", "j", "sid").mapInArrow(run, "a long, b long").distinct()
+    dealt = _dealt(posted.withColumn("one", F.lit(1).cast("long")), "token", "one", BLOCK).select("token", "i", "j", "mine", "sid", "part", "n", "behind", "minima", "counts")
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "sid").mapInArrow(run, "a long, b long").distinct()
 
 
 def set_links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): links between set ids that give the right components."""
-    lists = stored(prefixes(sets, threshold))
-    posted = lists.select("sid", "doc_id", "n", F.posexplode("tokens").alias("place", "token"))
-    hub = F.min(F.struct("doc_id", "sid", "n")).alias("hub")
-    hubs = posted.groupBy("token").agg(hub, F.count(F.lit(1)).alias("m")).filter("m > 1")
-    fits = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * threshold
-    stars = posted.join(hubs, "token").filter((F.col("sid") != F.col("hub.sid")) & fits)
-    stars = stars.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
-    tried = stored(verify(stars, sets, threshold))
+    posted = stored(postings_of(sets, threshold))
+    pointed = posted.join(sets.select("sid", "counts"), "sid")
+    tried = stored(verify(stored(hub_pairs(pointed.select("token", "sid", "doc_id", "n", "counts"), threshold)), sets, threshold))
     links = tried.filter("ok").select("a", "b")
     parts = settle(connected_components(links))
-    placed = posted.join(parts.select(F.col("node").alias("sid"), "part"), "sid", "left").withColumn("part", F.coalesce("part", "sid"))
+    placed = posted.drop("doc_id").join(parts.select(F.col("node").alias("sid"), "part"), "sid", "left").withColumn("part", F.coalesce("part", "sid"))
     placed = stored(placed)
-    several = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high")
-    several = several.select("token", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks"))
-    open_groups = placed.join(several, "token").join(sets.select("sid", "counts"), "sid").join(lists.select("sid", "own", "tokens"), "sid")
-    open_groups = open_groups.select("token", "sid", "part", "n", "own", "place", "tokens", "counts", "blocks")
-    pairs = cross_pairs(open_groups, threshold).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = verify(pairs, sets, threshold).filter("ok").select("a", "b")
+    several = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
+    open_groups = placed.join(several, "token", "left_semi").join(sets.select("sid", "counts"), "sid")
+    pairs = cross_pairs(open_groups.select("token", "sid", "part", "n", "behind", "minima", "counts"), threshold).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = verify(stored(pairs), sets, threshold).filter("ok").select("a", "b")
     return links.unionByName(stored(more))
 
 
+# --- counting links inside components ---------------------------------------------------------------------------------------------
+
+
+def intersections(first: list[np.ndarray], second: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of every set of one list with every set of the other, as products of 0/1 matrices of some columns at a time."""
+    flat = [np.concatenate(x) for x in (first, second)]
+    common = np.intersect1d(*flat)  # shingles on both sides
+    out = np.zeros((len(first), len(second)), np.float32)
+    cells = []
+    for sets, values in zip((first, second), flat, strict=True):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+        hit = common[at] == values if len(common) else np.zeros(len(values), bool)
+        order = np.argsort(at[hit], kind="stable")
+        cells.append((row[hit][order], at[hit][order]))
+    for low in range(0, len(common), columns):
+        wide = min(columns, len(common) - low)
+        sides = []
+        for (row, at), sets in zip(cells, (first, second), strict=True):
+            a, b = np.searchsorted(at, (low, low + wide))
+            matrix = np.zeros((len(sets), wide), np.float32)
+            matrix[row[a:b], at[a:b] - low] = 1
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def count_links(members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """members: (sid, part, n, copies, shingles). (sid, links): how many documents with another set each set is linked with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), group in _groups(batches, 3):
+            mine, sids, n, copies = (np.array([r[c] for r in group]) for c in range(4))
+            shingles = [np.frombuffer(r[4], np.uint64) for r in group]
+            a, b = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+            if not len(a) or not len(b):
+                continue
+            for low in range(0, len(a), 1024):
+                some = a[low : low + 1024]
+                for from_ in range(0, len(b), 4096):
+                    other = b[from_ : from_ + 4096]
+                    both = intersections([shingles[x] for x in some], [shingles[x] for x in other]).astype(np.int64)
+                    ok = (100 + threshold) * both >= threshold * (n[some][:, None] + n[other][None, :])
+                    ok &= some[:, None] != other[None, :]
+                    ids, links = [sids[some]], [ok @ copies[other]]
+                    if i != j:
+                        ids, links = [*ids, sids[other]], [*links, copies[some] @ ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(links).astype(np.int64))], ["sid", "links"])
+
+    dealt = _dealt(members, "part", "n", BLOCK_SHINGLES).select("part", "i", "j", "mine", "sid", "n", "copies", "shingles")
+    return dealt.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(run, "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
+
+
+def _salted_join(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Left join with a table of one row a key, whose keys may be hot among the rows: by key and salt."""
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
+
+
 def join_components(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id of the component) for every row."""
+    """doc_id, n_shingles, component_id (smallest doc_id of the component) and n_links (documents linked with this one) for every row."""
     described = stored(describe_sets(documents, words))
-    alive = described.filter((F.col("n") > 0) & (100 * F.col("shared") >= threshold * F.col("n")) & F.col("doc_id").isNotNull())
-    sets = stored(candidate_sets(documents, settle(alive.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))), words))
-    parts = settle(connected_components(set_links(sets, threshold)))
-    placed = described.join(parts.select(F.col("node").alias("sid"), "part"), "sid", "left").withColumn("part", F.coalesce("part", "sid"))
-    placed = stored(placed.select("doc_id", "n", "part"))
-    least = placed.filter("n > 0").groupBy("part").agg(F.min("doc_id").alias("least"))
-    named = placed.join(least, "part", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    alive = described.filter((F.col("n") > 0) & (100 * F.col("shared") >= threshold * F.col("n")))
+    classes = stored(alive.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
+    sets = stored(candidate_sets(documents, classes.filter("doc_id is not null"), words))
+    parts = settle(connected_components(set_links(sets, threshold)).withColumnRenamed("node", "sid"))
+    linked_sets = classes.join(parts, "sid")
+    links = count_links(linked_sets.drop("doc_id").join(sets.select("sid", "shingles"), "sid"), threshold)
+    least = linked_sets.groupBy("part").agg(F.min("doc_id").alias("least"))
+    placed = _salted_join(linked_sets.select("sid", "part"), least, "part").select("sid", "least")
+    named = classes.filter("copies > 1").select("sid", "doc_id", "copies").join(placed, "sid", "full").join(links, "sid", "left")
+    named = stored(named.select("sid", F.coalesce("least", "doc_id").alias("least"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("links")))
+    joined = _salted_join(described.select("doc_id", "n", "sid"), named, "sid")
+    component = F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
+    n_links = F.when(F.col("n") > 0, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), n_links.alias("n_links"))

@@ -27,8 +27,8 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
-FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(k.n_links, 0) AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY 1) k USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """,
     "op3_suffix_dedup": r"""
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),

@@ -80,37 +80,80 @@ def brute_components(rows, words=5):
 
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
         sets.append((d, frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()))
-    part = list(range(len(sets)))
+    part, links = list(range(len(sets))), [0] * len(sets)
     find = lambda x: x if part[x] == x else find(part[x])
     for i, (_, a) in enumerate(sets):
         for j, (_, b) in enumerate(sets[:i]):
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 part[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least: dict[int, int | None] = {}
     for i, (d, _) in enumerate(sets):
         least[find(i)] = min((x for x in (d, least.get(find(i))) if x is not None), default=None)
-    return sorted(((d, len(s), least[find(i)]) for i, (d, s) in enumerate(sets)), key=repr)
+    return sorted(((d, len(s), least[find(i)], links[i]) for i, (d, s) in enumerate(sets)), key=repr)
+
+
+JOINED = ("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def test_join_matches_brute_force(spark):
     rows = corpus()
-    found = collected(join_components(documents(spark)), "doc_id", "n_shingles", "component_id")
+    found = collected(join_components(documents(spark)), *JOINED)
     assert found == brute_components(rows)
 
 
 def test_join_loses_no_link_in_a_large_group_of_near_copies(spark, monkeypatch):
     from marginalia.llm import ngram_join
 
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    for name, value in (("BLOCK", 16), ("BLOCK_SHINGLES", 1500), ("FAN", 5), ("BROADCAST_ROWS", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
     rows = [(i, edited(text(i // 120, 90), i, i % 9), None) for i in range(240)]
     rows += [(300 + i, " ".join(text(1000 + i // 3, 60).split(" ")[i % 3 * 4 :]), None) for i in range(60)]
     random.Random(1).shuffle(rows)
-    assert collected(join_components(documents(spark, rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert collected(join_components(documents(spark, rows)), *JOINED) == brute_components(rows)
+
+
+def test_every_candidate_of_the_join_comes_out_of_a_tree(spark, monkeypatch):
+    from marginalia.llm import ngram_join
+
+    docs = documents(spark, [(i, f"{edited(text(i // 20, 90), i, i % 3)} end{i}", None) for i in range(40)])
+    assert any(r["n_links"] for r in join_components(docs).collect())
+
+    def nothing(posted, threshold=75):
+        return posted.select("sid").limit(0).selectExpr("sid as a", "sid as b")
+
+    for name in ("hub_pairs", "cross_pairs"):
+        monkeypatch.setattr(ngram_join, name, nothing)
+    assert not any(r["n_links"] for r in join_components(docs).collect())
+
+
+def test_what_the_join_moves_follows_the_text_not_its_square(spark):
+    """Ten texts and their concatenation: postings have a fixed size, whatever the length of the set."""
+    from marginalia.llm import ngram_join
+
+    texts = [text(i, 2000) for i in range(10)]
+    docs = documents(spark, [(i, t, None) for i, t in enumerate([*texts, " ".join(texts)])])
+    described = ngram_join.describe_sets(docs)
+    sets = ngram_join.candidate_sets(docs, described.select("sid", "doc_id"))
+    moved = ngram_join.postings_of(sets)
+    assert moved.count() * (5 * 8 + 8 * ngram_join.MINIMA) <= 10 * 2 * sum(map(len, texts))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10_000))
+def test_intersections_are_counted_exactly(seed):
+    from marginalia.llm.ngram_join import intersections
+
+    rng = np.random.default_rng(seed)
+    sets = [np.unique(rng.integers(0, 2**63, 400)[: rng.integers(1, 60)] % rng.integers(5, 300)).astype(np.uint64) for _ in range(9)]
+    found = intersections(sets[:4], sets[4:], columns=int(rng.integers(1, 50)))
+    assert found.astype(int).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[4:]] for a in sets[:4]]
 
 
 def test_join_of_an_empty_table_and_of_empty_texts(spark):
     assert join_components(documents(spark, [])).collect() == []
-    assert collected(join_components(documents(spark, [(1, None, None), (2, "", None)])), "doc_id", "n_shingles", "component_id") == [(1, 0, 1), (2, 0, 2)]
+    assert collected(join_components(documents(spark, [(1, None, None), (2, "", None)])), *JOINED) == [(1, 0, 1, 0), (2, 0, 2, 0)]
 
 
 @settings(max_examples=25, deadline=None)
