@@ -1,23 +1,26 @@
-"""LM scoring with a hidden Markov language model.
+"""LM scoring with a hidden Markov language model over tokens.
 
-Tokens are the words of a text and one end. A hash deals tokens into CLASSES classes (the end has its own); hidden states emit classes,
-and a class emits its tokens by their smoothed share, so P(token | state) = P(class | state) * P(token | class). Every training
-token adds to the counts.
+Tokens are the words of a text and one end. Hidden states emit the end, each token that has at least 1 / VOCABULARY of the training tokens
+(so at most VOCABULARY of them, whatever the corpus) and LEAST_COUNT occurrences, and, for every other token, one of ENDINGS classes by its
+last two code points, which in turn emits its tokens by their smoothed share: P(token | state) = P(class | state) * P(token | class), and
+the second factor is 1 for tokens with an emission of their own. Every training token adds to the counts.
 
-Steps. (1) One pass over the texts writes each document as a sequence of classes and, for each bucket of token hashes, the postings
-(token, document, times) of a chunk of documents. (2) Each bucket counts its tokens over all training documents and returns, for
-each chunk, the documents' sums of log10(count + 0.5), so no count ever travels to a text and no text is shuffled. (3) Baum-Welch:
-each iteration's expected counts are summed within tasks and then across the cluster by class; only CLASSES * states numbers
-reach the driver. For training, sequences are cut into pieces of PIECE tokens that count as sequences of their own. (4) The scaled forward
-recursion gives each document's exact likelihood; a long document's pieces are multiplied out side by side as transfer matrices
-and chained, which is the same product in another order.
+Steps. (1) One pass over the texts writes chunks of documents: the different tokens by hash, and the documents as sequences of their numbers. (2) Each chunk
+sends its tokens with their numbers of occurrences to buckets of hashes: one entry for a token and chunk, so a token that every document has is no hot
+key. A bucket sums them over the training chunks, names the tokens with an emission of their own, and answers every chunk for its own tokens.
+(3) Baum-Welch: each iteration's expected counts by (class, state) are summed within tasks and then across the cluster by class; at most VOCABULARY +
+ENDINGS rows reach the driver. Sequences are whole: those of more than PIECE tokens are worked through in pieces, whose messages to one another
+come from products of transfer matrices, so nothing is cut. Iterations go on until the gain of a token is below SETTLED; they start on the first WARM_SHARE of
+each chunk's documents, and when that has settled go on with all. (4) The scaled forward recursion gives each document's exact likelihood.
 
 Tokens count as equal by 64-bit hash. Defined results: a null or empty text is the end alone. Without training tokens every count is 0
-and the model is uniform. Repeated rows count as often as they occur.
+and the model is uniform. Repeated rows count as often as they occur. A very long text is a chunk of its own, with a few numbers for each of its
+tokens in memory. Other columns are left out; without rows there is no result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,73 +34,54 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import blobs
 from marginalia.llm.common import LOWER, UPPER, WORD_PATTERN, remainder_of, shuffle_width, stored, text_batches
-from marginalia.llm.postings import deal
-
-STATES, CLASSES, ITERATIONS, PIECE = 6, 1024, 5, 256
-#: Characters of one chunk of documents, tokens of one batch of sequences.
-CHUNK_CHARS, BATCH_TOKENS = 6_000_000, 1_000_000
-EMISSION_PRIOR, TRANSITION_PRIOR, STICKY = 0.1, 1.0, 0.9
+from marginalia.llm.postings import deal, groups_of
+
+STATES, VOCABULARY, LEAST_COUNT, ENDINGS, PIECE = 6, 131_072, 4, 1024, 2048
+#: Iterations stop at this gain of log10 likelihood a token, and must by MOST_ITERATIONS; share of the documents that the first ones use.
+SETTLED, MOST_ITERATIONS, WARM_SHARE = 0.002, 100, 0.125
+#: Characters of one chunk of documents, tokens worked on at a time.
+CHUNK_CHARS, BATCH_TOKENS = 6_000_000, 300_000
+EMISSION_PRIOR, TRANSITION_PRIOR, STICKY = 20.0, 1.0, 0.9
 _WORD = re.compile(WORD_PATTERN)
 _LOWER = str.maketrans(UPPER, LOWER)
 END = "\n"  # no word holds it
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
 
 
 def tokens_of(text: str) -> list[str]:
     return [*_WORD.findall(text.translate(_LOWER) if not text.isascii() else text.lower()), END]
 
 
-def classes_of(hashes: np.ndarray) -> np.ndarray:
-    """1 to CLASSES - 1 by hash; the end is 0."""
-    mixed = (hashes * _SPREAD) >> np.uint64(32)
-    return np.where(hashes == _END_HASH, 0, 1 + (mixed % np.uint64(CLASSES - 1))).astype(np.uint16)
+# --- chunks -----------------------------------------------------------------------------------------------------------------------
 
+CHUNK = "key long, train boolean, n_tokens long, hashes binary, endings binary, docs binary, lengths binary, ids binary"
+_CHUNK = ["key", "train", "n_tokens", "hashes", "endings", "docs", "lengths", "ids"]
+_TYPES = {"key": pa.int64(), "train": pa.bool_(), "n_tokens": pa.int64(), "bucket": pa.int32()}
 
-_END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
-ENCODED = "kind int, key long, doc_id long, train boolean, bucket int, data binary, docs binary, postings binary, times binary"
-_NAMES = [x.split()[0] for x in ENCODED.split(", ")]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES.get(n, pa.binary())) for c, n in zip(columns, names, strict=True)], names)
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[]] * len(_NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
-
-def _encode_chunk(docs: list[tuple[int | None, str, bool]], key: int, buckets: int) -> list[tuple]:
+def _encode_chunk(key: int, docs: list[tuple[int | None, str, bool]]) -> tuple:
     split = [tokens_of(t) for _, t, _ in docs]
-    lengths = np.array([len(s) for s in split])
+    lengths = np.array([len(s) for s in split], np.int64)
     names = dict.fromkeys(w for s in split for w in s)
     for i, w in enumerate(names):
         names[w] = i
     ids = np.fromiter((names[w] for s in split for w in s), np.int64, int(lengths.sum()))
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+    ends: dict[str, int] = {}
+    endings = np.fromiter((ends[e] if (e := w[-2:]) in ends else ends.setdefault(e, xxhash.xxh3_64_intdigest(e) % ENDINGS) for w in names), np.uint16, len(names))
     order = np.argsort(hashes)
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))
-    classes = classes_of(hashes)[ids]
-    ends = np.cumsum(lengths)
-    rows: list[tuple] = [(1, key, d, t, i, classes[e - n : e].astype("<u2").tobytes(), None, None, None) for i, ((d, _, t), e, n) in enumerate(zip(docs, ends.tolist(), lengths.tolist(), strict=True))]
-    pairs, times = np.unique(rank[ids] * len(docs) + np.repeat(np.arange(len(docs)), lengths), return_counts=True)
-    token, doc = np.divmod(pairs, len(docs))
-    sorted_hashes = hashes[order]
-    bucket = (sorted_hashes % np.uint64(buckets)).astype(np.int64)
-    by_bucket = np.argsort(bucket[token], kind="stable")
-    cuts = np.searchsorted(bucket[token][by_bucket], np.arange(buckets + 1))
-    for b in range(buckets):
-        some = by_bucket[cuts[b] : cuts[b + 1]]
-        if len(some):
-            t = token[some]
-            first = np.r_[True, t[1:] != t[:-1]]
-            per_token = np.diff(np.r_[np.flatnonzero(first), len(t)]).astype(np.uint32)
-            step = np.diff(doc[some], prepend=0)
-            step[first] = doc[some][first]
-            rows.append((0, key, None, docs[0][2], b, blobs.pack_sorted(sorted_hashes[t[first]]), len(docs).to_bytes(8, "little"), _join_postings(per_token, step), blobs.pack(times[some].astype(np.uint32))))
-    return rows
-
-
-def encode(documents: DataFrame, buckets: int) -> DataFrame:
-    """kind 1: a document's classes, with its place in the chunk as bucket; kind 0: a chunk's postings in one bucket."""
+    owners = np.array([(d is None, d or 0) for d, _, _ in docs], np.int64)
+    return key, docs[0][2], len(ids), blobs.pack_sorted(hashes[order]), blobs.pack(endings[order]), blobs.pack(owners.reshape(-1)), blobs.pack(lengths), blobs.pack(rank[ids])
+
+
+def encode(documents: DataFrame) -> DataFrame:
     text_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,249 +94,330 @@ def encode(documents: DataFrame, buckets: int) -> DataFrame:
                 chunks[kind].append(doc)
                 sizes[kind] += len(doc[1])
                 if sizes[kind] >= CHUNK_CHARS:
-                    yield _rows(_encode_chunk(chunks[kind], (part << 32) + n, buckets))
+                    yield _batch([_encode_chunk((part << 32) + n, chunks[kind])], _CHUNK)
                     chunks[kind], sizes[kind], n = [], 0, n + 1
         for chunk in chunks.values():
             if chunk:
-                yield _rows(_encode_chunk(chunk, (part << 32) + n, buckets))
+                yield _batch([_encode_chunk((part << 32) + n, chunk)], _CHUNK)
                 n += 1
 
     train = remainder_of(F.col("doc_id")) != 1
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train")).mapInArrow(run, ENCODED)
-
-
-def _join_postings(per_token: np.ndarray, step: np.ndarray) -> bytes:
-    head = blobs.pack(per_token)
-    return len(head).to_bytes(8, "little") + head + blobs.pack(step.astype(np.uint32))
-
-
-def _split_postings(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = int.from_bytes(data[:8], "little")
-    return blobs.unpack(data[8 : 8 + size], np.uint32), blobs.unpack(data[8 + size :], np.uint32)
-
-
-def _count_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For all rows of a bucket: token counts over training documents; back to each chunk, sums by document."""
-    rows = [r for batch in batches for r in batch.to_pylist()]
-    out: list[tuple] = []
-    by_bucket: dict[int, list[dict]] = {}
-    for r in rows:
-        by_bucket.setdefault(r["bucket"], []).append(r)
-    for bucket in sorted(by_bucket):
-        some = sorted(by_bucket[bucket], key=lambda r: r["key"])
-        hashes = [blobs.unpack_sorted(r["data"]) for r in some]
-        read = []
-        for h, r in zip(hashes, some, strict=True):
-            per_token, steps = _split_postings(r["postings"])
-            token = np.repeat(np.arange(len(h)), per_token)
-            total = np.cumsum(steps.astype(np.int64))
-            starts = np.r_[0, np.cumsum(per_token)[:-1]].astype(np.int64)
-            doc = total - np.repeat(total[starts] - steps[starts], per_token)
-            read.append((token, doc, blobs.unpack(r["times"], np.uint32).astype(np.float64), r["train"]))
-        known, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts, at = np.zeros(len(known)), 0
-        for h, (token, _, times, train_chunk) in zip(hashes, read, strict=True):
-            counts += np.bincount(place[at : at + len(h)][token], times * train_chunk, minlength=len(known))
-            at += len(h)
-        classes = classes_of(known)
-        in_class = np.bincount(classes, counts, minlength=CLASSES)
-        distinct = np.bincount(classes, counts > 0, minlength=CLASSES).astype(np.float64)
-        out.append((-1, bucket, in_class.tobytes() + distinct.tobytes(), None))
-        at = 0
-        logs = np.log10(counts + 0.5)
-        for h, r, (token, doc, times, _) in zip(hashes, some, read, strict=True):
-            mine = place[at : at + len(h)][token]
-            at += len(h)
-            n = int.from_bytes(r["docs"], "little")
-            sums = np.bincount(doc, times * logs[mine], minlength=n)
-            seen = np.bincount(doc, times * (counts[mine] > 0), minlength=n)
-            out.append((r["key"], bucket, blobs.pack(sums), blobs.pack(seen.astype(np.uint32))))
-    columns = zip(*out, strict=True) if out else [[]] * 4
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["key", "bucket", "sums", "seen"])
-
-
-COUNTED = "key long, bucket int, sums binary, seen binary"
-
-
-def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: dict[int, list[dict]] = {}
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train")).mapInArrow(run, CHUNK)
+
+
+# --- counts of tokens ---------------------------------------------------------------------------------------------------------------
+
+_POSTED, POSTED = ["key", "bucket", "train", "hashes", "endings", "times"], "key long, bucket int, train boolean, hashes binary, endings binary, times binary"
+_COUNTED, COUNTED = ["key", "bucket", "hashes", "counts", "classes"], "key long, bucket int, hashes binary, counts binary, classes binary"
+
+
+def _bucket_cuts(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _post_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
-            rows.setdefault(r["key"], []).append(r)
-    for key in sorted(rows):
-        some = sorted(rows[key], key=lambda r: r["bucket"])
-        sums = sum(blobs.unpack(r["sums"], np.float64) for r in some)
-        seen = sum(blobs.unpack(r["seen"], np.uint32).astype(np.int64) for r in some)
-        n = len(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.arange(n)), pa.array(np.asarray(sums)), pa.array(np.asarray(seen))], ["key", "place", "logs", "n_known"])
+        for key, train, hashes, endings, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            h, e, rows = blobs.unpack_sorted(hashes), blobs.unpack(endings, np.uint16), []
+            times = np.bincount(blobs.unpack(ids, np.uint32), minlength=len(h)).astype(np.uint32)
+            order, cuts = _bucket_cuts(h, buckets)
+            for b in range(buckets):
+                some = order[cuts[b] : cuts[b + 1]]
+                if len(some):
+                    rows.append((key, b, train, blobs.pack_sorted(h[some]), blobs.pack(e[some]), blobs.pack(times[some])))
+            yield _batch(rows, _POSTED)
+
+
+def _count_bucket(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Counts of a bucket's tokens over training chunks; answers to its chunks in order of their hashes, and one row (key -1) with the
+    tokens of at least `least` and, by ending, occurrences and numbers of the others. Of the chunks' rows only one is unpacked at a time."""
+    for rows in groups_of(batches, "bucket"):
+        known, counts, ending = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint16)
+        for low in range(0, len(rows), 64):
+            some = [r for r in rows[low : low + 64] if r["train"]]
+            h = np.concatenate([known, *(blobs.unpack_sorted(r["hashes"]) for r in some)])
+            n = np.concatenate([counts, *(blobs.unpack(r["times"], np.uint32).astype(np.int64) for r in some)])
+            e = np.concatenate([ending, *(blobs.unpack(r["endings"], np.uint16) for r in some)])
+            known, first, place = np.unique(h, return_index=True, return_inverse=True)
+            counts, ending = np.bincount(place, n, minlength=len(known)).astype(np.int64), e[first]
+        own = (counts >= least) & (known != _END_HASH)
+        rest = ~own & (known != _END_HASH)
+        classes = np.stack([np.bincount(ending[rest], counts[rest], minlength=ENDINGS), np.bincount(ending[rest], minlength=ENDINGS)]).astype(np.int64)
+        sums = np.array([counts.sum(), len(known), counts[known == _END_HASH].sum()], np.int64)
+        yield _batch([(-1, rows[0]["bucket"], blobs.pack_sorted(known[own]), blobs.pack(np.r_[sums, counts[own]]), blobs.pack(classes.reshape(-1)))], _COUNTED)
+        for r in rows:
+            h = blobs.unpack_sorted(r["hashes"])
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            c = np.where(known[at] == h, counts[at], 0) if len(known) else np.zeros(len(h), np.int64)
+            yield _batch([(r["key"], r["bucket"], b"", blobs.pack(c.astype(np.uint64)), b"")], _COUNTED)
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's counts in order of bucket, then hash."""
+    for rows in groups_of(batches, "key"):
+        yield _batch([(rows[0]["key"], blobs.pack(np.concatenate([blobs.unpack(r["counts"], np.uint64) for r in rows])))], ["key", "counts"])
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Classes: 0 is the end, then the tokens with an emission of their own by hash, then the endings."""
+
+    own: np.ndarray  # hashes, ascending
+    counts: np.ndarray  # of every class
+    logs: np.ndarray  # of every ending, log10 of its occurrences + half of its tokens and one more
+    tokens: int
+    distinct: int
+
+    def classes_of(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.own, hashes), max(0, len(self.own) - 1))
+        hit = self.own[at] == hashes if len(self.own) else np.zeros(len(hashes), bool)
+        return np.where(hashes == _END_HASH, 0, np.where(hit, 1 + at, 1 + len(self.own) + endings)).astype(np.int64)
+
+
+def count_tokens(chunks: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Lexicon, DataFrame]:
+    """The lexicon, and (key, counts) for every chunk."""
+    buckets = shuffle_width(chunks.sparkSession)
+    n = chunks.filter("train").agg(F.sum("n_tokens")).first()[0] or 0
+    least = max(LEAST_COUNT, -(-n // vocabulary))
+    posted = chunks.select("key", "train", "hashes", "endings", "ids").mapInArrow(lambda b: _post_counts(b, buckets), POSTED)
+    counted = stored(deal(posted, "bucket", buckets).mapInArrow(lambda b: _count_bucket(b, least), COUNTED))
+    own, counts, endings, sums = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], np.zeros((2, ENDINGS), np.int64), np.zeros(3, np.int64)
+    for r in counted.filter("key = -1").select("hashes", "counts", "classes").toLocalIterator():  # a row a bucket; at most `vocabulary` tokens in all
+        own.append(blobs.unpack_sorted(r["hashes"]))
+        c = blobs.unpack(r["counts"], np.int64)
+        sums += c[:3]
+        counts.append(c[3:])
+        endings += blobs.unpack(r["classes"], np.int64).reshape(2, ENDINGS)
+    hashes, c = np.concatenate(own), np.concatenate(counts)
+    order = np.argsort(hashes)
+    lexicon = Lexicon(hashes[order], np.concatenate([sums[2:], c[order], endings[0]]).astype(float), np.log10(endings[0] + 0.5 * (endings[1] + 1)), int(sums[0]), int(sums[1]))
+    return lexicon, deal(counted.filter("key >= 0"), "key", buckets).mapInArrow(_assemble, "key long, counts binary")
+
+
+# --- the model ----------------------------------------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class HiddenMarkov:
     start: np.ndarray  # states
     move: np.ndarray  # states x states
-    emit: np.ndarray  # states x classes
+    emit: np.ndarray  # classes x states
 
     @staticmethod
     def initial(class_counts: np.ndarray, states: int) -> HiddenMarkov:
         """Sticky states that each prefer another part of the classes, the same on every run."""
-        share = (class_counts + EMISSION_PRIOR) / (class_counts.sum() + EMISSION_PRIOR * len(class_counts))
-        tilt = np.random.default_rng(7).gamma(2.0, 0.5, (states, len(share))) + 0.05
-        emit = share * tilt
+        share = _share(class_counts)
+        emit = share[:, None] * (np.random.default_rng(7).gamma(2.0, 0.5, (len(share), states)) + 0.05)
         move = np.full((states, states), (1 - STICKY) / max(1, states - 1))
         np.fill_diagonal(move, STICKY if states > 1 else 1.0)
-        return HiddenMarkov(np.full(states, 1 / states), move, emit / emit.sum(1, keepdims=True))
+        return HiddenMarkov(np.full(states, 1 / states), move, emit / emit.sum(0))
+
+    @staticmethod
+    def from_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, class_counts: np.ndarray) -> HiddenMarkov:
+        """Expected counts, smoothed: emissions towards the share of the class in the corpus."""
+        emit = emit + EMISSION_PRIOR * _share(class_counts)[:, None]
+        start, move = start + 1.0, move + TRANSITION_PRIOR
+        return HiddenMarkov(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+
+
+def _share(class_counts: np.ndarray) -> np.ndarray:
+    return (class_counts + 0.5) / (class_counts.sum() + 0.5 * len(class_counts))
+
+
+class Pieces:
+    """Sequences in pieces of at most PIECE, laid out step by step, the longest pieces first, so that one step of all pieces is a slice."""
+
+    def __init__(self, sequences: list[np.ndarray], opens: list[bool]) -> None:
+        self.order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+        lengths = np.array([len(sequences[i]) for i in self.order])
+        self.steps = int(lengths[0])
+        self.width = np.searchsorted(-lengths, -np.arange(self.steps), side="left")  # pieces longer than t
+        self.at = np.r_[0, np.cumsum(self.width)]
+        self.flat = np.empty(int(self.at[-1]), np.int64)
+        for j, i in enumerate(self.order):
+            self.flat[self.at[: lengths[j]] + j] = sequences[i]
+        self.opens = np.array([opens[i] for i in self.order])
+        self.last = self.at[lengths - 1] + np.arange(len(lengths))  # of each piece, the place of its last token
+
+
+def _transfer(model: HiddenMarkov, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece: state before it -> state at its end, as a matrix that sums to 1, and log10 of its scale."""
+    k, n = len(model.start), len(pieces.order)
+    product, logs = np.broadcast_to(np.eye(k), (n, k, k)).copy(), np.zeros(n)
+    for t in range(pieces.steps):
+        w = pieces.width[t]
+        moved = (product[:w].reshape(-1, k) @ model.move).reshape(w, k, k)
+        if t == 0:
+            moved[pieces.opens] = model.start  # every row; a first piece has no state before it
+        moved *= model.emit[pieces.flat[pieces.at[t] : pieces.at[t] + w]][:, None, :]
+        s = moved.sum((1, 2))
+        logs[:w] += np.log10(s)
+        product[:w] = moved / s[:, None, None]
+    return product, logs
+
+
+def _forward(model: HiddenMarkov, pieces: Pieces, before: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward messages (all of them, or the last of each piece), their scales, and log10 likelihood of each piece after what is before it."""
+    k, n = len(model.start), len(pieces.order)
+    alpha, scale = np.empty((len(pieces.flat) if keep else n, k)), np.empty(len(pieces.flat) if keep else 0)
+    total, a = np.zeros(n), np.where(pieces.opens[:, None], model.start, before @ model.move)
+    for t in range(pieces.steps):
+        w, at = pieces.width[t], pieces.at[t]
+        a = (a if t == 0 else a[:w] @ model.move) * model.emit[pieces.flat[at : at + w]]
+        s = a.sum(1)
+        a /= s[:, None]
+        total[:w] += np.log10(s)
+        if keep:
+            alpha[at : at + w], scale[at : at + w] = a, s
+        else:
+            alpha[:w] = a
+    return alpha, scale, total
+
+
+def _cut(sequences: list[np.ndarray]) -> list[tuple[int, int]]:
+    return [(i, at) for i, s in enumerate(sequences) for at in range(0, len(s), PIECE)]
+
+
+def _batches_of(parts: list[tuple[int, int]], sequences: list[np.ndarray]) -> Iterator[list[int]]:
+    """Numbers of pieces, about BATCH_TOKENS at a time, pieces of like length together."""
+    sizes = np.array([min(PIECE, len(sequences[i]) - at) for i, at in parts])
+    order = np.argsort(-sizes, kind="stable")
+    turn = np.cumsum(sizes[order]) // BATCH_TOKENS
+    yield from (x.tolist() for x in np.split(order, np.flatnonzero(np.diff(turn)) + 1))
 
 
-def expected_counts(model: HiddenMarkov, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Scaled forward-backward over all pieces side by side: start, move and emit counts, log likelihood (natural)."""
+def _messages(model: HiddenMarkov, sequences: list[np.ndarray], parts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece what comes before it (distribution of the state) and after it (likelihood by state, scaled); only sequences of several pieces need any."""
     k = len(model.start)
-    pieces = sorted(pieces, key=len, reverse=True)
-    lengths = np.array([len(p) for p in pieces])
-    steps = int(lengths[0])
-    grid = np.zeros((steps, len(pieces)), np.int64)
-    for j, p in enumerate(pieces):
-        grid[: len(p), j] = p
-    width = np.searchsorted(-lengths, -np.arange(steps), side="left")  # pieces longer than t
-    emit = np.ascontiguousarray(model.emit.T)
-    alpha = np.empty((steps, len(pieces), k))
-    scale = np.ones((steps, len(pieces)))
-    for t in range(steps):
-        w = width[t]
-        a = (model.start if t == 0 else alpha[t - 1, :w] @ model.move) * emit[grid[t, :w]]
-        s = a.sum(1)
-        scale[t, :w] = s
-        alpha[t, :w] = a / s[:, None]
-    beta = np.ones((len(pieces), k))
-    move = np.zeros((k, k))
-    gamma = np.zeros((steps, len(pieces), k))
-    for t in range(steps - 1, -1, -1):
-        w = width[t]
-        gamma[t, :w] = alpha[t, :w] * beta[:w]
-        if t:
-            ahead = beta[:w] * emit[grid[t, :w]] / scale[t, :w, None]
-            move += (alpha[t - 1, :w].T @ ahead) * model.move
-            beta[:w] = ahead @ model.move.T
-    flat = grid.ravel()
-    emitted = np.stack([np.bincount(flat, gamma[:, :, i].ravel(), minlength=emit.shape[0]) for i in range(k)])
-    return gamma[0].sum(0), move, emitted, float(np.log(scale).sum())
+    before, after = np.zeros((len(parts), k)), np.ones((len(parts), k))
+    long = [p for p, (i, _) in enumerate(parts) if len(sequences[i]) > PIECE]
+    if not long:
+        return before, after
+    matrices = np.empty((len(parts), k, k)) if len(long) > len(parts) // 2 else {}
+    for some in _batches_of([parts[p] for p in long], sequences):
+        chosen = [long[x] for x in some]
+        pieces = Pieces([sequences[i][at : at + PIECE] for i, at in (parts[p] for p in chosen)], [parts[p][1] == 0 for p in chosen])
+        for j, m in zip(pieces.order, _transfer(model, pieces)[0], strict=True):
+            matrices[chosen[j]] = m
+    for p in long:
+        i, at = parts[p]
+        if at + PIECE < len(sequences[i]):
+            v = matrices[p][0] if at == 0 else before[p] @ matrices[p]
+            before[p + 1] = v / v.sum()
+    for p in reversed(long):
+        if parts[p][1] > 0:
+            v = matrices[p] @ after[p]
+            after[p - 1] = v / v.sum()
+    return before, after
+
+
+def expected_counts(model: HiddenMarkov, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Forward-backward over whole sequences: start, move and emission counts, and log10 likelihood."""
+    k, parts = len(model.start), _cut(sequences)
+    start, move, emitted, logs = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape), 0.0
+    before, after = _messages(model, sequences, parts)
+    for some in _batches_of(parts, sequences):
+        pieces = Pieces([sequences[i][at : at + PIECE] for i, at in (parts[p] for p in some)], [parts[p][1] == 0 for p in some])
+        numbers = np.array(some)[pieces.order]
+        alpha, scale, total = _forward(model, pieces, before[numbers], True)
+        beta = after[numbers] / (alpha[pieces.last] * after[numbers]).sum(1, keepdims=True)
+        gamma = np.empty_like(alpha)
+        for t in range(pieces.steps - 1, -1, -1):
+            w, at = pieces.width[t], pieces.at[t]
+            gamma[at : at + w] = alpha[at : at + w] * beta[:w]
+            ahead = beta[:w] * model.emit[pieces.flat[at : at + w]] / scale[at : at + w, None]
+            if t:
+                behind = alpha[pieces.at[t - 1] : pieces.at[t - 1] + w]
+                move += (behind.T @ ahead) * model.move
+                beta[:w] = ahead @ model.move.T
+            else:
+                inside = ~pieces.opens
+                move += (before[numbers][inside].T @ ahead[inside]) * model.move
+        start += gamma[: pieces.width[0]][pieces.opens].sum(0)
+        for i in range(k):
+            emitted[:, i] += np.bincount(pieces.flat, gamma[:, i], minlength=len(emitted))
+        logs += float(total.sum())
+    return start, move, emitted, logs
 
 
 def log_likelihoods(model: HiddenMarkov, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 of the exact likelihood of each sequence."""
-    out = np.zeros(len(sequences))
-    emit = np.ascontiguousarray(model.emit.T)
-    k = len(model.start)
-    short = [i for i, s in enumerate(sequences) if len(s) <= 4 * PIECE]
-    short.sort(key=lambda i: -len(sequences[i]))
-    if short:
-        lengths = np.array([len(sequences[i]) for i in short])
-        grid = np.zeros((int(lengths[0]), len(short)), np.int64)
-        for j, i in enumerate(short):
-            grid[: lengths[j], j] = sequences[i]
-        total, a = np.zeros(len(short)), None
-        for t in range(len(grid)):
-            w = int(np.searchsorted(-lengths, -t, side="left"))
-            a = (model.start if a is None else a[:w] @ model.move) * emit[grid[t, :w]]
-            s = a.sum(1)
-            total[:w] += np.log10(s)
-            a = a / s[:, None]
-        out[short] = total
-    parts = [(i, at) for i, s in enumerate(sequences) if len(s) > 4 * PIECE for at in range(0, len(s), PIECE)]
-    vectors: dict[int, np.ndarray] = {}
-    for first in range(0, len(parts), 4096):  # transfer matrices of pieces, then the chain
-        some = parts[first : first + 4096]
-        lengths = np.array([min(PIECE, len(sequences[i]) - at) for i, at in some])
-        grid = np.zeros((PIECE, len(some)), np.int64)
-        for j, (i, at) in enumerate(some):
-            grid[: lengths[j], j] = sequences[i][at : at + PIECE]
-        product, logs = np.broadcast_to(np.eye(k), (len(some), k, k)).copy(), np.zeros(len(some))
-        opening = np.array([at == 0 for _, at in some])
-        for t in range(PIECE):
-            on = np.flatnonzero(lengths > t)
-            if not len(on):
-                break
-            moved = product[on] @ model.move
-            if t == 0:
-                moved[opening[on]] = model.start  # every row; the first step comes from the start
-            moved = moved * emit[grid[t, on]][:, None, :]
-            s = moved.sum((1, 2))
-            logs[on] += np.log10(s)
-            product[on] = moved / s[:, None, None]
-        for j, (i, at) in enumerate(some):
-            v = product[j][0] if at == 0 else vectors[i] @ product[j]
-            s = v.sum()
-            out[i] += logs[j] + np.log10(s)
-            vectors[i] = v / s
+    out, parts = np.zeros(len(sequences)), _cut(sequences)
+    before, _ = _messages(model, sequences, parts)
+    for some in _batches_of(parts, sequences):
+        pieces = Pieces([sequences[i][at : at + PIECE] for i, at in (parts[p] for p in some)], [parts[p][1] == 0 for p in some])
+        numbers = np.array(some)[pieces.order]
+        np.add.at(out, [parts[p][0] for p in numbers.tolist()], _forward(model, pieces, before[numbers], False)[2])
     return out
 
 
-def _batches_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[dict], list[np.ndarray]]]:
-    rows: list[tuple] = []
-    sequences: list[np.ndarray] = []
-    size = 0
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-            sequences.append(np.frombuffer(row[column], "<u2"))
-            rows.append(row)
-            size += len(sequences[-1])
-            if size >= BATCH_TOKENS:
-                yield rows, sequences
-                rows, sequences, size = [], [], 0
-    if rows:
-        yield rows, sequences
-
-
-def train(sequences: DataFrame, class_counts: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> tuple[HiddenMarkov, list[float]]:
-    """sequences: (data). Returns the model and the log likelihood before each iteration."""
-    model, history = HiddenMarkov.initial(class_counts, states), []
+def _sequences(lexicon: Lexicon, hashes: bytes, endings: bytes, lengths: bytes, ids: bytes) -> list[np.ndarray]:
+    classes = lexicon.classes_of(blobs.unpack_sorted(hashes), blobs.unpack(endings, np.uint16))
+    return np.split(classes[blobs.unpack(ids, np.uint32)], np.cumsum(blobs.unpack(lengths, np.int64))[:-1])
+
+
+def train(chunks: DataFrame, lexicon: Lexicon, states: int = STATES) -> tuple[HiddenMarkov, list[tuple[float, float]]]:
+    """chunks: those to learn from. Returns the model, and share of documents and log10 likelihood a token of every iteration."""
+    model, history, share = HiddenMarkov.initial(lexicon.counts, states), [], WARM_SHARE
     columns = [f"s{i}" for i in range(states)]
     schema = "class int, " + ", ".join(f"{c} double" for c in columns)
-    for _ in range(iterations):
-        current = model
-
-        def run(batches: Iterator[pa.RecordBatch], current: HiddenMarkov = current) -> Iterator[pa.RecordBatch]:
-            k, m = current.emit.shape
-            start, move, emit, logs = np.zeros(k), np.zeros((k, k)), np.zeros((k, m)), 0.0
-            for _, some in _batches_of(batches, 0):
-                parts = expected_counts(current, [s[at : at + PIECE] for s in some for at in range(0, len(s), PIECE)])
-                start, move, emit, logs = start + parts[0], move + parts[1], emit + parts[2], logs + parts[3]
-            table = np.vstack([emit.T, move, start, np.full(k, logs)])  # classes, then k rows of moves, start, likelihood
+    if not lexicon.tokens:
+        return model, history
+    for _ in range(MOST_ITERATIONS):
+
+        def run(batches: Iterator[pa.RecordBatch], current: HiddenMarkov = model, share: float = share) -> Iterator[pa.RecordBatch]:
+            m, k = current.emit.shape
+            start, move, emit, logs, n = np.zeros(k), np.zeros((k, k)), np.zeros((m, k)), 0.0, 0
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    some = _sequences(lexicon, *row)
+                    some = some[: math.ceil(share * len(some))]
+                    found = expected_counts(current, some)
+                    start, move, emit, logs, n = start + found[0], move + found[1], emit + found[2], logs + found[3], n + sum(map(len, some))
+            table = np.vstack([emit, move, start, np.full(k, logs), np.full(k, n)])  # classes, then k rows of moves, start, likelihood, tokens
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table)), pa.int32()), *[pa.array(table[:, i]) for i in range(k)]], ["class", *columns])
 
-        summed = sequences.mapInArrow(run, schema).groupBy("class").agg(*[F.sum(c).alias(c) for c in columns])
-        table = np.array([list(r)[1:] for r in sorted(summed.collect(), key=lambda r: r["class"])])  # CLASSES + states + 2 rows
-        if not len(table):
-            break
-        emit, move, start = table[:-states - 2].T + EMISSION_PRIOR * states / CLASSES, table[-states - 2 : -2] + TRANSITION_PRIOR, table[-2] + 1.0
-        history.append(float(table[-1, 0]))
-        model = HiddenMarkov(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-    return model, history
+        summed = chunks.select("hashes", "endings", "lengths", "ids").mapInArrow(run, schema).groupBy("class").agg(*[F.sum(c).alias(c) for c in columns])
+        table = np.array([list(r)[1:] for r in sorted(summed.collect(), key=lambda r: r["class"])])  # classes + states + 3 rows
+        model = HiddenMarkov.from_counts(table[-3], table[-states - 3 : -3], table[: -states - 3], lexicon.counts)
+        history.append((share, float(table[-2, 0] / table[-1, 0])))
+        if len(history) > 1 and history[-2][0] == share and history[-1][1] - history[-2][1] < SETTLED:
+            if share == 1.0:
+                return model, history
+            share = 1.0
+    raise RuntimeError(f"the model has not settled after {MOST_ITERATIONS} iterations")
+
 
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
-def score_texts(documents: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
+
+def score_texts(documents: DataFrame, states: int = STATES, vocabulary: int = VOCABULARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row."""
-    spark = documents.sparkSession
-    buckets = shuffle_width(spark)
-    encoded = stored(encode(documents, buckets))
-    postings = encoded.filter("kind = 0").select("key", "train", "bucket", "data", "docs", "postings", "times")
-    counted = stored(deal(postings, "bucket", buckets).mapInArrow(_count_bucket, COUNTED))
-    totals = np.zeros((2, CLASSES))
-    for row in counted.filter("key = -1").select("sums").toLocalIterator():  # one row of 2 * CLASSES numbers a bucket
-        totals += np.frombuffer(row["sums"]).reshape(2, CLASSES)
-    n, v = float(totals[0].sum()), float(totals[1].sum())
-    sequences = encoded.filter("kind = 1")
-    model, _ = train(sequences.filter("train").select("data"), totals[0], states, iterations)
-    class_logs = np.log10(totals[0] + 0.5 * (totals[1] + 1))
+    buckets = shuffle_width(documents.sparkSession)
+    chunks = stored(encode(documents))
+    lexicon, counts = count_tokens(chunks, vocabulary)
+    model, _ = train(chunks.filter("train"), lexicon, states)
+    least = 1 + len(lexicon.own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, some in _batches_of(batches, 3):
-            logs = log_likelihoods(model, some) - np.array([class_logs[s].sum() for s in some])
-            columns = [[r[i] for r in rows] for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)), pa.array([len(s) for s in some], pa.int64()), pa.array(logs)], ["key", "doc_id", "place", "n_tokens", "logs"])
-
-    scored = sequences.select("key", "doc_id", F.col("bucket").alias("place"), "data").mapInArrow(run, "key long, doc_id long, place int, n_tokens long, logs double")
-    chunks = deal(counted.filter("key >= 0"), "key", buckets).mapInArrow(_sum_chunks, "key long, place long, logs double, n_known long")
-    joined = scored.alias("s").join(chunks.alias("c"), (F.col("s.key") == F.col("c.key")) & (F.col("s.place") == F.col("c.place")))
-    base = F.col("c.logs") - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))
-    return joined.select("s.doc_id", (remainder_of(F.col("s.doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("s.logs") + F.col("c.logs")).alias("score"))
+        whole = math.log10(lexicon.tokens + 0.5 * (lexicon.distinct + 1))
+        for batch in batches:
+            for hashes, endings, docs, lengths, ids, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h, n = blobs.unpack_sorted(hashes), blobs.unpack(lengths, np.int64)
+                c = np.empty(len(h))
+                c[_bucket_cuts(h, buckets)[0]] = blobs.unpack(counts, np.uint64)
+                classes = lexicon.classes_of(h, blobs.unpack(endings, np.uint16))
+                logs = np.log10(c + 0.5)
+                inside = np.where(classes >= least, logs - lexicon.logs[np.maximum(classes - least, 0)], 0.0)
+                flat, cuts = blobs.unpack(ids, np.uint32), np.cumsum(n) - n
+                sums = [np.add.reduceat(x[flat], cuts) for x in (logs - whole, inside)]
+                known = np.add.reduceat((c > 0)[flat].astype(np.int64), cuts)
+                score = log_likelihoods(model, np.split(classes[flat], cuts[1:])) + sums[1]
+                owner = blobs.unpack(docs, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(owner[:, 1], mask=owner[:, 0] == 1), *map(pa.array, (n, known, sums[0], score))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    joined = chunks.select("key", "hashes", "endings", "docs", "lengths", "ids").join(counts, "key").drop("key")
+    scored = joined.mapInArrow(run, SCORED)
+    return scored.select("doc_id", (remainder_of(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(lexicon.tokens).cast("long").alias("train_tokens"), "base_score", "score")

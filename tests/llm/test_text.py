@@ -202,42 +202,96 @@ def test_label_model_finds_the_reliable_rules():
 
 
 def brute_forward(model, sequence):
-    a, total = model.start * model.emit[:, sequence[0]], 0.0
+    a, total = model.start * model.emit[sequence[0]], 0.0
     for x in sequence[1:]:
         s = a.sum()
         total += math.log10(s)
-        a = a / s @ model.move * model.emit[:, x]
+        a = a / s @ model.move * model.emit[x]
     return total + math.log10(a.sum())
 
 
-def test_forward_recursion_is_exact_for_short_and_long_sequences():
+def brute_expected(model, sequence):
+    """Forward and backward messages without scaling in small texts, token by token."""
+    n, k = len(sequence), len(model.start)
+    alpha, beta = np.zeros((n, k)), np.ones((n, k))
+    alpha[0] = model.start * model.emit[sequence[0]]
+    for t in range(1, n):
+        alpha[t] = alpha[t - 1] @ model.move * model.emit[sequence[t]]
+    for t in range(n - 2, -1, -1):
+        beta[t] = model.move @ (model.emit[sequence[t + 1]] * beta[t + 1])
+    total = alpha[-1].sum()
+    gamma, move = alpha * beta / total, np.zeros((k, k))
+    for t in range(1, n):
+        move += np.outer(alpha[t - 1], model.emit[sequence[t]] * beta[t]) * model.move / total
+    emitted = np.zeros(model.emit.shape)
+    np.add.at(emitted, sequence, gamma)
+    return gamma[0], move, emitted
+
+
+def test_forward_recursion_is_exact_for_short_and_long_sequences(monkeypatch):
     rng = np.random.default_rng(1)
     model = hmm_lm.HiddenMarkov.initial(rng.random(40) * 10, 3)
-    sequences = [rng.integers(0, 40, n) for n in (1, 2, 300, 1500, 1024, 5000)]
-    assert np.allclose(hmm_lm.log_likelihoods(model, sequences), [brute_forward(model, s) for s in sequences])
+    sequences = [rng.integers(0, 40, n) for n in (1, 2, 300, 1500, 1024, 2048, 2049, 5000)]
+    expected = [brute_forward(model, s) for s in sequences]
+    assert np.allclose(hmm_lm.log_likelihoods(model, sequences), expected)
+    for piece, batch in ((7, 50), (1, 3), (100, 10**6)):
+        monkeypatch.setattr(hmm_lm, "PIECE", piece)
+        monkeypatch.setattr(hmm_lm, "BATCH_TOKENS", batch)
+        assert np.allclose(hmm_lm.log_likelihoods(model, sequences), expected)
 
 
-def test_expected_counts_add_up_and_likelihood_rises(spark):
-    rng = np.random.default_rng(4)
-    pieces = [np.repeat(rng.integers(0, 2, 6), 20) * 10 + rng.integers(0, 10, 120) for _ in range(30)]
-    rows = spark.createDataFrame([(bytearray(p.astype("<u2").tobytes()),) for p in pieces], "data binary")
-    model, history = hmm_lm.train(rows, np.bincount(np.concatenate(pieces), minlength=20).astype(float), states=2, iterations=8)
-    assert all(b >= a - 1.0 for a, b in zip(history, history[1:], strict=False)) and history[-1] > history[0]
-    start, move, emit, _ = hmm_lm.expected_counts(model, pieces)
-    assert np.isclose(emit.sum(), sum(map(len, pieces))) and np.isclose(move.sum(), sum(len(p) - 1 for p in pieces)) and np.isclose(start.sum(), len(pieces))
-
-
-def test_lm_counts_match_brute_force(spark):
-    rows = corpus()
-    out = hmm_lm.score_texts(documents(spark), iterations=1)
+def test_expected_counts_are_exact_whatever_the_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = hmm_lm.HiddenMarkov.initial(rng.random(12) * 10, 3)
+    sequences = [rng.integers(0, 12, n) for n in (1, 2, 5, 30, 61, 60, 59)]
+    parts = [brute_expected(model, s) for s in sequences]
+    expected = [sum(p[i] for p in parts) for i in range(3)]
+    for piece in (4096, 1, 7, 30):
+        monkeypatch.setattr(hmm_lm, "PIECE", piece)
+        *found, logs = hmm_lm.expected_counts(model, sequences)
+        assert all(np.allclose(a, b) for a, b in zip(found, expected, strict=True)) and np.isclose(logs, sum(brute_forward(model, s) for s in sequences))
+
+
+def two_languages(n):
+    rng = random.Random(3)
+    words = [[f"a{i}xa" for i in range(30)], [f"b{i}yb" for i in range(30)]]
+    return [(i, " ".join(rng.choice(words[i % 2]) for _ in range(60)), None) for i in range(n)]
+
+
+def test_states_learn_languages_and_likelihood_rises(spark):
+    docs = documents(spark, two_languages(120))
+    chunks = hmm_lm.encode(docs)
+    lexicon, _ = hmm_lm.count_tokens(chunks)
+    model, history = hmm_lm.train(chunks.filter("train"), lexicon, states=2)
+    full = [gain for share, gain in history if share == 1.0]
+    assert len(lexicon.own) == 60 and full[-1] >= full[0] and (model.emit[1:].max(1) > 20 * model.emit[1:].min(1))[:60].mean() > 0.9
+    held = [r for r in hmm_lm.score_texts(docs, states=2).collect() if r["held_out"]]
+    assert sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held) > 0.2
+
+
+def test_probabilities_of_all_tokens_and_one_unknown_of_each_ending_add_up_to_one(spark):
+    docs = documents(spark, [(0, "aa bb cc aa bb aa aa aa bb bb bb", None), (2, "aa cc dd", None), (3, "zz ee", None)])
+    chunks = hmm_lm.encode(docs)
+    lexicon, _ = hmm_lm.count_tokens(chunks)
+    model, _ = hmm_lm.train(chunks.filter("train"), lexicon, states=2)
+    assert np.allclose(model.emit.sum(0), 1) and len(lexicon.own) == 2  # aa and bb
+    endings = lexicon.counts[1 + len(lexicon.own) :]
+    distinct = 2 * (10**lexicon.logs - endings) - 1
+    assert np.allclose((endings + 0.5 * distinct + 0.5) / 10**lexicon.logs, 1) and distinct.sum() == lexicon.distinct - 3
+
+
+def test_lm_counts_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "CHUNK_CHARS", 3000)
+    rows = [*corpus(), (80, text(80, 30_000), "a")]
+    out = hmm_lm.score_texts(documents(spark, rows), states=2).collect()
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 1
     tokens = [hmm_lm.tokens_of(t or "") for _, t, _ in rows]
     counts = collections.Counter(w for (d, *_), ts in zip(rows, tokens, strict=True) if not held(d) for w in ts)
     n, v = sum(counts.values()), len(counts)
     expected = sorted(((d, held(d), len(ts), sum(counts[w] > 0 for w in ts), n, round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ts), 5)) for (d, *_), ts in zip(rows, tokens, strict=True)), key=repr)
-    found = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in out.collect()), key=repr)
-    assert found == expected and all(r["score"] < 0 for r in out.collect())
-    assert hmm_lm.score_texts(documents(spark, []), iterations=1).collect() == []
+    found = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in out), key=repr)
+    assert found == expected and all(r["score"] < 0 for r in out)
+    assert hmm_lm.score_texts(documents(spark, []), states=2).collect() == []
 
 
 # --- op6 ----------------------------------------------------------------------------------------------------------------------------
