@@ -2,13 +2,16 @@
 
 The k-mers of a text are numbered by occurrence, so that every (k-mer, number) is distinct. One hash deals them over BINS bins; in
 each bin the PICKED smallest are selected, put back in text order, and the tuple is hashed. (One permutation cut into bins
-stands for BINS independent permutations: same selection rule, one pass.) Two texts share a bin's value if they share its minimal
-k-mers in the same order, so moved passages count as changes, unlike in a plain MinHash.
+stands for BINS independent permutations: same selection rule, one pass; the tests measure both against one another.) Two texts share a bin's value if
+they share its minimal k-mers in the same order, so moved passages count as changes, unlike in a plain MinHash.
 
-A k-mer is CHAR_K code points in every text, so that texts of any two sizes and scripts can be compared.
+A k-mer is CHAR_K code points in every text, so that texts of any two sizes and scripts can be compared. A place has PLACE_BITS bits, as many
+as the longest text can need, and the rest of 64 are the hash of the k-mer. Bins are compared by VALUE_BITS bits, so two different tuples agree by chance in one of
+2^VALUE_BITS bins.
 
-Defined results: a null text is empty; an empty text has an empty fingerprint, and two of them have likeness 1. Positions from 2^24
-on count as 2^24 - 1 in the order of a tuple.
+Defined results: a null text is empty; an empty text has an empty fingerprint, and two of them have likeness 1. Rows of equal doc_id follow one another in order
+of their text, rows without one come first, in order of a hash. Ids may be any long, spread in any way; rows that share one id are sorted by one task.
+Other columns are left out; without rows there is no result.
 """
 
 from __future__ import annotations
@@ -17,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import let, settle
+from marginalia.llm.common import broadcast_if_small, let, settle
 
 BINS_LOG2, PICKED, CHAR_K = 6, 2, 4
-PLACE_BITS = 24
+PLACE_BITS = 31
 PLACE_MASK = (1 << PLACE_BITS) - 1
 VALUE_BITS = 24
-#: Documents in one range of neighbours, ranges in one group of ranges, and first documents that may be broadcast.
-RANGE_ROWS, GROUP, BROADCAST_ROWS = 256, 4096, 500_000
+#: Documents in one range of neighbours, quantiles of ids that cut ranges, ranges in one group of ranges, first documents that may be broadcast, ranges of rows without id.
+RANGE_ROWS, QUANTILES, GROUP, BROADCAST_ROWS, NULL_RANGES = 256, 4096, 4096, 500_000, 64
 
 
 def _packed(text: Column) -> Column:
@@ -33,7 +36,7 @@ def _packed(text: Column) -> Column:
     def of_bytes(b: Column) -> Column:  # four bytes a code point, so a k-mer is cut out without a search
         n = F.floor(F.octet_length(b) / 4).cast("int")
         kmer = lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * CHAR_K)))
-        all_of = F.transform(F.sequence(F.lit(0), n - CHAR_K), lambda i: kmer(i).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(F.least(i, F.lit(PLACE_MASK)).cast("long")))
+        all_of = F.transform(F.sequence(F.lit(0), n - CHAR_K), lambda i: kmer(i).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(i.cast("long")))
         return F.when(n >= CHAR_K, all_of).when(n > 0, F.array(F.xxhash64(b).bitwiseAND(F.lit(~PLACE_MASK)))).otherwise(F.array().cast("array<bigint>"))
 
     return let(F.encode(text, "UTF-32"), of_bytes)
@@ -93,20 +96,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
+def _cut_points(ids: DataFrame, n: int) -> list[int]:
+    """Ascending quantiles of the ids, at most QUANTILES."""
+    parts = min(QUANTILES, -(-n // RANGE_ROWS))
+    if parts < 2:
+        return []
+    return sorted(set(ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * QUANTILES)).first()[0]))
+
+
+def _range_of(key: Column, cuts: list[int], lowest: int, highest: int, n: int) -> Column:
+    """How many quantiles are at most the key, and which of the equal widths that the space between two of them is cut into."""
+    step = max(1, int(len(cuts) ** 0.5))
+    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    if not cuts:
+        return F.lit(0).cast("long")
+    heads, every = longs(cuts[::step]), longs(cuts)
+    upto = lambda values: F.size(F.filter(values, lambda c: c <= key))
+    group = upto(heads) - 1
+    quantile = F.when(group < 0, F.lit(0)).otherwise(group * step + upto(F.slice(every, group * step + 1, F.lit(step))))
+    pieces = -(-n // (RANGE_ROWS * (len(cuts) + 1)))
+    if pieces == 1:
+        return quantile.cast("long")
+    wide = lambda x: x.cast("decimal(20,0)")
+    low, high = (F.get(longs(x), quantile) for x in ([lowest, *cuts], [*cuts, highest]))
+    inside = F.floor((wide(key) - wide(low)) * F.lit(pieces) / F.greatest(wide(high) - wide(low), F.lit(1).cast("decimal(20,0)")))
+    return quantile.cast("long") * pieces + F.greatest(F.least(inside.cast("long"), F.lit(pieces - 1)), F.lit(0))
+
+
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows (doc_id and columns) with next_<column>: the values of the next greater doc_id, after the last those of the first.
+    """rows (doc_id, text and columns) with next_<column>: the values of the next greater doc_id, after the last those of the first.
 
-    Ids are cut into ranges of about RANGE_ROWS; within a range a window looks ahead, and each range also gets a copy of the first
-    document of the range that follows. Rows of equal doc_id follow one another in order of their text. A null doc_id comes first.
+    Ids are cut into ranges of about RANGE_ROWS, by quantiles and equal widths between these; within a range a window looks ahead, and each range also
+    gets a copy of the first document of the range that follows.
     """
-    ids = rows.select("doc_id")
-    lowest, highest, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if lowest is None:
-        lowest = highest = 0
-    width = max(1, (highest - lowest + 1) * RANGE_ROWS // max(1, n))
-    key = F.coalesce(F.col("doc_id"), F.lit(lowest - 1))
-    place = F.floor((key.cast("decimal(20,0)") - F.lit(lowest - 1)) / F.lit(width)).cast("long")
-    ranges = settle(ids.select(key.alias("key"), place.alias("range")).groupBy("range").agg(F.min("key").alias("first")))
+    lowest, highest, n, nulls = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    cuts = _cut_points(rows.select("doc_id"), n)
+    key, place = F.col("doc_id"), _range_of(F.col("doc_id"), cuts, lowest or 0, highest or 0, n)
+    if nulls:
+        h = F.xxhash64("text")
+        key, place = F.coalesce(key, h), F.when(F.col("doc_id").isNull(), F.shiftrightunsigned(h, 58) % NULL_RANGES - NULL_RANGES).otherwise(place)
+    ranges = settle(rows.select(key.alias("key"), place.alias("range")).groupBy("range").agg(F.min("key").alias("first")))
     groups = ranges.groupBy(F.floor(F.col("range") / GROUP).alias("group")).agg(F.min("range").alias("start"))
     after = groups.select("group", F.lead("start").over(W.orderBy("group")).alias("following"))
     inside = W.partitionBy("group").orderBy("range")
@@ -114,10 +143,9 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     ends = ordered.select("range", F.coalesce(F.lead("range").over(inside), F.col("following")).alias("to"))
     bottom = ranges.agg(F.min("range")).first()[0]
     links = ranges.alias("r").join(ends.select(F.col("range").alias("before"), F.coalesce("to", F.lit(bottom)).alias("target")).alias("e"), F.col("r.range") == F.col("e.target"))
-    links = settle(links.select(F.col("r.first").alias("_first"), F.col("e.before").alias("_before")))
-    small = links.count() <= BROADCAST_ROWS
+    links = broadcast_if_small(settle(links.select(F.col("r.range").alias("_at"), F.col("r.first").alias("_first"), F.col("e.before").alias("_before"))), BROADCAST_ROWS)
     keyed = rows.withColumn("_key", key).withColumn("_range", place)
-    joined = keyed.join(F.broadcast(links) if small else links, F.col("_key") == F.col("_first"), "left")
+    joined = keyed.join(links, (F.col("_key") == F.col("_first")) & (F.col("_range") == F.col("_at")), "left")
     here, copy = F.struct(F.col("_range").alias("at"), F.lit(False).alias("copy")), F.struct(F.col("_before").alias("at"), F.lit(True).alias("copy"))
     dealt = joined.select(*rows.columns, "_key", F.explode(F.when(F.col("_before").isNull(), F.array(here)).otherwise(F.array(here, copy))).alias("_to"))
     window = W.partitionBy("_to.at").orderBy("_to.copy", "_key", "text")

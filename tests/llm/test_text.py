@@ -8,8 +8,9 @@ import re
 import zlib
 
 import numpy as np
+import xxhash
 
-from marginalia.llm import hmm_lm, packing, template_html, toxicity, weak_quality
+from marginalia.llm import hmm_lm, order_minhash, packing, template_html, toxicity, weak_quality
 from marginalia.llm.mixing import mix
 from marginalia.llm.order_minhash import fingerprints
 from marginalia.llm.url_cascade import Rule, build_cascade, judge_urls
@@ -374,6 +375,90 @@ def test_fingerprints_of_odd_tables(spark):
     assert fingerprints(documents(spark, [(7, "only one", None)])).collect()[0]["near_next"] == 1
 
 
+def hash_of(*parts, seed=42):
+    """xxHash64 of columns in a row, each seeded with what came before."""
+    for p in parts:
+        data = p if isinstance(p, bytes) else p[0].to_bytes(p[1], "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_sketch(t, k=4, low=31):
+    """The selection rule word by word: number the k-mers, deal them over 64 bins, take the two smallest of each, back into text order."""
+    raw = [t[i : i + k].encode("utf-32-be") for i in range(max(1, len(t) - k + 1))] if t else []
+    kmers = [hash_of(x) >> low for x in raw]
+    seen, bins = collections.Counter(), collections.defaultdict(list)
+    for place, x in enumerate(kmers):
+        h = hash_of((x, 8), (seen[x], 4)) >> low
+        seen[x] += 1
+        bins[(h >> (64 - low - 6)) & 63].append((h, place))
+    out = {}
+    for b, found in bins.items():
+        ordered = [h for h, _ in sorted(sorted(found)[:2], key=lambda f: f[1])]
+        out[b] = hash_of(*((h, 8) for h in ordered)) & 0xFFFFFF
+    return out
+
+
+def test_fingerprints_and_likeness_match_brute_force(spark):
+    rows = [(d, t, s) for d, t, s in corpus() if d is not None and d != 70] + [(90, "\U0001f44d日本" * 50, None), (91, "abab" * 40, None)]
+    out = {r["doc_id"]: r for r in fingerprints(documents(spark, rows)).collect()}
+    ordered = sorted(rows)
+    for i, (d, t, _) in enumerate(ordered):
+        mine, other = brute_sketch(t or ""), brute_sketch(ordered[(i + 1) % len(ordered)][1] or "")
+        assert sorted(int(out[d]["fingerprint"][j : j + 8], 16) for j in range(0, len(out[d]["fingerprint"]), 8)) == sorted((b << 24) + v for b, v in mine.items())
+        n = len(mine.keys() | other.keys())
+        assert np.isclose(out[d]["near_next"], sum(mine.get(b) == v for b, v in other.items()) / n if n else 1)
+
+
+def test_one_permutation_in_bins_agrees_with_independent_permutations():
+    """Likeness of the sketch against Order MinHash with 256 permutations of their own, over pairs from equal to unrelated."""
+    rng, gaps = random.Random(2), []
+    for i in range(24):
+        a = text(i, 120)
+        words = a.split(" ")
+        for _ in range(i):
+            words[rng.randrange(len(words))] = text(rng.randrange(10**6), 1)
+        b = " ".join(words if i % 3 else words[60:] + words[:60])
+        numbered = []
+        for t in (a, b):
+            seen, places = collections.Counter(), []
+            for j in range(len(t) - 3):
+                places.append((t[j : j + 4], seen[t[j : j + 4]]))
+                seen[t[j : j + 4]] += 1
+            numbered.append(places)
+        agree = 0
+        for seed in range(256):
+            picks = [[x for _, _, x in sorted(sorted((xxhash.xxh64_intdigest(repr(x), seed=seed), j, x) for j, x in enumerate(p))[:2], key=lambda y: y[1])] for p in numbered]
+            agree += picks[0] == picks[1]
+        x, y = brute_sketch(a), brute_sketch(b)
+        gaps.append(sum(x.get(k) == v for k, v in y.items()) / len(x.keys() | y.keys()) - agree / 256)
+    assert abs(np.mean(gaps)) < 0.05 and np.mean(np.abs(gaps)) < 0.1, gaps
+
+
+def test_half_equal_texts_of_any_length_are_alike(spark):
+    rows = [(i, text(i, 3000)[:n], None) for i, n in enumerate((10, 20, 50, 100, 200, 250, 260, 300, 500, 512, 600, 1000, 3000, 10_000))]
+    rows = [(2 * i, t, None) for i, t, _ in rows] + [(2 * i + 1, "", None) for i, *_ in rows]
+    out = {r["doc_id"]: r for r in fingerprints(documents(spark, rows)).collect()}
+    near = [out[d]["near_edited"] for d, t, _ in rows if t]  # about a quarter: two picks, each in the half that stays
+    assert min(near) > 0.1 and np.mean(near) > 0.2, near
+
+
+def test_neighbours_of_ids_at_the_ends_and_in_heaps(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "RANGE_ROWS", 3)
+    monkeypatch.setattr(order_minhash, "QUANTILES", 5)
+    ids = [-(2**63), -(2**63) + 1, *range(1, 90), 10**15, 2**63 - 2, 2**63 - 1]
+    rows = [(d, f"text {d}", None) for d in ids]
+    random.Random(1).shuffle(rows)
+    frame = documents(spark, rows).select("doc_id", "text")
+    assert collected(order_minhash.with_next(frame, ["text"]), "doc_id", "next_text") == sorted(((d, f"text {ids[(i + 1) % len(ids)]}") for i, d in enumerate(ids)), key=repr)
+    cuts = order_minhash._cut_points(frame, len(ids))
+    spread = frame.groupBy(order_minhash._range_of(frame["doc_id"], cuts, min(ids), max(ids), len(ids)).alias("r")).count().collect()
+    assert max(r["count"] for r in spread) <= 25
+    nulls = documents(spark, [(None, f"n{i}", None) for i in range(50)] + [(5, "five", None)]).select("doc_id", "text")
+    found = order_minhash.with_next(nulls, ["text"]).collect()
+    assert sorted(r["next_text"] for r in found) == sorted(r["text"] for r in found) and [r["next_text"] for r in found if r["text"] == "five"][0].startswith("n")
+
+
 # --- op9 ----------------------------------------------------------------------------------------------------------------------------
 
 RULES = [Rule("block", "com/en/"), Rule("allow", "example.com/en/7"), Rule("allow", "net/de/"), Rule("block", "org/es/")]
