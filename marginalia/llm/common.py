@@ -44,7 +44,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, whatever their length."""
+    """Keep Arrow batches of texts small, whatever their length. Batches are sized when a job runs, so the setting of the session stays as it is set here."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
         spark.conf.set(key, str(TEXT_BATCH))
@@ -78,6 +78,17 @@ def remainder_of(doc_id: Column, divisor: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
+def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """Rows numbered from 0 in an order: sorted by range, numbered inside each range, and offset by a table of the sizes of the ranges."""
+    from pyspark.sql import Window as W
+
+    ranged = settle(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = ranged.withColumn("_place", F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1)
+    return placed.join(before, "_range").select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, name: str = "rank", extras: DataFrame | None = None) -> DataFrame:
     """Number the rows of each key from 0 without gathering a hot key in one task.
 

@@ -11,7 +11,8 @@ words wanted so far; the error left is that of the smallest sizes. Which documen
 of their id, numbered across the cluster, so reruns agree.
 
 Defined results: a null text has size 0 and gives no words; a null source is a source of its own, the last; repeated rows are documents
-each. A source without words has target 0.
+each. A source without words has target 0. Texts of any length count whole; other columns are left out. It is an error if STEPS
+Newton steps don't bring every source within CLOSE_ENOUGH of its target.
 """
 
 from __future__ import annotations
@@ -20,14 +21,12 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WORD_PATTERN, salted_rank, settle, stored
+from marginalia.llm.common import WORD_PATTERN, numbered, salted_rank, settle, stored
 
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
-STEPS, CLOSE_ENOUGH, SALTS = 60, 1e-10, 64
-
+STEPS, CLOSE_ENOUGH, SALTS = 100, 1e-10, 64
 
 
 def size_of(text: Column) -> Column:
@@ -37,9 +36,8 @@ def size_of(text: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
     """(source, source_size, target): shares of `share` times all words by repeating weights; what would be above `most` times a source is reshared."""
     totals = settle(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights)).cast("int") + 1)
-    weighed = settle(totals.withColumn("weight", weight))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights)).cast("int") + 1)
+    weighed = settle(numbered(totals, F.col("source").asc_nulls_last(), "place").withColumn("weight", weight))
     budget = share * (weighed.agg(F.sum("source_size")).first()[0] or 0)
     level, full = 0.0, -1
     while True:  # each round fills at least one more source
@@ -72,9 +70,9 @@ def tilts(counts: DataFrame, targets: DataFrame, most: int = MOST_COPIES) -> Dat
         done = F.col("off") <= CLOSE_ENOUGH
         state = settle(nearer.select("source", "unit", "goal", F.when(done, F.col("tilt")).when(inside, F.col("step")).otherwise(wide).alias("tilt"), "low", "high", "off"))
         if (state.agg(F.max("off")).first()[0] or 0.0) <= CLOSE_ENOUGH:
-            break
+            return state.select("source", "unit", "tilt")
         state = state.drop("off")
-    return state.select("source", "unit", "tilt")
+    raise RuntimeError(f"the tilts are still off their targets after {STEPS} Newton steps")
 
 
 ROUNDED = "source string, size long, source_size long, target double, rate double, base int, extra long"

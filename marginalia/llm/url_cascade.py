@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import lower_ascii, settle
 
 BITS_PER_KEY, HASHES, KEYS_PER_SHARD, MOST_LEVELS = 8, 5, 1 << 16, 64
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES, SALTS = 4 << 20, 8
 
 
 @dataclass(frozen=True)
@@ -80,8 +80,12 @@ class Cascade:
         if self.filters is None:
             return rows.withColumn(name, F.lit(False))
         filters = self.filters.withColumnRenamed("shard", "_shard")
-        small = F.broadcast(filters) if self.size_bytes <= BROADCAST_BYTES else filters
-        keyed = rows.withColumn("_key", key).withColumn("_shard", _shard(F.col("_key"), self.shards)).join(small, "_shard")
+        keyed = rows.withColumn("_key", key).withColumn("_shard", _shard(F.col("_key"), self.shards))
+        if self.size_bytes <= BROADCAST_BYTES:
+            keyed = keyed.join(F.broadcast(filters), "_shard")
+        else:  # a key that very many rows have is dealt over the salts
+            salted = filters.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, ["_shard", "_salt"])
         listed = F.lit(False)
         for level in reversed(range(len(self.bits))):
             listed = _passes(F.col(f"_level{level}"), F.col("_key"), level, self.bits[level]) & ~listed

@@ -23,7 +23,7 @@ from marginalia.llm.common import SPACE_CLASS, let, stored, words_of
 SYMBOLS = "#*$%&|<>"
 #: Common words of four languages: text without any of them is a list, a table or noise.
 FUNCTION_WORDS = "the of and to in is that it for with are be der die das und in den zu ist nicht für le la les de des et un une du en que est el los las y por con no se para".split()
-MOST_ITERATIONS, CLOSE_ENOUGH, SMOOTHING = 200, 1e-9, 1.0
+MOST_ITERATIONS, CLOSE_ENOUGH, SMOOTHING = 20_000, 1e-9, 1.0
 
 
 def counts_of(text: Column) -> dict[str, Column]:
@@ -105,7 +105,7 @@ def fit_label_model(patterns: list[tuple[tuple[int | None, ...], int]]) -> Label
     """Expectation-maximisation over (votes, count). Good and bad each have their own rate of good votes for each rule.
 
     Abstaining carries no information. The first guess of a pattern is its share of good votes, which fixes which class is which;
-    counts are smoothed by SMOOTHING on either side, so no rate is 0 or 1.
+    counts are smoothed by SMOOTHING on either side, so no rate is 0 or 1. It is an error if the guesses still move after MOST_ITERATIONS.
     """
     width = len(patterns[0][0]) if patterns else 0
     guess = [(sum(v or 0 for v in votes) + 1.0) / (sum(v is not None for v in votes) + 2.0) for votes, _ in patterns]
@@ -127,8 +127,8 @@ def fit_label_model(patterns: list[tuple[tuple[int | None, ...], int]]) -> Label
         moved = max((abs(a - b) for a, b in zip(new, guess, strict=True)), default=0.0)
         guess = new
         if moved < CLOSE_ENOUGH:
-            break
-    return LabelModel(prior, odds, step)
+            return LabelModel(prior, odds, step)
+    raise RuntimeError(f"the label model still moves after {MOST_ITERATIONS} iterations")
 
 
 def quality(documents: DataFrame, rules: list[QualityRule] = RULES) -> DataFrame:
