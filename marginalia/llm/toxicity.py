@@ -4,18 +4,20 @@ A logistic model over words and beginnings of words, present or not. Besides the
 every change of score that comes from swapping an identity term in a labelled sentence for another of the same group, so
 that a neutral mention of a group doesn't raise the score by itself.
 
-Fitting uses a bounded sample: at most `most_rows` labelled documents, those with the smallest hash of their id, and `most_features`
-features, those that tell the classes apart best in that sample and by LEAST_EVIDENCE (natural log of the likelihood ratio) at least. Every document is scored, over its whole text.
+Fitting uses a bounded sample: at most `most_rows` labelled documents, those with the smallest hash of their id. From it come all features of LEAST_DOCUMENTS
+documents that tell the classes apart by LEAST_EVIDENCE (natural log of the likelihood ratio), and all swaps: their penalty is quadratic in the weights of the
+features of identity terms, so it is kept as one matrix over these, summed over all sentences of the sample. Every document is scored, over its whole text.
 
 Defined results: a null or empty text has no features and gets the score of the intercept. Labels that are null are ignored; several
 labels of one document count as toxic if one of them is. Without any toxic or any clean label the score is the smoothed share of
-toxic labels.
+toxic labels. Rows that share a doc_id are scored each, and the one with the smallest text is learnt from; texts of any length are read whole; other columns are left out.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,10 +29,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from marginalia.llm.common import remainder_of, stored, text_batches
 
-MOST_ROWS, MOST_FEATURES, LEAST_DOCUMENTS, LEAST_EVIDENCE = 20_000, 8_192, 3, 5.0
+MOST_ROWS, LEAST_DOCUMENTS, LEAST_EVIDENCE = 20_000, 3, 5.0
 SHORTEST, LONGEST = 3, 8  # of beginnings of words
 L2, FAIRNESS, STEPS = 1e-4, 1.0, 400
-MOST_SWAPS = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 #: Terms that may be swapped for one another, in four languages.
@@ -83,12 +84,12 @@ def sample_labels(labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
 
 
-def fit(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES) -> ToxicityModel:
+def fit(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> ToxicityModel:
     """most_rows bounds what is broadcast, stored and learnt from."""
     text_batches(documents.sparkSession)
     chosen = F.broadcast(sample_labels(labels, most_rows))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    train = stored(rows.join(chosen, "doc_id").select("doc_id", "toxic", "text"))
+    train = stored(rows.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
     totals = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), sum(n for y, n in totals.items() if y != 1)
     prior = math.log((toxic + 0.5) / (clean + 0.5)) if toxic + clean else math.log(0.5 / 1.5)
@@ -108,50 +109,52 @@ def fit(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, mos
     rate = (a + b) / float(toxic + clean)
     part = lambda x, n: F.when(x > 0, x * F.log(x / (F.lit(float(n)) * rate))).otherwise(0.0)
     evidence = part(a, toxic) + part(b, clean)
-    best = counted.filter(a + b >= LEAST_DOCUMENTS).select("feature", evidence.alias("evidence")).filter(F.col("evidence") >= LEAST_EVIDENCE).orderBy(F.desc("evidence"), "feature").limit(most_features)
+    best = counted.filter(a + b >= LEAST_DOCUMENTS).select("feature", evidence.alias("evidence")).filter(F.col("evidence") >= LEAST_EVIDENCE).orderBy("feature")  # bounded by the sample
     terms = sorted({f for t in SWAPS for f in features_of_word(t)})
     names = list(dict.fromkeys([r["feature"] for r in best.collect()] + terms))
     index = {f: i for i, f in enumerate(names)}
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, list[int], list[int]]] = []
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.append((int(y == 1), sorted(index[f] for f in features_of(text) if f in index), []))
-                out.extend((-1, sorted(index[f] for f in x - z if f in index), sorted(index[f] for f in z - x if f in index)) for x, z in swapped(text))
-            kinds, plus, minus = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(plus, pa.list_(pa.int32())), pa.array(minus, pa.list_(pa.int32()))], ["kind", "plus", "minus"])
-
-    looked = stored(train.select("toxic", "text").mapInArrow(look_up, "kind int, plus array<int>, minus array<int>"))
-    documents_seen = looked.filter("kind >= 0").collect()  # at most most_rows
-    swaps = looked.filter("kind < 0").groupBy("plus", "minus").count().orderBy(F.desc("count"), "plus", "minus").limit(MOST_SWAPS).collect()
-    return _train(names, [(r["kind"], r["plus"]) for r in documents_seen], [(r["plus"], r["minus"], r["count"]) for r in swaps], prior)
+            found = [sorted(index[f] for f in features_of(text) if f in index) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(y == 1) for y in batch.column(0).to_pylist()], pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["toxic", "features"])
 
-
-def _train(names: list[str], rows: list[tuple[int, list[int]]], swaps: list[tuple[list[int], list[int], int]], prior: float) -> ToxicityModel:
+    def sum_swaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the changes s of all swaps, the sum of s s', a cell a row; the cell (-1, -1) is their number."""
+        for batch in batches:
+            cells: Counter[tuple[int, int]] = Counter()
+            for text in batch.column(0).to_pylist():
+                for x, z in swapped(text):
+                    change = [*((index[f], 1) for f in x - z), *((index[f], -1) for f in z - x)]
+                    cells.update({(-1, -1): 1})
+                    for i, u in change:
+                        for j, v in change:
+                            cells[i, j] += u * v
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in cells], pa.int32()), pa.array([j for _, j in cells], pa.int32()), pa.array(cells.values(), pa.int64())], ["i", "j", "n"])
+
+    rows = train.select("toxic", "text").mapInArrow(look_up, "toxic int, features array<int>").collect()  # at most most_rows
+    swaps = train.select("text").mapInArrow(sum_swaps, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).orderBy("i", "j").collect()  # at most len(terms)^2 cells
+    return _train(names, [(r["toxic"], r["features"]) for r in rows], {(r["i"], r["j"]): r["n"] for r in swaps}, prior)
+
+
+def _train(names: list[str], rows: list[tuple[int, list[int]]], swaps: dict[tuple[int, int], int], prior: float) -> ToxicityModel:
     """Accelerated gradient descent on log loss + FAIRNESS * mean squared change of score over swaps + L2."""
     rows = sorted(rows)
     y = np.array([k for k, _ in rows], dtype=float)
     at, col = np.repeat(np.arange(len(rows)), [len(c) for _, c in rows]), np.array([i for _, c in rows for i in c], dtype=np.int64)
-    s_at = np.repeat(np.arange(len(swaps)), [len(p) + len(m) for p, m, _ in swaps])
-    s_col = np.array([i for p, m, _ in swaps for i in (*p, *m)], dtype=np.int64)
-    s_sign = np.array([v for p, m, _ in swaps for v in (*[1.0] * len(p), *[-1.0] * len(m))])
-    s_n = np.array([n for *_, n in swaps], dtype=float)
-    s_n = FAIRNESS * s_n / max(1.0, s_n.sum())
+    weight = FAIRNESS / max(1, swaps.get((-1, -1), 0))
+    cells = [(i, j, weight * n) for (i, j), n in swaps.items() if i >= 0]
+    s_row, s_col = (np.array([c[k] for c in cells], dtype=np.int64) for k in (0, 1))
+    s_value = np.array([c[2] for c in cells], dtype=float)
     n, d = len(rows), len(names)
     # a diagonal bound on the curvature gives each weight a step of its own
     wide = np.bincount(at, minlength=n) + 1.0
-    curve = 0.25 * np.bincount(col, wide[at], minlength=d) / n + L2
-    if len(swaps):
-        curve += 2 * np.bincount(s_col, (s_n * np.bincount(s_at, minlength=len(swaps)))[s_at], minlength=d)
+    curve = 0.25 * np.bincount(col, wide[at], minlength=d) / n + L2 + 2 * np.bincount(s_row, np.abs(s_value), minlength=d)
     w, v, b, c = np.zeros(d), np.zeros(d), prior, prior
     b_curve = 0.25 * wide.mean()
     for t in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(c + np.bincount(at, v[col], minlength=n), -500, 500)))
-        grad = np.bincount(col, (p - y)[at], minlength=d) / n + L2 * v
-        if len(swaps):
-            change = np.bincount(s_at, s_sign * v[s_col], minlength=len(swaps))
-            grad += 2 * np.bincount(s_col, s_sign * (s_n * change)[s_at], minlength=d)
+        grad = np.bincount(col, (p - y)[at], minlength=d) / n + L2 * v + 2 * np.bincount(s_row, s_value * v[s_col], minlength=d)
         w_new, b_new = v - grad / curve, c - (p - y).mean() / b_curve
         k = t / (t + 3)
         v, c, w, b = w_new + k * (w_new - w), b_new + k * (b_new - b), w_new, b_new
@@ -159,7 +162,7 @@ def _train(names: list[str], rows: list[tuple[int, list[int]]], swaps: list[tupl
 
 
 def score(documents: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
-    """documents with the probability of being toxic. The model is bounded by most_features and travels with the task."""
+    """documents with the probability of being toxic. The model is bounded by the sample that it was fitted on and travels with the task."""
     text_batches(documents.sparkSession)
     schema = documents.schema
     keep = [c for c in documents.columns if c != name]

@@ -502,10 +502,29 @@ def test_toxicity_learns_words_and_not_mentions(spark):
 
 def test_swaps_lower_the_weight_of_identity_terms():
     rows = [(1, [0, 1])] * 10 + [(0, [2])] * 10
-    plain, fair = (toxicity._train(["bad", "women", "men"], rows, swaps, 0.0).weights for swaps in ([], [([1], [2], 5)]))
+    plain, fair = (toxicity._train(["bad", "women", "men"], rows, swaps, 0.0).weights for swaps in ({}, {(-1, -1): 5, (1, 1): 5, (1, 2): -5, (2, 1): -5, (2, 2): 5}))
     assert abs(fair["women"] - fair["men"]) < 0.5 * abs(plain["women"] - plain["men"])
 
 
+def test_the_matrix_of_swaps_is_the_sum_over_sentences(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "_train", lambda names, rows, swaps, prior: seen.update(names=names, swaps=swaps) or toxicity.ToxicityModel(0.0))
+    rows = toxic_rows()
+    toxicity.fit(documents(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    trained = [t for d, t, _ in rows if zlib.crc32(str(d).encode()) % 5 != 0 and d < 400]
+    expected, n = np.zeros((len(seen["names"]),) * 2), 0
+    for t in trained:
+        for x, z in toxicity.swapped(t):
+            change = np.array([(f in x) - (f in z) for f in seen["names"]])
+            expected += np.outer(change, change)
+            n += 1
+    found = np.zeros_like(expected)
+    for (i, j), v in seen["swaps"].items():
+        if i >= 0:
+            found[i, j] = v
+    assert n > 0 and seen["swaps"][-1, -1] == n and (found == expected).all()
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in toxicity.toxicity(documents(spark), none).collect()} == {0}
