@@ -73,7 +73,7 @@ ACRONYMS = ("ai", "ml", "llm", "mcp", "api", "ux", "ui", "gpu", "seo", "vc", "3d
 def topic_label(topic: Column, acronyms: tuple[str, ...] = ACRONYMS) -> Column:
     """`machine-learning-and-ai` as `Machine Learning & AI`."""
     words = F.split(topic, "-")
-    word = lambda w: F.when(w.isin(*acronyms), F.upper(w)).when(w == "and", F.lit("&")).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000))))
+    word = lambda w: F.when(w.isin(*acronyms), F.upper(w)).when(w == "and", F.lit("&")).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
     return F.array_join(F.transform(words, word), " ")
 
 
@@ -136,12 +136,13 @@ def video_key(url: Column) -> Column:
 
 
 def with_query(url: Column, name: str, value: str) -> Column:
-    """The URL with one query parameter set, the others and their order kept."""
-    head, query, pair = F.substring_index(url, "?", 1), F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), f"{name}={value}"
+    """The URL with one query parameter set, the others and their order and the fragment kept."""
+    whole, fragment = F.substring_index(url, "#", 1), F.regexp_extract(url, "(?s)(#.*)$", 1)
+    head, query, pair = F.substring_index(whole, "?", 1), F.regexp_extract(whole, r"(?s)\?(.*)$", 1), f"{name}={value}"
     parts = F.filter(F.split(query, "&"), lambda p: p != "")
     has = F.exists(parts, lambda p: F.substring_index(p, "=", 1) == name)
     changed = F.transform(parts, lambda p: F.when(F.substring_index(p, "=", 1) == name, pair).otherwise(p))
-    return F.concat(head, F.lit("?"), F.array_join(F.when(has, changed).otherwise(F.array_append(parts, F.lit(pair))), "&"))
+    return F.concat(head, F.lit("?"), F.array_join(F.when(has, changed).otherwise(F.array_append(parts, F.lit(pair))), "&"), fragment)
 
 
 # --- media ------------------------------------------------------------------------------------------------------------------------
@@ -243,8 +244,8 @@ def overview_flag(similarity: Column, threshold: float = 0.7, identical: float =
 
 
 def has_speech(flag: Column, text: Column, segments: Column) -> Column:
-    """(X32) segments: array of struct with text."""
-    return F.coalesce(flag, F.trim(F.coalesce(text, F.lit(""))) != "", F.lit(False)) | F.coalesce(flag.isNull() & F.exists(segments, lambda s: F.trim(s["text"]) != ""), F.lit(False))
+    """What the tool says; else whether there is text or any segment, be it blank."""
+    return F.coalesce(flag, (F.trim(F.coalesce(text, F.lit(""))) != "") | (F.coalesce(F.size(segments), F.lit(0)) > 0))
 
 
 def transcript_text(text: Column, segments: Column) -> Column:

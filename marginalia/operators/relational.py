@@ -39,15 +39,25 @@ def running_totals(df: DataFrame, order: str, columns: Sequence[str], prefix: st
     return df.select("*", *[F.sum(c).over(w).alias(prefix + c) for c in columns])
 
 
+def sums_before(parts: DataFrame, part: str, value: str, stretch: int = 4096) -> DataFrame:
+    """(part, _before): the sum of value over all smaller parts, a whole number each. Parts are summed inside stretches of them, and only a
+    row for each stretch meets in one task."""
+    cut = parts.withColumn("_stretch", F.floor(F.col(part) / stretch))
+    whole = cut.groupBy("_stretch").agg(F.sum(value).alias("_sum"))
+    ahead = W.rowsBetween(W.unboundedPreceding, -1)
+    starts = whole.select("_stretch", F.coalesce(F.sum("_sum").over(ahead.orderBy("_stretch")), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum(value).over(ahead.partitionBy("_stretch").orderBy(part)), F.lit(0))
+    return cut.withColumn("_inside", inside).join(starts, "_stretch").select(part, (F.col("_start") + F.col("_inside")).alias("_before"))
+
+
 def budget_prefix(df: DataFrame, eligible: Column, order: Sequence[Column], limit: int, parts: str) -> DataFrame:
     """Rows up to where `limit` eligible ones have been seen, with `taken`.
 
-    `parts` is a column that cuts the order into stretches that follow one another; sums run inside a stretch and a small table has
-    what comes before each, so the whole order never meets in one task.
+    `parts` is a column of whole numbers that cuts the order into stretches that follow one another; sums run inside a stretch and a
+    small table has what comes before each, so the whole order never meets in one task.
     """
     marked = df.withColumn("_e", F.coalesce(eligible, F.lit(False)).cast("int"))
-    before = marked.groupBy(parts).agg(F.sum("_e").alias("_n"))
-    before = before.select(parts, F.coalesce(F.sum("_n").over(W.orderBy(parts).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = sums_before(marked.groupBy(parts).agg(F.sum("_e").alias("_n")), parts, "_n")
     open_parts = before.filter(F.col("_before") < limit)
     inside = F.sum("_e").over(W.partitionBy(parts).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     seen = marked.join(open_parts, parts).withColumn("_seen", F.col("_before") + inside - F.col("_e"))
@@ -63,18 +73,21 @@ def positional_zip(left: DataFrame, right: DataFrame, key: str, left_order: Sequ
 
 def batches(df: DataFrame, order: Sequence[Column], size: int, parts: str) -> DataFrame:
     """Consecutive batches of `size` (W9); `parts` as for budget_prefix."""
-    counts = df.groupBy(parts).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(parts, F.coalesce(F.sum("_n").over(W.orderBy(parts).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = sums_before(df.groupBy(parts).agg(F.count(F.lit(1)).alias("_n")), parts, "_n")
     place = F.row_number().over(W.partitionBy(parts).orderBy(*order)) - 1
     return df.withColumn("_place", place).join(before, parts).select(*df.columns, F.floor((F.col("_before") + F.col("_place")) / size).cast("long").alias("batch"))
 
 
 def evenly(df: DataFrame, group: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
-    """At most `most` rows of each group, both ends kept, spread evenly (W8): the places round(i * last / (most - 1))."""
+    """At most `most` rows of each group, both ends kept, spread evenly (W8): the places round(k * last / (most - 1)), half to even.
+
+    A place i is kept if a whole k near i * (most - 1) / last rounds to it, so no list of places is made."""
     w = W.partitionBy(*group)
     numbered = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_last", F.count(F.lit(1)).over(w) - 1)
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * F.col("_last") / F.lit(max(1, most - 1))).cast("long"))
-    kept = (F.col("_last") < most) | F.array_contains(wanted, F.col("_i").cast("long"))
+    steps = max(1, most - 1)
+    near = F.floor(F.col("_i") * steps / F.greatest("_last", F.lit(1)))
+    hits = [(near + d).between(0, most - 1) & (F.bround((near + d) * F.col("_last") / F.lit(steps)) == F.col("_i")) for d in (-1, 0, 1)]
+    kept = (F.col("_last") < most) | hits[0] | hits[1] | hits[2]
     return numbered.filter(kept).drop("_i", "_last")
 
 

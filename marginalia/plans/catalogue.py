@@ -2,109 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import predicates, scalars
-from marginalia.operators.relational import batches, budget_prefix, evenly, insert_if_absent, known_and_new, newest, positional_zip, same_bag, term_cosine
-from marginalia.plans import diff, topics
+from marginalia.operators.relational import batches, budget_prefix, evenly, first_seen, insert_if_absent, known_and_new, positional_zip, same_bag
+from marginalia.plans import catalogue_items, diff, topics
+from marginalia.plans.registry import ORACLES, QUERIES, read, register
 from marginalia.streaming import feed
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str | None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[query.__name__] = query
-        if sql:
-            ORACLES[query.__name__] = sql
-        return query
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-@register("""
-SELECT month, new_total, CAST(sum(new_total) OVER w AS BIGINT) AS cum_total, CAST(sum(bm) OVER w AS BIGINT) AS cum_bm, CAST(sum(own) OVER w AS BIGINT) AS cum_own
-FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS new_total, count(*) FILTER (o_orderstatus = 'F') AS bm, count(*) FILTER (o_orderstatus = 'O') AS own FROM orders GROUP BY 1)
-WINDOW w AS (ORDER BY month ROWS UNBOUNDED PRECEDING)
-""")
-def growth_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running totals by month; one row a month, so the ordered window is small."""
-    months = (
-        read(spark, sf_dir, "orders")
-        .groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-        .agg(F.count(F.lit(1)).alias("new_total"), F.count_if(F.col("o_orderstatus") == "F").alias("bm"), F.count_if(F.col("o_orderstatus") == "O").alias("own"))
-    )
-    w = W.orderBy("month").rowsBetween(W.unboundedPreceding, 0)
-    return months.select("month", "new_total", F.sum("new_total").over(w).alias("cum_total"), F.sum("bm").over(w).alias("cum_bm"), F.sum("own").over(w).alias("cum_own"))
+__all__ = ["ORACLES", "QUERIES", "catalogue_items"]  # importing the two catalogues fills the registry
 
 
 # --- aggregates and top lists ------------------------------------------------------------------------------------------------------
 
 
-@register("""SELECT o_orderpriority AS topic, count(*) AS n FROM orders GROUP BY 1""")
-def topic_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3"""
-    return read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("""SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY 1""")
 def tag_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4, O3"""
     return read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("""
-SELECT o_orderpriority AS topic, o_orderkey, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 5
-""")
-def topic_recent_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5, W2"""
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("topic"), "o_orderkey", "o_orderdate")
-    return newest(rows, ["topic"], [F.desc("o_orderdate"), F.col("o_orderkey")], 5).select("topic", "o_orderkey", F.col("rank").cast("long").alias("rank"))
-
-
-@register("""
-SELECT o_custkey, c_name, n FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 10)
-JOIN customer ON c_custkey = o_custkey
-""")
-def top_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6, O9"""
-    counts = read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "o_custkey").limit(10)
-    return read(spark, sf_dir, "customer").join(F.broadcast(top), F.col("c_custkey") == F.col("o_custkey")).select("o_custkey", "c_name", "n")  # ten rows
-
-
-@register("""
-SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS domain, count(*) AS n FROM pages GROUP BY 1 HAVING domain <> 'x.com' ORDER BY n DESC, domain LIMIT 10
-""")
-def top_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A7, F28"""
-    counts = read(spark, sf_dir, "pages").groupBy(scalars.host(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter("domain <> 'x.com'").orderBy(F.desc("n"), "domain").limit(10)
-
-
-@register("""
-WITH c AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS topic, count(*) AS n FROM orders GROUP BY 1, 2)
-SELECT month, topic, n, rank, CAST(total AS BIGINT) AS total FROM (
-  SELECT *, row_number() OVER (PARTITION BY month ORDER BY n DESC, topic) AS rank, sum(n) OVER (PARTITION BY month) AS total FROM c) WHERE rank <= 6
-""")
-def month_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A8"""
-    counts = read(spark, sf_dir, "orders").groupBy(scalars.month(F.col("o_orderdate")).alias("month"), F.col("o_orderpriority").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.withColumn("total", F.sum("n").over(W.partitionBy("month")))
-    return newest(whole, ["month"], [F.desc("n"), F.col("topic")], 6).select("month", "topic", "n", F.col("rank").cast("long").alias("rank"), "total")
-
-
 @register("""
 SELECT count(*) AS items, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS enriched, count(*) FILTER (n_chars > 0) AS with_content, count(*) FILTER (lang = 'en') AS english FROM documents
 """)
@@ -115,15 +34,6 @@ def status_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("items"), F.count_if("labelled").alias("enriched"), F.count_if(F.col("n_chars") > 0).alias("with_content"), F.count_if(F.col("lang") == "en").alias("english"))
 
 
-@register("""
-SELECT l_returnflag AS kind, count(*) AS total, count(*) FILTER (l_linestatus = 'F') AS saved, count(*) FILTER (l_linestatus = 'F') / CAST(count(*) AS DOUBLE) AS saved_share FROM lineitem GROUP BY 1
-""")
-def outcome_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A9"""
-    saved = F.count_if(F.col("l_linestatus") == "F")
-    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count(F.lit(1)).alias("total"), saved.alias("saved"), (saved / F.count(F.lit(1))).alias("saved_share"))
-
-
 _KINDS = "AF AO NF NO RF RO".split()
 
 
@@ -204,13 +114,12 @@ def kpi_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-SELECT doc_id, source, CAST('a' AS VARCHAR) AS origin FROM documents WHERE doc_id % 3 <> 0
-UNION ALL SELECT doc_id, source, 'b' FROM documents WHERE doc_id % 2 = 0 AND NOT (doc_id % 3 <> 0)
+SELECT doc_id, source, CASE WHEN lang <> 'fr' THEN 'a' ELSE 'b' END AS origin FROM documents
 """)
 def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1, T3"""
-    rows = read(spark, sf_dir, "documents").select("doc_id", "source")
-    store, new = rows.filter("doc_id % 3 <> 0").withColumn("origin", F.lit("a")), rows.filter("doc_id % 2 = 0").withColumn("origin", F.lit("b"))
+    """All documents come into a store that has those of the other languages."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    store, new = rows.filter("lang <> 'fr'").drop("lang").withColumn("origin", F.lit("a")), rows.drop("lang").withColumn("origin", F.lit("b"))
     return insert_if_absent(store, new, "doc_id", [F.col("source")])
 
 
@@ -224,11 +133,11 @@ def known_new_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.groupBy("lang").agg(F.count_if("k").alias("known"), F.count_if(~F.col("k")).alias("fresh"))
 
 
-@register("""SELECT md5(lower(text)) AS fingerprint, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1""")
+@register("""SELECT md5(lower(text)) AS fingerprint, min(doc_id) AS doc_id FROM documents GROUP BY 1""")
 def dedup_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W3, A26"""
+    """W3"""
     rows = read(spark, sf_dir, "documents").select(F.md5(F.lower("text").cast("binary")).alias("fingerprint"), "doc_id")
-    return rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return first_seen(rows, ["fingerprint"], [F.col("doc_id")])
 
 
 _HALVES = """
@@ -278,28 +187,29 @@ def topic_membership_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
 SELECT coalesce(a.source, b.source) AS source, CASE WHEN b.source IS NULL THEN 'removed' WHEN a.source IS NULL THEN 'added' ELSE 'kept' END AS change
-FROM (SELECT DISTINCT source FROM documents WHERE lang = 'en' AND doc_id % 7 < 2) a FULL JOIN (SELECT DISTINCT source FROM documents WHERE lang = 'fr') b ON a.source = b.source
+FROM (SELECT DISTINCT source FROM documents WHERE lang = 'en') a FULL JOIN (SELECT DISTINCT source FROM documents WHERE lang = 'fr') b ON a.source = b.source
 """)
 def vocab_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id % 7 < 2 makes the two vocabularies of the example differ."""
-    rows = read(spark, sf_dir, "documents").select("source", "lang", "doc_id")
-    a = rows.filter("lang = 'en' and doc_id % 7 < 2").select("source").distinct().withColumn("a", F.lit(True))
-    b = rows.filter("lang = 'fr'").select("source").distinct().withColumn("b", F.lit(True))
+    """Sources of English and of French documents."""
+    rows = read(spark, sf_dir, "documents").select("source", "lang")
+    a, b = (rows.filter(F.col("lang") == lang).select("source").distinct().withColumn(name, F.lit(True)) for lang, name in (("en", "a"), ("fr", "b")))
     return a.join(b, "source", "full").select("source", F.when(F.col("b").isNull(), "removed").when(F.col("a").isNull(), "added").otherwise("kept").alias("change"))
 
 
 @register(r"""
-WITH t AS (SELECT conv_id, turn, unnest(list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ0-9]+'), lambda x: length(x) >= 2)) AS token FROM conversations WHERE turn IN (0, 1)),
-a AS (SELECT conv_id, token, count(*)::DOUBLE AS n FROM t WHERE turn = 0 GROUP BY 1, 2), b AS (SELECT conv_id, token, count(*)::DOUBLE AS n FROM t WHERE turn = 1 GROUP BY 1, 2),
-s AS (SELECT conv_id, sum(coalesce(a.n, 0) * coalesce(b.n, 0)) AS dot, sum(coalesce(a.n, 0) ** 2) AS aa, sum(coalesce(b.n, 0) ** 2) AS bb FROM a FULL JOIN b USING (conv_id, token) GROUP BY 1)
-SELECT conv_id, round(CASE WHEN aa = 0 OR bb = 0 THEN 0 ELSE dot / sqrt(aa) / sqrt(bb) END, 9) AS similarity,
-       CASE WHEN aa = 0 OR bb = 0 THEN 'different' WHEN dot / sqrt(aa) / sqrt(bb) >= 0.99 THEN 'identical' WHEN dot / sqrt(aa) / sqrt(bb) >= 0.7 THEN 'similar' ELSE 'different' END AS flag FROM s
+WITH p AS (SELECT a.conv_id, a.turn, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL),
+t AS (SELECT conv_id, turn, side, unnest(list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ0-9]+'), lambda w: length(w) >= 2)) AS token FROM (SELECT conv_id, turn, 'x' AS side, x AS text FROM p UNION ALL SELECT conv_id, turn, 'y', y FROM p)),
+n AS (SELECT conv_id, turn, token, count(*) FILTER (side = 'x')::DOUBLE AS x, count(*) FILTER (side = 'y')::DOUBLE AS y FROM t GROUP BY 1, 2, 3),
+s AS (SELECT conv_id, turn, sum(x * y) AS dot, sum(x ** 2) AS xx, sum(y ** 2) AS yy FROM n GROUP BY 1, 2),
+c AS (SELECT p.conv_id, p.turn, CASE WHEN coalesce(xx, 0) = 0 OR yy = 0 THEN 0 ELSE dot / sqrt(xx) / sqrt(yy) END AS similarity FROM p LEFT JOIN s USING (conv_id, turn))
+SELECT conv_id, turn, round(similarity, 9) AS similarity, CASE WHEN similarity >= 0.99 THEN 'identical' WHEN similarity >= 0.7 THEN 'similar' ELSE 'different' END AS flag FROM c
 """)
 def overview_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A18, A19, X8"""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(scalars.tokens(F.col("text"))).alias("token"))
-    scored = term_cosine(rows.filter("turn = 0"), rows.filter("turn = 1"), "conv_id", "token")
-    return scored.select("conv_id", F.round("similarity", 9).alias("similarity"), scalars.overview_flag(F.col("similarity")).alias("flag"))
+    """Each turn of a conversation with the next one."""
+    rows, slug = read(spark, sf_dir, "conversations"), lambda back: F.concat_ws("-", "conv_id", F.col("turn") - back).alias("slug")
+    found = diff.overviews_diff(rows.select(slug(0), F.col("text").alias("overview")), rows.select(slug(1), F.col("text").alias("overview"))).filter("similarity is not null")
+    part = lambda i: F.split_part("slug", F.lit("-"), F.lit(i)).cast("long")
+    return found.select(part(1).alias("conv_id"), part(2).alias("turn"), F.round("similarity", 9).alias("similarity"), "flag")
 
 
 @register(r"""SELECT conv_id, string_agg(text, E'\n\n' ORDER BY turn, text) AS text FROM conversations WHERE role = 'user' GROUP BY 1""")
@@ -459,19 +369,6 @@ def describe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("quality").isNotNull().alias("matched"), F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-@register(f"""
-WITH n AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY {_LINE}) AS i FROM lineitem),
-a AS (SELECT l_orderkey, i FROM n WHERE l_returnflag = 'A'), r AS (SELECT l_orderkey, i FROM n WHERE l_returnflag = 'R')
-SELECT coalesce(a.l_orderkey, r.l_orderkey) AS l_orderkey, count(*) FILTER (a.i IS NULL OR r.i IS NULL) AS mismatches FROM a FULL JOIN r ON a.l_orderkey = r.l_orderkey AND a.i = r.i GROUP BY 1
-""")
-def frame_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J19"""
-    place = F.row_number().over(W.partitionBy("l_orderkey", "l_returnflag").orderBy(*_LINE_ORDER))
-    rows = read(spark, sf_dir, "lineitem").filter("l_returnflag in ('A', 'R')").withColumn("i", place)
-    a, r = (rows.filter(F.col("l_returnflag") == f).select("l_orderkey", "i", F.lit(True).alias(f)) for f in ("A", "R"))
-    return a.join(r, ["l_orderkey", "i"], "full").groupBy("l_orderkey").agg(F.count_if(F.col("A").isNull() | F.col("R").isNull()).alias("mismatches"))
-
-
 @register(f"""SELECT l_orderkey, i - 1 AS index, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE}) AS i FROM lineitem WHERE l_returnflag = 'R')""")
 def running_media_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W4"""

@@ -26,8 +26,8 @@ def topic_refs(topics: Column, style: str = "wikilink") -> Column:
 
 
 def tags(topics: Column, folder: Column, fixed: str = "saved") -> Column:
-    """(O10)"""
-    return F.array_distinct(F.array_compact(F.concat(F.array(F.lit(fixed)), F.coalesce(topics, F.array().cast("array<string>")), F.array(S.ascii_slug(folder)))))
+    """The fixed tag, the topics and the folder, where there is one."""
+    return F.array_distinct(F.array_compact(F.concat(F.array(F.lit(fixed)), F.coalesce(topics, F.array().cast("array<string>")), F.array(F.when(F.coalesce(folder, F.lit("")) != "", S.ascii_slug(folder))))))
 
 
 def media_lines(media: Column) -> Column:

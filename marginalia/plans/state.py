@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import socket
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -31,6 +32,11 @@ def with_sources(content: Column, kind: str, fresh: Column, as_of: Column, alway
     return F.struct(at.alias("fetched_at"), new.alias("sources"))
 
 
+def reason_for_error(error: Exception) -> str:
+    """Why a fetch failed, by the kind of its error."""
+    return "timeout" if isinstance(error, TimeoutError) else "dns_error" if isinstance(error, socket.gaierror) else "unknown_error"
+
+
 def fetch_urls(urls: DataFrame, fetch: Fetcher) -> DataFrame:
     """Each distinct URL once; one that fails is a row with a reason, not an error of the batch."""
 
@@ -42,7 +48,7 @@ def fetch_urls(urls: DataFrame, fetch: Fetcher) -> DataFrame:
                 try:
                     found = fetch(url)
                 except Exception as e:  # isolates the row
-                    found = {"outcome": "failure", "failure_reason": "unknown_error", "error": str(e)[:500]}
+                    found = {"outcome": "failure", "failure_reason": reason_for_error(e), "error": str(e)[:500]}
                 out.append({n: found.get(n) for n in names} | {"url": url})
             yield pd.DataFrame(out, columns=names)
 

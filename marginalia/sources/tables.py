@@ -81,8 +81,8 @@ def to_prune(manifests: DataFrame, keep_last: int, name: str = "name") -> DataFr
 TWEET = "id_str STRING, full_text STRING, created_at STRING"
 
 
-def read_archive(spark: SparkSession, path: str, names: tuple[str, ...] = ("data/tweets.js", "data/tweet.js")) -> DataFrame:
-    """Rows of an exported archive: a zip whose script file is a prefix and a JSON array. Malformed rows go."""
+def _archive_rows(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """Every row of the script file of an exported archive, id_str being null where a row is malformed."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -90,13 +90,33 @@ def read_archive(spark: SparkSession, path: str, names: tuple[str, ...] = ("data
             for content in frame["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     found = [n for n in names if n in z.namelist()]
-                    text = z.read(found[0]).decode() if found else "[]"
+                    if not found:
+                        raise ValueError(f"the archive has none of {', '.join(names)}")
+                    text = z.read(found[0]).decode()
                 for row in json.loads(text[text.find("[") :]):
                     raw.append(json.dumps(row.get("tweet", row) if isinstance(row, dict) else {}))
             yield pd.DataFrame({"value": raw})
 
     rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string")
-    return rows.select(F.from_json("value", TWEET).alias("t")).select("t.*").filter("id_str is not null")
+    return rows.select(F.from_json("value", TWEET).alias("t")).select("t.*")
+
+
+ARCHIVE_FILES = ("data/tweets.js", "data/tweet.js")
+
+
+def read_archive(spark: SparkSession, path: str, names: tuple[str, ...] = ARCHIVE_FILES) -> DataFrame:
+    """Rows of an exported archive: a zip whose script file is a prefix and a JSON array; one without that file is an error."""
+    return _archive_rows(spark, path, names).filter("id_str is not null")
+
+
+def count_malformed(spark: SparkSession, path: str, names: tuple[str, ...] = ARCHIVE_FILES) -> int:
+    """How many rows of an archive read_archive leaves out."""
+    return _archive_rows(spark, path, names).filter("id_str is null").count()
+
+
+def unreadable(responses: DataFrame) -> DataFrame:
+    """Captured responses whose body is no JSON, which find_tweets leaves out."""
+    return responses.filter(F.try_parse_json("body").isNull())
 
 
 def find_tweets(responses: DataFrame) -> DataFrame:
@@ -121,7 +141,11 @@ def find_tweets(responses: DataFrame) -> DataFrame:
         for frame in frames:
             out = []
             for seq, body in zip(frame["seq"], frame["body"], strict=True):
-                for pos, t in enumerate(walk(json.loads(body))):
+                try:
+                    tree = json.loads(body)
+                except (TypeError, ValueError):  # see unreadable()
+                    continue
+                for pos, t in enumerate(walk(tree)):
                     legacy, user = t.get("legacy") or {}, ((t.get("core") or {}).get("user_results") or {}).get("result") or {}
                     who = {**(user.get("core") or {}), **(user.get("legacy") or {})}
                     links = [u["expanded_url"] for u in (legacy.get("entities") or {}).get("urls", []) if u.get("expanded_url")]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from marginalia.operators.relational import insert_if_absent
+from marginalia.operators.relational import first_seen
 
 
 def replay(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1) -> DataFrame:
@@ -17,22 +17,36 @@ def replay(spark: SparkSession, path: str, schema: StructType | str, files_per_b
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def upsert_into(stream: DataFrame, store: str, key: str, order: list[str], checkpoint: str, check: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Insert-if-absent of every micro-batch into a folder of Parquet (T3). A batch that fails its check is not written, and its offset
-    not committed (T4); a batch that runs again finds its rows there already, so the result is the same."""
+def upsert_into(stream: DataFrame, store: str, key: str, order: list[str], checkpoint: str, check: Callable[[DataFrame], None] | None = None, buckets: int = 64) -> StreamingQuery:
+    """The first row of each key in an order, of all rows that ever arrive and whatever the order of arrival, in a folder of Parquet.
+
+    New keys are appended. A key that comes again with a row that is earlier in the order replaces the old one: the buckets of keys where that
+    happens are written anew. A batch that fails its check is not written, and its offset not committed (T4); a batch that runs again changes nothing.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         if check:
             check(batch)
+        batch = batch.persist()
         try:
-            have = spark.read.schema(batch.schema).parquet(store)
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = spark.createDataFrame([], batch.schema)
-        fresh = insert_if_absent(have.limit(0), batch, key, [F.col(c) for c in order]).join(have.select(key), key, "left_anti")
-        fresh.write.mode("append").parquet(store)
+            rows = first_seen(batch, [key], [F.col(c) for c in order]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+            try:
+                have = spark.read.schema(rows.schema).parquet(store)
+            except Exception as e:  # the first batch
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                have = spark.createDataFrame([], rows.schema)
+            place = lambda d: F.struct(*[F.col(f"{d}.{c}") for c in order])
+            earlier = rows.alias("n").join(have.alias("o"), key).filter(place("n") < place("o")).select("n.*")
+            touched = [r["bucket"] for r in earlier.select("bucket").distinct().collect()]  # at most `buckets`
+            rows.join(have.select(key), key, "left_anti").write.mode("append").partitionBy("bucket").parquet(store)
+            if touched:
+                have = spark.read.schema(rows.schema).parquet(store).filter(F.col("bucket").isin(touched))
+                first = first_seen(have.unionByName(rows.filter(F.col("bucket").isin(touched))), [key], [F.col(c) for c in order])
+                first.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(store)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import zipfile
 from datetime import UTC, datetime
 
@@ -41,6 +42,7 @@ def test_url_and_media_functions(spark):
     assert value(spark, S.canonical_url_key(lit("http://Twitter.com/i/article/9/?a=1#x"))) == "x.com/i/article/9"
     assert value(spark, S.url_class(lit("https://x.com/i/article/1/status/2"))) == "article" and value(spark, S.status_id(lit("https://x.com/u/status/42"))) == "42"
     assert value(spark, S.with_query(lit("http://a/b.jpg?x=1&name=small&y=2"), "name", "orig")) == "http://a/b.jpg?x=1&name=orig&y=2" and value(spark, S.with_query(lit("http://a/b"), "name", "orig")) == "http://a/b?name=orig"
+    assert value(spark, S.with_query(lit("https://a/b#f"), "name", "l")) == "https://a/b?name=l#f" and value(spark, S.with_query(lit("https://a/b?x=1#f"), "name", "l")) == "https://a/b?x=1&name=l#f"
     assert value(spark, S.video_key(lit("https://video.twimg.com/ext_tw_video/12/pu/v.mp4"))) == "ext_tw_video/12" and value(spark, S.video_key(lit("https://V.com/a/b"))) == "v.com/a/b"
     assert value(spark, S.video_class(lit("http://a/b.m3u8"), lit("p"))) == "hls" and value(spark, S.video_class(lit("p"), lit("p"))) == "poster"
     assert value(spark, S.estimated_bytes(lit(2_000_000), lit(3_600_000))) == 900_000_000 and value(spark, S.estimated_bytes(lit(0), lit(5))) is None
@@ -141,7 +143,13 @@ def test_feed_responses_and_archives(spark, tmp_path):
     assert sorted(r["id"] for r in tables.find_tweets(responses).collect()) == ["1", "2", "5"]
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("data/tweets.js", 'window.YTD.tweets.part0 = [{"tweet": {"id_str": "1", "full_text": "x"}}, {"tweet": {"full_text": "no id"}}]')
-    assert [r["id_str"] for r in tables.read_archive(spark, str(tmp_path / "a.zip")).collect()] == ["1"]
+    assert [r["id_str"] for r in tables.read_archive(spark, str(tmp_path / "a.zip")).collect()] == ["1"] and tables.count_malformed(spark, str(tmp_path / "a.zip")) == 1
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("other.js", "[]")
+    with pytest.raises(Exception, match="the archive has none of"):
+        tables.read_archive(spark, str(tmp_path / "b.zip")).collect()
+    broken = responses.union(spark.createDataFrame([(7, "{no json"), (8, None)], "seq long, body string"))
+    assert tables.find_tweets(broken).count() == 3 and sorted(r["seq"] for r in tables.unreadable(broken).collect()) == [7, 8]
     assert tables.read_items(spark, str(tmp_path / "missing")).count() == 0
     path = tables.write_version(spark.range(3), str(tmp_path / "v"), "test")
     assert spark.read.parquet(path).count() == 3
@@ -156,3 +164,16 @@ def test_replayed_feed_equals_batch(spark, tmp_path):
         feed.upsert_into(feed.replay(spark, str(tmp_path / "in"), ddl), str(tmp_path / "out"), "id", ["seq"], str(tmp_path / "cp")).awaitTermination(120)
     rows = {r["id"]: r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows == {1: "a", 2: "b", 3: "d"}
+
+
+def test_a_feed_that_arrives_in_any_order_gives_the_same_store(spark, tmp_path):
+    pages = [[(1, "a"), (2, "b")], [(2, "c"), (3, "d")], [(1, "z")]]
+    for turn, order in enumerate([(2, 1, 0), (1, 2, 0), (0, 1, 2)]):
+        folder = tmp_path / str(turn)
+        (folder / "in").mkdir(parents=True)
+        for n in order:
+            (folder / "in" / f"{n}.json").write_text("\n".join(json.dumps({"id": i, "v": v, "seq": n}) for i, v in pages[n]))
+            os.utime(folder / "in" / f"{n}.json", (order.index(n) + 1e9, order.index(n) + 1e9))
+        feed.upsert_into(feed.replay(spark, str(folder / "in"), "id long, v string, seq int"), str(folder / "out"), "id", ["seq"], str(folder / "cp")).awaitTermination(120)
+        rows = spark.read.parquet(str(folder / "out")).collect()
+        assert len(rows) == 3 and {r["id"]: r["v"] for r in rows} == {1: "a", 2: "b", 3: "d"}

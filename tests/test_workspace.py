@@ -46,10 +46,44 @@ def test_a_corpus_from_capture_to_diff(spark, tmp_path):
     with pytest.raises(RuntimeError):
         ws.refresh_media(store(spark, [item(7)]))
     assert ws.refresh_media(store(spark, [item(2, media=[video | {"url": "https://video.twimg.com/v.mp4"}])])) == {"seen": 1, "not_seen": 1} and ws.videos().first()["state"] == "pending"
-    ws.generate(str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out/notes")).count() == 2
+    assert ws.generate(str(tmp_path / "out"))["notes"] == 2
+    note = next((tmp_path / "out/notes").glob("*-1.md"))
+    note.write_text(note.read_text() + "my own words\n")
+    note.rename(note.with_name("renamed.md"))
+    assert ws.generate(str(tmp_path / "out"))["notes"] == 2
+    assert note.read_text().endswith("## My notes\nmy own words\n") and not note.with_name("renamed.md").exists() and "[[ux]] (2)" in (tmp_path / "out/index.md").read_text()
     assert tuple(ws.status().first()) == (2, 2, 2, 2)
-    assert ws.restore(before)["items"] == "copied" and ws.pending().count() == 1 and len(ws.prune(1)) >= 1 and len(ws.snapshots()) == 1
+    versions = lambda: sum(1 for _ in (tmp_path / "data/items").iterdir())
+    assert ws.restore(before)["items"] == "copied" and ws.pending().count() == 1
+    had = versions()
+    assert len(ws.prune(1)) >= 1 and len(ws.snapshots()) == 1 and versions() < had and ws.table("items").count() == 2
+    stale = ws._generation()
+    ws._generation = lambda: stale - 1  # as a writer that has read an older list
+    with pytest.raises(RuntimeError, match="another writer"):
+        ws.publish(vocab=ws.spark.createDataFrame([], schema.VOCAB))
+
+
+def test_all_verbs_at_once_go_on_after_an_error(spark, tmp_path):
+    at = F.lit("2025-01-01").cast("timestamp")
+    ws = Workspace(spark, str(tmp_path / "data"))
+    ws.apply_vocabulary(spark.createDataFrame([(0, "ai", "")], schema.VOCAB))
+    judge = lambda pending: pending.select(F.col("id").alias("item_id"), F.lit("s").alias("summary"), F.lit("ai").alias("primary_topic"), F.array(F.lit("ai")).alias("topics"))
+
+    def offline(url):
+        raise OSError("offline")
+
+    done = ws.sync(store(spark, [item(1), item(2)]), "bookmark", offline, offline, judge, lambda slug, pool: {"overview": "o", "notes": []}, at, str(tmp_path / "out"))
+    assert done["extract"] == 2 and done["enrich"] == 0 and done["generate"] == 2 and ws.table("pages").count() == 1
+    done = ws.sync(None, "bookmark", offline, offline, judge, lambda slug, pool: {"overview": "o", "notes": []}, at, str(tmp_path / "out"))
+    assert "AttributeError" in done["extract"] and done["generate"] == 2
+
+
+def test_media_is_mirrored_once(spark, tmp_path):
+    (tmp_path / "a.jpg").write_bytes(b"abc")
+    ws = Workspace(spark, str(tmp_path / "data"))
+    photo = {"kind": "photo_downloaded", "url": "m", "local_path": str(tmp_path / "a.jpg"), "width": 1, "height": 1, "bytes_size": 3}
+    ws.backfill(store(spark, [item(1, media=[photo]), item(2, media=[photo])]))
+    assert ws.mirror_media(str(tmp_path / "media")) == 1 and ws.mirror_media(str(tmp_path / "media")) == 0 and (tmp_path / "media/a.jpg").read_bytes() == b"abc"
 
 
 def test_descriptions_archives_and_settings(spark, tmp_path):
