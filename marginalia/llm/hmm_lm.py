@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import blobs
 from marginalia.llm.common import LOWER, UPPER, WORD_PATTERN, remainder_of, shuffle_width, stored, text_batches
-from marginalia.llm.postings import deal, groups_of
+from marginalia.llm.postings import bucket_cuts, deal, groups_of
 
 STATES, VOCABULARY, LEAST_COUNT, ENDINGS, PIECE = 6, 131_072, 4, 1024, 2048
 #: Iterations stop at this gain of log10 likelihood a token, and must by MOST_ITERATIONS; share of the documents that the first ones use.
@@ -111,18 +111,12 @@ _POSTED, POSTED = ["key", "bucket", "train", "hashes", "endings", "times"], "key
 _COUNTED, COUNTED = ["key", "bucket", "hashes", "counts", "classes"], "key long, bucket int, hashes binary, counts binary, classes binary"
 
 
-def _bucket_cuts(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-
 def _post_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, train, hashes, endings, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             h, e, rows = blobs.unpack_sorted(hashes), blobs.unpack(endings, np.uint16), []
             times = np.bincount(blobs.unpack(ids, np.uint32), minlength=len(h)).astype(np.uint32)
-            order, cuts = _bucket_cuts(h, buckets)
+            order, cuts = bucket_cuts(h, buckets)
             for b in range(buckets):
                 some = order[cuts[b] : cuts[b + 1]]
                 if len(some):
@@ -407,7 +401,7 @@ def score_texts(documents: DataFrame, states: int = STATES, vocabulary: int = VO
             for hashes, endings, docs, lengths, ids, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h, n = blobs.unpack_sorted(hashes), blobs.unpack(lengths, np.int64)
                 c = np.empty(len(h))
-                c[_bucket_cuts(h, buckets)[0]] = blobs.unpack(counts, np.uint64)
+                c[bucket_cuts(h, buckets)[0]] = blobs.unpack(counts, np.uint64)
                 classes = lexicon.classes_of(h, blobs.unpack(endings, np.uint16))
                 logs = np.log10(c + 0.5)
                 inside = np.where(classes >= least, logs - lexicon.logs[np.maximum(classes - least, 0)], 0.0)

@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 from marginalia.llm import blobs
 from marginalia.llm.common import LOWER, UPPER, WORD_PATTERN, broadcast_if_small, settle, shuffle_width, stored, text_batches
 from marginalia.llm.components import connected_components
-from marginalia.llm.postings import ANSWERED, NULL_ID, POSTED, deal, documents_of, frequencies, groups_of, merge_answers, post, posted_batch, shared_only
+from marginalia.llm.postings import NULL_ID, POSTED, bucket_cuts, deal, documents_of, groups_of, post, posted_batch, shared_of
 
 WORDS, THRESHOLD = 5, 75
 GROUPS, LEAF, BROADCAST_ROWS = 64, 16, 500_000
 #: Sets of one shingle in a block, shingles of all sets in a block of a component, pairs of one set in a task, running minima of a posting.
-BLOCK, BLOCK_SHINGLES, FAN, MINIMA = 4096, 1_000_000, 4096, 4
+BLOCK, BLOCK_SHINGLES, FAN, MINIMA = 1024, 1_000_000, 4096, 4
 SALTS = 16
 CHUNK_CHARS = 4_000_000
 _WORD = re.compile(WORD_PATTERN)
@@ -91,15 +91,15 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
 
 def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in groups_of(batches, "bucket"):
-        for r, _, doc, n in frequencies(rows):
-            shared = np.bincount(doc, n > 1).astype(np.uint32)
+        for r, _, doc in shared_of(rows):
+            shared = np.bincount(doc).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((r["key"], r["bucket"], r["docs"], blobs.pack(shared)), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["key", "bucket", "docs", "shared"])
 
 
 def _sum_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in groups_of(batches, "key"):
-        docs = documents_of(rows)
-        shared = np.zeros(len(docs), np.int64)
+        docs = documents_of(rows, 4)
+        shared = docs[:, 3].copy()
         for r in rows:
             some = blobs.unpack(r["shared"], np.uint32)
             shared[: len(some)] += some
@@ -118,8 +118,8 @@ def describe_sets(documents: DataFrame, words: int = WORDS) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             sets = shingle_sets(texts, words)
-            docs = np.array([(NULL_ID if d is None else d, len(s), set_id(s)) for d, s in zip(ids, sets, strict=True)], np.int64).reshape(-1, 3)
-            return posted_batch(post((part << 32) + n, docs, sets, buckets))
+            docs = np.array([(NULL_ID if d is None else d, len(s), set_id(s), 0) for d, s in zip(ids, sets, strict=True)], np.int64).reshape(-1, 4)
+            return posted_batch(post((part << 32) + n, docs, sets, buckets, count=3)[0])
 
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -162,43 +162,83 @@ def candidate_sets(documents: DataFrame, alive: DataFrame, words: int = WORDS) -
     return _rows_of(documents).join(ids, "doc_id", "left_semi").mapInArrow(run, SETS)
 
 
+CHUNK = "key long, docs binary, lengths binary, shingles binary"
 POSTINGS = "token long, sid long, doc_id long, n long, behind long, minima binary"
 
 
+def _chunk_rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    types = {"key": pa.int64(), "bucket": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.binary())) for c, n in zip(columns, names, strict=True)], names)
+
+
 def postings_of(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """A row for each shingle of a set of which a partner must have one, but for those that no other set has.
 
     behind: how many shingles of the set come from this one on; minima: of the posted ones before it, the least by MINIMA hashes.
+    Chunks of sets ask buckets of hashes in how many sets each of their shingles is, once a chunk.
     """
     buckets = shuffle_width(sets.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for n, batch in enumerate(batches):
-            own = [np.frombuffer(b, np.uint64) for b in batch.column(3).to_pylist()]
             docs = np.array(list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True)), np.int64).reshape(-1, 3)
-            yield posted_batch(post((part << 32) + n, docs, own, buckets))
+            yield _chunk_rows([((part << 32) + n, docs.tobytes(), docs[:, 2].tobytes(), b"".join(batch.column(3).to_pylist()))], ["key", "docs", "lengths", "shingles"])
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, times = np.unique(np.frombuffer(shingles, np.uint64), return_counts=True)
+                order, cuts = bucket_cuts(h, buckets)
+                parts = [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+                yield _chunk_rows([(key, b, blobs.pack_sorted(h[some]), blobs.pack(times[some].astype(np.uint32))) for b, some in parts], ["key", "bucket", "hashes", "times"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(batches, "bucket"):
+            known, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+            for low in range(0, len(rows), 64):
+                h = np.concatenate([known, *(blobs.unpack_sorted(r["hashes"]) for r in rows[low : low + 64])])
+                known, place = np.unique(h, return_inverse=True)
+                n = np.bincount(place, np.concatenate([n, *(blobs.unpack(r["times"], np.uint32) for r in rows[low : low + 64])]), minlength=len(known)).astype(np.int64)
+            for r in rows:
+                found = n[np.searchsorted(known, blobs.unpack_sorted(r["hashes"]))]
+                yield _chunk_rows([(r["key"], r["bucket"], blobs.pack(found))], ["key", "bucket", "counts"])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups_of(batches, "key"):
-            docs, h, doc, n = merge_answers(rows)
-            order = np.lexsort((h, n, doc))
-            h, doc = h[order], doc[order]
-            have = np.bincount(doc, minlength=len(docs))
-            own = docs[:, 2] - have
-            take = np.clip(docs[:, 2] - (-(-threshold * docs[:, 2] // 100)) + 1 - own, 0, have)
-            place = np.arange(len(doc)) - (np.cumsum(have) - have)[doc]
-            some = place < take[doc]
-            h, doc, place = h[some], doc[some], place[some]
-            least = np.full((len(h), MINIMA), np.iinfo(np.uint64).max, np.uint64)
-            for d, at in zip(np.flatnonzero(take).tolist(), np.flatnonzero(place == 0).tolist(), strict=True):
-                for j in range(MINIMA if take[d] > 1 else 0):
-                    least[at + 1 : at + take[d], j] = np.minimum.accumulate(_finish(h[at : at + take[d] - 1] + np.uint64(j)))
-            columns = [pa.array(x) for x in (h.view(np.int64), *(docs[doc, i] for i in range(3)), docs[doc, 2] - own[doc] - place)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in least], pa.binary())], ["token", "sid", "doc_id", "n", "behind", "minima"])
-
-    posted = deal(sets.mapInArrow(run, POSTED), "bucket", buckets).mapInArrow(shared_only, ANSWERED)
-    return deal(posted, "key", buckets).mapInArrow(choose, POSTINGS)
+            yield _chunk_rows([(rows[0]["key"], blobs.pack(np.concatenate([blobs.unpack(r["counts"], np.int64) for r in rows])))], ["key", "counts"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, lengths, shingles, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                docs, h = np.frombuffer(docs, np.int64).reshape(-1, 3), np.frombuffer(shingles, np.uint64)
+                doc = np.repeat(np.arange(len(docs)), np.frombuffer(lengths, np.int64))
+                names = np.unique(h)
+                times = np.empty(len(names), np.int64)
+                times[bucket_cuts(names, buckets)[0]] = blobs.unpack(counts, np.int64)
+                n = times[np.searchsorted(names, h)]
+                order = np.lexsort((h, n, doc))
+                order = order[n[order] > 1]
+                h, doc = h[order], doc[order]
+                have = np.bincount(doc, minlength=len(docs))
+                own = docs[:, 2] - have
+                take = np.clip(docs[:, 2] - (-(-threshold * docs[:, 2] // 100)) + 1 - own, 0, have)
+                place = np.arange(len(doc)) - (np.cumsum(have) - have)[doc]
+                some = place < take[doc]
+                h, doc, place = h[some], doc[some], place[some]
+                least = np.full((len(h), MINIMA), np.iinfo(np.uint64).max, np.uint64)
+                for d, at in zip(np.flatnonzero(take).tolist(), np.flatnonzero(place == 0).tolist(), strict=True):
+                    for j in range(MINIMA if take[d] > 1 else 0):
+                        least[at + 1 : at + take[d], j] = np.minimum.accumulate(_finish(h[at : at + take[d] - 1] + np.uint64(j)))
+                columns = [pa.array(x) for x in (h.view(np.int64), *(docs[doc, i] for i in range(3)), docs[doc, 2] - own[doc] - place)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in least], pa.binary())], ["token", "sid", "doc_id", "n", "behind", "minima"])
+
+    chunks = stored(sets.select("sid", "doc_id", "n", "shingles").mapInArrow(gather, CHUNK))
+    asked = chunks.select("key", "shingles").mapInArrow(ask, "key long, bucket int, hashes binary, times binary")
+    counted = deal(asked, "bucket", buckets).mapInArrow(count, "key long, bucket int, counts binary")
+    counts = deal(counted, "key", buckets).mapInArrow(assemble, "key long, counts binary")
+    return chunks.join(counts, "key").select("docs", "lengths", "shingles", "counts").mapInArrow(choose, POSTINGS)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -286,19 +326,33 @@ def hub_pairs(posted: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     dealt = posted.join(hot, "token", "left").withColumn("block", F.pmod(F.xxhash64("sid"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
     rows = dealt.join(hubs.drop("blocks"), ["token", "block"]).select("token", "block", "sid", "n", "counts", "hub", "hub_n", "hub_counts")
 
+    def near_hubs(columns: list[list]) -> Iterator[tuple[int, int]]:
+        """All groups of some rows at once: those of at most LEAF points are a leaf of a tree and so a comparison of points, larger ones are searched."""
+        token, block, sid, n, counts, hub, hub_n, hub_counts = columns
+        names, sid, n, hub, hub_n = np.array([token, block]), *(np.array(c) for c in (sid, n, hub, hub_n))
+        points, hubs = (np.frombuffer(b"".join(c), np.uint32).reshape(-1, GROUPS) for c in (counts, hub_counts))
+        starts = np.flatnonzero(np.r_[True, (names[:, 1:] != names[:, :-1]).any(0)])
+        sizes = np.diff(np.r_[starts, len(sid)])
+        leaf = np.repeat(sizes <= LEAF, sizes)
+        ok = np.zeros(len(sid), bool)
+        bound = np.minimum(points[leaf], hubs[leaf]).sum(1, dtype=np.int64)
+        ok[leaf] = (bound >= least_overlap(n[leaf], hub_n[leaf], threshold)) & (threshold * n[leaf] <= 100 * hub_n[leaf]) & (100 * n[leaf] >= threshold * hub_n[leaf])
+        for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
+            some = slice(start, start + size)
+            ok[start + CountTree(points[some].astype(np.int64), n[some]).search(hubs[start].astype(np.int64), int(hub_n[start]), threshold)] = True
+        ok &= sid != hub
+        return zip(sid[ok].tolist(), hub[ok].tolist(), strict=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        for _, group in _groups(batches, 2):
-            sid, hub = group[0][0], group[0][3]
-            if len(group) == 1 and sid == hub:
-                continue
-            tree = CountTree(_points(group, 2), np.array([r[1] for r in group]))
-            near = tree.search(_points(group[:1], 5)[0], group[0][4], threshold)
-            found.update((min(group[i][0], hub), max(group[i][0], hub)) for i in near.tolist() if group[i][0] != hub)
-            if len(found) > 100_000:
-                yield _pair_rows(found)
-                found = set()
-        yield _pair_rows(found)
+        columns: list[list] = [[] for _ in range(8)]
+        for batch in batches:
+            for c, more in zip(columns, batch.columns, strict=True):
+                c.extend(more.to_pylist())
+            if len(columns[0]) > 50_000:  # a group may be cut here: its hub goes with each of its rows
+                yield _pair_rows({(min(p), max(p)) for p in near_hubs(columns)})
+                columns = [[] for _ in range(8)]
+        if columns[0]:
+            yield _pair_rows({(min(p), max(p)) for p in near_hubs(columns)})
 
     return rows.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(run, "a long, b long").distinct()
 
@@ -377,20 +431,33 @@ def set_links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 # --- counting links inside components ---------------------------------------------------------------------------------------------
 
 
-def intersections(first: list[np.ndarray], second: list[np.ndarray], columns: int = 2048) -> np.ndarray:
-    """Sizes of the intersections of every set of one list with every set of the other, as products of 0/1 matrices of some columns at a time."""
+def intersections(first: list[np.ndarray], second: list[np.ndarray], columns: int = 2048, rare: int = 16) -> np.ndarray:
+    """Sizes of the intersections of every set of one list with every set of the other. Shingles that at most `rare` sets have are counted pair by
+    pair, the others as products of 0/1 matrices of some columns at a time."""
     flat = [np.concatenate(x) for x in (first, second)]
     common = np.intersect1d(*flat)  # shingles on both sides
     out = np.zeros((len(first), len(second)), np.float32)
+    if not len(common):
+        return out
     cells = []
     for sets, values in zip((first, second), flat, strict=True):
         row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
-        hit = common[at] == values if len(common) else np.zeros(len(values), bool)
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        hit = common[at] == values
         order = np.argsort(at[hit], kind="stable")
         cells.append((row[hit][order], at[hit][order]))
-    for low in range(0, len(common), columns):
-        wide = min(columns, len(common) - low)
+    often = sum(np.bincount(at, minlength=len(common)) for _, at in cells) > rare
+    few = [(row[~often[at]], at[~often[at]]) for row, at in cells]
+    at = np.concatenate([few[0][1], few[1][1]])
+    order = np.argsort(at, kind="stable")  # in each column the sets of the first list, then those of the second
+    at, row, side = at[order], np.concatenate([few[0][0], few[1][0]])[order], np.repeat([0, 1], [len(few[0][1]), len(few[1][1])])[order]
+    for step in range(1, rare):
+        pair = np.flatnonzero((at[step:] == at[:-step]) & (side[step:] > side[:-step]))
+        np.add.at(out, (row[pair], row[pair + step]), 1)
+    number = np.cumsum(often) - 1
+    cells = [(row[often[at]], number[at[often[at]]]) for row, at in cells]
+    for low in range(0, int(often.sum()), columns):
+        wide = min(columns, int(often.sum()) - low)
         sides = []
         for (row, at), sets in zip(cells, (first, second), strict=True):
             a, b = np.searchsorted(at, (low, low + wide))

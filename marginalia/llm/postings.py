@@ -1,8 +1,9 @@
 """Postings of chunks of documents, dealt over buckets of hashes, and the answers that come back by chunk.
 
-A task turns a chunk of documents into one row a bucket: the sorted hashes, and for each the documents of the chunk that have it. What
-names the documents travels in one of these rows only. A
-bucket sees the postings of all chunks, so it knows in how many documents each hash is, and answers each chunk for its own documents.
+A task turns a chunk of documents into one row a bucket: the sorted hashes, and for those that one document of the chunk has, which one. A hash that
+several have is known to be shared; it is sent once, without documents, so that other chunks learn of it. So a hash costs a bucket one entry a
+chunk, however many documents have it. What names the documents travels in one of a chunk's rows only. A bucket sees
+the hashes of all chunks, so it knows which are shared, and answers each chunk for its own documents.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from marginalia.llm import blobs
 
 NULL_ID = np.iinfo(np.int64).min
-POSTED = "key long, bucket int, docs binary, hashes binary, per_hash binary, steps binary"
-_POSTED = ["key", "bucket", "docs", "hashes", "per_hash", "steps"]
+POSTED = "key long, bucket int, docs binary, hashes binary, owner binary"
+_POSTED = ["key", "bucket", "docs", "hashes", "owner"]
 
 
 def deal(df: DataFrame, column: str, parts: int) -> DataFrame:
@@ -27,54 +28,58 @@ def deal(df: DataFrame, column: str, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.pmod(number, F.lit(parts)).cast("int"))
 
 
-def post(key: int, docs: np.ndarray, sets: list[np.ndarray], buckets: int) -> list[tuple]:
-    """docs: rows x 3 integers that come back with the answers. One row a bucket; that of bucket key % buckets, always there, carries docs."""
+def post(key: int, docs: np.ndarray, sets: list[np.ndarray], buckets: int, count: int | None = None) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """docs: a row of integers for each document, which come back with the answers; column `count` gets the number of its hashes that are known to be shared.
+    One row a bucket; that of bucket key % buckets, always there, carries docs. Besides, hash and document of the postings known to be shared."""
     sizes = np.array([len(s) for s in sets], np.int64)
     hashes = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     doc = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(hashes, kind="stable")
     hashes, doc = hashes[order], doc[order]
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    by_bucket = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-    head, rows = blobs.pack(docs.reshape(-1)), []
+    cuts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, np.int64)
+    times = np.diff(np.r_[cuts, len(hashes)])
+    several = np.repeat(times > 1, times)
+    if count is not None:
+        docs[:, count] = np.bincount(doc[several], minlength=len(docs))
+    rows, h, owner = [], hashes[cuts], np.where(times > 1, 0, doc[cuts] + 1)  # 0: several
+    by_bucket, ends = bucket_cuts(h, buckets)
+    head = blobs.pack(docs.reshape(-1))
     for b in range(buckets):
-        some = by_bucket[cuts[b] : cuts[b + 1]]
+        some = by_bucket[ends[b] : ends[b + 1]]
         if len(some) or b == key % buckets:
-            h, d = hashes[some], doc[some]
-            first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
-            step = np.diff(d, prepend=0)
-            step[first] = d[first]
-            rows.append((key, b, head if b == key % buckets else b"", blobs.pack_sorted(h[first]), blobs.pack(np.diff(np.r_[np.flatnonzero(first), len(h)]).astype(np.uint32)), blobs.pack(step.astype(np.uint32))))
-    return rows
+            rows.append((key, b, head if b == key % buckets else b"", blobs.pack_sorted(h[some]), blobs.pack(owner[some].astype(np.uint32))))
+    return rows, hashes[several], doc[several]
 
 
-def read_postings(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes; for each posting the index of its hash and its document."""
-    h, per, steps = blobs.unpack_sorted(row["hashes"]), blobs.unpack(row["per_hash"], np.uint32), blobs.unpack(row["steps"], np.uint32)
-    token = np.repeat(np.arange(len(h)), per)
-    total = np.cumsum(steps.astype(np.int64))
-    starts = np.r_[0, np.cumsum(per)[:-1]].astype(np.int64) if len(per) else np.empty(0, np.int64)
-    return h, token, total - np.repeat(total[starts] - steps[starts], per)
+def bucket_cuts(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ascending hashes in order of bucket, then hash, and where each bucket begins."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 def posted_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], _POSTED)
-
-
-def frequencies(rows: list[dict]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
-    """For the rows of one bucket: row, hash and document of each posting, and in how many documents of all rows its hash is."""
-    read = [read_postings(r) for r in rows]
-    known, place = np.unique(np.concatenate([h for h, *_ in read]), return_inverse=True)
-    counts, at = np.zeros(len(known), np.int64), 0
-    for h, token, _ in read:
-        counts += np.bincount(place[at : at + len(h)][token], minlength=len(known))
-        at += len(h)
-    at = 0
-    for r, (h, token, doc) in zip(rows, read, strict=True):
-        yield r, h[token], doc, counts[place[at : at + len(h)][token]]
-        at += len(h)
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], _POSTED)
+
+
+def shared_of(rows: list[dict]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """For the rows of one bucket: row, and hash and document of the postings of one document in its chunk whose hash is in others too."""
+    known, times = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for low in range(0, len(rows), 64):  # what is held are the rows as they were sent and one table of hashes
+        some = [(blobs.unpack_sorted(r["hashes"]), blobs.unpack(r["owner"], np.uint32)) for r in rows[low : low + 64]]
+        h = np.concatenate([known, *(x for x, _ in some)])
+        n = np.concatenate([times, *(np.where(o == 0, 2, 1) for _, o in some)])
+        known, place = np.unique(h, return_inverse=True)
+        times = np.minimum(np.bincount(place, n, minlength=len(known)), 2).astype(np.int64)
+    shared = known[times > 1]
+    for r in rows:
+        h, owner = blobs.unpack_sorted(r["hashes"]), blobs.unpack(r["owner"], np.uint32).astype(np.int64)
+        one = owner > 0
+        h, owner = h[one], owner[one] - 1
+        at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
+        hit = shared[at] == h if len(shared) else np.zeros(len(h), bool)
+        yield r, h[hit], owner[hit]
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]:
@@ -89,23 +94,3 @@ def groups_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[d
 def documents_of(rows: list[dict], width: int = 3) -> np.ndarray:
     """The integers that post() was given, from whichever row of a chunk carries them."""
     return blobs.unpack(next(r["docs"] for r in rows if r["docs"]), np.int64).reshape(-1, width)
-
-
-def merge_answers(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's answers of kind (hashes, doc, frequency): its documents' three integers; hash, document and frequency of each posting."""
-    docs = documents_of(rows)
-    h = np.concatenate([blobs.unpack_sorted(r["hashes"]) for r in rows])
-    doc, n = (np.concatenate([blobs.unpack(r[c], np.uint32) for r in rows]).astype(np.int64) for c in ("doc", "frequency"))
-    return docs, h, doc, n
-
-
-ANSWERED = "key long, bucket int, docs binary, hashes binary, doc binary, frequency binary"
-
-
-def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket side: the postings whose hash is in two documents or more, with their number."""
-    for rows in groups_of(batches, "bucket"):
-        for r, h, doc, n in frequencies(rows):
-            some = np.flatnonzero(n > 1)
-            packed = blobs.pack_sorted(h[some]), blobs.pack(doc[some].astype(np.uint32)), blobs.pack(n[some].astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((r["key"], r["bucket"], r["docs"], *packed), (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["key", "bucket", "docs", "hashes", "doc", "frequency"])

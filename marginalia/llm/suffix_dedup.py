@@ -33,11 +33,11 @@ from pyspark.sql.types import StructField, StructType
 
 from marginalia.llm import blobs
 from marginalia.llm.common import shuffle_width, text_batches
-from marginalia.llm.postings import ANSWERED, NULL_ID, POSTED, deal, documents_of, groups_of, merge_answers, post, posted_batch, shared_only
+from marginalia.llm.postings import NULL_ID, POSTED, bucket_cuts, deal, documents_of, groups_of, post, posted_batch, shared_of
 
 LENGTH, NAMED = 50, 32
 EXTRA = LENGTH - NAMED
-CHUNK_BYTES, SEGMENT = 2_000_000, 1 << 20
+CHUNK_BYTES, SEGMENT, SALTS = 2_000_000, 1 << 20, 32
 _ASKED_BITS = np.uint64(16)  # of a rank, the top 48 bits are asked about in the first step
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 _TOP = np.uint64(2**64 - 1)
@@ -120,12 +120,28 @@ def _ask_ranks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
                 for d, some in zip(own[turn][cuts].tolist(), np.split(smallest[turn], cuts[1:]), strict=True):
                     found[d].append(some >> _ASKED_BITS)
         sets = [np.unique(np.concatenate(f)) if f else np.empty(0, np.uint64) for f in found]
-        yield posted_batch(post(key, np.array([(r[0], r[1], 0) for r in rows], np.int64).reshape(-1, 3), sets, buckets))
+        posted, h, own = post(key, np.array([(r[0], r[1]) for r in rows], np.int64).reshape(-1, 2), sets, buckets)
+        # what is known to be shared passes by the buckets, as an answer under a negative number
+        yield posted_batch([*posted, (key, -1 - key % buckets, b"", blobs.pack_sorted(h), blobs.pack(own.astype(np.uint32)))])
+
+
+ANSWERED = "key long, bucket int, docs binary, hashes binary, doc binary"
+
+
+def _shared_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in groups_of(batches, "bucket"):
+        if rows[0]["bucket"] < 0:
+            yield _emit([(r["key"], r["bucket"], r["docs"], r["hashes"], r["owner"]) for r in rows], _ANSWERED)
+            continue
+        for r, h, doc in shared_of(rows):
+            yield _emit([(r["key"], r["bucket"], r["docs"], blobs.pack_sorted(h), blobs.pack(doc.astype(np.uint32)))], _ANSWERED)
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in groups_of(batches, "key"):
-        docs, h, doc, _ = merge_answers(rows)
+        docs = documents_of(rows, 2)
+        h = np.concatenate([blobs.unpack_sorted(r["hashes"]) for r in rows])
+        doc = np.concatenate([blobs.unpack(r["doc"], np.uint32) for r in rows]).astype(np.int64)
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
@@ -136,7 +152,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- the strings left: (rank, document, place of the rank) with EXTRA bytes on either side ---------------------------------------------
 
 STRINGS = "key long, bucket int, docs binary, ids binary, ranks binary, doc binary, place binary, sides binary, reach binary"
-_STRINGS = [x.split()[0] for x in STRINGS.split(", ")]
+_STRINGS, _ANSWERED = ([x.split()[0] for x in c.split(", ")] for c in (STRINGS, ANSWERED))
 
 
 def _emit(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -183,19 +199,22 @@ def _ask_strings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         rank, own, x, least, most = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((own, rank))
         rank, own, x, least, most = rank[order], own[order], x[order], least[order], most[order]
-        bucket = (rank % np.uint64(buckets)).astype(np.int64)
-        by_bucket = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         reach, ids = np.arange(EXTRA), np.array([r[0] for r in rows], np.int64)
         head, out = blobs.pack(np.array([(r[0], r[1]) for r in rows], np.int64).reshape(-1)), []
+        before = padded[x[:, None] + reach] * (reach >= EXTRA - most[:, None])  # padded is EXTRA bytes ahead
+        after = padded[x[:, None] + EXTRA + NAMED + reach] * (reach < EXTRA - least[:, None])
+        sides = np.concatenate([before, after], 1).astype(np.uint8)
+        # strings that an earlier document of this chunk has are decided; what is decided whole passes by the buckets
+        bits, place = _later(rank, ids[own], sides, least, most), (x - begins[own]).astype(np.int64)
+        known = np.flatnonzero(bits)
+        out.append((key, -1 - key % buckets, b"", b"", b"", blobs.pack(own[known].astype(np.uint32)), blobs.pack(place[known]), b"", blobs.pack(bits[known].astype(np.uint32))))
+        open_ = np.flatnonzero(bits != (2 << most) - (1 << least))
+        by_bucket, cuts = bucket_cuts(rank[open_], buckets)
         for b in range(buckets):
-            some = by_bucket[cuts[b] : cuts[b + 1]]
+            some = open_[by_bucket[cuts[b] : cuts[b + 1]]]
             if len(some) or b == key % buckets:
-                before = padded[x[some, None] + reach] * (reach >= EXTRA - most[some, None])  # padded is EXTRA bytes ahead
-                after = padded[x[some, None] + EXTRA + NAMED + reach] * (reach < EXTRA - least[some, None])
-                sides = np.concatenate([before, after], 1).astype(np.uint8)
                 there = np.unique(own[some])
-                out.append((key, b, head if b == key % buckets else b"", blobs.pack(np.diff(ids[there], prepend=0)), blobs.pack_sorted(rank[some]), blobs.pack(own[some].astype(np.uint32)), blobs.pack((x - begins[own])[some].astype(np.int64)), blobs.pack(sides.reshape(-1)), blobs.pack((least * 32 + most)[some].astype(np.uint16))))
+                out.append((key, b, head if b == key % buckets else b"", blobs.pack(np.diff(ids[there], prepend=0)), blobs.pack_sorted(rank[some]), blobs.pack(own[some].astype(np.uint32)), blobs.pack(place[some]), blobs.pack(sides[some].reshape(-1)), blobs.pack((least * 32 + most)[some].astype(np.uint16))))
         yield _emit(out, _STRINGS)
 
 
@@ -204,35 +223,44 @@ def _numbers(docs: np.ndarray) -> np.ndarray:
     return np.unique(docs, return_inverse=True)[1]
 
 
+def _later(ranks: np.ndarray, ids: np.ndarray, sides: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each ranked place the strings that a smaller id has too, as bits by bytes before the rank. The strings around equal ranks are told apart by
+    extending the rank to both sides, byte by byte."""
+    wide = sides.astype(np.uint64)
+    before, after = [np.zeros(len(ranks), np.uint64)], [np.zeros(len(ranks), np.uint64)]
+    for i in range(EXTRA):
+        before.append(_pair(before[-1], wide[:, EXTRA - 1 - i] + np.uint64(1)))
+        after.append(_pair(after[-1], wide[:, EXTRA + i] + np.uint64(1)))
+    strings, owners, ways = [], [], []
+    for a in range(EXTRA + 1):
+        some = np.flatnonzero((least <= a) & (a <= most))
+        strings.append(_pair(_pair(ranks[some] + np.uint64(a), before[a][some]), after[EXTRA - a][some]))
+        owners.append(some)
+        ways.append(np.full(len(some), a))
+    names, owner, way = np.concatenate(strings), np.concatenate(owners), np.concatenate(ways)
+    order = np.argsort(names, kind="stable")
+    names, owner, way = names[order], owner[order], way[order]
+    if not len(names):
+        return np.zeros(len(ranks), np.int64)
+    cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+    first = np.repeat(np.minimum.reduceat(ids[owner], cuts), np.diff(np.r_[cuts, len(names)]))
+    later = ids[owner] > first
+    return np.bincount(owner[later], np.exp2(way[later]), minlength=len(ranks)).astype(np.int64)
+
+
 def _first_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket side: for each string the smallest doc_id that has it; back go the strings whose own doc_id is larger, as bits by bytes before the rank."""
+    """Bucket side: back go the strings that a smaller doc_id has too."""
     names = ["key", "bucket", "docs", "doc", "place", "bits"]
     for rows in groups_of(batches, "bucket"):
+        if rows[0]["bucket"] < 0:
+            yield _emit([(r["key"], r["bucket"], b"", r["doc"], r["place"], r["reach"]) for r in rows], names)
+            continue
         ranks = np.concatenate([blobs.unpack_sorted(r["ranks"]) for r in rows])
         docs = [blobs.unpack(r["doc"], np.uint32).astype(np.int64) for r in rows]
         ids = np.concatenate([np.cumsum(blobs.unpack(r["ids"], np.int64))[_numbers(d)] for r, d in zip(rows, docs, strict=True)])
-        sides = np.concatenate([blobs.unpack(r["sides"], np.uint8) for r in rows]).reshape(-1, 2 * EXTRA).astype(np.uint64)
+        sides = np.concatenate([blobs.unpack(r["sides"], np.uint8) for r in rows]).reshape(-1, 2 * EXTRA)
         reach = np.concatenate([blobs.unpack(r["reach"], np.uint16) for r in rows]).astype(np.int64)
-        least, most = reach // 32, reach % 32
-        before, after = [np.zeros(len(ranks), np.uint64)], [np.zeros(len(ranks), np.uint64)]
-        for i in range(EXTRA):
-            before.append(_pair(before[-1], sides[:, EXTRA - 1 - i] + np.uint64(1)))
-            after.append(_pair(after[-1], sides[:, EXTRA + i] + np.uint64(1)))
-        strings, owners, ways = [], [], []
-        for a in range(EXTRA + 1):
-            some = np.flatnonzero((least <= a) & (a <= most))
-            strings.append(_pair(_pair(ranks[some] + np.uint64(a), before[a][some]), after[EXTRA - a][some]))
-            owners.append(some)
-            ways.append(np.full(len(some), a))
-        names_, owner, way = np.concatenate(strings), np.concatenate(owners), np.concatenate(ways)
-        order = np.argsort(names_, kind="stable")
-        names_, owner, way = names_[order], owner[order], way[order]
-        bits = np.zeros(len(ranks), np.int64)
-        if len(names_):
-            cuts = np.flatnonzero(np.r_[True, names_[1:] != names_[:-1]])
-            first = np.repeat(np.minimum.reduceat(ids[owner], cuts), np.diff(np.r_[cuts, len(names_)]))
-            later = ids[owner] > first
-            bits = np.bincount(owner[later], np.exp2(way[later]), minlength=len(ranks)).astype(np.int64)
+        bits = _later(ranks, ids, sides, reach // 32, reach % 32)
         at, out = 0, []
         for r, d in zip(rows, docs, strict=True):
             mine = bits[at : at + len(d)]
@@ -282,16 +310,18 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     # the keys can't be null and every use has the same columns, so all joins read one and the same exchange
     rows = documents.select(key.alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"), *others)
     firsts = documents.filter(F.col("doc_id").isNotNull()).select(key.alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("h2"))
-    firsts = firsts.groupBy("h", "h2").agg(F.min("doc_id").alias("first"))
+    firsts = firsts.groupBy("h", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     keyed = firsts.select(F.col("first").alias("doc_id"), "h")
 
     asked = rows.join(keyed, ["doc_id", "h"], "left_semi").mapInArrow(lambda b: _ask_ranks(b, buckets), POSTED)
-    answered = deal(deal(asked, "bucket", buckets).mapInArrow(shared_only, ANSWERED), "key", buckets).mapInArrow(_by_document, "doc_id long not null, h long not null, ranks binary")
+    answered = deal(deal(asked, "bucket", buckets).mapInArrow(_shared_ranks, ANSWERED), "key", buckets).mapInArrow(_by_document, "doc_id long not null, h long not null, ranks binary")
     left = rows.join(answered, ["doc_id", "h"]).mapInArrow(lambda b: _ask_strings(b, buckets), STRINGS)
     found = deal(deal(left, "bucket", buckets).mapInArrow(_first_documents, FOUND), "key", buckets).mapInArrow(_found_by_document, "doc_id long not null, h long not null, spans binary")
     found = found.groupBy("doc_id", "h").agg(F.first("spans").alias("spans"))
-    first = firsts.groupBy("h").agg(F.min("first").alias("first"))
-    copies = documents.select(key.alias("doc_id"), F.xxhash64(text).alias("h")).join(first, "h").filter("doc_id > first").select("doc_id", "h").distinct().withColumn("copy", F.lit(True))
+    # texts of which there are very many copies meet their first in SALTS tasks
+    first = firsts.filter("n > 1").select("h", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hashed = documents.select(key.alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("h2"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = hashed.join(first, ["h", "h2", "salt"]).filter("doc_id > first").select("doc_id", "h").distinct().withColumn("copy", F.lit(True))
     whole = rows.join(found, ["doc_id", "h"], "left").join(copies, ["doc_id", "h"], "left")
     size = F.octet_length("text")
     spans = F.when(F.col("copy") & (size >= LENGTH), _whole(size)).otherwise(F.col("spans"))

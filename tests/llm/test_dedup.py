@@ -147,7 +147,7 @@ def test_intersections_are_counted_exactly(seed):
 
     rng = np.random.default_rng(seed)
     sets = [np.unique(rng.integers(0, 2**63, 400)[: rng.integers(1, 60)] % rng.integers(5, 300)).astype(np.uint64) for _ in range(9)]
-    found = intersections(sets[:4], sets[4:], columns=int(rng.integers(1, 50)))
+    found = intersections(sets[:4], sets[4:], columns=int(rng.integers(1, 50)), rare=int(rng.integers(1, 12)))
     assert found.astype(int).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[4:]] for a in sets[:4]]
 
 
