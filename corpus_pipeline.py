@@ -1,6 +1,9 @@
 """The corpus pipeline: toxic documents go, near copies go, repeated passages go, sources are mixed, and what is left is packed.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
+
+Nulls in any column are values like others: a null text is empty, a null source is a source, rows without doc_id are rows of their own. Texts may have any
+length. An empty table gives empty tables of the same columns. Columns beyond those of documents are left out at the first stage.
 """
 
 from __future__ import annotations
@@ -24,20 +27,23 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being toxic is below one half stay."""
+    """Documents whose probability of being toxic is below one half stay. Each row is judged by its own text: an empty or null one has the score of a text
+    without features, repeated rows have equal scores and stay or go together. Without labels all stay."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs.select(*COLUMNS), model, "toxic_score").filter("toxic_score < 0.5").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest doc_id stays."""
+    """Of each component of linked documents the one with the smallest doc_id stays; rows that share this doc_id all stay. Texts without words (empty, null)
+    are linked with nothing and stay. Rows without doc_id aren't told apart here: all stay unless each is linked with a row that has one."""
     found = join_components(docs)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has go; documents of which nothing is left go."""
+    """Passages that an earlier document has go; documents of which nothing is left (also those that were empty or null) go. Rows of one doc_id don't remove
+    from one another, and rows without doc_id keep all their text."""
     return remove_repeats(docs.select(*COLUMNS)).filter(F.octet_length(F.coalesce("text", F.lit(""))) > 0)
 
 
@@ -49,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences. A repeated row is packed as often as it occurs; empty and null texts are packed as their end alone."""
     return pack(docs)
 
 

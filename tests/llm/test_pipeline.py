@@ -47,7 +47,7 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, run_of_stages):
 def test_one_document_of_each_group_stays(run_of_stages):
     before, after = (t.collect() for t in run_of_stages[1][1:3])
     named = brute_components([key(r) for r in before])
-    expected = {d for d, _, c in named if d == c}
+    expected = {d for d, _, c, _ in named if d == c}
     assert {r["doc_id"] for r in after} == expected
 
 
@@ -99,3 +99,15 @@ def test_run_is_the_stages(spark, run_of_stages):
     folder, tables = run_of_stages
     columns = ("doc_id", "piece", "start", "length", "ids_crc32")
     assert collections.Counter(tuple(r[c] for c in columns) for r in pipeline.run(spark, folder).collect()) == collections.Counter(tuple(r[c] for c in columns) for r in tables[-1].collect())
+
+
+@pytest.mark.parametrize("rows", [0, 12])
+def test_the_whole_run_of_empty_tables_and_of_extra_columns(spark, tmp_path, rows):
+    from tests.llm.fixtures import documents
+
+    data = [(i, (None, "", text(i, 30))[i % 3], (None, "a")[i % 2]) for i in range(rows)]
+    documents(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns)
+    assert (out.count() > 0) == (rows > 0)
