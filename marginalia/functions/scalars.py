@@ -214,6 +214,11 @@ def share_pct(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.bround(part / whole * 100, digits))
 
 
+def kpi_pct(part: Column, whole: Column) -> Column:
+    """A whole percentage, halves up; 0 where there is nothing."""
+    return F.when(whole == 0, F.lit(0)).otherwise(F.floor(part / whole * 100 + 0.5)).cast("long")
+
+
 def month(at: Column) -> Column:
     """(X25)"""
     return F.date_format(at, "yyyy-MM")
@@ -254,6 +259,27 @@ def transcript_text(text: Column, segments: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(text), F.lit("")), joined)
 
 
+TRANSCRIPT = "text STRING, language STRING, has_speech BOOLEAN, segments ARRAY<STRUCT<start: DOUBLE, text: STRING>>"
+
+
+def parse_transcript(raw: Column) -> Column:
+    """A tool's JSON as struct of text, language and has_speech; null where it is no JSON object."""
+    t = F.from_json(raw, TRANSCRIPT)
+    made = F.struct(transcript_text(t["text"], t["segments"]).alias("text"), t["language"].alias("language"), has_speech(t["has_speech"], t["text"], t["segments"]).alias("has_speech"))
+    return F.when(F.coalesce(F.schema_of_variant(F.try_parse_json(raw)), F.lit("")).startswith("OBJECT"), made)
+
+
+def frame_times(log: Column) -> Column:
+    """The seconds that a frame extractor's log names, in order."""
+    return F.transform(F.regexp_extract_all(log, F.lit(r"pts_time:\s*([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda t: t.cast("double"))
+
+
+def pair_frames(paths: Column, times: Column) -> Column:
+    """Frames with their times by position; different numbers are an error."""
+    paired = F.transform(paths, lambda p, i: F.struct(F.get(times, i).alias("timestamp"), p.alias("local_path")))
+    return F.when(F.size(paths) == F.size(times), paired).otherwise(F.raise_error(F.format_string("%d frames, %d times", F.size(paths), F.size(times))))
+
+
 #: Block types of an article body and what they look like in text.
 BLOCK_PREFIXES = {"header-one": "# ", "header-two": "## ", "header-three": "### ", "header-four": "#### ", "unordered-list-item": "- ", "ordered-list-item": "1. ", "blockquote": "> "}
 

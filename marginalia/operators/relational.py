@@ -27,6 +27,12 @@ def known_and_new(batch: DataFrame, store: DataFrame, key: str) -> tuple[DataFra
     return batch.join(store.select(key), key, "left_semi"), batch.join(store.select(key), key, "left_anti")
 
 
+def before_first_known(captured: DataFrame, store: DataFrame, key: str, feed: str, order: str) -> DataFrame:
+    """What an incremental pull takes of each feed: rows before the first known id in descending order (T1). The known ids shrink to one place a feed."""
+    stop = captured.join(store.select(key), key, "left_semi").groupBy(feed).agg(F.max(order).alias("_stop"))
+    return captured.join(stop, feed, "left").filter(F.col("_stop").isNull() | (F.col(order) > F.col("_stop"))).drop("_stop")
+
+
 def newest(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The n first rows of each group (W2, O1, O2, O9). Spark keeps n rows a group and task before the shuffle."""
     place = F.row_number().over(W.partitionBy(*group).orderBy(*order))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from marginalia import schema
 from marginalia.functions import predicates as P
 from marginalia.functions import scalars as S
-from marginalia.operators.relational import positional_zip, replace_kind
-from marginalia.plans import dashboard, render, state, topics
+from marginalia.operators.relational import before_first_known, positional_zip, replace_kind
+from marginalia.plans import dashboard, diff, render, state, topics
 from marginalia.plans.registry import read, register
 from marginalia.sources import articles, external, tables
 
@@ -514,3 +514,90 @@ def call_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     keys = read(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_partkey").cast("string").alias("argument"))
     return external.report(external.call_each(keys, "l_partkey", "argument", call, "text string"))
+
+
+# --- reports, pictures and frames -----------------------------------------------------------------------------------------------------------
+
+
+@register("""SELECT o_orderstatus AS status, CAST(floor(count(*) FILTER (o_orderpriority = '1-URGENT') / CAST(count(*) AS DOUBLE) * 100 + 0.5) AS BIGINT) AS pct FROM orders GROUP BY 1""")
+def kpi_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12"""
+    counts = read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("part"), F.count(F.lit(1)).alias("whole"))
+    return counts.select("status", S.kpi_pct(F.col("part"), F.col("whole")).alias("pct"))
+
+
+@register("""
+WITH k AS (SELECT source, max(doc_id) AS stop FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY 1)
+SELECT d.doc_id, d.source FROM documents d LEFT JOIN k USING (source) WHERE stop IS NULL OR d.doc_id > stop
+""")
+def incremental_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feed up to its first known id."""
+    known = read(spark, sf_dir, "labels").filter("quality = 0")
+    return before_first_known(read(spark, sf_dir, "documents").select("doc_id", "source"), known, "doc_id", "source", "doc_id")
+
+
+@register("""
+WITH a AS (SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS t FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS t FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1),
+c AS (SELECT nullif(a.t, 'error') AS x, nullif(b.t, 'error') AS y, count(*) AS n FROM a JOIN b USING (id) WHERE nullif(a.t, 'error') IS DISTINCT FROM nullif(b.t, 'error') GROUP BY 1, 2)
+SELECT row_number() OVER (ORDER BY n DESC, coalesce(x, ''), coalesce(y, '')) AS place, '  ' || coalesce(x, '(none)') || ' -> ' || coalesce(y, '(none)') || ': ' || n AS line FROM c
+""")
+def diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of topic as lines of a report."""
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_type", "ts", "event_id")
+    cut = F.lit("2024-01-16").cast("timestamp_ntz")
+    latest = lambda d: d.groupBy("id").agg(F.nullif(F.max_by("event_type", F.struct("ts", "event_id")), F.lit("error")).alias("topic"))
+    lines = render.transition_lines(diff.transitions(latest(events.filter(F.col("ts") < cut)), latest(events.filter(F.col("ts") >= cut)), 1000))
+    return lines.withColumn("place", F.col("place").cast("long"))
+
+
+@register("""
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_size AS pos, rtrim(rpad(CAST(p_partkey AS VARCHAR), 20, ' ') || '  ' || rpad(coalesce(nullif(p_type, 'ECONOMY'), '-'), 10, ' ') || '  ' || rpad(CASE WHEN p_size % 2 = 0 THEN 'unknown' ELSE p_size || ' B' END, 10, ' ') || '  ' || p_name) AS line FROM part
+""")
+def video_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K13, X16, X5"""
+    size = F.when(F.col("p_size") % 2 == 1, F.col("p_size").cast("long"))
+    return render.video_lines(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").alias("pos"), F.nullif("p_type", F.lit("ECONOMY")).alias("state"), size.alias("size_bytes"), F.col("p_name").alias("text")))
+
+
+@register("""
+WITH i AS (SELECT doc_id AS id, unhex(CASE lang WHEN 'en' THEN 'FFD8FF' WHEN 'fr' THEN '89504E470D0A1A0A' WHEN 'de' THEN '474946383961' ELSE '00' END) || encode(source) AS content, CASE lang WHEN 'en' THEN 'jpeg' WHEN 'fr' THEN 'png' WHEN 'de' THEN 'gif' END AS kind FROM documents)
+SELECT id, 0 AS pos, 'data:image/' || kind || ';base64,' || base64(content) AS data FROM i WHERE kind IS NOT NULL ORDER BY id LIMIT 18
+""")
+def dashboard_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eighteen readable pictures."""
+    lang = F.col("lang")
+    head = F.when(lang == "en", "FFD8FF").when(lang == "fr", "89504E470D0A1A0A").when(lang == "de", "474946383961").otherwise("00")
+    return dashboard.thumbnails(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("pos"), F.concat(F.unhex(head), F.col("source").cast("binary")).alias("content")))
+
+
+@register("""SELECT p_type AS slug, count(*) AS n FROM part WHERE p_type <> 'ECONOMY' GROUP BY 1 ORDER BY n DESC, slug LIMIT 3""")
+def shown_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """economy stands for the catch-all."""
+    counts = read(spark, sf_dir, "part").groupBy(F.when(F.col("p_type") == "ECONOMY", "misc").otherwise(F.col("p_type")).alias("slug")).agg(F.count(F.lit(1)).alias("n"))
+    return dashboard.shown_topics(counts, 3, True)
+
+
+@register("""
+SELECT doc_id, CASE WHEN lang <> 'es' THEN CASE WHEN lang = 'en' THEN 'said ' || source ELSE 'a b' END END AS text, CASE WHEN lang <> 'es' THEN lang END AS language, CASE WHEN lang <> 'es' THEN lang <> 'de' END AS has_speech, CAST(CASE WHEN lang = 'en' THEN 1.5 ELSE 12.25 END AS DOUBLE) AS second FROM documents
+""")
+def parsed_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tool's output and an extractor's log, parsed."""
+    spoken, segments = F.when(F.col("lang") == "en", F.concat(F.lit("said "), "source")), F.array(F.struct(F.lit(0.0).alias("start"), F.lit(" a ").alias("text")), F.struct(F.lit(1.0).alias("start"), F.lit("b").alias("text")))
+    made = F.to_json(F.struct(spoken.alias("text"), F.col("lang").alias("language"), F.when(F.col("lang") == "de", F.lit(False)).alias("has_speech"), segments.alias("segments")))
+    t = S.parse_transcript(F.when(F.col("lang") == "es", F.lit("[1]")).otherwise(made))
+    log = F.concat(F.lit("[showinfo] n: 0 pts_time:"), F.when(F.col("lang") == "en", "1.5").otherwise("12.25"), F.lit(" fmt:yuv"))
+    frames = S.pair_frames(F.array(F.lit("f.jpg")), S.frame_times(log))
+    return read(spark, sf_dir, "documents").select("doc_id", t["text"].alias("text"), t["language"].alias("language"), t["has_speech"].alias("has_speech"), frames[0]["timestamp"].alias("second"))
+
+
+@register("""
+WITH w AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS place FROM lineitem WHERE l_returnflag = 'A'), h AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS place FROM lineitem WHERE l_returnflag = 'N')
+SELECT 'copy' AS action, count(*) AS n FROM w ANTI JOIN h USING (id, place) UNION ALL SELECT 'clear', count(*) FROM (SELECT * FROM h SEMI JOIN w USING (id)) x ANTI JOIN w USING (id, place)
+""")
+def slide_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: slides to copy for each post, and stale ones to clear."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_linenumber").alias("place"), "l_returnflag")
+    path = F.concat_ws("/", F.lit("slides"), "id", F.format_string("%03d.jpg", "place")).alias("path")
+    copies, stale = state.slide_copies(lines.filter("l_returnflag = 'A'").select("id", "place", F.lit("f.jpg").alias("local_path")).distinct(), lines.filter("l_returnflag = 'N'").select(path).distinct())
+    count = lambda d, name: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("action"), "n")
+    return count(copies, "copy").unionByName(count(stale, "clear"))

@@ -85,6 +85,20 @@ def video_section(items: DataFrame) -> DataFrame:
     return rows.select("handle", "day", "summary", F.bround(F.nullif(F.col("v.duration_millis"), F.lit(0)) / 1000).cast("long").alias("dur"), F.col("v.thumbnail_url").alias("poster"), "url")
 
 
+def thumbnails(images: DataFrame, most: int = 18) -> DataFrame:
+    """(id, pos, data) of the first readable pictures by post and position, as data URLs; unreadable ones use no place (R11). images: id, pos, content."""
+    head = F.hex(F.substring("content", 1, 8))
+    kind = F.when(head.startswith("FFD8FF"), "jpeg").when(head == "89504E470D0A1A0A", "png").when(head.startswith("474946383"), "gif")
+    readable = images.withColumn("_kind", kind).filter("_kind is not null").orderBy("id", "pos").limit(most)
+    return readable.select("id", "pos", F.concat(F.lit("data:image/"), "_kind", F.lit(";base64,"), F.base64("content")).alias("data"))
+
+
+def shown_topics(topics: DataFrame, most: int, without_misc: bool) -> DataFrame:
+    """The largest topics, the catch-all left out if wanted (F30). topics: slug, n."""
+    kept = topics.filter("slug <> 'misc'") if without_misc else topics
+    return kept.orderBy(F.desc("n"), "slug").limit(most)
+
+
 def dashboard_data(items: DataFrame, pages: DataFrame) -> str:
     """All sections as one JSON text (R10, K9, X22): top lists and a row a month, so small at any scale."""
     base = narrow(items)

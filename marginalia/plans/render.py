@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import predicates as P
@@ -53,6 +54,19 @@ def source_lines(sources: Column) -> Column:
     return F.array_join(F.transform(sources, one), "\n\n")
 
 
+def transition_lines(transitions: DataFrame) -> DataFrame:
+    """(place, line) of the changes of topic, the most frequent first."""
+    name = lambda c: F.coalesce(c, F.lit("(none)"))
+    place = F.row_number().over(W.orderBy(F.desc("n"), F.coalesce("from_topic", F.lit("")), F.coalesce("to_topic", F.lit(""))))  # the few rows of a report
+    return transitions.select(place.alias("place"), F.format_string("  %s -> %s: %d", name(F.col("from_topic")), name(F.col("to_topic")), "n").alias("line"))
+
+
+def video_lines(videos: DataFrame) -> DataFrame:
+    """(id, pos, line): a table of videos with columns of fixed width."""
+    cell = lambda c, wide: F.rpad(F.coalesce(c, F.lit("-")), wide, " ")
+    return videos.select("id", "pos", F.rtrim(F.concat_ws("  ", cell(F.col("id"), 20), cell(F.col("state"), 10), cell(S.format_size(F.col("size_bytes")), 10), S.snippet(F.col("text"), 40))).alias("line"))
+
+
 def notes(items: DataFrame, style: str = "wikilink") -> DataFrame:
     """(id, path, body) of items that have a note."""
     titles = F.transform(F.filter(F.coalesce(F.col("content.sources"), F.expr("array()")), lambda s: s["outcome"] == "success"), lambda s: s["title"])

@@ -85,6 +85,13 @@ def described(media: Column, judgment: Column, version: str, language: str, as_o
     return F.when(fits, new).otherwise(media)
 
 
+def slide_copies(frames: DataFrame, there: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Copies of frames to make for each post, and files of these posts that no frame stands for any more (M6). frames: id, place, local_path; there: path."""
+    wanted = frames.select("id", F.col("local_path").alias("from_path"), F.concat_ws("/", F.lit("slides"), "id", F.format_string("%03d.jpg", "place")).alias("path"))
+    mine = there.withColumn("id", F.regexp_extract("path", "^slides/([^/]+)/", 1)).join(frames.select("id").distinct(), "id", "left_semi")
+    return wanted.join(there.select("path"), "path", "left_anti"), mine.join(wanted.select("path"), "path", "left_anti").select("path")
+
+
 def refresh_videos(existing: Column, fresh: Column) -> Column:
     """The i-th pending video becomes the i-th fresh one if that is a real stream; nothing is ever degraded or dropped."""
 
