@@ -11,6 +11,7 @@ from marginalia.llm import blobs
 from marginalia.llm.components import connected_components
 from marginalia.llm.ngram_join import CountTree, join_components, least_overlap, shingle_sets
 from marginalia.llm.suffix_dedup import dedup_digest, remove_repeats
+from tests.llm.doubling import removed_bytes
 from tests.llm.fixtures import collected, corpus, documents, edited, text
 
 
@@ -41,6 +42,13 @@ def test_suffix_dedup_matches_brute_force(spark):
     assert collected(dedup_digest(documents(spark)), *DIGEST) == brute_spans(corpus())
 
 
+def test_suffix_dedup_agrees_with_prefix_doubling_by_the_book(spark):
+    rows = [(i, t, None) for i, t in enumerate([text(1, 60), text(2, 30) + text(1, 60)[40:300], "ab" * 60, "xab" * 40, None, text(1, 60), "short", text(3, 20) + "ab" * 30])]
+    docs = documents(spark, rows)
+    expected = {r["doc_id"]: r["n_removed"] for r in removed_bytes(docs.select("doc_id", "text")).collect()}
+    assert expected and {r["doc_id"]: r["n_removed"] for r in dedup_digest(docs).collect() if r["n_removed"]} == expected
+
+
 def test_suffix_dedup_of_periodic_and_shuffled_texts(spark):
     rng = random.Random(5)
     pieces = [text(i, 9) for i in range(6)] + ["ab" * 40, "z" * 90]
