@@ -1,22 +1,26 @@
-"""Suffix-array dedup: removal of passages of LENGTH bytes that an earlier document has, by distributed prefix doubling.
+"""Suffix-array dedup: removal of passages of LENGTH bytes that an earlier document has, by sparse prefix doubling.
 
-Prefix doubling gives every position a rank for its first 1, 2, 4, ... bytes from the pair of ranks at growing offsets, sorts the pairs,
-and goes on where ranks are shared. Here ranks are fingerprints, so the pairs up to NAMED bytes double inside each task; what needs the
-cluster is to learn which ranks are shared, and that is asked twice:
+Prefix doubling gives every position a rank for its first 1, 2, 4, ... bytes from the pair of ranks at growing offsets, sorts the pairs across
+the cluster in each round, and goes on where ranks are shared. Done so for every byte position it moves several hundred times the input (tests/llm/doubling.py has it;
+the README has the figures), since nearly all positions share their first few bytes. Here only a sample of positions is ranked across the cluster, and only from the offset on at
+which most are unique. It is no full suffix array, and ranks are 64-bit fingerprints instead of places in a sorted order:
 
-(1) at NAMED bytes, and only for the positions whose rank is the smallest of some window: each string of LENGTH bytes has such a
-    position, and equal strings have the same one, so a string whose rank there is in no other document is unique and ends here;
-(2) at LENGTH bytes, for the strings left: sorted with the others of the same rank, each is extended to both sides of its ranked position,
+(1) Ranks of 1, 2, 4, ... NAMED bytes are fingerprints of pairs of fingerprints and are made inside each task.
+(2) Of each window of ranks that a string of LENGTH bytes spans, the place of the smallest one is sampled: equal strings sample the same place. The sampled ranks
+    are sorted across the cluster in buckets; a string whose rank there is in no other document is unique and ends here.
+(3) The rest get their rank for LENGTH bytes: sorted with the others of the same rank, each is extended to both sides of its sampled place,
     byte by byte, and gets its first document. It is a repeat if that has a smaller doc_id.
 
-Ranks travel as sorted numbers of chunks of documents, so the two exchanges are a small part of the text. Copies of whole texts are found by
-their hash beforehand and aren't ranked. Texts are shuffled once, by doc_id; the exchange serves all three steps.
+Ranks travel as sorted numbers of chunks of documents, so the two exchanges are a small part of the text. What one chunk can decide itself (a rank that two of its
+documents share, a string of which it has an earlier document) is decided there, so a line that very many documents have costs a bucket
+one entry a chunk. Copies of whole texts are found by two hashes of them beforehand, over salts, and aren't ranked. Texts are shuffled once, by doc_id; the exchange serves
+all three steps.
 
-Ranks are equal if their 64-bit fingerprints of NAMED bytes are; the rest of a string is compared by 64-bit fingerprint of its bytes.
+Ranks are equal if their 64-bit fingerprints of NAMED bytes are; around equal ranks up to EXTRA bytes on either side are compared, by 64-bit fingerprint too.
 Long texts are worked through in segments.
 
 Defined results: a null or empty text has no bytes. Rows of one doc_id don't remove from one another. A row without doc_id keeps all its
-bytes and removes nothing.
+bytes and removes nothing; the smallest long as doc_id counts as none. Without rows there is no result.
 """
 
 from __future__ import annotations

@@ -6,9 +6,10 @@ taken back by level 1, unless level 2 restores it, and so on. Since the universe
 exact for every row, with filters of a few bits a key and without joining rows to the list.
 
 Keys are dealt over shards by hash, so that one shard's filters stay small however long the list is; every shard has its own
-cascade. Filters of at most `broadcast_bytes` in all are broadcast, larger ones meet the rows by shard.
+cascade. Filters of at most BROADCAST_BYTES in all are broadcast, larger ones meet the rows by shard and salt.
 
-Defined results: a null url or one without "://" has an empty host and path, fits no rule and is judged like any other key.
+Defined results: a null url or one without "://" has an empty host and path, fits no rule and is judged like any other key. Repeated rows get
+equal verdicts, urls may have any length, and without rows there is no result. Columns of the rows stay, but for host, path, rule and verdict.
 """
 
 from __future__ import annotations

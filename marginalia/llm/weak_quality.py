@@ -6,7 +6,7 @@ probability of being good then decides. Documents with the same votes are alike,
 patterns (at most 3^rules rows, whatever the corpus) and the iterations run on those counts.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept. Rows are judged one by one, so repeated rows
-get equal results. An empty table gives no rows.
+get equal results. Texts of any length are read whole. An empty table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
