@@ -10,8 +10,8 @@ sends its tokens with their numbers of occurrences to buckets of hashes: one ent
 key. A bucket sums them over the training chunks, names the tokens with an emission of their own, and answers every chunk for its own tokens.
 (3) Baum-Welch: each iteration's expected counts by (class, state) are summed within tasks and then across the cluster by class; at most VOCABULARY +
 ENDINGS rows reach the driver. Sequences are whole: those of more than PIECE tokens are worked through in pieces, whose messages to one another
-come from products of transfer matrices, so nothing is cut. Iterations go on until the gain of a token is below SETTLED; they start on the first WARM_SHARE of
-each chunk's documents, and when that has settled go on with all. (4) The scaled forward recursion gives each document's exact likelihood.
+come from products of transfer matrices, so nothing is cut. Iterations go on until the gain of a token is below SETTLED; they start on one in WARM_ONE_IN
+chunks by hash (and the first), and when that has settled go on with all. (4) The scaled forward recursion gives each document's exact likelihood.
 
 Tokens count as equal by 64-bit hash. Defined results: a null or empty text is the end alone. Without training tokens every count is 0
 and the model is uniform. Repeated rows count as often as they occur. A very long text is a chunk of its own, with a few numbers for each of its
@@ -37,8 +37,8 @@ from marginalia.llm.common import LOWER, UPPER, WORD_PATTERN, remainder_of, shuf
 from marginalia.llm.postings import bucket_cuts, deal, groups_of
 
 STATES, VOCABULARY, LEAST_COUNT, ENDINGS, PIECE = 6, 131_072, 4, 1024, 2048
-#: Iterations stop at this gain of log10 likelihood a token, and must by MOST_ITERATIONS; share of the documents that the first ones use.
-SETTLED, MOST_ITERATIONS, WARM_SHARE = 0.002, 100, 0.125
+#: Iterations stop at this gain of log10 likelihood a token, and must by MOST_ITERATIONS; the first ones use one in so many chunks.
+SETTLED, MOST_ITERATIONS, WARM_ONE_IN = 0.002, 100, 8
 #: Characters of one chunk of documents, tokens worked on at a time.
 CHUNK_CHARS, BATCH_TOKENS = 6_000_000, 300_000
 EMISSION_PRIOR, TRANSITION_PRIOR, STICKY = 20.0, 1.0, 0.9
@@ -352,35 +352,38 @@ def _sequences(lexicon: Lexicon, hashes: bytes, endings: bytes, lengths: bytes,
     return np.split(classes[blobs.unpack(ids, np.uint32)], np.cumsum(blobs.unpack(lengths, np.int64))[:-1])
 
 
-def train(chunks: DataFrame, lexicon: Lexicon, states: int = STATES) -> tuple[HiddenMarkov, list[tuple[float, float]]]:
-    """chunks: those to learn from. Returns the model, and share of documents and log10 likelihood a token of every iteration."""
-    model, history, share = HiddenMarkov.initial(lexicon.counts, states), [], WARM_SHARE
+def train(chunks: DataFrame, lexicon: Lexicon, states: int = STATES) -> tuple[HiddenMarkov, list[tuple[bool, float]]]:
+    """chunks: those to learn from. Returns the model, and for every iteration whether it used all chunks and the log10 likelihood a token."""
+    model, history, whole = HiddenMarkov.initial(lexicon.counts, states), [], False
     columns = [f"s{i}" for i in range(states)]
     schema = "class int, " + ", ".join(f"{c} double" for c in columns)
     if not lexicon.tokens:
         return model, history
+    first = chunks.agg(F.min("key")).first()[0]
+    some = chunks.filter((F.pmod(F.xxhash64("key"), F.lit(WARM_ONE_IN)) == 0) | (F.col("key") == first))
     for _ in range(MOST_ITERATIONS):
 
-        def run(batches: Iterator[pa.RecordBatch], current: HiddenMarkov = model, share: float = share) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], current: HiddenMarkov = model) -> Iterator[pa.RecordBatch]:
             m, k = current.emit.shape
             start, move, emit, logs, n = np.zeros(k), np.zeros((k, k)), np.zeros((m, k)), 0.0, 0
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    some = _sequences(lexicon, *row)
-                    some = some[: math.ceil(share * len(some))]
-                    found = expected_counts(current, some)
-                    start, move, emit, logs, n = start + found[0], move + found[1], emit + found[2], logs + found[3], n + sum(map(len, some))
-            table = np.vstack([emit, move, start, np.full(k, logs), np.full(k, n)])  # classes, then k rows of moves, start, likelihood, tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table)), pa.int32()), *[pa.array(table[:, i]) for i in range(k)]], ["class", *columns])
-
-        summed = chunks.select("hashes", "endings", "lengths", "ids").mapInArrow(run, schema).groupBy("class").agg(*[F.sum(c).alias(c) for c in columns])
-        table = np.array([list(r)[1:] for r in sorted(summed.collect(), key=lambda r: r["class"])])  # classes + states + 3 rows
+                    sequences = _sequences(lexicon, *row)
+                    found = expected_counts(current, sequences)
+                    start, move, emit, logs, n = start + found[0], move + found[1], emit + found[2], logs + found[3], n + sum(map(len, sequences))
+            if n:
+                table = np.vstack([emit, move, start, np.full(k, logs), np.full(k, n)])  # classes, then k rows of moves, start, likelihood, tokens
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table)), pa.int32()), *[pa.array(table[:, i]) for i in range(k)]], ["class", *columns])
+
+        summed = (chunks if whole else some).select("hashes", "endings", "lengths", "ids").mapInArrow(run, schema).groupBy("class").agg(*[F.sum(c).alias(c) for c in columns])
+        found = summed.toArrow().sort_by("class")  # classes + states + 3 rows
+        table = np.stack([found[c].to_numpy() for c in columns], 1)
         model = HiddenMarkov.from_counts(table[-3], table[-states - 3 : -3], table[: -states - 3], lexicon.counts)
-        history.append((share, float(table[-2, 0] / table[-1, 0])))
-        if len(history) > 1 and history[-2][0] == share and history[-1][1] - history[-2][1] < SETTLED:
-            if share == 1.0:
+        history.append((whole, float(table[-2, 0] / table[-1, 0])))
+        if len(history) > 1 and history[-2][0] == whole and history[-1][1] - history[-2][1] < SETTLED:
+            if whole:
                 return model, history
-            share = 1.0
+            whole = True
     raise RuntimeError(f"the model has not settled after {MOST_ITERATIONS} iterations")
 
 
