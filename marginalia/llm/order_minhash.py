@@ -5,87 +5,107 @@ each bin the PICKED smallest are selected, put back in text order, and the tuple
 stands for BINS independent permutations: same selection rule, one pass; the tests measure both against one another.) Two texts share a bin's value if
 they share its minimal k-mers in the same order, so moved passages count as changes, unlike in a plain MinHash.
 
-A k-mer is CHAR_K code points in every text, so that texts of any two sizes and scripts can be compared. Two different tuples agree by chance in one of 2^32 bins.
-
-Neighbours are found with DataFrame operations; sketches are made in Arrow batches with numpy. A form of only SQL functions gave right results but not within the
-limits: it evaluates several lambda functions for each code point (figures in the README).
+A k-mer is CHAR_K code points in every text, so that texts of any two sizes and scripts can be compared. A place has PLACE_BITS bits, as many
+as the longest text can need, and the rest of 64 are the hash of the k-mer. Bins are compared by VALUE_BITS bits, so two different tuples agree by chance in one of
+2^VALUE_BITS bins.
 
 Defined results: a null text is empty; an empty text has an empty fingerprint, and two of them have likeness 1. Rows of equal doc_id follow one another in order
 of their text, rows without one come first, in order of a hash. Ids may be any long, spread in any way; rows that share one id are sorted by one task.
-Texts of any length are read whole. Other columns are left out; without rows there is no result.
+Other columns are left out; without rows there is no result.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import broadcast_if_small, settle, text_batches
+from marginalia.llm.common import broadcast_if_small, let, settle
 
 BINS_LOG2, PICKED, CHAR_K = 6, 2, 4
-BINS = 1 << BINS_LOG2
+PLACE_BITS = 31
+PLACE_MASK = (1 << PLACE_BITS) - 1
+VALUE_BITS = 24
+#: K-mers of a bin that are sorted of a long text.
+LIKELY = 24
 #: Documents in one range of neighbours, quantiles of ids that cut ranges, ranges in one group of ranges, first documents that may be broadcast, ranges of rows without id.
 RANGE_ROWS, QUANTILES, GROUP, BROADCAST_ROWS, NULL_RANGES = 256, 4096, 4096, 500_000, 64
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: The value of a bin without k-mers.
-NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The next state of a hash of a row of numbers, spread over all bits."""
-    z = (h + _A) ^ (x * _C)
-    z = (z ^ (z >> np.uint64(30))) * _B
-    z = (z ^ (z >> np.uint64(27))) * _C
-    return z ^ (z >> np.uint64(31))
-
-
-def sketch(text: str) -> np.ndarray:
-    """The value of each bin, 32 bits, or NONE."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    out = np.full(BINS, NONE)
-    if not len(points):
-        return out
-    n = max(1, len(points) - CHAR_K + 1)
-    kmers = np.zeros(n, np.uint64)
-    for j in range(min(CHAR_K, len(points))):
-        kmers = mix(kmers, points[j : j + n])
-    place = np.argsort(kmers, kind="stable")  # equal k-mers in order of text
-    kmers = kmers[place]
-    starts = np.flatnonzero(np.r_[True, kmers[1:] != kmers[:-1]])
-    number = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
-    mixed = mix(kmers, number.astype(np.uint64))
-    order = np.argsort(mixed, kind="stable")
-    mixed, place = mixed[order], place[order]
-    bins = (mixed >> np.uint64(64 - BINS_LOG2)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-    ends = np.r_[first[1:], n]
-    picked = np.minimum(first[:, None] + np.arange(PICKED), n - 1)
-    there = first[:, None] + np.arange(PICKED) < ends[:, None]
-    in_text = np.argsort(np.where(there, place[picked], n), axis=1, kind="stable")
-    value = np.zeros(len(first), np.uint64)
-    for j in range(PICKED):
-        at = in_text[:, j]
-        row = np.arange(len(first))
-        value = np.where(there[row, at], mix(value, mixed[picked[row, at]]), value)
-    out[bins[first]] = value >> np.uint64(32)
-    return out
-
-
-def as_string(values: np.ndarray) -> str:
-    """Two digits of the bin and eight of its value, for bins that have k-mers."""
-    return "".join(f"{i:02x}{v:08x}" for i, v in enumerate(values.tolist()) if v != int(NONE))
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+
+
+def _packed(text: Column) -> Column:
+    """(k-mer hash | place) of every CHAR_K code points in a row; of all of them where there are fewer."""
+
+    def of_bytes(b: Column) -> Column:  # four bytes a code point, so a k-mer is cut out without a search
+        n = F.floor(F.octet_length(b) / 4).cast("int")
+        kmer = lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * CHAR_K)))
+        all_of = F.transform(F.sequence(F.lit(0), n - CHAR_K), lambda i: kmer(i).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(i.cast("long")))
+        return F.when(n >= CHAR_K, all_of).when(n > 0, F.array(F.xxhash64(b).bitwiseAND(F.lit(~PLACE_MASK)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.encode(text, "UTF-32"), of_bytes)
+
+
+def _bin(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 64 - BINS_LOG2)
+
+
+def _numbered(packed: Column) -> Column:
+    """Sorted (k-mer hash | place) -> (hash of k-mer and occurrence number | place)."""
+
+    def with_starts(s: Column, starts: Column) -> Column:
+        runs = F.flatten(F.transform(starts, lambda a, j: F.sequence(F.lit(0), F.coalesce(F.get(starts, j + 1), F.size(s)) - a - 1)))
+        return let(runs, lambda run: F.zip_with(s, run, lambda x, r: F.xxhash64(F.shiftright(x, PLACE_BITS), r).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(x.bitwiseAND(F.lit(PLACE_MASK)))))
+
+    def first_of_run(s: Column) -> Column:
+        return F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.shiftrightunsigned(F.get(s, i).bitwiseXOR(F.get(s, i - 1)), PLACE_BITS) != 0))
+
+    return let(packed, lambda s: let(first_of_run(s), lambda starts: with_starts(s, starts)))
+
+
+def _tuples(picked: Column) -> Column:
+    """One value for each bin that has k-mers: bin number | hash of its k-mers in text order."""
+
+    def value(p: Column, i: Column) -> Column:
+        x, y = F.get(p, i), F.get(p, i + 1)
+        a, b = F.shiftright(x, PLACE_BITS), F.shiftright(y, PLACE_BITS)
+        both = y.isNotNull() & (_bin(x) == _bin(y))
+        ordered = F.when(x.bitwiseAND(F.lit(PLACE_MASK)) <= y.bitwiseAND(F.lit(PLACE_MASK)), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
+        h = F.when(both, ordered).otherwise(F.xxhash64(a))
+        return (F.shiftleft(_bin(x), VALUE_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << VALUE_BITS) - 1)))).cast("int")
+
+    firsts = lambda p: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (_bin(F.get(p, i)) != _bin(F.get(p, F.greatest(i - 1, F.lit(0))))))
+    return let(picked, lambda p: F.transform(firsts(p), lambda i: value(p, i)))
+
+
+def sketch(text: Column) -> Column:
+    """The bins' values as an array of int, in order of bins.
+
+    Of a long text only the k-mers whose place inside their bin is below a share that leaves about LIKELY of them a bin are sorted. If these fill every bin, the
+    smallest are among them; if not, all are sorted.
+    """
+    inside = (1 << (64 - BINS_LOG2)) - 1
+    picked = lambda m: let(F.sort_array(m), lambda t: F.filter(t, lambda x, i: F.coalesce(_bin(x.bitwiseXOR(F.get(t, i - PICKED))) != 0, F.lit(True))))
+
+    def of_mixed(m: Column) -> Column:
+        limit = F.floor(F.lit(float(inside)) * (LIKELY << BINS_LOG2) / F.size(m)).cast("long")
+        likely = let(limit, lambda most: F.filter(m, lambda x: x.bitwiseAND(F.lit(inside)) < most))
+        few = let(picked(likely), lambda p: F.when(F.size(p) == PICKED << BINS_LOG2, p).otherwise(picked(m)))
+        return _tuples(F.when(F.size(m) > LIKELY << BINS_LOG2, few).otherwise(picked(m)))
+
+    def of_packed(g: Column) -> Column:
+        return F.when(F.size(g) == 0, F.array().cast("array<int>")).otherwise(let(_numbered(F.sort_array(g)), of_mixed))
+
+    return let(_packed(F.coalesce(text, F.lit(""))), of_packed)
+
+
+def as_string(values: Column) -> Column:
+    return F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 8, "0")), "")
+
+
+def likeness(a: Column, b: Column) -> Column:
     """Share of equal bins among those that have k-mers in either text."""
-    either = (a != NONE) | (b != NONE)
-    return float(((a == b) & either).sum() / either.sum()) if either.any() else 1.0
+    bins = lambda v: F.transform(v, lambda x: F.shiftright(x, VALUE_BITS))
+    n = F.size(F.array_union(bins(a), bins(b)))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
 def _cut_points(ids: DataFrame, n: int) -> list[int]:
@@ -147,24 +167,18 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprint, edited_fingerprint, edited_sha256, near_edited, near_next for every row."""
-    text_batches(documents.sparkSession)
-    rows = with_next(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), ["text"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, last, kept = [], None, None
-            for text, following in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                half = len(text) // 2
-                edited = text[: len(text) - half] + following[:half]
-                own = kept if last == text else sketch(text)  # rows come in order, so this text was mostly the next one before
-                changed, ahead = sketch(edited), sketch(following)
-                last, kept = following, ahead
-                out.append((len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_string(own), as_string(changed), likeness(own, changed), likeness(own, ahead)))
-            columns = zip(*out, strict=True) if out else [[]] * 6
-            types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], FINGERPRINTED.replace(",", "").split()[::2])
-
-    return rows.select("doc_id", "text", "next_text").mapInArrow(run, FINGERPRINTED)
-
-
-FINGERPRINTED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(rows.withColumn("values", sketch(F.col("text"))), ["text", "values"])
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
+    edited = edited.select("doc_id", n.cast("long").alias("n_chars"), "values", "next_values", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_values"))
+    return edited.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        as_string(F.col("values")).alias("fingerprint"),
+        as_string(F.col("edited_values")).alias("edited_fingerprint"),
+        likeness(F.col("values"), F.col("edited_values")).alias("near_edited"),
+        likeness(F.col("values"), F.col("next_values")).alias("near_next"),
+    )
