@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm.hmm_lm import score_texts
+from marginalia.llm.line_dedup import line_digest
+from marginalia.llm.merkle import manifest
 from marginalia.llm.mixing import mix
 from marginalia.llm.ngram_join import join_components
 from marginalia.llm.order_minhash import fingerprints
 from marginalia.llm.packing import pack
+from marginalia.llm.pq_codes import encode
 from marginalia.llm.suffix_dedup import dedup_digest
 from marginalia.llm.template_html import extract
 from marginalia.llm.toxicity import toxicity
@@ -64,6 +67,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(_read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_read(spark, sf_dir, "documents")).drop("source", "place")
+
+
+def op13_ball_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_read(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -75,4 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_url_cascade": op9_url_cascade,
     "op10_toxicity": op10_toxicity,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ball_tree_codes": op13_ball_tree_codes,
 }
