@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import predicates, scalars
 from marginalia.operators.relational import batches, budget_prefix, evenly, first_seen, insert_if_absent, known_and_new, positional_zip, same_bag
-from marginalia.plans import catalogue_items, diff, topics
+from marginalia.plans import catalogue_items, catalogue_streams, diff, topics
 from marginalia.plans.registry import ORACLES, QUERIES, read, register
 from marginalia.streaming import feed
 
-__all__ = ["ORACLES", "QUERIES", "catalogue_items"]  # importing the two catalogues fills the registry
+__all__ = ["ORACLES", "QUERIES", "catalogue_items", "catalogue_streams"]  # importing the catalogues fills the registry
 
 
 # --- aggregates and top lists ------------------------------------------------------------------------------------------------------

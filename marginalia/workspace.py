@@ -23,6 +23,7 @@ from marginalia.functions import scalars as S
 from marginalia.operators.relational import first_seen, insert_if_absent, known_and_new
 from marginalia.plans import dashboard, diff, render, state, topics
 from marginalia.sources import external, files, tables
+from marginalia.streaming import outcomes
 
 TABLES = {"items": schema.ITEM, "vocab": schema.VOCAB, "pages": schema.TOPIC_PAGE, "cursors": "source STRING, last_seen_id STRING, last_run TIMESTAMP"}
 #: Fixed value: what a topic's slug looks like.
@@ -125,25 +126,39 @@ class Workspace:
         kind, at = StructType.fromDDL(TABLES[name]), self.pointers().get(name)
         return self.spark.read.schema(kind).parquet(f"{self.root}/{at}") if at else self.spark.createDataFrame([], kind)
 
-    def publish(self, **frames: DataFrame) -> None:
-        """New versions of some tables, all visible at once by one pointer file."""
+    def publish(self, closing: str | None = None, **frames: DataFrame) -> None:
+        """New versions of some tables, all visible at once by one pointer file (K1, K2, B24), which also closes an open run of work."""
         stamp = datetime.now(UTC).strftime("%Y%m%dT%H%M%S%f")
         for name, frame in frames.items():
             wanted = StructType.fromDDL(TABLES[name])
             frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted]).write.parquet(f"{self.root}/{name}/{stamp}")
-        self._point(lambda now: now | {n: f"{n}/{stamp}" for n in frames})
+        self._point(lambda now: {n: p for n, p in now.items() if n != closing} | {n: f"{n}/{stamp}" for n in frames})
+
+    def _open_run(self, name: str, due: Callable[[], DataFrame]) -> str:
+        """The folder of the open run of this name, with what is due; a new one if none is open."""
+        run = self.pointers().get(name)
+        if run is None:
+            run = f"runs/{uuid.uuid4().hex}"
+            due().write.parquet(f"{self.root}/{run}/due")
+            self._point(lambda now: now | {name: run})
+        return f"{self.root}/{run}"
 
     # --- snapshots (C18) -------------------------------------------------------------------------------------------------------
 
     def snapshots(self) -> list[dict]:
-        """Newest first."""
-        return sorted(json.loads(self._read_text("snapshots.json") or "[]"), key=lambda s: s["name"], reverse=True)
+        """Newest first (S17, A34). A file each, written once, so that two writers don't lose one another's."""
+        files, path = self._path("snapshots")
+        names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+        return sorted((json.loads(self._read_text(f"snapshots/{n}") or "{}") for n in names if n.endswith(".json")), key=lambda s: s["name"], reverse=True)
+
+    def _tables(self) -> dict[str, str]:
+        return {n: p for n, p in self.pointers().items() if n in TABLES}
 
     def snapshot(self, command: str) -> str:
         """Pointers and counts; if it fails, so does the verb that wanted it."""
         name = f"{datetime.now(UTC).strftime('%Y%m%dT%H%M%S%f')[:-3]}-{command}"
-        entry = {"name": name, "command": command, "pointers": self.pointers(), "counts": {t: self.table(t).count() for t in ("items", "vocab", "pages")}}
-        self._write_text("snapshots.json", json.dumps([entry, *self.snapshots()]))
+        entry = {"name": name, "command": command, "pointers": self._tables(), "counts": {t: self.table(t).count() for t in ("items", "vocab", "pages")}}
+        self._write_text(f"snapshots/{name}.json", json.dumps(entry), replace=False)
         return name
 
     def restore(self, name: str) -> dict[str, str]:
@@ -151,8 +166,8 @@ class Workspace:
         chosen = next((s for s in self.snapshots() if s["name"] == name), None)
         if chosen is None:
             raise ValueError(f"no snapshot {name}")
-        then, now = chosen["pointers"], self.pointers()
-        self._point(lambda _: then)
+        then, now = chosen["pointers"], self._tables()
+        self._point(lambda all_: {n: p for n, p in all_.items() if n not in TABLES} | then)
         return {t: "copied" if t in then else "deleted" if t in now else "skipped" for t in TABLES}
 
     def prune(self, keep_last: int) -> list[str]:
@@ -160,7 +175,8 @@ class Workspace:
         if keep_last < 0:
             raise ValueError("keep_last can't be negative")
         kept, gone = self.snapshots()[:keep_last], self.snapshots()[keep_last:]
-        self._write_text("snapshots.json", json.dumps(kept))
+        for s in gone:
+            self._delete(f"snapshots/{s['name']}.json")
         used = {*self.pointers().values(), *(p for s in kept for p in s["pointers"].values())}
         for path in {p for s in gone for p in s["pointers"].values()} - used:
             self._delete(path)
@@ -236,24 +252,34 @@ class Workspace:
         self.publish(items=joined.drop("said"))
         return judgments.join(photos, ["item_id", "index"], "left_anti")
 
-    def download(self, get: Callable[[str], dict], as_of: Column, kind: str = "photo", force: bool = False, limit: int | None = None) -> DataFrame:
+    def download(self, get: Callable[[str], dict], as_of: Column, kind: str = "photo", force: bool = False, limit: int | None = None, units_per_file: int = 16, files_per_batch: int = 64) -> DataFrame:
         """Photos or videos that are due, by id and position up to a limit, each URL once (C5, C8, M7, M8, T8, T10). Returns the report.
 
-        get runs on the executors: url -> local_path, bytes_size, width, height, reason (null if all went well).
+        get runs on the executors: url -> local_path, bytes_size, width, height, reason (null if all went well). Outcomes are kept as they are made. A run that ends
+        before its time stays open: the next call goes on with what was due then, without calling again what has an outcome, and one pointer file puts the outcomes
+        into the items and closes the run, so that they count once.
         """
         if kind not in ("photo", "video"):
             raise ValueError("kind must be photo or video")
-        items = self.table("items")
         eligible = P.photo_eligible if kind == "photo" else P.video_eligible
-        due = items.select("id", F.posexplode("media").alias("pos", "m")).filter(eligible(F.col("m"), force)).select("id", "pos", F.col("m.url").alias("url"))
-        due = due.orderBy("id", "pos").limit(limit) if limit is not None else due
-        got = external.call_each(due.withColumn("target", F.col("url")), "url", "target", get, "local_path string, bytes_size long, width int, height int, reason string")
+
+        def due_now() -> DataFrame:
+            rows = self.table("items").select("id", F.posexplode("media").alias("pos", "m")).filter(eligible(F.col("m"), force)).select("id", "pos", F.col("m.url").alias("url"))
+            return rows.orderBy("id", "pos").limit(limit) if limit is not None else rows
+
+        run = self._open_run(f"download-{kind}", due_now)
+        due = self.spark.read.schema("id string, pos int, url string").parquet(f"{run}/due")
+        got = outcomes.run_units(due.withColumn("target", F.col("url")), f"{run}/log", "url", "target", get, "local_path string, bytes_size long, width int, height int, reason string", units_per_file, files_per_batch)
         got = got.withColumn("reason", F.when(F.col("error").isNotNull(), "unknown_error").otherwise(F.col("reason"))).withColumn("ok", F.col("reason").isNull())
         outcome = F.struct("ok", "local_path", "bytes_size", "width", "height", "reason", F.col("error"))
-        done = due.join(got, "url").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", outcome))).alias("done"))
-        joined = items.join(done, "id", "left")
-        media = F.when(F.col("done").isNotNull(), F.transform("media", lambda m, i: state.media_outcome(m, F.try_element_at(F.col("done"), i), as_of))).otherwise(F.col("media"))
-        self.publish(items=joined.withColumn("media", media).drop("done"))
+        done = due.join(got, "url").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("url", outcome.alias("outcome"))))).alias("done"))
+
+        def step(m: Column, i: Column) -> Column:
+            found = F.try_element_at(F.col("done"), i)
+            return F.when(found["url"].eqNullSafe(m["url"]), state.media_outcome(m, found["outcome"], as_of)).otherwise(m)  # the item may have changed since
+
+        joined = self.table("items").join(done, "id", "left")
+        self.publish(closing=f"download-{kind}", items=joined.withColumn("media", F.when(F.col("done").isNotNull(), F.transform("media", step)).otherwise(F.col("media"))).drop("done"))
         tried = self.table("items").select("id", F.posexplode("media").alias("pos", "m")).join(due.select("id", "pos"), ["id", "pos"])
         return tried.groupBy(F.col("m.kind").alias("kind"), F.col("m.failure_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
