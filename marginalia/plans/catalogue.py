@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import predicates, scalars
 from marginalia.operators.relational import batches, budget_prefix, evenly, first_seen, insert_if_absent, known_and_new, positional_zip, same_bag
-from marginalia.plans import catalogue_items, catalogue_streams, diff, topics
+from marginalia.plans import catalogue_items, catalogue_media, catalogue_streams, diff, topics
 from marginalia.plans.registry import ORACLES, QUERIES, read, register
 from marginalia.streaming import feed
 
-__all__ = ["ORACLES", "QUERIES", "catalogue_items", "catalogue_streams"]  # importing the catalogues fills the registry
+__all__ = ["ORACLES", "QUERIES", "catalogue_items", "catalogue_media", "catalogue_streams"]  # importing the catalogues fills the registry
 
 
 # --- aggregates and top lists ------------------------------------------------------------------------------------------------------
@@ -90,15 +90,6 @@ def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("eligible"), F.coalesce(F.sum("size"), F.lit(0)).alias("known_bytes"), F.count("size").alias("known"), F.count_if(F.col("size").isNull()).alias("unknown"))
 
 
-@register("""SELECT source, avg(CASE WHEN quality = 0 THEN 1.0 ELSE 0.0 END) AS share, CASE WHEN avg(CASE WHEN quality = 0 THEN 1.0 ELSE 0.0 END) >= 0.15 THEN 'slides' ELSE 'talking_head' END AS class
-FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
-def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A33"""
-    rows = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id")
-    share = F.avg(F.when(F.col("quality") == 0, 1.0).otherwise(0.0))
-    return rows.groupBy("source").agg(share.alias("share"), F.when(share >= 0.15, "slides").otherwise("talking_head").alias("class"))
-
-
 @register("""
 SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(DISTINCT o_custkey) FROM orders) AS authors, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM pages) AS pages
 """)

@@ -500,7 +500,7 @@ def induced_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def propose(texts: list[str]) -> list[str]:
         return sorted({w for t in texts for w in t.lower().split(" ") if len(w) >= 6 and w.isascii() and w.isalpha()})
 
-    return spark.createDataFrame([(s,) for s in external.induce_vocabulary(read(spark, sf_dir, "benchmark"), propose, sorted)], "slug string")
+    return external.induce_vocabulary(read(spark, sf_dir, "benchmark"), propose, sorted, most=50)
 
 
 @register("""SELECT count(DISTINCT l_partkey) AS attempted, count(DISTINCT l_partkey) FILTER (l_partkey % 3 <> 0) AS succeeded FROM lineitem""")

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marginalia.storage import exists, in_tasks, on_driver
 
@@ -54,7 +55,7 @@ def run_units(work: DataFrame, log: str, key: str, argument: str, function: Call
     repeated batch replaces.
     """
     spark = work.sparkSession
-    names = [f.strip().split()[0] for f in fields.split(",")]
+    names = StructType.fromDDL(fields).names
     shape = f"{key} string, {fields}, error string"
     if not exists(spark, f"{log}/work/_SUCCESS"):
         units = work.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias(key)).agg(F.min(argument).alias(argument))

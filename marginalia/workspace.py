@@ -21,7 +21,7 @@ from marginalia import schema
 from marginalia.functions import predicates as P
 from marginalia.functions import scalars as S
 from marginalia.operators.relational import first_seen, insert_if_absent, known_and_new
-from marginalia.plans import dashboard, diff, render, state, topics
+from marginalia.plans import dashboard, diff, judgments, render, state, topics
 from marginalia.sources import external, files, tables
 from marginalia.streaming import outcomes
 
@@ -240,17 +240,26 @@ class Workspace:
         joined = items.join(threads.select("id", F.col("text").alias("thread_text")), "id", "left")
         self.publish(items=joined.withColumn("content", F.when(F.col("thread_text").isNotNull(), kept).otherwise(F.col("content"))).drop("thread_text"))
 
-    def describe(self, judgments: DataFrame, as_of: Column) -> DataFrame:
+    def describe(self, said: DataFrame, as_of: Column) -> DataFrame:
         """Judgments (item_id, index, is_decorative, description) into their photos; returns those without one."""
-        items, good = self.table("items"), judgments.filter("item_id is not null and index >= 0 and is_decorative is not null and (is_decorative or trim(description) <> '')")
+        items, good = self.table("items"), said.filter("item_id is not null and index >= 0 and is_decorative is not null and (is_decorative or trim(description) <> '')")
         first = first_seen(good, ["item_id", "index"], [F.coalesce("description", F.lit(""))])
-        by_item = first.groupBy(F.col("item_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("index", F.struct("is_decorative", "description")))).alias("said"))
-        one = lambda m, i: state.described(m, F.try_element_at(F.col("said"), i), self.settings.description_version, self.settings.language, as_of)
-        joined = items.join(by_item, "id", "left").withColumn("media", F.when(F.col("said").isNotNull(), F.transform("media", one)).otherwise(F.col("media")))
+        by_item = first.groupBy(F.col("item_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("index", F.struct("is_decorative", "description")))).alias("_said"))
+        one = lambda m, i: state.described(m, F.try_element_at(F.col("_said"), i), self.settings.description_version, self.settings.language, as_of)
+        joined = items.join(by_item, "id", "left").withColumn("media", F.when(F.col("_said").isNotNull(), F.transform("media", one)).otherwise(F.col("media")))
         photos = items.select(F.col("id").alias("item_id"), F.posexplode("media").alias("index", "m")).filter(F.col("m.kind").isin("photo_downloaded", "photo_described")).select("item_id", "index")
         self.snapshot("describe")
-        self.publish(items=joined.drop("said"))
-        return judgments.join(photos, ["item_id", "index"], "left_anti")
+        self.publish(items=joined.drop("_said"))
+        return said.join(photos, ["item_id", "index"], "left_anti")
+
+    def describe_worksheet(self, raw: DataFrame, as_of: Column) -> DataFrame:
+        """As describe, from the JSON texts of a worksheet's judgments, (pos, raw); returns (pos, item_id, index, errors) of those that aren't applied, each with all its errors."""
+        checked = judgments.parsed_judgments(raw)
+        good = checked.filter(F.size("errors") == 0)
+        lost = self.describe(good.select("item_id", F.col("index").cast("int").alias("index"), "is_decorative", "description"), as_of)
+        unmatched = good.join(lost.select("item_id", "index").distinct(), ["item_id", "index"], "left_semi").withColumn("errors", F.array(F.lit("no photo at this address")))
+        shown = ["pos", "item_id", "index", "errors"]
+        return checked.filter(F.size("errors") > 0).select(*shown).unionByName(unmatched.select(*shown))
 
     def download(self, get: Callable[[str], dict], as_of: Column, kind: str = "photo", force: bool = False, limit: int | None = None, units_per_file: int = 16, files_per_batch: int = 64) -> DataFrame:
         """Photos or videos that are due, by id and position up to a limit, each URL once (C5, C8, M7, M8, T8, T10). Returns the report.
