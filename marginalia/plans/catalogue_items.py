@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from marginalia import schema
 from marginalia.functions import predicates as P
@@ -20,7 +21,8 @@ _LINES = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shi
 _KINDS = {"AF": "photo_downloaded", "AO": "photo_pending", "NF": "photo_described", "NO": "video_pending", "RF": "video_downloaded", "RO": "photo_failed"}
 _KIND_SQL = "CASE l_returnflag || l_linestatus " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items()) + " END"
 _ITEMS_SQL = """items AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderstatus WHEN 'F' THEN 'bookmark' WHEN 'O' THEN 'own_tweet' END AS source, o_orderdate AS created_at,
-  CAST(o_custkey AS VARCHAR) AS handle, c_name AS name, nullif(o_orderpriority, '5-LOW') AS topic, strftime(o_orderdate, '%Y-%m') AS month FROM orders JOIN customer ON c_custkey = o_custkey)"""
+  CAST(o_custkey AS VARCHAR) AS handle, c_name AS name, nullif(o_orderpriority, '5-LOW') AS topic, strftime(o_orderdate, '%Y-%m') AS month,
+  row_number() OVER (ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS pos FROM orders JOIN customer ON c_custkey = o_custkey)"""
 _VIDEO_SQL = f"""v AS (SELECT l_orderkey, {_KIND_SQL} AS kind, CAST(l_quantity AS BIGINT) * 1300 AS duration, CAST(l_partkey AS VARCHAR) AS thumb,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINES}) AS i FROM lineitem)"""
 
@@ -82,32 +84,86 @@ def topic_recent_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section.select(F.col("slug").alias("topic"), F.explode("samples").alias("s")).select("topic", "s.id", F.col("s.rank").cast("long").alias("rank"), "s.summary")
 
 
-@register(f"""WITH {_ITEMS_SQL}, t AS (SELECT handle, count(*) AS n, min(name) AS name FROM items WHERE source = 'bookmark' GROUP BY 1 ORDER BY n DESC, handle LIMIT 10),
-s AS (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY created_at DESC, id) AS rank FROM items WHERE source = 'bookmark')
-SELECT t.handle, t.name, t.n, s.rank, s.id FROM t JOIN s USING (handle) WHERE s.rank <= 8
+@register(f"""WITH {_ITEMS_SQL}, t AS (SELECT handle, count(*) AS n, arg_min(name, pos) AS name, min(pos) AS first FROM items WHERE source = 'bookmark' GROUP BY 1 ORDER BY n DESC, first LIMIT 10),
+s AS (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY pos) AS rank FROM items WHERE source = 'bookmark'), p AS (SELECT *, row_number() OVER (ORDER BY n DESC, first) AS place FROM t)
+SELECT p.place, p.handle, p.name, p.n, s.rank, s.id FROM p JOIN s USING (handle) WHERE s.rank <= 8
 """)
 def top_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most bookmarked authors and their newest posts."""
-    section = dashboard.author_section(dashboard.narrow(_posts(spark, sf_dir)))
-    return section.select("handle", "name", "n", F.explode("samples").alias("s")).select("handle", "name", "n", F.col("s.rank").cast("long").alias("rank"), "s.id")
+    """The most bookmarked authors and their newest posts; ties by the first post."""
+    section = _placed(dashboard.author_section(dashboard.narrow(_posts(spark, sf_dir))))
+    return section.select("place", "handle", "name", "n", F.explode("samples").alias("s")).select("place", "handle", "name", "n", F.col("s.rank").cast("long").alias("rank"), "s.id")
 
 
-@register("""
-SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS domain, count(*) AS n FROM pages GROUP BY 1 HAVING domain <> 'x.com' ORDER BY n DESC, domain LIMIT 10
+def _placed(section: DataFrame) -> DataFrame:
+    """The order of a top list as a column."""
+    rows = section.collect()  # a top list
+    return section.sparkSession.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], StructType([StructField("place", LongType()), *section.schema.fields]))
+
+
+_PAGE_POSTS_SQL = """p AS (SELECT page_id, CAST(page_id AS VARCHAR) AS id, epoch_ms(1700000000000 + (page_id * 37 % 500) * 3600000) AS created_at, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages),
+l AS (SELECT page_id, id, created_at, u.domain, u.place FROM p, LATERAL (SELECT unnest(CASE WHEN page_id % 4 = 0 THEN ['x.com', host, host] WHEN page_id % 4 = 1 THEN [host || '.' || page_id % 7, host] ELSE [host] END) AS domain,
+  unnest([0, 1, 2][1:CASE WHEN page_id % 4 = 0 THEN 3 WHEN page_id % 4 = 1 THEN 2 ELSE 1 END]) AS place) u),
+o AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id, place) AS pos FROM l WHERE domain <> 'x.com')"""
+
+
+def _page_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as posts of the same hours with several links."""
+    host, k = S.host(F.col("url")), F.col("page_id") % 4
+    link = lambda d: F.struct(F.lit("u").alias("url"), d.alias("domain"))
+    links = F.when(k == 0, F.array(link(F.lit("x.com")), link(host), link(host))).when(k == 1, F.array(link(F.concat_ws(".", host, (F.col("page_id") % 7).cast("string"))), link(host))).otherwise(F.array(link(host)))
+    at = F.timestamp_millis(F.lit(1700000000000) + (F.col("page_id") * 37 % 500) * 3600000)
+    source = F.struct(F.when(F.col("page_id") % 3 == 0, "external_article").when(F.col("page_id") % 3 == 1, "x_article").otherwise("thread").alias("kind"), F.when(F.col("page_id") % 5 == 0, "failure").otherwise("success").alias("outcome"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("T"), "page_id")).otherwise("").alias("title"), F.col("url").alias("url"))
+    return read(spark, sf_dir, "pages").select(
+        "page_id", F.col("page_id").cast("string").alias("id"), F.lit("bookmark").alias("source"), F.concat(F.lit("post/"), "page_id").alias("url"), at.alias("created_at"), F.struct(host.alias("handle"), host.alias("name")).alias("author"), F.struct(F.lit(None).cast("string").alias("primary_topic"), F.lit("s").alias("summary")).alias("enriched"),
+        F.lit("text").alias("text"), links.alias("links"), F.array().cast("array<struct<kind:string,duration_millis:bigint,thumbnail_url:string>>").alias("media"), F.struct(F.array(source, source).alias("sources")).alias("content"),
+    ).drop("page_id")
+
+
+@register(f"""WITH {_PAGE_POSTS_SQL}, t AS (SELECT domain, count(*) AS n, min(pos) AS first FROM o GROUP BY 1 ORDER BY n DESC, first LIMIT 10), s AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY pos) AS rank FROM o),
+p2 AS (SELECT *, row_number() OVER (ORDER BY n DESC, first) AS place FROM t)
+SELECT p2.place, domain, n, rank, id FROM p2 JOIN s USING (domain) WHERE rank <= 7
 """)
 def top_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A7, F28"""
-    link = F.struct("url", S.host(F.col("url")).alias("domain"))
-    return dashboard.domain_section(read(spark, sf_dir, "pages").select(F.array(link).alias("links")))
+    """Links by domain with their newest posts; ties by the first link."""
+    section = _placed(dashboard.domain_section(dashboard.narrow(_page_posts(spark, sf_dir))))
+    return section.select("place", "domain", "n", F.explode("samples").alias("s")).select("place", "domain", "n", F.col("s.rank").cast("long").alias("rank"), "s.id")
 
 
 @register(f"""WITH {_ITEMS_SQL},
-c AS (SELECT month, 'topics' AS list, topic AS value, count(*) AS n FROM items WHERE topic IS NOT NULL GROUP BY 1, 3 UNION ALL SELECT month, 'authors', handle, count(*) FROM items WHERE source = 'bookmark' GROUP BY 1, 3)
-SELECT month, list, value, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY month, list ORDER BY n DESC, value) AS rank FROM c) WHERE rank <= 6
+c AS (SELECT month, 'topics' AS list, {_LABEL_SQL.format('topic')} AS value, count(*) AS n, min(pos) AS first FROM items WHERE topic IS NOT NULL GROUP BY month, topic UNION ALL SELECT month, 'authors', handle, count(*), min(pos) FROM items WHERE source = 'bookmark' GROUP BY 1, 3
+  UNION ALL SELECT month, 'posts', id, 0, pos FROM items)
+SELECT month, total, bm, own, list, value, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY month, list ORDER BY n DESC, first) AS rank FROM c)
+JOIN (SELECT month, count(*) AS total, count(*) FILTER (source = 'bookmark') AS bm, count(*) FILTER (source = 'own_tweet') AS own FROM items GROUP BY 1) USING (month) WHERE rank <= 6
 """)
 def month_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A8"""
-    return dashboard.month_section(dashboard.narrow(_posts(spark, sf_dir))).withColumn("rank", F.col("rank").cast("long"))
+    """Each month's counts, its top topics and authors, its newest posts."""
+    section = dashboard.month_section(dashboard.narrow(_posts(spark, sf_dir)))
+    posts = F.transform("samples", lambda s: F.struct(s["rank"].alias("rank"), s["id"].alias("value"), F.lit(0).cast("long").alias("n")))
+    tagged = lambda name, column: F.transform(column, lambda x: F.struct(F.lit(name).alias("list"), x["value"].alias("value"), x["n"].alias("n"), x["rank"].cast("long").alias("rank")))
+    lists = F.concat(tagged("topics", F.col("top_topics")), tagged("authors", F.col("top_authors")), tagged("posts", posts))
+    return section.select("month", F.col("count").alias("total"), "bm", "own", F.explode(lists).alias("x")).select("month", "total", "bm", "own", "x.*")
+
+
+@register("""
+WITH p AS (SELECT page_id, url, epoch_ms(1700000000000 + (page_id * 37 % 500) * 3600000) AS created_at FROM pages WHERE page_id % 3 <> 2 AND page_id % 5 <> 0),
+r AS (SELECT *, unnest([0, 1]) AS place FROM p)
+SELECT CASE WHEN page_id % 2 = 0 THEN 'T' || page_id ELSE substr(url, 1, 80) END AS title, url, CASE WHEN page_id % 3 = 0 THEN 'External' ELSE 'X Article' END AS source, strftime(created_at, '%Y-%m-%d') AS day, 'post/' || page_id AS post, place
+FROM r ORDER BY created_at DESC, CAST(page_id AS VARCHAR), place LIMIT 60
+""")
+def newest_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest long reads that were captured."""
+    found = dashboard.longform_items(dashboard.narrow(_page_posts(spark, sf_dir)))
+    return found.select("title", "url", "source", "day", "post", F.col("place").cast("long").alias("place"))
+
+
+@register(f"""WITH {_ITEMS_SQL}, {_VIDEO_SQL}, k AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS id FROM v WHERE kind IN ('photo_downloaded', 'photo_described')),
+r AS (SELECT source AS list, id, pos FROM items WHERE source IS NOT NULL UNION ALL SELECT 'photo', id, pos FROM items SEMI JOIN k USING (id))
+SELECT * FROM (SELECT list, count(*) OVER (PARTITION BY list) AS n, id, row_number() OVER (PARTITION BY list ORDER BY pos) AS rank FROM r) WHERE rank <= 6
+""")
+def source_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest bookmarks, own posts and posts with a photo."""
+    found = dashboard.post_samples(dashboard.narrow(_posts(spark, sf_dir, media=True)))
+    return found.select("list", F.col("count").alias("n"), F.explode("samples").alias("s")).select("list", "n", "s.id", F.col("s.rank").cast("long").alias("rank"))
 
 
 @register("""
@@ -391,38 +447,182 @@ def record_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text made of rows, and what comes from outside ----------------------------------------------------------------------------------------
 
 
-@register(r"""
-SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') || '-head-' || o_orderkey || '.md' AS path,
-  E'---\nid: ' || o_orderkey || E'\nsource: bookmark\ndate: ' || strftime(o_orderdate, '%Y-%m-%d') || E'\ntags: [saved, ' || o_orderpriority || E']\n---\n\n# Head\n\nSummary ' || o_orderkey || E'\n\n[[' || o_orderpriority || E']]\n\nPost of ' || c_name || E'\n\n![[a.jpg]]\nA cat\n*media not saved (timeout)*\n\n## Head\n\nbody' AS body
-FROM orders JOIN customer ON c_custkey = o_custkey
-""")
-def rendered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes of posts with a summary, a photo and an article."""
+_NOTE_SQL = r"""n AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS id, o_orderdate AS posted, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS topic, c_name AS name, CAST(o_custkey AS VARCHAR) AS handle, o_orderkey % 7 AS v
+  FROM orders JOIN customer ON c_custkey = o_custkey)"""
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as posts with all kinds of media and sources, by their keys; as JSON, so that whatever isn't named is null."""
     rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    topic = F.array("o_orderpriority")
-    media = F.array(
-        F.struct(F.lit("photo_described").alias("kind"), F.lit("a.jpg").alias("local_path"), F.lit("A cat").alias("description"), F.lit(None).cast("string").alias("failure_reason"), F.lit("u").alias("url")),
-        F.struct(F.lit("photo_failed").alias("kind"), F.lit(None).cast("string").alias("local_path"), F.lit(None).cast("string").alias("description"), F.lit("timeout").alias("failure_reason"), F.lit("u").alias("url")),
-    )
-    source = F.struct(F.lit("success").alias("outcome"), F.lit("Head").alias("title"), F.lit("u").alias("url"), F.lit("body").alias("text"), F.lit(None).cast("string").alias("failure_reason"))
-    content = F.struct(F.array(source.withField("title", F.lit("Head"))).alias("sources"))
-    items = rows.select(
-        F.col("o_orderkey").cast("string").alias("id"), F.lit("bookmark").alias("source"), F.col("o_orderdate").alias("created_at"), F.concat(F.lit("Post of "), "c_name").alias("text"), F.lit(None).cast("string").alias("bookmark_folder"),
-        F.struct(F.concat(F.lit("Summary "), "o_orderkey").alias("summary"), topic.alias("topics")).alias("enriched"), F.array().cast("array<struct<url:string>>").alias("links"), media.alias("media"), content.alias("content"),
+    v = F.col("o_orderkey") % 7
+    text = lambda **fields: F.struct(*[(F.lit(x) if isinstance(x, (str, int, bool)) else x).alias(n) for n, x in fields.items()])
+    as_json = lambda *rows: F.concat(F.lit("["), F.concat_ws(", ", *[F.to_json(r) for r in rows]), F.lit("]"))
+    photo, failed = text(kind="photo_described", local_path="1/0.jpg", description="A cat\n# no heading\n"), text(kind="photo_failed", url="u", failure_reason="http_4xx")
+    media = F.when(v == 1, as_json(photo, failed, text(kind="photo_pending", url="p"))).when(v == 2, as_json(text(kind="video_pending", url="v"), text(kind="video_downloaded", local_path="1/1.mp4"), text(kind="video_failed", url="w", failure_reason="other"))).otherwise(F.lit("[]"))
+    article = text(outcome="success", kind="external_article", title="Head", url="u", text="body")
+    # arrays of unlike structs have one type in SQL, but not in JSON
+    blog = F.concat(F.lit('{"outcome": "success", "kind": "x_article", "url": "blog", "text": "x", "blocks": ['), F.concat_ws(", ", *[F.to_json(x) for x in (text(kind="text", text="\n\nPara"), text(kind="image", alt="Alt", media=text(kind="photo_downloaded", local_path="1/article/0.jpg")), text(kind="image", media=text(kind="photo_pending", url="x")), text(kind="image", media=text(kind="photo_failed", url="y", failure_reason="timeout")))]), F.lit("]}"))
+    pending = F.lit('{"outcome": "success", "kind": "x_article", "url": "only", "title": "T", "text": "x", "blocks": [{"kind": "image", "media": {"kind": "photo_pending", "url": "x"}}]}')
+    silent, deck = text(outcome="success", kind="x_video", url="vid", text="", has_speech=False), F.lit('{"outcome": "success", "kind": "x_video", "url": "vid", "title": "Deck", "text": "Said", "has_speech": true, "frames": [{"timestamp": 1.0, "local_path": "1/frames/0.png", "description": "One\\nslide"}, {"timestamp": 2.0, "local_path": "1/frames/1.png"}]}')
+    broken, thread = text(outcome="failure", kind="external_article", url="gone", http_status=404, failure_reason="not_found"), text(outcome="failure", kind="thread", url="t", failure_reason="timeout")
+    listed = lambda *parts: F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]"))
+    sources = F.when(v == 1, listed(F.to_json(article))).when(v == 2, listed(F.to_json(broken), F.to_json(thread))).when(v == 3, listed(blog)).when(v == 4, listed(pending)).when(v == 5, listed(F.to_json(silent))).when(v == 6, listed(deck)).otherwise(F.lit("[]"))
+    links = F.when(v == 0, F.lit("[]")).otherwise(F.lit('[{"url": "http://b.org/1", "domain": "b.org"}, {"url": "http://a.org", "domain": "a.org"}, {"url": "http://b.org/2", "domain": "b.org"}]'))
+    shape = schema.item_schema()
+    parsed = lambda name, column: F.from_json(column, shape[name].dataType.simpleString()).alias(name)
+    content = F.concat(F.lit('{"fetched_at": "2024-02-03T00:00:00Z", "sources": '), sources, F.lit("}"))
+    enriched = F.when(v != 5, F.to_json(F.struct(F.when(v != 4, F.concat(F.lit("Summary "), "o_orderkey")).alias("summary"), F.col("o_orderpriority").alias("primary_topic"), F.array("o_orderpriority", F.lit("extra")).alias("topics"))))
+    return rows.select(
+        F.col("o_orderkey").cast("string").alias("id"), F.lit("bookmark").alias("source"), F.concat(F.lit("https://p/"), "o_orderkey").alias("url"), F.struct(F.col("o_custkey").cast("string").alias("handle"), F.col("c_name").alias("name")).alias("author"),
+        F.concat(F.lit("Post of "), "c_name").alias("text"), F.col("o_orderdate").cast("timestamp").alias("created_at"), parsed("media", media), parsed("links", links), parsed("content", content), parsed("enriched", enriched), F.when(v == 3, "Read later").alias("bookmark_folder"), F.col("o_orderpriority").alias("slug"), F.col("o_orderstatus").alias("status"),
     )
-    return render.notes(items)
 
 
-@register(r"""
-WITH p AS (SELECT o_orderpriority AS slug, o_orderdate AS posted, o_orderkey AS id FROM orders WHERE o_orderstatus = 'P')
-SELECT slug, md5('# ' || array_to_string(list_transform(string_split(slug, '-'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') || E'\n\nall about ' || slug || E'\n\n- first\n\n' || string_agg('- about ' || id, E'\n' ORDER BY posted DESC, CAST(id AS VARCHAR))) AS body FROM p GROUP BY slug
-""")
+@register(rf"""WITH {_NOTE_SQL},
+t AS (SELECT *, CASE v WHEN 1 THEN 'Head' WHEN 4 THEN 'T' WHEN 6 THEN 'Deck' ELSE 'Post of ' || name END AS title FROM n)
+SELECT id, day || '-' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') || '-' || id || '.md' AS path,
+  md5(rtrim(E'---
+id: "' || id || E'"
+source: bookmark
+url: https://p/' || id || E'
+created: ' || day || E'
+author: ' || handle || E'
+domains: [' || CASE WHEN v = 0 THEN '' ELSE 'a.org, b.org' END || E']
+tags: [x-knowledge' || CASE WHEN v <> 5 THEN ', ' || topic || ', extra' ELSE '' END
+  || CASE WHEN v = 3 THEN E', read-later]
+bookmark_folder: Read later' ELSE ']' END || E'
+---
+
+# ' || title || E'
+
+' || CASE WHEN v NOT IN (4, 5) THEN 'Summary ' || id || E'
+
+' ELSE '' END || CASE WHEN v <> 5 THEN '**Topics:** [[' || topic || E']] · [[extra]]
+
+' ELSE '' END
+  || E'## Tweet
+
+Post of ' || name || E'
+
+'
+  || CASE v WHEN 1 THEN E'![[_media/1/0.jpg]]
+> A cat
+> # no heading
+> ⚠ Foto no disponible (URL no encontrada (HTTP 4xx)): <u>
+
+' WHEN 2 THEN E'> 🎥 [Ver vídeo](v) (pendiente de descarga)
+![[_media/1/1.mp4]]
+> ⚠ Vídeo no disponible (other): <w>
+
+' ELSE '' END
+  || CASE WHEN v = 0 THEN '' ELSE E'## Enlaces
+- <http://b.org/1>
+- <http://a.org>
+- <http://b.org/2>
+
+' END || '[Ver tweet original](https://p/' || id || E')
+
+'
+  || CASE v WHEN 1 THEN E'## Content: Head
+
+body' WHEN 2 THEN '> ⚠ Enlace roto: <gone> — HTTP 404 · no encontrado (verificado 2024-02-03)'
+     WHEN 3 THEN E'## Content: blog
+
+Para
+
+![[_media/1/article/0.jpg]]
+> Alt
+
+> ⚠ Imagen no disponible (tiempo de espera agotado): <y>' WHEN 5 THEN '> 🔇 Silent video (no speech detected).'
+     WHEN 6 THEN E'## Video digest: Deck
+
+Said
+
+![[_media/1/frames/0.png]]
+> One slide
+
+![[_media/1/frames/1.png]]' ELSE '' END, E'
+')) AS body
+FROM t""")
+def rendered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of posts with all kinds of media and sources."""
+    return render.notes(_notes(spark, sf_dir)).select("id", "path", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@register(rf"""WITH {_NOTE_SQL}, p AS (SELECT *, CASE v WHEN 1 THEN 'Head' WHEN 4 THEN 'T' WHEN 6 THEN 'Deck' ELSE 'Post of ' || name END AS title FROM n SEMI JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'P') USING (k)),
+r AS (SELECT topic AS slug, 0 AS role, * FROM p UNION ALL SELECT 'extra', 1, * FROM p WHERE v = 1),
+l AS (SELECT slug, role, count(*) AS n, string_agg('- `' || day || '` · @' || handle || ' · [[items/' || day || '-' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') || '-' || id || '|Post of ' || name || ']]', E'
+' ORDER BY posted DESC, id) AS lines FROM r GROUP BY 1, 2)
+SELECT slug, md5(E'---
+topic: ' || slug || E'
+tags: [x-knowledge-topic, ' || slug || E']
+posts: ' || n || E'
+primary_posts: ' || CASE WHEN role = 0 THEN n ELSE 0 END || E'
+---
+
+# ' || slug || E'
+
+> About ' || slug || E'
+
+## Overview
+
+'
+  || CASE WHEN slug = 'extra' THEN E'*(Overview pendiente.)*
+
+' ELSE CASE WHEN n > 2 THEN '> ⚠ Overview desactualizado: +' || (n - 2) || E' posts desde la última síntesis.
+
+' ELSE '' END || 'all about ' || slug || E'
+
+## Notas importantes
+
+- first
+
+' END
+  || CASE WHEN role = 0 THEN '## Primary posts (' ELSE '## Also relevant (' END || n || E')
+
+' || lines) AS body FROM l""")
 def topic_page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A topic's overview, notes and posts."""
-    orders = read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
-    items = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.lit("text").alias("text"), F.struct(F.concat(F.lit("about "), "o_orderkey").alias("summary")).alias("enriched"), F.col("o_orderpriority").alias("slug"))
-    pages = items.select("slug").distinct().select("slug", F.concat(F.lit("all about "), "slug").alias("overview"), F.array(F.lit("first")).alias("notes"))
-    return render.topic_pages(items.select("slug", F.lit("primary").alias("role"), "id"), items, pages).select("slug", F.md5(F.col("body").cast("binary")).alias("body"))
+    """A topic's front matter, overview with its warning, notes and posts."""
+    items = _notes(spark, sf_dir).filter("status = 'P'")
+    posts = items.select("slug", F.lit("primary").alias("role"), "id").unionByName(items.filter(F.col("id").cast("long") % 7 == 1).select(F.lit("extra").alias("slug"), F.lit("also").alias("role"), "id"))
+    slugs = items.select("slug").distinct()
+    pages = slugs.select("slug", F.concat(F.lit("all about "), "slug").alias("overview"), F.array(F.lit("first")).alias("notes"), F.lit(2).alias("post_count_at_synth"))
+    vocab = posts.select("slug").distinct().select("slug", F.concat(F.lit("About "), "slug").alias("description"))
+    return render.topic_pages(posts, items, pages, vocab).select("slug", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@register(rf"""WITH {_NOTE_SQL}, t AS (SELECT topic, count(*) AS n FROM (SELECT topic FROM n WHERE v <> 5 UNION ALL SELECT 'extra' FROM n WHERE v <> 5) GROUP BY 1)
+SELECT E'# Index
+
+> Generado: 2024-05-06
+
+## Summary
+
+- Items totales: ' || count(*) || E'
+- Bookmarks: ' || count(*) || E' · Tweets propios: 0
+- Con nota propia: ' || count(*) || E'
+- Enriquecidos: ' || count(*) FILTER (v <> 5)
+  || E'
+
+## Índices
+
+- [[log|Log cronológico completo]]
+- [📊 Dashboard interactivo](dashboard/) — métricas, drill-down y enlaces (se abre en el navegador)
+
+## Topics
+
+' || (SELECT string_agg('- [[' || topic || ']] (' || n || ')', E'
+' ORDER BY n DESC, topic) FROM t) AS body FROM n""")
+def index_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index with its totals and topics."""
+    return render.index_page(_notes(spark, sf_dir), "2024-05-06")
+
+
+@register(rf"""WITH {_NOTE_SQL}, t AS (SELECT *, CASE v WHEN 1 THEN 'Head' WHEN 4 THEN 'T' WHEN 6 THEN 'Deck' ELSE 'Post of ' || name END AS title FROM n)
+SELECT id, '- `' || day || '` @' || handle || ': Post of ' || name || ' → [[items/' || day || '-' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') || '-' || id || '|nota]]' AS line FROM t""")
+def chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: a line for each post, with its note."""
+    return render.log_lines(_notes(spark, sf_dir)).select("id", "line")
 
 
 @register(r"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import scalars as S
@@ -12,7 +12,7 @@ from marginalia.operators.relational import newest, running_totals
 from marginalia.schema import VIDEO_KINDS
 
 #: How many of each list are shown.
-TOP_AUTHORS, TOP_DOMAINS, PER_MONTH, TOPIC_SAMPLES, AUTHOR_SAMPLES, DOMAIN_SAMPLES, ARTICLES, VIDEOS = 10, 10, 6, 5, 8, 7, 60, 12
+TOP_AUTHORS, TOP_DOMAINS, PER_MONTH, TOPIC_SAMPLES, AUTHOR_SAMPLES, DOMAIN_SAMPLES, MONTH_SAMPLES, ARTICLES, VIDEOS = 10, 10, 6, 5, 8, 7, 6, 60, 12
 
 
 def narrow(items: DataFrame) -> DataFrame:
@@ -33,34 +33,56 @@ def _order() -> list:
     return [F.desc("created_at"), F.col("id")]
 
 
+def _first(*more: str):
+    """Where a value is met first in the order of the posts, for ties of counts (W11). A minimum, so it is combined before the shuffle as the counts are."""
+    return F.min(F.struct((-F.unix_micros("created_at")).alias("t"), F.col("id").alias("i"), *more)).alias("first")
+
+
+def _listed(rows: DataFrame, group: str, most: int, *more: str) -> DataFrame:
+    """(group, samples): the newest posts of each group, as an array in their order."""
+    picked = newest(rows.select(group, "id", "created_at", "day", "handle", "summary", "url", *more), [group], [*_order(), *more], most)
+    return picked.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "summary", "url", "day", "handle"))).alias("samples"))
+
+
 def topic_section(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """(slug, label, n, overview, samples) (A3, A5)."""
-    judged = items.filter("topic is not null")
-    counts = judged.groupBy(F.col("topic").alias("slug")).agg(F.count(F.lit(1)).alias("n"))
-    samples = newest(judged.select("topic", "id", "created_at", "summary", "url"), ["topic"], _order(), TOPIC_SAMPLES)
-    listed = samples.groupBy(F.col("topic").alias("slug")).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "summary", "url"))).alias("samples"))
-    return counts.join(pages.select("slug", "overview"), "slug", "left").join(listed, "slug").withColumn("label", S.topic_label(F.col("slug"))).orderBy(F.desc("n"), "slug")
+    """(slug, label, n, overview, samples), the most frequent first, of equal ones that which comes first."""
+    judged = items.filter("topic is not null").withColumn("slug", F.col("topic"))
+    counts = judged.groupBy("slug").agg(F.count(F.lit(1)).alias("n"), _first())
+    made = counts.join(pages.select("slug", "overview"), "slug", "left").join(_listed(judged, "slug", TOPIC_SAMPLES), "slug")
+    return made.withColumn("label", S.topic_label(F.col("slug"))).orderBy(F.desc("n"), "first").drop("first")
 
 
 def author_section(items: DataFrame) -> DataFrame:
     """Bookmarked authors, the display name from their newest post."""
     marked = items.filter("source = 'bookmark'")
-    first = F.struct((-F.unix_micros("created_at")).alias("t"), F.col("id"))
-    top = marked.groupBy("handle").agg(F.count(F.lit(1)).alias("n"), F.min_by("name", first).alias("name")).orderBy(F.desc("n"), "handle").limit(TOP_AUTHORS)
-    samples = newest(marked.join(F.broadcast(top.select("handle")), "handle", "left_semi").select("handle", "id", "created_at", "summary"), ["handle"], _order(), AUTHOR_SAMPLES)  # at most TOP_AUTHORS rows
-    return top.join(samples.groupBy("handle").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "summary"))).alias("samples")), "handle").orderBy(F.desc("n"), "handle")
+    place = F.struct((-F.unix_micros("created_at")).alias("t"), F.col("id"))
+    top = marked.groupBy("handle").agg(F.count(F.lit(1)).alias("n"), F.min_by("name", place).alias("name"), _first()).orderBy(F.desc("n"), "first").limit(TOP_AUTHORS)
+    samples = _listed(marked.join(F.broadcast(top.select("handle")), "handle", "left_semi"), "handle", AUTHOR_SAMPLES)  # at most TOP_AUTHORS rows
+    return top.join(samples, "handle").orderBy(F.desc("n"), "first").drop("first")
 
 
 def domain_section(items: DataFrame) -> DataFrame:
-    """Links by domain: an item with two links to one counts twice."""
-    links = items.select(F.explode("links").alias("link")).groupBy(F.col("link.domain").alias("domain")).agg(F.count(F.lit(1)).alias("n"))
-    return links.filter("domain <> 'x.com'").orderBy(F.desc("n"), "domain").limit(TOP_DOMAINS)
+    """(domain, n, samples) of links by domain: an item with two links to one counts twice, and is twice among the samples."""
+    links = items.select("id", "created_at", "day", "handle", "summary", "url", F.posexplode("links").alias("pos", "link")).withColumn("domain", F.col("link.domain")).filter("domain <> 'x.com'")
+    top = links.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), _first("pos")).orderBy(F.desc("n"), "first").limit(TOP_DOMAINS)
+    samples = _listed(links.join(F.broadcast(top.select("domain")), "domain", "left_semi"), "domain", DOMAIN_SAMPLES, "pos")  # at most TOP_DOMAINS rows
+    return top.join(samples, "domain").orderBy(F.desc("n"), "first").drop("first")
 
 
 def month_section(items: DataFrame) -> DataFrame:
-    """(month, list, value, n, rank): the top topics and bookmarked authors of each month."""
-    pick = lambda d, name, col: newest(d.groupBy("month", F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")), ["month"], [F.desc("n"), F.col("value")], PER_MONTH).withColumn("list", F.lit(name))
-    return pick(items.filter("topic is not null"), "topics", "topic").unionByName(pick(items.filter("source = 'bookmark'"), "authors", "handle")).select("month", "list", "value", "n", "rank")
+    """(month, count, bm, own, top_topics, top_authors, samples): a row a month with its most frequent topics and bookmarked authors and its newest posts."""
+
+    def top(rows: DataFrame, column: str, name: str, shown: Column) -> DataFrame:
+        counts = rows.groupBy("month", F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"), _first())
+        picked = newest(counts, ["month"], [F.desc("n"), F.col("first")], PER_MONTH)
+        return picked.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("rank", shown.alias("value"), "n"))).alias(name))
+
+    counts = items.groupBy("month").agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("source") == "bookmark").alias("bm"), F.count_if(F.col("source") == "own_tweet").alias("own"))
+    topics = top(items.filter("topic is not null"), "topic", "top_topics", S.topic_label(F.col("value")))
+    authors = top(items.filter("source = 'bookmark'"), "handle", "top_authors", F.col("value"))
+    none = F.array().cast("array<struct<rank:int,value:string,n:bigint>>")
+    joined = counts.join(topics, "month", "left").join(authors, "month", "left").join(_listed(items, "month", MONTH_SAMPLES), "month")
+    return joined.withColumns({c: F.coalesce(c, none) for c in ("top_topics", "top_authors")}).orderBy("month")
 
 
 def longform(items: DataFrame) -> DataFrame:
@@ -72,6 +94,22 @@ def longform(items: DataFrame) -> DataFrame:
     return counts.withColumn("saved_pct", S.share_pct(F.col("saved"), F.col("total")))
 
 
+def longform_items(items: DataFrame) -> DataFrame:
+    """(title, url, source, handle, day, summary, post, place) of the newest long reads that were captured (A9, O9); place is that of the source in its post."""
+    reads = items.select("id", "created_at", "handle", "day", "summary", F.col("url").alias("post"), F.posexplode("sources").alias("place", "s"))
+    saved = reads.filter(F.col("s.kind").isin("external_article", "x_article") & (F.col("s.outcome") == "success")).orderBy(*_order(), "place").limit(ARTICLES)
+    title = F.coalesce(F.nullif(F.col("s.title"), F.lit("")), F.substring("s.url", 1, 80))
+    return saved.orderBy(*_order(), "place").select(title.alias("title"), F.col("s.url").alias("url"), F.when(F.col("s.kind") == "external_article", "External").otherwise("X Article").alias("source"), "handle", "day", "summary", "post", "place")
+
+
+def post_samples(items: DataFrame) -> DataFrame:
+    """(list, count, samples) of bookmarks, own posts and posts with a photo."""
+    photo = F.exists("media", lambda m: m["kind"].isin("photo_downloaded", "photo_described"))
+    kinds = F.array_compact(F.array(F.when(F.col("source").isin("bookmark", "own_tweet"), F.col("source")), F.when(photo, "photo")))
+    rows = items.withColumn("list", F.explode(kinds))
+    return rows.groupBy("list").agg(F.count(F.lit(1)).alias("count")).join(_listed(rows, "list", MONTH_SAMPLES), "list").orderBy("list")
+
+
 def media_counts(items: DataFrame) -> DataFrame:
     """Failed photos are in no count (A10)."""
     kind = F.col("m.kind")
@@ -104,7 +142,7 @@ def dashboard_data(items: DataFrame, pages: DataFrame) -> str:
     base = narrow(items)
     sections = {
         "growth": growth(base), "topics": topic_section(base, pages), "authors": author_section(base), "domains": domain_section(base), "months": month_section(base),
-        "longform": longform(base), "media": media_counts(base), "videos": video_section(base),
+        "longform": longform(base), "articles": longform_items(base), "media": media_counts(base), "videos": video_section(base), "samples": post_samples(base),
     }
     blob = {name: [json.loads(r["j"]) for r in d.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()] for name, d in sections.items()}
     text = json.dumps(blob, ensure_ascii=False)

@@ -371,22 +371,22 @@ class Workspace:
         return joined.select("place", "id", reason.alias("reason"), "v.*").orderBy("place", "id")
 
     def generate(self, out: str) -> dict[str, int]:
-        """Notes and topic pages as Markdown files, index and log as one each, and the dashboard (C15, K6, K7, K8, J21). Returns how many there are.
+        """Notes and topic pages as Markdown files, the index as one, the log as lines of text in order, and the dashboard (C15, K6, K7, K8, J21). Returns how many files were written.
 
         What the user wrote below the marker of a file stays, also where the file has a new name; the file of the old name goes. `out` is
         a folder that the executors share.
         """
         items, pages, label = self.table("items"), self.table("pages"), labels_for(self.settings.language)
         marker = f"## {label['notes']}"
-        notes = render.notes(items, self.settings.style).withColumnRenamed("id", "key")
-        counts = {"notes": files.write_markdown(notes, f"{out}/notes", marker)}
-        topic = render.topic_pages(self.topic_posts(), items, pages).select(F.col("slug").alias("key"), F.concat("slug", F.lit(".md")).alias("path"), "body")
+        language = self.settings.language
+        notes = render.notes(items, self.settings.style, language).withColumnRenamed("id", "key")
+        counts = {"notes": files.write_markdown(notes, f"{out}/items", marker)}
+        topic = render.topic_pages(self.topic_posts(), items, pages, self.table("vocab"), language).select(F.col("slug").alias("key"), F.concat("slug", F.lit(".md")).alias("path"), "body")
         counts["topics"] = files.write_markdown(topic, f"{out}/topics", marker)
-        listed = self.topic_posts().filter("role = 'primary'").groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
-        index = listed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "slug", "n"))), lambda t: F.concat(F.lit("- [["), t["slug"], F.lit("]] ("), t["n"].cast("string"), F.lit(")"))), "\n").alias("lines"))  # a line a topic
-        log = items.groupBy(S.day(F.col("created_at")).alias("day")).agg(F.count(F.lit(1)).alias("n")).agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("day", "n")))), lambda t: F.concat(F.lit("- "), t["day"], F.lit(": "), t["n"].cast("string"))), "\n").alias("lines"))  # a line a day
-        made = index.select(F.lit("index").alias("key"), F.lit("index.md").alias("path"), F.concat(F.lit(f"# {label['topics']}\n\n"), "lines").alias("body")).unionByName(log.select(F.lit("log").alias("key"), F.lit("log.md").alias("path"), F.concat(F.lit("# Log\n\n"), "lines").alias("body")))
-        files.write_markdown(made, out, marker)
+        index = render.index_page(items, datetime.now(UTC).date().isoformat(), language)
+        files.write_markdown(index.select(F.lit("index").alias("key"), F.lit("index.md").alias("path"), "body"), out, marker)
+        # a line a post: files of sorted ranges, which follow one another
+        render.log_lines(items).orderBy(F.desc("created_at"), "id").select("line").write.mode("overwrite").text(f"{out}/log")
         self.spark.createDataFrame([(dashboard.dashboard_data(items, pages),)], "value string").write.mode("overwrite").text(f"{out}/dashboard")
         return counts
 

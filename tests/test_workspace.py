@@ -47,7 +47,7 @@ def test_a_corpus_from_capture_to_diff(spark, tmp_path):
         ws.refresh_media(store(spark, [item(7)]))
     assert ws.refresh_media(store(spark, [item(2, media=[video | {"url": "https://video.twimg.com/v.mp4"}])])) == {"seen": 1, "not_seen": 1} and ws.videos().first()["state"] == "pending"
     assert ws.generate(str(tmp_path / "out"))["notes"] == 2
-    note = next((tmp_path / "out/notes").glob("*-1.md"))
+    note = next((tmp_path / "out/items").glob("*-1.md"))
     note.write_text(note.read_text() + "my own words\n")
     note.rename(note.with_name("renamed.md"))
     assert ws.generate(str(tmp_path / "out"))["notes"] == 2
