@@ -506,6 +506,8 @@ def join_components(documents: DataFrame, words: int = WORDS, threshold: int = T
     alive = described.filter((F.col("n") > 0) & (100 * F.col("shared") >= threshold * F.col("n")))
     classes = stored(alive.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     sets = stored(candidate_sets(documents, classes.filter("doc_id is not null"), words))
+    if described.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        sets = stored(sets.dropDuplicates(["sid"]))  # rows that share an id have all been taken
     parts = settle(connected_components(set_links(sets, threshold)).withColumnRenamed("node", "sid"))
     linked_sets = classes.join(parts, "sid")
     links = count_links(linked_sets.drop("doc_id").join(sets.select("sid", "shingles"), "sid"), threshold)

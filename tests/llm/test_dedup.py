@@ -111,6 +111,13 @@ def test_join_matches_brute_force(spark):
     assert found == brute_components(rows)
 
 
+def test_join_counts_links_of_repeated_rows_with_partners(spark):
+    a, b = text(1, 120), edited(text(1, 120), 3, 2)
+    assert collected(join_components(documents(spark, [(1, a, None), (1, a, None), (2, b, None)])), *JOINED) == [(1, 116, 1, 2), (1, 116, 1, 2), (2, 116, 1, 2)]
+    rows = [(1, a, None), (1, a, None), (2, b, None), (2, a, None), (3, b, None), (3, text(9, 40), None), (4, text(9, 40), None), (4, edited(a, 5, 3), None), (5, "one two", None), (5, "one two", None)]
+    assert collected(join_components(documents(spark, rows)), *JOINED) == brute_components(rows)
+
+
 def test_join_loses_no_link_in_a_large_group_of_near_copies(spark, monkeypatch):
     from marginalia.llm import ngram_join
 
