@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.operators.numbering import numbered_in
+
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row for each key, the first in the order (W3). An aggregate, so a hot key is combined before the shuffle."""
@@ -72,7 +74,7 @@ def budget_prefix(df: DataFrame, eligible: Column, order: Sequence[Column], limi
 
 def positional_zip(left: DataFrame, right: DataFrame, key: str, left_order: Sequence[Column], right_order: Sequence[Column], values: Sequence[str]) -> DataFrame:
     """The i-th row of a key on the left with the i-th on the right, which may be missing."""
-    numbered = lambda d, o: d.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy(*o)))
+    numbered = lambda d, o: numbered_in(d, [key], o, "_i").withColumn("_i", F.col("_i") + 1)
     other = numbered(right, right_order).select(key, "_i", *[F.col(v).alias(f"fresh_{v}") for v in values])
     return numbered(left, left_order).join(other, [key, "_i"], "left").withColumnRenamed("_i", "place")
 
@@ -88,8 +90,7 @@ def evenly(df: DataFrame, group: Sequence[str], order: Sequence[Column], most: i
     """At most `most` rows of each group, both ends kept, spread evenly (W8): the places round(k * last / (most - 1)), half to even.
 
     A place i is kept if a whole k near i * (most - 1) / last rounds to it, so no list of places is made."""
-    w = W.partitionBy(*group)
-    numbered = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_last", F.count(F.lit(1)).over(w) - 1)
+    numbered = numbered_in(df, group, order, "_i", "_last").withColumn("_last", F.col("_last") - 1)
     steps = max(1, most - 1)
     near = F.floor(F.col("_i") * steps / F.greatest("_last", F.lit(1)))
     hits = [(near + d).between(0, most - 1) & (F.bround((near + d) * F.col("_last") / F.lit(steps)) == F.col("_i")) for d in (-1, 0, 1)]

@@ -177,3 +177,16 @@ def test_a_feed_that_arrives_in_any_order_gives_the_same_store(spark, tmp_path):
         feed.upsert_into(feed.replay(spark, str(folder / "in"), "id long, v string, seq int"), str(folder / "out"), "id", ["seq"], str(folder / "cp")).awaitTermination(120)
         rows = spark.read.parquet(str(folder / "out")).collect()
         assert len(rows) == 3 and {r["id"]: r["v"] for r in rows} == {1: "a", 2: "b", 3: "d"}
+
+
+def test_a_hot_group_is_numbered_by_ranges_as_by_a_window(spark, monkeypatch):
+    from marginalia.operators import numbering
+    from marginalia.operators.relational import evenly, positional_zip
+
+    rows = spark.createDataFrame([("hot" if i % 3 else None if i % 5 else "cold", i * 7919 % 1000, "v") for i in range(600)] + [("hot", 3, "v")] * 5, "g string, x int, _before string").repartition(7)
+    run = lambda: sorted(map(tuple, numbering.numbered_in(rows, ["g"], [F.col("x")], "p", "n").select("g", "x", "p", "n").collect()), key=repr)
+    even = lambda: sorted(tuple(r) for r in evenly(rows.filter("g is not null"), ["g"], [F.col("x")], 20).select("g", "x").collect())
+    zipped = lambda: sorted(tuple(r) for r in positional_zip(rows.filter("g = 'hot'"), rows.filter("g = 'hot'").withColumn("x", F.col("x") + 1), "g", [F.col("x")], [F.col("x")], ["x"]).select("x", "place", "fresh_x").collect())
+    before = run(), even(), zipped()
+    monkeypatch.setattr(numbering, "HOT_ROWS", 100)
+    assert (run(), even(), zipped()) == before and before[0][-1][3] > 100
