@@ -7,11 +7,12 @@ links differ from page to page recurs too. What a single page gives away is dele
 footers, sidebars, notices, adverts, forms, scripts, styles and comments, and class names that say so. If article or main elements
 are left, their text in page order is the text, with the h1 before them if they have none; else that of the body.
 
-Names. A whole class or id that is a noise name counts anywhere. A part of one (site-footer) counts only outside articles, only as its last
-part, and not on an element with half of the page's text. A name never deletes what holds a main element (names of comments do)
-or, but for names of page headers and footers, an h1.
+Names. A whole class or id that is a noise name counts anywhere; a part of one outside articles as its last part (site-footer), inside them as any part, but only where it
+means adverts, comments, subscriptions or further reading (related-articles). No name deletes an element with half of the text around it, that of the article or, where there is none, of the
+page; a form with paragraphs isn't deleted either then. A name never deletes what holds a main element (names of comments do) or, but for names of page headers and
+footers, an h1.
 
-Paragraphs, headings and other blocks of text need TEXT_PAGES main texts, or half of the host's; inside an article they never count as
+Paragraphs, headings and other blocks of text need half of the host's main texts; inside an article they never count as
 template, so that a sentence that many articles share stays. A container that holds more than half of its article's text stays, and a
 page whose whole text would go keeps it.
 
@@ -40,8 +41,8 @@ from marginalia.llm.common import settle, text_batches
 from marginalia.llm.url_cascade import host_of
 
 #: A container is a template from LEAST_PAGES main texts of its host on, if they are LEAST_SHARE of the host's or ENOUGH_PAGES; a block of
-#: text from LEAST_PAGES on, if they are TEXT_SHARE of the host's or TEXT_PAGES.
-LEAST_PAGES, LEAST_SHARE, ENOUGH_PAGES, TEXT_SHARE, TEXT_PAGES = 3, 0.02, 20, 0.5, 20
+#: text from LEAST_PAGES on, if they are TEXT_SHARE of the host's, whatever its size.
+LEAST_PAGES, LEAST_SHARE, ENOUGH_PAGES, TEXT_SHARE = 3, 0.02, 20, 0.5
 BROADCAST_HASHES, SALTS = 200_000, 64
 #: A subtree with at least this share of its characters in links, and LEAST_LINKS of them, is hashed by shape.
 LINK_SHARE, LEAST_LINKS = 0.8, 2
@@ -68,6 +69,8 @@ NOISE_NAMES = frozenset(
 #: Names of the frame of a page, which may hold an h1 of the site; and last parts of names that say nothing.
 FRAME_NAMES = frozenset("footer header masthead nav navbar navigation sidebar toolbar topbar".split())
 COMMENT_NAMES = frozenset("comment comments commentlist respond".split())
+#: Names that, as any part of a class or id, mean something beside the text even inside an article.
+ASIDE_NAMES = COMMENT_NAMES | frozenset("ad ads advert adverts advertisement adsense newsletter promo promotion recommended recommendations related share sharing signup sponsor sponsored sponsors subscribe".split())
 EMPTY_PARTS = frozenset("area bar block body box container content inner list outer panel section wrap wrapper".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=][^\s/>=]*+|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -199,6 +202,7 @@ class Page:
         self.in_main = [False] * n  # below a main element
         self.holds_main, self.holds_h1, self.links = [False] * n, [False] * n, [0] * n
         self.chars, self.linked = [0] * n, [0] * n  # of text below, and of that inside links
+        self.paragraphs, self.most = [0] * n, [0] * n  # p elements below; characters of the outermost main element around
         for node in self.nodes:
             if node.parent is not None:
                 self.in_main[node.number] = self.in_main[node.parent.number] or _is_main(node.parent)
@@ -206,6 +210,7 @@ class Page:
             i = node.number
             self.holds_main[i] = self.holds_main[i] or _is_main(node)
             self.holds_h1[i] = self.holds_h1[i] or node.tag == "h1"
+            self.paragraphs[i] += node.tag == "p"
             self.chars[i] += sum(len(c) - c.count(" ") for c in node.children if isinstance(c, str))
             if node.tag == "a":
                 self.linked[i], self.links[i] = self.chars[i], 1
@@ -216,12 +221,24 @@ class Page:
                 self.chars[p] += self.chars[i]
                 self.linked[p] += self.linked[i]
                 self.links[p] += self.links[i]
+                self.paragraphs[p] += self.paragraphs[i]
+        for node in self.nodes:
+            if (up := node.parent) is not None:
+                self.most[node.number] = self.most[up.number] or (self.chars[up.number] if _is_main(up) else 0)
+
+    def is_most(self, node: Node) -> bool:
+        """Whether the element has at least half of the text that it would be deleted from: that of the outermost main element around it, or, on a page without any or
+        around one, of the page. Beside a main element nothing is."""
+        i = node.number
+        if self.in_main[i]:
+            return 2 * self.chars[i] >= self.most[i]
+        return (self.holds_main[i] or not self.holds_main[0]) and 2 * self.chars[i] >= self.chars[0] > 0
 
     def is_noise(self, node: Node) -> bool:
         i, in_main = node.number, self.in_main[node.number]
         if node.tag in ("html", "body", "main"):
             return False
-        if node.tag in NOISE and not (node.tag in ("form", "fieldset") and self.holds_main[i]):
+        if node.tag in NOISE and not (node.tag in ("form", "fieldset") and (self.holds_main[i] or self.paragraphs[i] and self.is_most(node))):
             return True
         if node.tag == "header" and not in_main and not self.holds_main[i]:
             return True
@@ -234,9 +251,12 @@ class Page:
         whole = NOISE_NAMES & {x.lower() for x in names}
         if in_main or node.tag == "article":
             whole -= {"header"}
-        if whole and not (self.holds_main[i] and node.tag != "article" and not whole & COMMENT_NAMES) and not (self.holds_h1[i] and not whole & FRAME_NAMES):
+        if whole and not (self.holds_main[i] and node.tag != "article" and not whole & COMMENT_NAMES) and not (self.holds_h1[i] and not whole & FRAME_NAMES) and not self.is_most(node):
             return True
-        if in_main or 2 * self.chars[i] >= self.chars[0]:
+        if in_main:
+            named = {p.lower() for name in names for p in _PART.findall(name)} & ASIDE_NAMES
+            return bool(named) and 2 * self.chars[i] < self.most[i] and not self.holds_h1[i]
+        if 2 * self.chars[i] >= self.chars[0]:
             return False
         for name in names:
             parts = [p.lower() for p in _PART.findall(name)]
@@ -276,12 +296,8 @@ class Page:
     def deleted(self, templates: set[int] | frozenset[int]) -> set[int]:
         if not templates:
             return set()
-        hashes, most = self.hashes(), {}
-        for node in self.nodes:  # characters of the outermost main element around
-            if node.parent is not None:
-                up = node.parent
-                most[node.number] = most.get(up.number) or (self.chars[up.number] if _is_main(up) else 0)
-        return {n.number for n in self.candidates() if hashes[n.number] in templates and 2 * self.chars[n.number] <= (most[n.number] or self.chars[0] * 2)}
+        hashes = self.hashes()
+        return {n.number for n in self.candidates() if hashes[n.number] in templates and 2 * self.chars[n.number] <= (self.most[n.number] or self.chars[0] * 2)}
 
     def blocks(self, node: Node, gone: set[int]) -> list[str]:
         out: list[str] = []
@@ -360,7 +376,7 @@ def find_templates(pages: DataFrame) -> DataFrame:
     counts = settle(seen.groupBy("host", "hash", "is_text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("hash").isNull() | (F.col("n") >= LEAST_PAGES)))
     totals = counts.filter("hash is null").select("host", F.col("n").alias("pages"))
     part = lambda share, enough: F.least(F.lit(share) * F.col("pages"), F.lit(enough))
-    least = F.when(F.col("is_text"), part(TEXT_SHARE, TEXT_PAGES)).otherwise(part(LEAST_SHARE, ENOUGH_PAGES))
+    least = F.when(F.col("is_text"), F.lit(TEXT_SHARE) * F.col("pages")).otherwise(part(LEAST_SHARE, ENOUGH_PAGES))
     return counts.filter(F.col("hash").isNotNull()).join(totals, "host").filter(F.col("n") >= least).select("host", "hash").distinct()
 
 

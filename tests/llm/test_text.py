@@ -69,6 +69,32 @@ def test_twenty_pages_are_enough_on_a_host_of_any_size(spark):
     assert {r["text"] for r in out} == {f"Own {i}" for i in range(1500)}
 
 
+def test_names_and_forms_never_take_the_whole_text():
+    read = template_html.main_text
+    assert read('<article class="post promo"><p>body</p></article>') == "body" and read('<main><div class="search"><p>body text</p></div></main>') == "body text"
+    form = '<body><form action="x"><div class="topbar">Site</div><h2>Head</h2><p>The long text of a page inside a form.</p><input><button>Go</button></form></body>'
+    assert read(form) == "Head\nThe long text of a page inside a form."
+    assert read('<body><form><label>Name</label><input><button>Go</button></form><p>Text of the page.</p></body>') == "Text of the page."
+    assert read('<div class="ad"><p>Everything is here.</p></div>') == "Everything is here."
+    long = "<p>A much longer comment than the text itself, and then some more of it.</p>" * 5
+    assert read(f'<article><p>Text.</p></article><div class="comments">{long}</div>') == "Text." and read(f'<article><p>Text.</p></article><div class="promo">{long}</div>') == "Text."
+
+
+def test_comments_adverts_and_further_reading_inside_an_article_go():
+    body = "<h1>Head</h1><p>The first paragraph of the text.</p><p>The second paragraph of it, a longer one.</p>"
+    for name in ("related-articles", "newsletter-signup", "comment-list", "post-share-buttons", "ad-slot-2"):
+        assert template_html.main_text(f'<article>{body}<div class="{name}"><p>Not this</p></div></article>').count("\n") == 2, name
+    for name in ("post-header", "entry-footer-text", "content-body", "login-story"):
+        assert template_html.main_text(f'<article>{body}<div class="{name}"><p>But this</p></div></article>').endswith("But this"), name
+
+
+def test_a_sentence_on_few_pages_of_a_large_host_stays(spark):
+    """Twenty-five of sixty: more than twenty, less than half."""
+    rows = [(i, f"http://one.example/{i}", f"<body><p>Own text {i}.</p>{'<p>Shared sentence.</p>' if i < 25 else ''}</body>") for i in range(60)]
+    out = {r["page_id"]: r["text"] for r in template_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "Own text 3.\nShared sentence." and out[40] == "Own text 40."
+
+
 def test_a_container_with_most_of_the_article_stays():
     html = "<article><h1>Head</h1><div><p>The whole long body.</p></div><ul><li>Box</li></ul></article>"
     assert template_html.main_text(html, template_html.template_hashes(html)) == "Head\nThe whole long body."
