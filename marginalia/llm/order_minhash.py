@@ -16,6 +16,8 @@ Other columns are left out; without rows there is no result.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,19 +29,24 @@ PLACE_BITS = 31
 PLACE_MASK = (1 << PLACE_BITS) - 1
 VALUE_BITS = 24
 #: K-mers of a bin that are sorted of a long text.
-LIKELY = 24
+LIKELY = 12
 #: Documents in one range of neighbours, quantiles of ids that cut ranges, ranges in one group of ranges, first documents that may be broadcast, ranges of rows without id.
 RANGE_ROWS, QUANTILES, GROUP, BROADCAST_ROWS, NULL_RANGES = 256, 4096, 4096, 500_000, 64
 
 
-def _packed(text: Column) -> Column:
-    """(k-mer hash | place) of every CHAR_K code points in a row; of all of them where there are fewer."""
+def _places(b: Column, first: Column) -> Column:
+    """Places of the k-mers that start at a code point from `first` on; a place is the 1-based byte it starts at, four bytes a code point."""
+    start, last = first * 4 + 1, (F.octet_length(b) - 4 * CHAR_K + 1).cast("int")
+    return F.when(start <= last, F.sequence(start, last, F.lit(4))).otherwise(F.array().cast("array<int>"))
+
 
-    def of_bytes(b: Column) -> Column:  # four bytes a code point, so a k-mer is cut out without a search
-        n = F.floor(F.octet_length(b) / 4).cast("int")
-        kmer = lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * CHAR_K)))
-        all_of = F.transform(F.sequence(F.lit(0), n - CHAR_K), lambda i: kmer(i).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(i.cast("long")))
-        return F.when(n >= CHAR_K, all_of).when(n > 0, F.array(F.xxhash64(b).bitwiseAND(F.lit(~PLACE_MASK)))).otherwise(F.array().cast("array<bigint>"))
+def _packed(text: Column, first: Column | None = None) -> Column:
+    """(k-mer hash | place) of every CHAR_K code points in a row, from one of them on; of all of them where there are fewer."""
+
+    def of_bytes(b: Column) -> Column:  # a k-mer is cut out of the bytes without a search
+        kmer = lambda at: F.xxhash64(F.substring(b, at, F.lit(4 * CHAR_K))).bitwiseAND(F.lit(~PLACE_MASK))
+        lone = F.when(F.octet_length(b) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(b).bitwiseAND(F.lit(~PLACE_MASK))))
+        return F.when(F.octet_length(b) < 4 * CHAR_K, lone).otherwise(F.transform(_places(b, F.lit(0) if first is None else first), lambda at: kmer(at).bitwiseOR(at.cast("long"))))
 
     return let(F.encode(text, "UTF-32"), of_bytes)
 
@@ -48,17 +55,15 @@ def _bin(x: Column) -> Column:
     return F.shiftrightunsigned(x, 64 - BINS_LOG2)
 
 
-def _numbered(packed: Column) -> Column:
-    """Sorted (k-mer hash | place) -> (hash of k-mer and occurrence number | place)."""
-
-    def with_starts(s: Column, starts: Column) -> Column:
-        runs = F.flatten(F.transform(starts, lambda a, j: F.sequence(F.lit(0), F.coalesce(F.get(starts, j + 1), F.size(s)) - a - 1)))
-        return let(runs, lambda run: F.zip_with(s, run, lambda x, r: F.xxhash64(F.shiftright(x, PLACE_BITS), r).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(x.bitwiseAND(F.lit(PLACE_MASK)))))
+def _occurrences(s: Column) -> Column:
+    """Occurrence numbers from 0 of sorted (k-mer hash | place)."""
 
-    def first_of_run(s: Column) -> Column:
-        return F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.shiftrightunsigned(F.get(s, i).bitwiseXOR(F.get(s, i - 1)), PLACE_BITS) != 0))
+    def first_of_run(before: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.shiftrightunsigned(F.get(s, i).bitwiseXOR(F.get(before, i)), PLACE_BITS) != 0)
 
-    return let(packed, lambda s: let(first_of_run(s), lambda starts: with_starts(s, starts)))
+    starts = let(F.concat(F.array(F.bitwise_not(F.get(s, F.lit(0)))), s), first_of_run)
+    runs = lambda a: F.zip_with(a, F.concat(F.slice(a, F.lit(2), F.size(a)), F.array(F.size(s))), lambda x, y: F.sequence(F.lit(0), y - x - 1))
+    return F.flatten(let(starts, runs))
 
 
 def _tuples(picked: Column) -> Column:
@@ -76,25 +81,44 @@ def _tuples(picked: Column) -> Column:
     return let(picked, lambda p: F.transform(firsts(p), lambda i: value(p, i)))
 
 
-def sketch(text: Column) -> Column:
-    """The bins' values as an array of int, in order of bins.
+def sketch(ordered: Column) -> Column:
+    """The bins' values of sorted (k-mer hash | place), as an array of int in order of bins.
 
-    Of a long text only the k-mers whose place inside their bin is below a share that leaves about LIKELY of them a bin are sorted. If these fill every bin, the
-    smallest are among them; if not, all are sorted.
+    Of a long text only the numbered k-mers whose place inside their bin is below a share that leaves about LIKELY of them a bin are sorted. If these fill every
+    bin, the smallest are among them; if not, all are sorted.
     """
-    inside = (1 << (64 - BINS_LOG2)) - 1
+    inside = F.lit((1 << (64 - BINS_LOG2)) - 1)
     picked = lambda m: let(F.sort_array(m), lambda t: F.filter(t, lambda x, i: F.coalesce(_bin(x.bitwiseXOR(F.get(t, i - PICKED))) != 0, F.lit(True))))
 
-    def of_mixed(m: Column) -> Column:
-        limit = F.floor(F.lit(float(inside)) * (LIKELY << BINS_LOG2) / F.size(m)).cast("long")
-        likely = let(limit, lambda most: F.filter(m, lambda x: x.bitwiseAND(F.lit(inside)) < most))
-        few = let(picked(likely), lambda p: F.when(F.size(p) == PICKED << BINS_LOG2, p).otherwise(picked(m)))
-        return _tuples(F.when(F.size(m) > LIKELY << BINS_LOG2, few).otherwise(picked(m)))
+    def of_numbered(s: Column, numbers: Column) -> Column:
+        hashed = lambda i: F.xxhash64(F.shiftright(F.get(s, i), PLACE_BITS), F.get(numbers, i))
+        mixed = lambda i: hashed(i).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(F.get(s, i).bitwiseAND(F.lit(PLACE_MASK)))
+        every = F.sequence(F.lit(0), F.size(s) - 1)
+        limit = F.floor(F.lit(float((1 << (64 - BINS_LOG2)) - 1)) * (LIKELY << BINS_LOG2) / F.size(s)).cast("long")
+        likely = let(limit, lambda most: F.filter(every, lambda i: hashed(i).bitwiseAND(inside) < most))
+        few = let(picked(F.transform(likely, mixed)), lambda p: F.when(F.size(p) == PICKED << BINS_LOG2, p).otherwise(picked(F.transform(every, mixed))))
+        return _tuples(F.when(F.size(s) > LIKELY << BINS_LOG2, few).otherwise(picked(F.transform(every, mixed))))
 
-    def of_packed(g: Column) -> Column:
-        return F.when(F.size(g) == 0, F.array().cast("array<int>")).otherwise(let(_numbered(F.sort_array(g)), of_mixed))
+    def of_sorted(s: Column) -> Column:
+        return F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(let(_occurrences(s), lambda numbers: of_numbered(s, numbers)))
 
-    return let(_packed(F.coalesce(text, F.lit(""))), of_packed)
+    return let(ordered, of_sorted)
+
+
+def with_sketches(rows: DataFrame) -> DataFrame:
+    """rows (text, next_text) with values and edited_values, the sketches of the text and of its edited text, and edited_sha256.
+
+    The k-mers of the text's first half are hashed once for both; only those that reach into the other text are hashed for the edited one.
+    """
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
+    shared = F.greatest(n - half - (CHAR_K - 1), F.lit(0))
+    rows = rows.withColumn("_shared", shared).withColumn("_edited", edited).withColumn("_packed", _packed(F.col("text")))
+    both = F.when(F.col("_shared") == 0, _packed(F.col("_edited"))).otherwise(F.concat(F.slice("_packed", F.lit(1), "_shared"), _packed(F.col("_edited"), F.col("_shared"))))
+    rows = rows.withColumn("_sorted", F.sort_array("_packed")).withColumn("_edited_sorted", F.sort_array(both))
+    rows = rows.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256)).withColumn("values", sketch(F.col("_sorted"))).withColumn("edited_values", sketch(F.col("_edited_sorted")))
+    return rows.drop("_shared", "_edited", "_packed", "_sorted", "_edited_sorted")
 
 
 def as_string(values: Column) -> Column:
@@ -135,9 +159,11 @@ def _range_of(key: Column, cuts: list[int], lowest: int, highest: int, n: int) -
     return quantile.cast("long") * pieces + F.greatest(F.least(inside.cast("long"), F.lit(pieces - 1)), F.lit(0))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], derive: Callable[[DataFrame], DataFrame] | None = None, derived: Sequence[str] = ()) -> DataFrame:
     """rows (doc_id, text and columns) with next_<column>: the values of the next greater doc_id, after the last those of the first.
 
+    derive: adds columns to rows that have their neighbours; for those named in `derived` there is next_<column> too, without another shuffle.
+
     Ids are cut into ranges of about RANGE_ROWS, by quantiles and equal widths between these; within a range a window looks ahead, and each range also
     gets a copy of the first document of the range that follows.
     """
@@ -159,23 +185,22 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     keyed = rows.withColumn("_key", key).withColumn("_range", place)
     joined = keyed.join(links, (F.col("_key") == F.col("_first")) & (F.col("_range") == F.col("_at")), "left")
     here, copy = F.struct(F.col("_range").alias("at"), F.lit(False).alias("copy")), F.struct(F.col("_before").alias("at"), F.lit(True).alias("copy"))
-    dealt = joined.select(*rows.columns, "_key", F.explode(F.when(F.col("_before").isNull(), F.array(here)).otherwise(F.array(here, copy))).alias("_to"))
-    window = W.partitionBy("_to.at").orderBy("_to.copy", "_key", "text")
-    ahead = dealt.select(*rows.columns, F.col("_to.copy").alias("_copy"), *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
-    return ahead.filter(~F.col("_copy")).drop("_copy")
+    dealt = joined.select(*rows.columns, "_key", F.inline(F.when(F.col("_before").isNull(), F.array(here)).otherwise(F.array(here, copy))).alias("_at", "_copy"))
+    window = W.partitionBy("_at").orderBy("_copy", "_key", "text")
+    ahead = dealt.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
+    if derive is not None:
+        made = derive(ahead)
+        ahead = made.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in derived])
+    return ahead.filter(~F.col("_copy")).drop("_copy", "_key", "_at")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprint, edited_fingerprint, edited_sha256, near_edited, near_next for every row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("values", sketch(F.col("text"))), ["text", "values"])
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    edited = edited.select("doc_id", n.cast("long").alias("n_chars"), "values", "next_values", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_values"))
+    edited = with_next(rows, ["text"], with_sketches, ["values"])
     return edited.select(
         "doc_id",
-        "n_chars",
+        F.length("text").cast("long").alias("n_chars"),
         "edited_sha256",
         as_string(F.col("values")).alias("fingerprint"),
         as_string(F.col("edited_values")).alias("edited_fingerprint"),
