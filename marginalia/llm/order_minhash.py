@@ -40,13 +40,14 @@ def _places(b: Column, first: Column) -> Column:
     return F.when(start <= last, F.sequence(start, last, F.lit(4))).otherwise(F.array().cast("array<int>"))
 
 
-def _packed(text: Column, first: Column | None = None) -> Column:
-    """(k-mer hash | place) of every CHAR_K code points in a row, from one of them on; of all of them where there are fewer."""
+def _packed(text: Column, first: Column, shift: Column | None = None) -> Column:
+    """(k-mer hash | place, moved on by `shift`) of every CHAR_K code points in a row, from the code point `first` on; of all of them where there are fewer."""
 
     def of_bytes(b: Column) -> Column:  # a k-mer is cut out of the bytes without a search
         kmer = lambda at: F.xxhash64(F.substring(b, at, F.lit(4 * CHAR_K))).bitwiseAND(F.lit(~PLACE_MASK))
-        lone = F.when(F.octet_length(b) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(b).bitwiseAND(F.lit(~PLACE_MASK))))
-        return F.when(F.octet_length(b) < 4 * CHAR_K, lone).otherwise(F.transform(_places(b, F.lit(0) if first is None else first), lambda at: kmer(at).bitwiseOR(at.cast("long"))))
+        place = lambda at: (at if shift is None else at + shift).cast("long")
+        lone = F.when(F.octet_length(b) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(b).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(place(F.lit(1)))))
+        return F.when(F.octet_length(b) < 4 * CHAR_K, lone).otherwise(F.transform(_places(b, first), lambda at: kmer(at).bitwiseOR(place(at))))
 
     return let(F.encode(text, "UTF-32"), of_bytes)
 
@@ -55,15 +56,34 @@ def _bin(x: Column) -> Column:
     return F.shiftrightunsigned(x, 64 - BINS_LOG2)
 
 
-def _occurrences(s: Column) -> Column:
-    """Occurrence numbers from 0 of sorted (k-mer hash | place)."""
+def _place(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(PLACE_MASK))
 
-    def first_of_run(before: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.shiftrightunsigned(F.get(s, i).bitwiseXOR(F.get(before, i)), PLACE_BITS) != 0)
 
-    starts = let(F.concat(F.array(F.bitwise_not(F.get(s, F.lit(0)))), s), first_of_run)
-    runs = lambda a: F.zip_with(a, F.concat(F.slice(a, F.lit(2), F.size(a)), F.array(F.size(s))), lambda x, y: F.sequence(F.lit(0), y - x - 1))
-    return F.flatten(let(starts, runs))
+def _occurrences(s: Column, shared: Column, own: Column) -> Column:
+    """Occurrence numbers from 0 of sorted (k-mer hash | place) of two texts: places up to `shared` are in both, up to `own` in the first, the others in the second.
+
+    A k-mer's occurrences in the second text go on from those in the shared part, as those in the rest of the first do.
+    """
+
+    def starts_after_first(before: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(before, i) < F.get(s, i).bitwiseAND(F.lit(~PLACE_MASK)))
+
+    def of_run(start: Column, end: Column) -> Column:
+        at = lambda i: _place(F.get(s, i))
+        upto = lambda most, stop: F.size(F.filter(F.sequence(start, stop), lambda i: at(i) <= most))
+        whole = F.sequence(F.lit(0), end - start - 1)
+
+        def split(first: Column) -> Column:  # `first` occurrences in the first text, at least one, and at least one in the second alone
+            both = F.when(at(start) > shared, F.lit(0)).otherwise(upto(shared, start + first - 1))
+            rest = lambda n: F.concat(F.sequence(F.lit(0), first - 1), F.sequence(n, n + (end - start - first) - 1))
+            return F.when(at(start + first - 1) <= shared, whole).otherwise(let(both, rest))
+
+        of_one = (at(end - 1) <= own) | (at(start) > own)
+        return F.when(end - start == 1, F.array(F.lit(0))).when(of_one, whole).otherwise(let(upto(own, end - 1), split))
+
+    starts = F.concat(F.array(F.lit(0)), let(F.concat(F.slice(s, 1, 1), s), starts_after_first))
+    return F.flatten(let(starts, lambda a: F.zip_with(a, F.concat(F.slice(a, F.lit(2), F.size(a)), F.array(F.size(s))), of_run)))
 
 
 def _tuples(picked: Column) -> Column:
@@ -73,52 +93,66 @@ def _tuples(picked: Column) -> Column:
         x, y = F.get(p, i), F.get(p, i + 1)
         a, b = F.shiftright(x, PLACE_BITS), F.shiftright(y, PLACE_BITS)
         both = y.isNotNull() & (_bin(x) == _bin(y))
-        ordered = F.when(x.bitwiseAND(F.lit(PLACE_MASK)) <= y.bitwiseAND(F.lit(PLACE_MASK)), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
+        ordered = F.when(_place(x) <= _place(y), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
         h = F.when(both, ordered).otherwise(F.xxhash64(a))
         return (F.shiftleft(_bin(x), VALUE_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << VALUE_BITS) - 1)))).cast("int")
 
     firsts = lambda p: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (_bin(F.get(p, i)) != _bin(F.get(p, F.greatest(i - 1, F.lit(0))))))
-    return let(picked, lambda p: F.transform(firsts(p), lambda i: value(p, i)))
+    return let(picked, lambda p: F.when(F.size(p) == 0, F.array().cast("array<int>")).otherwise(F.transform(firsts(p), lambda i: value(p, i))))
+
 
+def sketches(ordered: Column, shared: Column, own: Column) -> Column:
+    """(values, edited_values): the bins' values of two texts as arrays of int in order of bins, from their sorted (k-mer hash | place), those of their common start given once.
 
-def sketch(ordered: Column) -> Column:
-    """The bins' values of sorted (k-mer hash | place), as an array of int in order of bins.
+    Places up to `shared` are in both texts, up to `own` in the first, the others in the second.
 
-    Of a long text only the numbered k-mers whose place inside their bin is below a share that leaves about LIKELY of them a bin are sorted. If these fill every
-    bin, the smallest are among them; if not, all are sorted.
+    Of long texts only the numbered k-mers whose place inside their bin is below a share that leaves at least about LIKELY of them a bin and text are sorted. If these
+    fill every bin of both, the smallest are among them; if not, all are sorted.
     """
-    inside = F.lit((1 << (64 - BINS_LOG2)) - 1)
-    picked = lambda m: let(F.sort_array(m), lambda t: F.filter(t, lambda x, i: F.coalesce(_bin(x.bitwiseXOR(F.get(t, i - PICKED))) != 0, F.lit(True))))
+    inside = (1 << (64 - BINS_LOG2)) - 1
+    full = PICKED << BINS_LOG2
+    smallest = lambda t: F.filter(t, lambda x, i: F.coalesce(_bin(x.bitwiseXOR(F.get(t, i - PICKED))) != 0, F.lit(True)))
+
+    def picked(m: Column) -> Column:
+        first = lambda t: let(F.filter(t, lambda x: _place(x) <= own), smallest)
+        second = lambda t: let(F.filter(t, lambda x: (_place(x) <= shared) | (_place(x) > own)), smallest)
+        return let(F.sort_array(m), lambda t: F.struct(first(t).alias("values"), second(t).alias("edited_values")))
 
     def of_numbered(s: Column, numbers: Column) -> Column:
         hashed = lambda i: F.xxhash64(F.shiftright(F.get(s, i), PLACE_BITS), F.get(numbers, i))
-        mixed = lambda i: hashed(i).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(F.get(s, i).bitwiseAND(F.lit(PLACE_MASK)))
+        mixed = lambda i: hashed(i).bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(_place(F.get(s, i)))
         every = F.sequence(F.lit(0), F.size(s) - 1)
-        limit = F.floor(F.lit(float((1 << (64 - BINS_LOG2)) - 1)) * (LIKELY << BINS_LOG2) / F.size(s)).cast("long")
-        likely = let(limit, lambda most: F.filter(every, lambda i: hashed(i).bitwiseAND(inside) < most))
-        few = let(picked(F.transform(likely, mixed)), lambda p: F.when(F.size(p) == PICKED << BINS_LOG2, p).otherwise(picked(F.transform(every, mixed))))
-        return _tuples(F.when(F.size(s) > LIKELY << BINS_LOG2, few).otherwise(picked(F.transform(every, mixed))))
+        # texts of one length have 2/3 of the k-mers each; an edited text that is shorter keeps the shared half, with 9 likely k-mers a bin
+        limit = F.floor(F.lit(float(inside)) * (LIKELY << BINS_LOG2) * 1.5 / F.size(s)).cast("long")
+        likely = let(limit, lambda most: F.filter(every, lambda i: hashed(i).bitwiseAND(F.lit(inside)) < most))
+        filled = lambda p: (F.size(p["values"]) == full) & (F.size(p["edited_values"]) == full)
+        few = lambda: let(picked(F.transform(likely, mixed)), lambda p: F.when(filled(p), p).otherwise(picked(F.transform(every, mixed))))
+        chosen = F.when(F.size(s) > LIKELY * 1.5 * (1 << BINS_LOG2), few()).otherwise(picked(F.transform(every, mixed)))
+        return let(chosen, lambda p: F.struct(_tuples(p["values"]).alias("values"), _tuples(p["edited_values"]).alias("edited_values")))
+
+    none = F.array().cast("array<int>")
 
     def of_sorted(s: Column) -> Column:
-        return F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(let(_occurrences(s), lambda numbers: of_numbered(s, numbers)))
+        return let(_occurrences(s, shared, own), lambda numbers: of_numbered(s, numbers))
 
-    return let(ordered, of_sorted)
+    # two references to the sorted array keep its sort a step of its own, in compiled code
+    return F.when(F.size(ordered) == 0, F.struct(none.alias("values"), none.alias("edited_values"))).otherwise(let(ordered, of_sorted))
 
 
 def with_sketches(rows: DataFrame) -> DataFrame:
     """rows (text, next_text) with values and edited_values, the sketches of the text and of its edited text, and edited_sha256.
 
-    The k-mers of the text's first half are hashed once for both; only those that reach into the other text are hashed for the edited one.
+    The k-mers of the text's first half are hashed, sorted and numbered once for both; places of those that reach into the other text follow all of the text's own.
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     shared = F.greatest(n - half - (CHAR_K - 1), F.lit(0))
-    rows = rows.withColumn("_shared", shared).withColumn("_edited", edited).withColumn("_packed", _packed(F.col("text")))
-    both = F.when(F.col("_shared") == 0, _packed(F.col("_edited"))).otherwise(F.concat(F.slice("_packed", F.lit(1), "_shared"), _packed(F.col("_edited"), F.col("_shared"))))
-    rows = rows.withColumn("_sorted", F.sort_array("_packed")).withColumn("_edited_sorted", F.sort_array(both))
-    rows = rows.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256)).withColumn("values", sketch(F.col("_sorted"))).withColumn("edited_values", sketch(F.col("_edited_sorted")))
-    return rows.drop("_shared", "_edited", "_packed", "_sorted", "_edited_sorted")
+    rows = rows.withColumn("_shared", shared).withColumn("_own", n * 4).withColumn("_edited", edited)
+    both = F.concat(_packed(F.col("text"), F.lit(0)), _packed(F.col("_edited"), F.col("_shared"), F.col("_own")))
+    rows = rows.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256)).withColumn("_sorted", F.sort_array(both))
+    rows = rows.withColumn("_sketches", sketches(F.col("_sorted"), F.col("_shared") * 4, F.col("_own")))
+    return rows.select("*", "_sketches.*").drop("_shared", "_own", "_edited", "_sorted", "_sketches")
 
 
 def as_string(values: Column) -> Column:

@@ -425,6 +425,18 @@ def brute_sketch(t, k=4, low=31):
     return out
 
 
+def test_edited_fingerprints_match_brute_force_at_any_lengths(spark):
+    """The k-mers that a text shares with its edited text are handled once; neighbours are empty, short, long, equal and full of repeats."""
+    words = ["".join(random.Random(i).choices("abcde ", k=n)) for i, n in enumerate([3000, 40, 2500, 0, 1700, 5000])]
+    texts = [*words, words[0], words[0], "a" * 3000, "ab" * 900, "abcdefg", "abcdef", "abc", None, "x", "\U0001f44d" * 9, words[5]]
+    rows = {r["doc_id"]: r for r in fingerprints(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    line = lambda t: "".join(f"{b << 24 | v:08X}" for b, v in sorted(brute_sketch(t).items(), key=lambda f: f[0] ^ 32))  # noqa: E731 (bins in order of signed hashes)
+    for i, t in enumerate(texts):
+        t, other = t or "", texts[(i + 1) % len(texts)] or ""
+        half = len(t) // 2
+        assert (rows[i]["fingerprint"], rows[i]["edited_fingerprint"]) == (line(t), line(t[: len(t) - half] + other[:half])), i
+
+
 def test_fingerprints_and_likeness_match_brute_force(spark):
     rows = [(d, t, s) for d, t, s in corpus() if d is not None and d != 70] + [(90, "\U0001f44d日本" * 50, None), (91, "abab" * 40, None)]
     out = {r["doc_id"]: r for r in fingerprints(documents(spark, rows)).collect()}
