@@ -28,9 +28,12 @@ CAPACITY, END_ID, SALTS = 2048, 0, 64
 MOST_KNOWN = 600_000
 TOKENIZER = "word_bpe_49k.json"
 _known: dict[str, dict[str, bytes]] = {}
+_ends: dict[str, np.ndarray] = {}
 _tokenizers: dict[str, object] = {}
 #: Tokens of this tokenizer never span these characters, so the ids of a text are those of the parts between them.
 _PART = re.compile(r"[^ \n\t\r]+")
+#: Letters whose lower case has the ids of the word itself, then signs of ASCII without apostrophe.
+_LETTERS_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def default_tokenizer() -> str:
@@ -39,6 +42,10 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def _ids(encoded) -> np.ndarray:
+    return np.array(encoded.ids, dtype="<u4")
+
+
 class Ids:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes; remembers the ids of parts."""
 
@@ -46,15 +53,18 @@ class Ids:
         from tokenizers import Tokenizer
 
         if path not in _tokenizers:
-            _tokenizers[path], _known[path] = Tokenizer.from_file(path), {}
-        self.tokenizer, self.known = _tokenizers[path], _known[path]
+            tokenizer = Tokenizer.from_file(path)
+            ends = np.zeros(tokenizer.get_vocab_size(), bool)
+            ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+            _tokenizers[path], _known[path], _ends[path] = tokenizer, {}, ends
+        self.tokenizer, self.known, self.ends = _tokenizers[path], _known[path], _ends[path]
 
     def learn(self, parts: list[str]) -> None:
         """Encode parts joined by spaces; the offsets of the tokens say which part each belongs to."""
         for i in range(0, len(parts), 2048):
             some = parts[i : i + 2048]
             encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(encoded.ids, dtype="<u4")
+            ids = _ids(encoded)
             starts = np.array([o[0] for o in encoded.offsets], dtype=np.int64)
             edges = np.cumsum([0] + [len(x) + 1 for x in some])
             cuts = np.searchsorted(starts, edges)
@@ -62,14 +72,45 @@ class Ids:
             for part, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 self.known[part] = raw[4 * a : 4 * b]
 
+    def learn_letters(self, words: list[str]) -> None:
+        """Encode words of letters joined by spaces: the tokenizer takes each as one piece, whose last token is marked as an end. Every word has one end at least, so if their
+        number is right each has one; if not, the offsets decide."""
+        for i in range(0, len(words), 2048):
+            some = words[i : i + 2048]
+            ids = _ids(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0])
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                raw = ids.tobytes()
+                self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *ends], ends))  # noqa: B905
+            else:
+                self.learn(some)
+
+    def add(self, parts: set[str]) -> None:
+        """Letters with signs after them are two pieces to the tokenizer, so their ids are those of both; upper and lower case have the same."""
+        shaped, letters, signs, rest = [], [], [], []
+        for part in parts:
+            found = _LETTERS_SIGNS.fullmatch(part)
+            if found:
+                shaped.append(part)
+                letters.append(found[1].lower())
+                signs.append(found[2])
+            else:
+                rest.append(part)
+        self.learn(sorted(rest + list(set(filter(None, signs)).difference(self.known))))
+        self.learn_letters(sorted(set(letters).difference(self.known)))
+        known = self.known
+        for part, w, s in zip(shaped, letters, signs, strict=True):
+            known[part] = known[w] + known[s] if s else known[w]
+
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [_PART.findall(t) for t in texts]
-        missing = [w for w in set().union(*split) if w not in self.known]
+        split = [_PART.findall(t) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t else t.split() for t in texts]  # not white space to the tokenizer
+        words = set().union(*split)
+        missing = words.difference(self.known)
         if missing:
             if len(self.known) + len(missing) > MOST_KNOWN:
                 self.known.clear()
-                missing = list(set().union(*split))
-            self.learn(sorted(missing))
+                missing = words
+            self.add(missing)
         get = self.known.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
@@ -88,8 +129,8 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
             rows: list[tuple] = []
             names = batch.column(0).to_pylist()
             texts = batch.column(1)
-            for i in range(0, batch.num_rows, 64):
-                for name, raw in zip(names[i : i + 64], ids.of(texts.slice(i, 64).to_pylist()), strict=True):
+            for i in range(0, batch.num_rows, 256):
+                for name, raw in zip(names[i : i + 256], ids.of(texts.slice(i, 256).to_pylist()), strict=True):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), width)):
                         part = raw[at : at + width]

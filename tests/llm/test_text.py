@@ -596,3 +596,20 @@ def test_a_very_long_text_is_worked_on_whole_by_every_operator(spark):
     assert found[2]["n_removed"] == len(long) - 100 and found[1]["n_removed"] == 0
     found = by(fingerprints(docs))
     assert found[1]["n_chars"] == len(long) and found[1]["near_next"] > 0.7
+
+
+def test_remembered_ids_are_those_of_the_tokenizer_and_a_word_with_signs_costs_no_other_encoding():
+    from marginalia.llm.packing import Ids, default_tokenizer
+
+    ids, encoded = Ids(default_tokenizer()), []
+    ids.known.clear()
+    whole = ids.tokenizer
+    odd = ["a\x1cb c\x1dd", "a\xa0b　c d\x85e\x0bf", "don't!! it's 12\tab", "<|endoftext|> a<|startoftext|>b", "İx İ ŉa K Á. ab́ ſ, ΣΣ Σ", "ab__ a_b a's '' ab@@ ​ xª, ½", "ẛ̣ ﬁn. a\x00b", ""]
+    for texts in ([t] for t in odd * 2):
+        assert ids.of(texts) == [b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids) for t in texts]
+
+    learn = ids.learn_letters
+    ids.learn_letters = lambda words: (encoded.extend(words), learn(words))
+    ids.of(["Zubrelliko zubrelliko, ZUBRELLIKO!!! zubrelliko"])
+    ids.of(["zubrelliko;;"])
+    assert encoded == ["zubrelliko"]
