@@ -13,6 +13,9 @@ from pyspark.sql.types import StructType
 
 from marginalia.storage import exists, in_tasks, on_driver
 
+#: Micro-batches that a run is cut into at most: each costs about the same whatever it holds, so beyond this they grow instead.
+MOST_BATCHES = 64
+
 
 def _persisting(key: str, argument: str, function: Callable[[str], dict], names: list[str], folder: str, every: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,7 +52,8 @@ def run_units(work: DataFrame, log: str, key: str, argument: str, function: Call
 
     `log` is a folder that all share. Work is dealt into files once, and a stream takes some of them a micro-batch; its checkpoint says which batches are done. Inside a
     batch each task writes its outcomes every `persist_every` units. Where a run ends before its time, the next call with the same log goes on: batches that are done aren't
-    read again, and of the broken one only units without an outcome are called. An outcome is in the result once, whatever was repeated.
+    read again, and of the broken one only units without an outcome are called. An outcome is in the result once, whatever was repeated. A micro-batch takes `files_per_batch` files, more
+    where there would be over MOST_BATCHES micro-batches.
 
     A key is a text, and not null. A second call with a log takes its work from there, not from `work`. Outcomes of a batch become one Parquet folder by the number of the batch, which a
     repeated batch replaces.
@@ -75,6 +79,8 @@ def run_units(work: DataFrame, log: str, key: str, argument: str, function: Call
             files, where = on_driver(session, parts)
             files.delete(where, True)
 
-    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", files_per_batch).parquet(f"{log}/work")
+    files, where = on_driver(spark, f"{log}/work")
+    dealt = len(files.listStatus(where))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", max(files_per_batch, -(-dealt // MOST_BATCHES))).parquet(f"{log}/work")
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{log}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(shape).parquet(f"{log}/outcomes") if exists(spark, f"{log}/outcomes") else spark.createDataFrame([], shape)

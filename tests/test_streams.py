@@ -199,6 +199,14 @@ def test_a_run_that_is_killed_keeps_its_outcomes_and_does_not_call_again(spark,
     assert run().count() == 40 and all(f.read_text() == "x" for f in calls.iterdir())
 
 
+def test_a_large_run_takes_larger_batches_instead_of_more(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("marginalia.streaming.outcomes.MOST_BATCHES", 3, raising=False)
+    work = spark.createDataFrame([(f"v{i}", f"v{i}") for i in range(24)], "url string, target string")
+    got = run_units(work, str(tmp_path / "log"), "url", "target", lambda u: {"n": len(u)}, "n long", units_per_file=2, files_per_batch=1)
+    assert sorted((r["url"], r["n"]) for r in got.collect()) == sorted((f"v{i}", len(f"v{i}")) for i in range(24))
+    assert 1 < len(list((tmp_path / "log/outcomes").glob("batch=*"))) <= 3
+
+
 def test_downloads_go_on_after_a_broken_run_and_count_once(spark, tmp_path):
     at, calls, broken = F.lit("2025-01-01").cast("timestamp"), tmp_path / "calls", tmp_path / "broken"
     calls.mkdir()
