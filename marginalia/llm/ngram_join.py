@@ -57,14 +57,17 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Ascending distinct hashes of the runs of `words` words of each text; of all words where there are fewer."""
-    split = [_WORD.findall((t or "").lower() if (t or "").isascii() else (t or "").translate(_LOWER)) for t in texts]
-    known = dict.fromkeys(w for s in split for w in s)
-    for w in known:
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    out = []
-    for s in split:
+    known, out = _WordHashes(), []
+    for t in texts:  # the words of one text at a time
+        s = _WORD.findall((t or "").lower() if (t or "").isascii() else (t or "").translate(_LOWER))
         h = np.fromiter(map(known.__getitem__, s), np.uint64, len(s))
         k = min(words, len(h))
         rolled = np.zeros(len(h) - k + 1 if k else 0, np.uint64)

@@ -65,14 +65,16 @@ def posted_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def shared_of(rows: list[dict]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
     """For the rows of one bucket: row, and hash and document of the postings of one document in its chunk whose hash is in others too."""
-    known, times = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for low in range(0, len(rows), 64):  # what is held are the rows as they were sent and one table of hashes
-        some = [(blobs.unpack_sorted(r["hashes"]), blobs.unpack(r["owner"], np.uint32)) for r in rows[low : low + 64]]
-        h = np.concatenate([known, *(x for x, _ in some)])
-        n = np.concatenate([times, *(np.where(o == 0, 2, 1) for _, o in some)])
-        known, place = np.unique(h, return_inverse=True)
-        times = np.minimum(np.bincount(place, n, minlength=len(known)), 2).astype(np.int64)
-    shared = known[times > 1]
+    known, shared = np.empty(0, np.uint64), np.empty(0, np.uint64)
+    for low in range(0, len(rows), 64):  # what is held are the rows as they were sent and two tables of hashes, which are sorted in place
+        some = [blobs.unpack_sorted(r["hashes"]) for r in rows[low : low + 64]]
+        several = [x[blobs.unpack(r["owner"], np.uint32) == 0] for x, r in zip(some, rows[low : low + 64], strict=True)]
+        known = np.concatenate([known, *some])
+        known.sort()
+        again = np.r_[False, known[1:] == known[:-1]] if len(known) else np.empty(0, bool)
+        shared = np.unique(np.concatenate([shared, known[again], *several]))
+        known = known[~again]
+    del known
     for r in rows:
         h, owner = blobs.unpack_sorted(r["hashes"]), blobs.unpack(r["owner"], np.uint32).astype(np.int64)
         one = owner > 0

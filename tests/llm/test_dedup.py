@@ -200,3 +200,32 @@ def test_components_of_a_long_chain_and_stars(spark):
 def test_sorted_numbers_survive_packing(values):
     ordered = np.array(sorted(values), np.uint64)
     assert blobs.unpack_sorted(blobs.pack_sorted(ordered)).tolist() == ordered.tolist()
+
+
+def test_a_bucket_of_postings_is_counted_without_copies_of_its_hashes():
+    import tracemalloc
+
+    import numpy as np
+
+    from marginalia.llm import blobs
+    from marginalia.llm.postings import shared_of
+
+    rng = np.random.default_rng(3)
+    rows, sent, times = [], [], {}
+    for key in range(130):
+        h = np.unique(rng.integers(0, 1 << 20, 2000)).astype(np.uint64)
+        owner = rng.integers(0, 50, len(h))
+        for x, o in zip(h.tolist(), owner.tolist(), strict=True):
+            times[x] = times.get(x, 0) + (1 if o else 2)
+        rows.append({"key": key, "bucket": 0, "docs": b"", "hashes": blobs.pack_sorted(h), "owner": blobs.pack(owner.astype(np.uint32))})
+        sent.append((h, owner))
+    tracemalloc.start()
+    found = shared_of(rows)
+    first = next(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * 8 * sum(len(h) for h, _ in sent)
+    for (_, got, docs), (h, owner) in zip([first, *found], sent, strict=True):
+        want = [(x, o - 1) for x, o in zip(h.tolist(), owner.tolist(), strict=True) if o and times[x] > 1]
+        assert list(zip(got.tolist(), docs.tolist(), strict=True)) == want
+    assert [(len(h), len(d)) for _, h, d in shared_of([dict(rows[0], hashes=b"", owner=b"")])] == [(0, 0)]
